@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 BLOCK_ROWS = 16384
 
 IDX, BLK, OWN, BKT = "_row_idx", "_row_blk", "_row_own", "_row_bkt"
@@ -55,7 +57,11 @@ def with_row_index(
 
 
 class RowBlocks:
-    """Blocks with a halo; use ``rows``/``window`` for frames, then ``finish``."""
+    """Blocks with a halo; use ``rows``/``window`` for frames, then ``add``.
+
+    The input is read twice (rows and row counts), so it is written to the
+    shared folder first unless ``staged=False`` says it is a plain table scan.
+    """
 
     def __init__(
         self,
@@ -66,10 +72,12 @@ class RowBlocks:
         after: int = 0,
         size: int = BLOCK_ROWS,
         bucket: Column | None = None,
+        staged: bool = True,
     ):
         self.size = max(size, before, after, 1)
         self.keys = list(keys)
-        self.columns = list(df.columns)
+        if staged:
+            df = materialise(df, "rows")
         indexed = with_row_index(df, self.keys, [order], F.to_date(order) if bucket is None else bucket)
         pos, blk = F.col(IDX) % self.size, (F.col(IDX) / self.size).cast("long")
         homes = [blk]
@@ -83,18 +91,16 @@ class RowBlocks:
             indexed = indexed.withColumn(BLK, blk)
         self.df = indexed.withColumn(OWN, F.col(BLK) == blk)
 
-    def window(self, *more: str):
-        return W.partitionBy(*self.keys, BLK, *more).orderBy(IDX)
+    def window(self):
+        return W.partitionBy(*self.keys, BLK).orderBy(IDX)
 
     def rows(self, start: int, end: int):
         return self.window().rowsBetween(start, end)
 
-    def finish(self, df: DataFrame) -> DataFrame:
-        return df.where(F.col(OWN)).drop(IDX, BLK, OWN)
-
-    def add(self, exprs: Mapping[str, Column]) -> DataFrame:
-        """Add window columns and drop the halo again."""
-        return self.finish(self.df.withColumns(dict(exprs)))
+    def add(self, exprs: Mapping[str, Column], keep_index: bool = False) -> DataFrame:
+        """Add window columns and drop the halo; ``keep_index`` leaves the block columns for a fill."""
+        out = self.df.withColumns(dict(exprs)).where(F.col(OWN)).drop(OWN)
+        return out if keep_index else out.drop(IDX, BLK)
 
 
 def lag(rb: RowBlocks, c: str | Column, k: int) -> Column:
@@ -122,41 +128,55 @@ def rolling(
     return F.when(F.count(x).over(frame) >= (rows if min_rows is None else min_rows), fn(x).over(frame))
 
 
-def forward_fill(
+def nearest_known(
     df: DataFrame,
     keys: Sequence[str],
-    exprs: Mapping[str, Column],
+    previous: Mapping[str, Column] | None = None,
+    following: Mapping[str, Column] | None = None,
     order: str = "ds",
     strict: bool = False,
-    backward: bool = False,
     size: int = BLOCK_ROWS,
     bucket: Column | None = None,
+    keep_index: bool = False,
 ) -> DataFrame:
-    """Last non-null value of each expression up to (``strict``: before) each row.
+    """Last (``previous``) and next (``following``) non-null value of expressions, per row.
 
-    With ``backward`` the next non-null value instead. The value that crosses a
-    block border comes from a table with one row per block.
+    ``strict`` leaves the row itself out. What crosses a block border comes from
+    a table with one row per block. Frames that already carry block columns
+    (``add(keep_index=True)``) are not indexed again.
     """
-    rb = RowBlocks(df, keys, order, size=size, bucket=bucket)
-    pick = F.first if backward else F.last
-    edge = F.min_by if backward else F.max_by
-    lo, hi = W.unboundedPreceding, -1 if strict else 0
-    if backward:
-        lo, hi = 1 if strict else 0, W.unboundedFollowing
-    inside = rb.rows(lo, hi)
-    temp = {f"_src_{k}": v for k, v in exprs.items()}
-    body = rb.df.withColumns(temp)
-    summary = body.groupBy(*rb.keys, BLK).agg(
-        *[edge(f"_src_{k}", F.when(F.col(f"_src_{k}").isNotNull(), F.col(IDX))).alias(f"_edge_{k}") for k in exprs]
+    previous, following = dict(previous or {}), dict(following or {})
+    keys = list(keys)
+    if BLK in df.columns:
+        body = df
+    else:
+        body = RowBlocks(df, keys, order, size=size, bucket=bucket).df.drop(OWN)
+    sources = {f"_src_{k}": v for k, v in {**previous, **following}.items()}
+    body = materialise(body.withColumns(sources), "fill")
+    at = {k: F.when(F.col(f"_src_{k}").isNotNull(), F.col(IDX)) for k in (*previous, *following)}
+    summary = body.groupBy(*keys, BLK).agg(
+        *[F.max_by(f"_src_{k}", at[k]).alias(f"_edge_{k}") for k in previous],
+        *[F.min_by(f"_src_{k}", at[k]).alias(f"_edge_{k}") for k in following],
     )
-    across = W.partitionBy(*rb.keys).orderBy(BLK)
-    across = across.rowsBetween(1, W.unboundedFollowing) if backward else across.rowsBetween(W.unboundedPreceding, -1)
+    blocks = W.partitionBy(*keys).orderBy(BLK)
+    ahead, behind = blocks.rowsBetween(1, W.unboundedFollowing), blocks.rowsBetween(W.unboundedPreceding, -1)
     carry = summary.select(
-        *rb.keys, BLK, *[pick(f"_edge_{k}", ignorenulls=True).over(across).alias(f"_carry_{k}") for k in exprs]
-    )
-    filled = body.withColumns({f"_in_{k}": pick(f"_src_{k}", ignorenulls=True).over(inside) for k in exprs})
-    out = filled.join(carry, [*rb.keys, BLK]).withColumns(
-        {k: F.coalesce(F.col(f"_in_{k}"), F.col(f"_carry_{k}")) for k in exprs}
+        *keys,
+        BLK,
+        *[F.last(f"_edge_{k}", ignorenulls=True).over(behind).alias(f"_carry_{k}") for k in previous],
+        *[F.first(f"_edge_{k}", ignorenulls=True).over(ahead).alias(f"_carry_{k}") for k in following],
     )
-    keep = [c for c in df.columns if c not in exprs]
-    return out.select(*keep, *exprs.keys())
+    inside = W.partitionBy(*keys, BLK).orderBy(IDX)
+    back = inside.rowsBetween(W.unboundedPreceding, -1 if strict else 0)
+    forth = inside.rowsBetween(1 if strict else 0, W.unboundedFollowing)
+    found = {f"_in_{k}": F.last(f"_src_{k}", ignorenulls=True).over(back) for k in previous}
+    found.update({f"_in_{k}": F.first(f"_src_{k}", ignorenulls=True).over(forth) for k in following})
+    outs = {k: F.coalesce(F.col(f"_in_{k}"), F.col(f"_carry_{k}")) for k in (*previous, *following)}
+    out = body.withColumns(found).join(carry, [*keys, BLK]).withColumns(outs)
+    keep = [c for c in df.columns if c not in outs and c not in (IDX, BLK)]
+    return out.select(*keep, *outs, *([IDX, BLK] if keep_index else []))
+
+
+def forward_fill(df: DataFrame, keys: Sequence[str], exprs: Mapping[str, Column], **kw) -> DataFrame:
+    """Last non-null value of each expression up to (``strict``: before) each row."""
+    return nearest_known(df, keys, previous=exprs, **kw)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import clock
 
 SERIES_COUNT = 3
-UNIT = 0.010137911
+UNIT = 0.01013791135792
 MODELS = ("click", "error", "purchase", "signup", "view")
 DA_TYPES = ("view", "click", "purchase")
 
