@@ -42,10 +42,9 @@ def full_metrics(df: DataFrame, by: Sequence[str], weight: str | None = None) ->
     df = df.where(F.col("y_true").isNotNull() & F.col("y_pred").isNotNull())
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     df = df.withColumns({"_w": w, "_bias": F.col("y_pred") - F.col("y_true"), "_abs_t": F.abs("y_true")})
-    q = quantile.quantiles(df, by, "y_true", {"_q90": 0.90, "_q95": 0.95})
-    med = quantile.quantiles(df, by, "_bias", {"bias_median": 0.5})
-    scale = quantile.quantiles(df, by, "_abs_t", {"_med_abs": 0.5})
-    side = q.join(med, by).join(scale, by)
+    side = quantile.column_quantiles(
+        df, by, {"_q90": ("y_true", 0.90), "_q95": ("y_true", 0.95), "bias_median": ("_bias", 0.5), "_med_abs": ("_abs_t", 0.5)}
+    )
     gap = F.abs(F.col("_bias"))
     peak = F.col("y_true") >= F.col("_q90")
     return (

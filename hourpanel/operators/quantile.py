@@ -141,3 +141,26 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         (F.col("cum_c") - F.col("c") + (F.col("c") + 1) / 2).alias("rank"),
         F.col("all_c").alias("n"),
     )
+
+
+def column_quantiles(
+    df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str | Column, float]], counts: bool = False
+) -> DataFrame:
+    """Quantiles of several columns in one scan: ``{out: (column, prob)}`` per key."""
+    keys = list(keys)
+    cols: list[Column] = []
+    where: dict[str, int] = {}
+    place = {}
+    for out, (c, p) in wanted.items():
+        tag = c if isinstance(c, str) else str(c)
+        if tag not in where:
+            where[tag] = len(cols)
+            cols.append((F.col(c) if isinstance(c, str) else c).cast("double"))
+        place[out] = (where[tag], float(p))
+    cells = F.array(*[F.struct(F.lit(i).alias("_c"), c.alias("_x")) for i, c in enumerate(cols)])
+    long = df.select(*keys, F.explode(cells).alias("_s")).select(*keys, "_s._c", "_s._x")
+    probs = sorted({p for _, p in place.values()})
+    q = quantiles(long, [*keys, "_c"], "_x", {f"_q{i}": p for i, p in enumerate(probs)})
+    return q.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_c") == i, F.col(f"_q{probs.index(p)}"))).alias(out) for out, (i, p) in place.items()]
+    )
