@@ -157,10 +157,10 @@ def column_quantiles(
             where[tag] = len(cols)
             cols.append((F.col(c) if isinstance(c, str) else c).cast("double"))
         place[out] = (where[tag], float(p))
-    cells = F.array(*[F.struct(F.lit(i).alias("_c"), c.alias("_x")) for i, c in enumerate(cols)])
-    long = df.select(*keys, F.explode(cells).alias("_s")).select(*keys, "_s._c", "_s._x")
+    cells = F.array(*[F.struct(F.lit(i).alias("_qc"), c.alias("_x")) for i, c in enumerate(cols)])
+    long = df.select(*keys, F.explode(cells).alias("_s")).select(*keys, "_s._qc", "_s._x")
     probs = sorted({p for _, p in place.values()})
-    q = quantiles(long, [*keys, "_c"], "_x", {f"_q{i}": p for i, p in enumerate(probs)})
+    q = quantiles(long, [*keys, "_qc"], "_x", {f"_q{i}": p for i, p in enumerate(probs)})
     return q.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_c") == i, F.col(f"_q{probs.index(p)}"))).alias(out) for out, (i, p) in place.items()]
+        *[F.max(F.when(F.col("_qc") == i, F.col(f"_q{probs.index(p)}"))).alias(out) for out, (i, p) in place.items()]
     )
