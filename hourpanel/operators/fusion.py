@@ -327,6 +327,11 @@ def _loss(kind: str, y: Column, p: Column) -> Column:
     return scores.smape_row("floor50", y, p)
 
 
+def _moved(weights: str, up: int, down: int, by: float) -> Column:
+    """A weight array with ``by`` moved from one entry to another."""
+    return F.transform(weights, lambda v, i: v + F.when(i == up, by).when(i == down, -by).otherwise(0.0))
+
+
 def convex_search(
     wide: DataFrame,
     by: Sequence[str],
@@ -372,10 +377,7 @@ def convex_search(
             cands = F.concat(inside, F.array(F.col("_prior")))
         else:
             step /= 2
-            moves = [
-                F.transform(F.col("_c"), lambda v, i, a=a, b=b, d=d: v + F.when(i == a, d).when(i == b, -d).otherwise(0.0))
-                for a in range(k) for b in range(k) if a != b for d in (step, step / 2)
-            ]
+            moves = [_moved("_c", a, b, d) for a in range(k) for b in range(k) if a != b for d in (step, step / 2)]
             cands = F.filter(F.array(F.col("_c"), *moves), lambda c: F.forall(c, lambda v: (v >= lo - 1e-12) & (v <= hi + 1e-12)))
         scored = (
             rows.join(best.select(*by, "_prior", cands.alias("_cs")), by)

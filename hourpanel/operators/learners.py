@@ -333,7 +333,8 @@ def impute_median(wide: DataFrame, by: Sequence[str], columns: Sequence[str]) ->
     return j.withColumns({c: F.coalesce(F.col(c), F.col(f"_m_{c}"), F.lit(0.0)) for c in columns}).drop(*[f"_m_{c}" for c in columns])
 
 
-ALPHAS = (0.1, 1.0, 10.0, 100.0)
+# Ridge penalties tried by the router.
+ALPHAS = (0.01, 0.1, 0.5, 1.0, 2.0, 5.0)
 
 
 def router(wide: DataFrame, by: Sequence[str], models: Sequence[str], alphas: Sequence[float] = ALPHAS, k: int = 3, margin: float = 0.0) -> tuple[DataFrame, DataFrame]:
@@ -389,6 +390,43 @@ def router(wide: DataFrame, by: Sequence[str], models: Sequence[str], alphas: Se
     return report, gated.select(*by, "model_name", "weight")
 
 
+def meta_learner(
+    wide: DataFrame, by: Sequence[str], models: Sequence[str], extras: Sequence[str] = (), alpha: float = 1.0, k: int = 3, nonnegative: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(report, predictions): ridge on model predictions and extra features per group, behind the learner gate.
+
+    ``nonnegative`` is the plain form: no intercept, weights >= 0, no gate.
+    Where the gate says best_single, that model's own value is the prediction.
+    """
+    by, cols = list(by), [*models, *extras]
+    size = len(cols)
+    data = materialise(time_folds(impute_median(wide.where(F.col("y_true").isNotNull()), by, cols), by, k), "meta")
+    x = F.array(*[F.col(c).cast("double") for c in cols], *([] if nonnegative else [F.lit(1.0)]))
+    dot = F.aggregate(F.zip_with("_w", x, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
+    whole = solve.gram(data, by, cols)
+    if nonnegative:
+        coef = whole.select(*by, solve.fit_column("ridge_nonnegative", size, alpha=alpha)("g", "b", "s", "sy", "n").alias("_w"))
+        out = data.join(coef, by).withColumn("y_fused", dot).drop("_w", "fold")
+        return coef.withColumnRenamed("_w", "coefficients"), out
+    fit = solve.fit_column("ridge_intercept", size, alpha=alpha)
+    sums = solve.gram(data, [*by, "fold"], cols)
+    before = W.partitionBy(*by).orderBy("fold").rowsBetween(W.unboundedPreceding, -1)
+
+    def run(c, n):
+        return F.array(*[F.sum(F.col(c)[i]).over(before) for i in range(n)]).alias(c)
+
+    train = sums.select(*by, "fold", run("g", size * size), run("b", size), run("s", size), F.sum("sy").over(before).alias("sy"), F.sum("n").over(before).alias("n"))
+    coefs = train.where("fold > 0").select(*by, "fold", fit("g", "b", "s", "sy", "n").alias("_w"))
+    cv = data.join(coefs, [*by, "fold"]).withColumn("_f", dot).groupBy(*by, "fold").agg(scores.smape("floor50", "y_true", "_f").alias("_s"))
+    report = cv.groupBy(*by).agg(F.avg("_s").alias("cv_smape")).join(best_single(data, by, models, cv=True), by)
+    report = report.withColumn("gate", learner_gate(F.col("cv_smape"), F.col("best_single_smape"), len(models)))
+    report = report.join(whole.select(*by, fit("g", "b", "s", "sy", "n").alias("coefficients")), by)
+    single = F.coalesce(*[F.when(F.col("best_single_model") == m, F.col(m)) for m in models])
+    out = data.join(report.select(*by, "gate", "best_single_model", F.col("coefficients").alias("_w")), by)
+    out = out.withColumn("y_fused", F.when(F.col("gate") == "best_single", single).otherwise(dot))
+    return report, out.drop("_w", "fold", "best_single_model")
+
+
 def spike_aware_fit(df: DataFrame, by: Sequence[str], models: Sequence[str], templates: DataFrame, reg: float = 0.1, prob: str = "spike_prob") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(weights, fused, affine): segment weights near inverse error, 9_16 templates, affine calibration."""
     by = list(by)

@@ -138,7 +138,8 @@ def solve(stats: DataFrame, by: Sequence[str], models: Sequence[str], method: st
     """Weights table (by, model_name, weight) from packed statistics."""
     udf = fit_column(method, len(models), **kw)
     names = F.array(*[F.lit(m) for m in models])
-    w = stats.withColumn("_w", udf("g", "b", "s", "sy", "n"))
+    none = F.array(*[F.lit(None).cast("double")] * len(models))
+    w = stats.withColumn("_w", F.coalesce(udf("g", "b", "s", "sy", "n"), none))
     return w.select(*by, *keep, F.explode(F.arrays_zip(names.alias("model_name"), F.col("_w").alias("weight"))).alias("_z")).select(
         *by, *keep, F.col("_z.model_name").alias("model_name"), F.col("_z.weight").alias("weight")
     )
