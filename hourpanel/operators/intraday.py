@@ -175,7 +175,7 @@ def value_counts(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFram
 
 
 def pack_checks(pack: DataFrame, mode: str = "online", by: Sequence[str] = ()) -> DataFrame:
-    """Eight pack rules as rows ``check, severity, bad_rows, passed``."""
+    """Eight pack rules as rows ``check_name, severity, bad_rows, passed``."""
     mid = F.col("cutoff_hour").between(10, 11) & ~F.col("policy_decision").isin("SHADOW_ONLY", "DISABLED")
     conds = [
         ("mode_intraday", "error", ~F.col("mode").eqNullSafe("INTRADAY")),
@@ -201,7 +201,7 @@ def pack_checks(pack: DataFrame, mode: str = "online", by: Sequence[str] = ()) -
         F.explode(
             F.array(
                 *[
-                    F.struct(F.lit(n).alias("check"), F.lit(s).alias("severity"), F.col(n).alias("bad_rows"))
+                    F.struct(F.lit(n).alias("check_name"), F.lit(s).alias("severity"), F.col(n).alias("bad_rows"))
                     for n, s in items
                 ]
             )

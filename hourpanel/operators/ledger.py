@@ -129,7 +129,7 @@ def schema_errors(df: DataFrame, strict: bool = True) -> list[str]:
 
 
 def quality(df: DataFrame, by: Sequence[str] = ("target",)) -> DataFrame:
-    """check, bad_rows per target from one grouped pass over keys and one over rows."""
+    """check_name, bad_rows per target from one grouped pass over keys and one over rows."""
     hour = F.col("hour_business")
     expected = clock.business_timestamp("forecast_date", "hour_business")
     nulls = {f"null_{c}": F.col(c).isNull() for c in fixed.LEDGER_REQUIRED if c in df.columns}
@@ -155,7 +155,7 @@ def quality(df: DataFrame, by: Sequence[str] = ("target",)) -> DataFrame:
     )
     names = ["days_not_24_rows", "duplicate_key", *conds]
     return total.select(
-        *by, F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).alias("bad_rows")) for n in names])).alias("_c")
+        *by, F.explode(F.array(*[F.struct(F.lit(n).alias("check_name"), F.col(n).alias("bad_rows")) for n in names])).alias("_c")
     ).select(*by, "_c.*")
 
 

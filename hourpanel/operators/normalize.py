@@ -1,6 +1,6 @@
 """Bring any prediction or market table onto a column contract.
 
-Every ``violations`` frame has the columns ``check, key, detail`` and is empty
+Every ``violations`` frame has the columns ``check_name, key, detail`` and is empty
 when the input conforms; ``strict=True`` raises instead.
 """
 
@@ -93,7 +93,7 @@ def _typed(df: DataFrame) -> DataFrame:
 
 def violation(df: DataFrame, check: str, bad: Column, key: Column, detail: Column | None = None) -> DataFrame:
     return df.where(F.coalesce(bad, F.lit(False))).select(
-        F.lit(check).alias("check"),
+        F.lit(check).alias("check_name"),
         key.cast("string").alias("key"),
         (F.lit(None) if detail is None else detail).cast("string").alias("detail"),
     )
@@ -102,7 +102,7 @@ def violation(df: DataFrame, check: str, bad: Column, key: Column, detail: Colum
 def violations(df: DataFrame, rules: Mapping[str, Column], key: Column) -> DataFrame:
     """All broken rules of all rows in one scan."""
     hits = F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in rules.items()]))
-    return df.select(F.explode(hits).alias("check"), key.cast("string").alias("key"))
+    return df.select(F.explode(hits).alias("check_name"), key.cast("string").alias("key"))
 
 
 def _row_key(df: DataFrame) -> Column:
@@ -126,9 +126,9 @@ def standardise_predictions(df: DataFrame, strict: bool = False) -> tuple[DataFr
     rules = prediction_rules()
     bad = violations(out, rules, _row_key(out))
     if strict:
-        found = bad.groupBy("check").count().collect()
+        found = bad.groupBy("check_name").count().collect()
         if found:
-            raise ValueError(f"prediction table violates: { {r['check']: r['count'] for r in found} }")
+            raise ValueError(f"prediction table violates: { {r['check_name']: r['count'] for r in found} }")
     ok = None
     for cond in rules.values():
         ok = ~cond if ok is None else ok & ~cond
@@ -263,7 +263,7 @@ def standardise_external(
 
 
 def external_violations(df: DataFrame, allow_duplicates: bool = False, series: Sequence[str] = ()) -> DataFrame:
-    """check, key rows for every broken rule of the external contract."""
+    """check_name, key rows for every broken rule of the external contract."""
     missing = [c for c in fixed.EXTERNAL_REQUIRED if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
@@ -283,7 +283,7 @@ def external_violations(df: DataFrame, allow_duplicates: bool = False, series: S
     if allow_duplicates:
         return rows
     dupes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return rows.unionByName(dupes.select(F.lit("duplicate_key").alias("check"), text.alias("key")))
+    return rows.unionByName(dupes.select(F.lit("duplicate_key").alias("check_name"), text.alias("key")))
 
 
 def normalise_intraday_pack(df: DataFrame, source_path: str = "", series: Sequence[str] = ()) -> DataFrame:
