@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import fixed
 from ..operators import dedupe, ledger
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 
 
 def read_directory(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 100) -> DataFrame:
@@ -38,7 +38,8 @@ def ledger_ingest(
     once = rows.withWatermark(event_time, late).dropDuplicatesWithinWatermark(list(key)).drop(event_time)
 
     def write(batch: DataFrame, _: int) -> None:
-        ledger.append_to_table(batch.sparkSession, path, batch, force, key)
+        # Written out first: the append reads it more than once, the stream's state must be touched only once.
+        ledger.append_to_table(batch.sparkSession, path, materialise(batch, "ledger-micro-batch"), force, key)
 
     return (
         once.writeStream.foreachBatch(write)
@@ -63,8 +64,6 @@ def intraday_latest(
     schema = pack.schema
 
     def merge(batch: DataFrame, _: int) -> None:
-        from ..session import materialise
-
         s = batch.sparkSession
         fresh = dedupe.keep_one(batch, keys, ["cutoff_hour", *tie], last=True)
         root = s._jvm.org.apache.hadoop.fs.Path(path)
