@@ -29,7 +29,7 @@ def quantiles(
     """One row per key with a column per name in ``probs``; null values are skipped.
 
     Groups of at most ``small_group`` rows are ordered whole, larger ones only
-    inside the bracket.
+    inside the brackets; the stretches between brackets count as one value each.
     """
     keys = list(keys)
     if not keys:
@@ -37,7 +37,7 @@ def quantiles(
     v = F.col(value) if isinstance(value, str) else value
     base = df.select(*keys, v.cast("double").alias("_v")).where(F.col("_v").isNotNull())
     wanted = sorted(set(float(p) for p in probs.values()))
-    pad = 4.0 / SKETCH_ACCURACY
+    pad, m = 4.0 / SKETCH_ACCURACY, len(wanted)
     edges = [max(0.0, p - pad) for p in wanted] + [min(1.0, p + pad) for p in wanted]
     bracket = base.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
@@ -45,43 +45,44 @@ def quantiles(
         F.max("_v").alias("_max"),
         F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), F.lit(SKETCH_ACCURACY)).alias("_e"),
     )
-    m = len(wanted)
     small = F.col("_n") <= small_group
-    targets = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                F.floor(F.lit(p) * (F.col("_n") - 1)).alias("k"),
-                (F.lit(p) * (F.col("_n") - 1)).alias("pos"),
-                F.when(small | F.lit(p - pad <= 0), F.col("_min")).otherwise(F.col("_e")[i]).alias("lo"),
-                F.when(small | F.lit(p + pad >= 1), F.col("_max")).otherwise(F.col("_e")[m + i]).alias("hi"),
-            )
-            for i, p in enumerate(wanted)
-        ]
-    )
-    bracket = bracket.select(*keys, "_n", targets.alias("_t"))
+    cols = {}
+    for i, p in enumerate(wanted):
+        cols[f"_lo{i}"] = F.when(small | F.lit(p - pad <= 0), F.col("_min")).otherwise(F.col("_e")[i])
+        cols[f"_hi{i}"] = F.when(small | F.lit(p + pad >= 1), F.col("_max")).otherwise(F.col("_e")[m + i])
+    bracket = bracket.select(*keys, "_n", *[c.alias(n) for n, c in cols.items()])
+    x = F.col("_v")
+    inside, stretch = F.lit(False), F.lit(0)
+    for i in range(m):
+        inside = inside | x.between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
+        stretch = stretch + (x > F.col(f"_hi{i}")).cast("int")
     near = (
         base.join(bracket, keys)
-        .withColumn("_t", F.explode("_t"))
-        .where(F.col("_v") <= F.col("_t.hi"))
-        .withColumn("_v", F.when(F.col("_v") >= F.col("_t.lo"), F.col("_v")))
-        .groupBy(*keys, "_n", "_t", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    run = W.partitionBy(*keys, F.col("_t.i")).orderBy(F.col("_v").asc_nulls_first())
-    found = (
-        near.withColumn("_cum", F.sum("_c").over(run.rowsBetween(W.unboundedPreceding, 0)))
-        .groupBy(*keys, "_n", F.col("_t.i").alias("_i"), F.col("_t.k").alias("_k"), F.col("_t.pos").alias("_pos"))
-        .agg(
-            F.min(F.when(F.col("_cum") > F.col("_t.k"), F.col("_v"))).alias("_a"),
-            F.min(F.when(F.col("_cum") > F.col("_t.k") + 1, F.col("_v"))).alias("_b"),
-        )
-        .withColumn("_q", F.col("_a") + (F.col("_pos") - F.col("_k")) * (F.coalesce("_b", "_a") - F.col("_a")))
+        .select(*keys, "_n", "_v", F.when(inside, x).alias("_exact"), F.when(~inside, stretch).alias("_stretch"))
+        .groupBy(*keys, "_n", "_exact", "_stretch")
+        .agg(F.count(F.lit(1)).alias("_k"), F.min("_v").alias("_x"))
     )
-    outs = [F.max(F.when(F.col("_i") == wanted.index(float(p)), F.col("_q"))).alias(n) for n, p in probs.items()]
+    upto = W.partitionBy(*keys).orderBy("_x").rowsBetween(W.unboundedPreceding, 0)
+    ranked = near.withColumn("_cum", F.sum("_k").over(upto))
+    picks = []
+    for i, p in enumerate(wanted):
+        k = F.floor(F.lit(p) * (F.col("_n") - 1))
+        picks.append(F.min(F.when(F.col("_cum") > k, F.col("_x"))).alias(f"_a{i}"))
+        picks.append(F.min(F.when(F.col("_cum") > k + 1, F.col("_x"))).alias(f"_b{i}"))
+    found = ranked.groupBy(*keys).agg(F.first("_n").alias("_n"), *picks)
+
+    def at(i: int, p: float) -> Column:
+        pos = F.lit(p) * (F.col("_n") - 1)
+        a = F.col(f"_a{i}")
+        return a + (pos - F.floor(pos)) * (F.coalesce(F.col(f"_b{i}"), a) - a)
+
+    outs = [at(wanted.index(float(p)), float(p)).alias(n) for n, p in probs.items()]
     if counts:
-        outs.append(F.first("_n").alias(counts))
-    return found.groupBy(*keys).agg(*outs)
+        outs.append(F.col("_n").alias(counts))
+    return found.select(*keys, *outs)
+
+
+FINE = 16
 
 
 def cumulative_counts(
@@ -89,25 +90,28 @@ def cumulative_counts(
     keys: Sequence[str],
     value: str,
     sums: Mapping[str, Column],
-    splits: int = 200,
     descending: bool = False,
 ) -> DataFrame:
     """Running sums over the distinct values of a column, per key.
 
-    Values are grouped first, then spread over ``splits`` sketch-made ranges;
-    range totals are summed on a small table. Output: keys, value, each sum
+    Values are grouped first, then spread over 256 sketch-made ranges (found in
+    two steps of 16); range totals are summed on a small table. Output: keys, value, each sum
     (``name``), its running total up to and including the value (``cum_name``)
     and its total (``all_name``).
     """
     keys = list(keys)
+    splits = FINE * FINE
     cuts = df.groupBy(*keys).agg(
         F.percentile_approx(value, F.array(*[F.lit(i / splits) for i in range(1, splits)]), F.lit(1000)).alias("_cuts")
     )
+    cuts = cuts.withColumn("_coarse", F.filter("_cuts", lambda c, i: i % FINE == FINE - 1))
     flat = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[e.alias(n) for n, e in sums.items()])
     placed = (
         flat.join(cuts, keys)
-        .withColumn("_b", F.size(F.filter("_cuts", lambda s: s < F.col(value))))
-        .drop("_cuts")
+        .withColumn("_c", F.size(F.filter("_coarse", lambda s: s < F.col(value))))
+        .withColumn("_f", F.size(F.filter(F.slice("_cuts", F.col("_c") * FINE + 1, F.lit(FINE - 1)), lambda s: s < F.col(value))))
+        .withColumn("_b", F.col("_c") * FINE + F.col("_f"))
+        .drop("_cuts", "_coarse", "_c", "_f")
     )
     way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     totals = placed.groupBy(*keys, "_b").agg(*[F.sum(n).alias(f"_s_{n}") for n in sums])

@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import clock
+from ..session import materialise
 
 SERIES_COUNT = 3
 UNIT = 0.01013791135792
@@ -30,6 +31,21 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._stored: dict[str, DataFrame] = {}
+
+    def _store(self, name: str, df: DataFrame) -> DataFrame:
+        if name not in self._stored:
+            self._stored[name] = materialise(df, name)
+        return self._stored[name]
+
+    @property
+    def stored_panel(self) -> DataFrame:
+        """The panel written once to the shared folder, for plans that pass over it several times."""
+        return self._store("panel", self.panel)
+
+    @property
+    def stored_market(self) -> DataFrame:
+        return self._store("market", self.market)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -12,7 +12,7 @@ S = ["series_id"]
 
 def pack(t):
     """Correction pack: base prediction, truth, spike probability, negative risks."""
-    m = t.market.select(
+    m = t.stored_market.select(
         "series_id", "business_day", "hour_business", "period", "ds", F.col("rt").alias("y_true"),
         F.col("da").alias("base_fused_pred"), F.least(F.lit(1.0), F.col("high_spike_prob") * 4).alias("high_spike_prob"),
         F.col("wind_forecast"), F.col("solar_forecast"), F.col("load_forecast"),
@@ -109,14 +109,14 @@ ev2 AS (SELECT m.series_id, m.ds, m.period, m.rt, unnest([CASE WHEN rt > hi THEN
 
 
 def event_rows(t):
-    m = t.market
+    m = t.stored_market
     limits = events.event_thresholds(m, ["series_id", "period"], "rt", "da")
     return events.detect_events(m, limits, ["series_id", "period"], "rt", "da")
 
 
 @query("event_thresholds", "series_id:i period:s high_spike:d low_valley:d spread_extreme:d", "SELECT series_id, period, hi AS high_spike, lo AS low_valley, sp AS spread_extreme FROM lim", LIMITS)
 def _(t):
-    return events.event_thresholds(t.market, ["series_id", "period"], "rt", "da")
+    return events.event_thresholds(t.stored_market, ["series_id", "period"], "rt", "da")
 
 
 @query("extreme_events", "series_id:i ds:t event_type:s threshold:d value:d", "SELECT series_id, ds, x.e AS event_type, x.th AS threshold, x.v AS value FROM ev2 WHERE x IS NOT NULL", LIMITS)
@@ -132,7 +132,7 @@ def _(t):
     "q AS (SELECT series_id, quantile_cont(rt - da, 0.9) AS u, quantile_cont(-(rt - da), 0.9) AS o FROM market GROUP BY ALL)",
 )
 def _(t):
-    return events.residual_events(t.market, S, "rt", "da")
+    return events.residual_events(t.stored_market, S, "rt", "da")
 
 
 @query(
@@ -168,7 +168,7 @@ REGIME = """rg AS (SELECT m.*, CASE WHEN rt > q90 THEN 'extreme_high' WHEN rt >
     REGIME,
 )
 def _(t):
-    return events.regime_performance(events.classify_regime(t.market, S, "rt"), S, "rt", "da")
+    return events.regime_performance(events.classify_regime(t.stored_market, S, "rt"), S, "rt", "da")
 
 
 @query(
@@ -177,7 +177,7 @@ def _(t):
     "SELECT series_id, ds, abs(rt - da) AS gap FROM market ORDER BY gap DESC, series_id, ds LIMIT 100",
 )
 def _(t):
-    return events.worst_cases(t.market.withColumn("gap", F.abs(F.col("rt") - F.col("da"))), "gap", 100, ["series_id", "ds"])
+    return events.worst_cases(t.stored_market.withColumn("gap", F.abs(F.col("rt") - F.col("da"))), "gap", 100, ["series_id", "ds"])
 
 
 @query(
@@ -186,7 +186,7 @@ def _(t):
     "SELECT series_id, hour_business, ds, rt FROM (SELECT *, row_number() OVER (PARTITION BY series_id, hour_business ORDER BY ds DESC) AS r FROM market) WHERE r <= 3",
 )
 def _(t):
-    return events.latest_rows(t.market, ["series_id", "hour_business"], 3)
+    return events.latest_rows(t.stored_market, ["series_id", "hour_business"], 3)
 
 
 def lift_sql(cand, thr, ratio, cap, boost, src="pk"):
@@ -345,7 +345,7 @@ def _(t):
 )
 def _(t):
     risk = t.panel.where("model_name != 'view'").select("series_id", "ds", (F.col("y_pred") / 100).alias("spike_risk_score"))
-    return corrections.collapse_risk(t.market.drop("high_spike_prob"), risk, ["series_id", "ds"])
+    return corrections.collapse_risk(t.stored_market.drop("high_spike_prob"), risk, ["series_id", "ds"])
 
 
 @query(
@@ -354,7 +354,7 @@ def _(t):
     "SELECT *, CAST(spike_risk_score > 0.8 AS INT) AS spike_risk_flag FROM (SELECT series_id, ds, (da - min(da) OVER (PARTITION BY series_id)) / (max(da) OVER (PARTITION BY series_id) - min(da) OVER (PARTITION BY series_id)) AS spike_risk_score FROM market)",
 )
 def _(t):
-    return corrections.fallback_risk(t.market, S, "da")
+    return corrections.fallback_risk(t.stored_market, S, "da")
 
 
 @query(
@@ -381,7 +381,7 @@ def _(t):
     """bk AS (SELECT m.series_id, m.ds, rt, CASE WHEN rt <= 0 THEN 'negative' WHEN rt >= q THEN 'spike' ELSE 'normal' END AS bucket FROM market m JOIN (SELECT series_id, quantile_cont(rt, 0.95) AS q FROM market GROUP BY ALL) q ON m.series_id = q.series_id)""",
 )
 def _(t):
-    m = t.market
+    m = t.stored_market
     blend = 0.5 * F.col("da") + 60
     stages = {
         "day_ahead": m.withColumn("y_pred", F.col("da")),
@@ -392,7 +392,7 @@ def _(t):
 
 
 def scored(t):
-    m = t.market
+    m = t.stored_market
     return m.select(
         "series_id", "business_day", "hour_business", "period", "ds", "da", F.col("rt").alias("rt_actual"),
         (F.col("rt") - F.col("da")).alias("delta_target"), (F.col("high_spike_prob") * 300 - 20).alias("delta_hat"),
@@ -475,13 +475,13 @@ def _(t):
        LEFT JOIN (SELECT series_id, period, quantile_cont(rt - da, 0.85) AS q FROM market WHERE business_day <= DATE '2024-01-20' AND rt > 400 GROUP BY ALL HAVING count(*) >= 5) a ON m.series_id = a.series_id AND m.period = a.period""",
 )
 def _(t):
-    df = t.market.withColumns({"y_true": F.col("rt"), "y_pred": F.col("da")})
+    df = t.stored_market.withColumns({"y_true": F.col("rt"), "y_pred": F.col("da")})
     v = df.where(F.col("business_day") <= F.lit("2024-01-20").cast("date"))
     return calibrate.posthoc(df, S, calibrate.period_bias(v, S), calibrate.spike_addon(v, S), "high_spike_prob", 0.1)
 
 
 def regime_frame(t):
-    m = t.market.withColumns({"y_true": F.col("rt"), "y_pred": F.col("da")})
+    m = t.stored_market.withColumns({"y_true": F.col("rt"), "y_pred": F.col("da")})
     sr, br = F.col("solar_forecast") / F.col("load_forecast"), F.col("wind_forecast") / F.col("load_forecast")
     stress = calibrate.stress_mask(sr, br, F.col("load_forecast"), (0.4, 0.02, 100.0))
     return m.withColumns({"stress": stress, "peak": calibrate.peak_mask(stress, F.col("da"), F.col("load_forecast"), sr, (150.0, 150.0, 0.3))})
@@ -506,7 +506,7 @@ def _(t):
     """SELECT m.series_id, m.ds, da * a + b AS y_calibrated FROM market m JOIN (SELECT series_id, least(greatest(regr_slope(rt, da), 0.7), 1.3) AS a, regr_intercept(rt, da) AS b FROM market WHERE business_day <= DATE '2024-01-20' GROUP BY ALL) f ON m.series_id = f.series_id""",
 )
 def _(t):
-    df = t.market.withColumns({"y_true": F.col("rt"), "y_pred": F.col("da")})
+    df = t.stored_market.withColumns({"y_true": F.col("rt"), "y_pred": F.col("da")})
     v = df.where(F.col("business_day") <= F.lit("2024-01-20").cast("date"))
     return calibrate.affine_apply(df, calibrate.affine_fit(v, S), S)
 
@@ -536,7 +536,7 @@ def _(t):
        UNION ALL SELECT series_id, 1, 'half', {smape_sql('floor50', 'rt', '(da * 0.5 + 40)')} FROM market GROUP BY ALL)""",
 )
 def _(t):
-    df = t.market.select("series_id", F.col("rt").alias("y_true"), "da", (F.col("da") * 0.5 + 40).alias("half"))
+    df = t.stored_market.select("series_id", F.col("rt").alias("y_true"), "da", (F.col("da") * 0.5 + 40).alias("half"))
     return calibrate.choose_calibrator(df, S, {"none": "da", "half": "half"})
 
 
@@ -550,7 +550,7 @@ def _(t):
 )
 def _(t):
     profiles = {"spike": "spike_weighted", "severe": "severe_underestimate_weighted", "period_spike": "period_spike_weighted", "low": "low_price"}
-    return calibrate.price_weights(t.market, S, "rt", profiles)
+    return calibrate.price_weights(t.stored_market, S, "rt", profiles)
 
 
 @query(
@@ -569,7 +569,7 @@ PROBS = "pb AS (SELECT series_id, ds, business_day, high_spike_prob AS p, CAST(r
 
 
 def probs(t):
-    return t.market.select("series_id", "ds", "business_day", F.col("high_spike_prob").alias("prob"), (F.col("rt") > 180).cast("int").alias("label"))
+    return t.stored_market.select("series_id", "ds", "business_day", F.col("high_spike_prob").alias("prob"), (F.col("rt") > 180).cast("int").alias("label"))
 
 
 @query(

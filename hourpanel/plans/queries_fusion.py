@@ -40,7 +40,7 @@ def _(t):
     f"SELECT series_id, ds, max(y_true) AS y_true, max(n) AS extra, {', '.join(f'max(y_pred) FILTER (model_name = {chr(39)}{m}{chr(39)}) AS {m}' for m in MODELS)} FROM panel GROUP BY ALL",
 )
 def _(t):
-    return fusion.wide_frame(t.panel.withColumn("extra", F.col("n")), POINT, MODELS, ["extra"])
+    return fusion.wide_frame(t.stored_panel.withColumn("extra", F.col("n")), POINT, MODELS, ["extra"])
 
 
 @query(
@@ -49,7 +49,7 @@ def _(t):
     "SELECT series_id, ds, min(y) AS lowest, max(y) AS highest, count(*) AS rows FROM (SELECT series_id, ds, CASE WHEN n > 3 THEN y_true + 1 ELSE y_true END AS y FROM panel) GROUP BY ALL HAVING min(y) != max(y)",
 )
 def _(t):
-    p = t.panel.withColumn("y_true", F.when(F.col("n") > 3, F.col("y_true") + 1).otherwise(F.col("y_true")))
+    p = t.stored_panel.withColumn("y_true", F.when(F.col("n") > 3, F.col("y_true") + 1).otherwise(F.col("y_true")))
     return fusion.truth_conflicts(p, ["series_id", "ds"])
 
 
@@ -60,12 +60,12 @@ def _(t):
        FROM panel a JOIN (SELECT {BYS}, count(DISTINCT ds) AS e FROM panel GROUP BY ALL) b ON {ON} GROUP BY ALL""",
 )
 def _(t):
-    return fusion.coverage(t.panel, BY, 0.6)
+    return fusion.coverage(t.stored_panel, BY, 0.6)
 
 
 @query("inverse_mae_weights", "series_id:i task:s period:s model_name:s mae:d sample_count:i weight:d", f"SELECT {BYS}, model_name, mae, n AS sample_count, w AS weight FROM im", IMAE)
 def _(t):
-    return fusion.inverse_mae(t.panel, BY)
+    return fusion.inverse_mae(t.stored_panel, BY)
 
 
 SOFT = f"""SELECT {BYS}, model_name, rmse, exp(z) / sum(exp(z)) OVER (PARTITION BY {BYS}) AS weight FROM (SELECT *, -rmse / (max(rmse) OVER (PARTITION BY {BYS}) + 1e-10) / 0.1 AS z FROM (
@@ -75,7 +75,7 @@ SOFT = f"""SELECT {BYS}, model_name, rmse, exp(z) / sum(exp(z)) OVER (PARTITION
 
 @query("softmax_rmse_weights", "series_id:i task:s period:s model_name:s rmse:d weight:d", SOFT)
 def _(t):
-    return fusion.softmax_rmse(t.panel, BY, POINT)
+    return fusion.softmax_rmse(t.stored_panel, BY, POINT)
 
 
 @query(
@@ -85,7 +85,7 @@ def _(t):
        SELECT DISTINCT series_id, 'explicit', m, w / 4 FROM panel, (VALUES ('view', 1.0::DOUBLE), ('click', 3.0)) v(m, w)""",
 )
 def _(t):
-    p = t.panel
+    p = t.stored_panel
     a = fusion.equal_weights(p, S).withColumn("kind", F.lit("equal"))
     return a.unionByName(fusion.explicit_weights({"view": 1.0, "click": 3.0}, p, S).withColumn("kind", F.lit("explicit")))
 
@@ -96,14 +96,14 @@ def _(t):
     "SELECT series_id, ds, 0.9 * coalesce(a, o) + (1 - 0.9::DOUBLE) * coalesce(o, a) AS y_fused FROM (SELECT series_id, ds, max(y_pred) FILTER (model_name = 'view') AS a, avg(y_pred) FILTER (model_name != 'view') AS o FROM panel GROUP BY ALL)",
 )
 def _(t):
-    return fusion.anchor_blend(t.panel, ["series_id", "ds"], "view")
+    return fusion.anchor_blend(t.stored_panel, ["series_id", "ds"], "view")
 
 
 RAW_W = f"rw AS (SELECT {BYS}, model_name, avg(y_pred - 40) / 20 AS weight FROM panel GROUP BY ALL)"
 
 
 def raw_weights(t):
-    return t.panel.groupBy(*BY, "model_name").agg((F.avg(F.col("y_pred") - 40) / 20).alias("weight"))
+    return t.stored_panel.groupBy(*BY, "model_name").agg((F.avg(F.col("y_pred") - 40) / 20).alias("weight"))
 
 
 @query(
@@ -129,7 +129,7 @@ def _(t):
     IMAE,
 )
 def _(t):
-    p = t.panel
+    p = t.stored_panel
     return fusion.fill_weights(fusion.inverse_mae(p, BY), p, BY, [*MODELS, "other"])
 
 
@@ -140,12 +140,12 @@ def _(t):
        {', '.join(f'coalesce(max(y_pred) FILTER (model_name = {chr(39)}{m}{chr(39)}), 0) AS {m}' for m in MODELS)} FROM panel GROUP BY ALL) GROUP BY ALL""",
 )
 def _(t):
-    g = solve.gram(fusion.wide_frame(t.panel, POINT, MODELS), BY, MODELS, fill=0.0)
+    g = solve.gram(fusion.wide_frame(t.stored_panel, POINT, MODELS), BY, MODELS, fill=0.0)
     return g.select(*BY, "n", F.col("g")[1].alias("g01"), F.col("g")[18].alias("g33"), F.col("b")[2].alias("b2"), "sy", "yy")
 
 
 def _solved(t, method, fill, **kw):
-    wide = fusion.wide_frame(t.panel, POINT, MODELS)
+    wide = fusion.wide_frame(t.stored_panel, POINT, MODELS)
     return solve.solve(solve.gram(wide, BY, MODELS, fill=fill), BY, MODELS, method, **kw)
 
 
@@ -161,7 +161,7 @@ for _name, _method, _kw in (
 
 @query("convex_smape_weights", "series_id:i task:s period:s model_name:s weight:d", None)
 def _(t):
-    wide = fusion.wide_frame(fusion.complete_points(t.panel, POINT, 3), POINT, MODELS).withColumns({m: F.coalesce(m, F.lit(0.0)) for m in MODELS})
+    wide = fusion.wide_frame(fusion.complete_points(t.stored_panel, POINT, 3), POINT, MODELS).withColumns({m: F.coalesce(m, F.lit(0.0)) for m in MODELS})
     return fusion.as_long(fusion.convex_search(wide, BY, MODELS), BY, MODELS)
 
 
@@ -179,12 +179,12 @@ ro AS (SELECT series_id, business_day, model_name, e, CASE WHEN days >= 5 AND n
     ROLL,
 )
 def _(t):
-    return fusion.rolling_weights(t.panel, S, MODELS, "softmax", window_days=10, min_history_days=10)
+    return fusion.rolling_weights(t.stored_panel, S, MODELS, "softmax", window_days=10, min_history_days=10)
 
 
 for _m, _a in (("convex", None), ("ridge", None), ("anchor", "view")):
     query(f"rolling_{_m}_weights", "series_id:i business_day:t model_name:s weight:d", None)(
-        lambda t, m=_m, a=_a: fusion.rolling_weights(t.panel, S, MODELS, m, window_days=10, anchor=a)
+        lambda t, m=_m, a=_a: fusion.rolling_weights(t.stored_panel, S, MODELS, m, window_days=10, anchor=a)
     )
 
 
@@ -198,7 +198,7 @@ for _m, _a in (("convex", None), ("ridge", None), ("anchor", "view")):
     ROLL,
 )
 def _(t):
-    p = t.panel
+    p = t.stored_panel
     w = fusion.rolling_weights(p, S, MODELS, "softmax", window_days=10)
     f = fusion.fuse(p, w, ["series_id", "business_day"], ["series_id", "business_day", "hour_business"], "zero")
     return metrics.with_overall(
@@ -219,7 +219,7 @@ gl AS (SELECT *, exp(-(max(target_day) OVER (PARTITION BY {BYS}) - target_day) /
     BG,
 )
 def _(t):
-    return learners.bgew(t.panel, BY, 3)
+    return learners.bgew(t.stored_panel, BY, 3)
 
 
 @query(
@@ -230,14 +230,14 @@ def _(t):
     BG,
 )
 def _(t):
-    return learners.bgew_trace(t.panel, BY, 3)
+    return learners.bgew_trace(t.stored_panel, BY, 3)
 
 
 TAP = """tp AS (SELECT *, exp(-ab / 3.0::DOUBLE) * exp(-(h - 1) / 2.0::DOUBLE) * exp(-a / 14.0::DOUBLE) * 0.9::DOUBLE AS g FROM (SELECT *, (30 - a) // 3 AS fid, 9 - (30 - a) // 3 AS ab, ((29 - a) % 3 + 3) % 3 + 1 AS h FROM (SELECT *, DATE '2024-01-31' - business_day AS a FROM panel) WHERE a BETWEEN 1 AND 30))"""
 
 
 def tap(t):
-    df = folds.assign_tap_folds(t.panel, "2024-01-31").withColumn("source_confidence", F.lit(0.9))
+    df = folds.assign_tap_folds(t.stored_panel, "2024-01-31").withColumn("source_confidence", F.lit(0.9))
     return df.withColumn("sample_gate", learners.sample_gate(df))
 
 
@@ -274,7 +274,7 @@ def _(t):
     f"{TAP}, {IMAE}",
 )
 def _(t):
-    w = fusion.inverse_mae(t.panel, BY).select(*BY, "model_name", "weight")
+    w = fusion.inverse_mae(t.stored_panel, BY).select(*BY, "model_name", "weight")
     return learners.shrink(tap(t), w, BY)
 
 
@@ -300,7 +300,7 @@ FEW = ["click", "purchase", "view"]
 
 
 def three(t):
-    return t.panel.where(F.col("model_name").isin(*FEW))
+    return t.stored_panel.where(F.col("model_name").isin(*FEW))
 
 
 @query(
@@ -355,7 +355,7 @@ RULE_EXPR = {
       JOIN dm d ON a.series_id = d.series_id AND a.task = d.task AND a.period = d.period AND a.target_day = d.target_day GROUP BY ALL)""",
 )
 def _(t):
-    p = t.panel
+    p = t.stored_panel
     w = fusion.inverse_mae(p, BY).where("model_name != 'signup' AND NOT (task = 'realtime' AND period = '1_8')")
     out = None
     for r in RULE_EXPR:
@@ -376,7 +376,7 @@ def _(t):
     IMAE,
 )
 def _(t):
-    p = t.panel
+    p = t.stored_panel
     w = fusion.inverse_mae(p, BY)
     mid = F.col("period") == "9_16"
     routing = p.select(*BY).distinct().select(
@@ -391,7 +391,7 @@ def _(t):
     "SELECT series_id, task, target_day, count(*) AS rows FROM (SELECT DISTINCT series_id, task, target_day, ds FROM panel) GROUP BY ALL HAVING count(*) != 24",
 )
 def _(t):
-    fused = fusion.mean_fusion(t.panel, POINT)
+    fused = fusion.mean_fusion(t.stored_panel, POINT)
     return learners.short_days(fused, ["series_id", "task", "target_day"])
 
 
@@ -413,7 +413,7 @@ TEMPL = "VALUES ('click', 0.7::DOUBLE, 0.0::DOUBLE), ('error', 0.1, 0.1), ('purc
     IMAE,
 )
 def _(t):
-    p = t.panel
+    p = t.stored_panel
     w = fusion.inverse_mae(p, BY).select(*BY, "model_name", "weight")
     cells = [("click", 0.7, 0.0), ("error", 0.1, 0.1), ("purchase", 0.1, 0.2), ("signup", 0.1, 0.2), ("view", 0.0, 0.5)]
     arr = F.array(*[F.struct(F.lit(m).alias("model_name"), F.lit(u).alias("up"), F.lit(d).alias("down")) for m, u, d in cells])
@@ -438,7 +438,7 @@ def _(t):
     f"{RAW_W}, {IMAE}",
 )
 def _(t):
-    return fusion.mix_router(fusion.inverse_mae(t.panel, BY).select(*BY, "model_name", "weight"), raw_weights(t), BY, 0.4)
+    return fusion.mix_router(fusion.inverse_mae(t.stored_panel, BY).select(*BY, "model_name", "weight"), raw_weights(t), BY, 0.4)
 
 
 AFF = [(s, b) for s in fusion.SCALES for b in fusion.BIASES]
@@ -452,7 +452,7 @@ AFF = [(s, b) for s in fusion.SCALES for b in fusion.BIASES]
     f"{IMAE}, {FUSED}",
 )
 def _(t):
-    p = t.panel
+    p = t.stored_panel
     return fusion.affine_search(fusion.fuse(p, fusion.inverse_mae(p, BY), BY, POINT), BY)
 
 
@@ -464,7 +464,7 @@ def _(t):
        LEFT JOIN (SELECT series_id, ds, y_true - y_pred AS v FROM panel WHERE model_name = 'error') r ON p.series_id = r.series_id AND p.ds = r.ds""",
 )
 def _(t):
-    p = t.panel
+    p = t.stored_panel
     base, alt = p.where("model_name = 'view'"), p.where("model_name = 'click'")
     out = fusion.override_segment(base, alt, ["series_id", "ds"], "realtime")
     res = p.where("model_name = 'error'").select("series_id", "ds", (F.col("y_true") - F.col("y_pred")).alias("residual"))
@@ -513,7 +513,7 @@ def _(t):
     "SELECT series_id, ds, CASE WHEN period = '1_8' THEN NULL ELSE period END AS period, avg(y_pred) AS y_pred, count(*) AS runs FROM panel GROUP BY ALL",
 )
 def _(t):
-    df = t.panel.withColumn("period", F.when(F.col("period") != "1_8", F.col("period")))
+    df = t.stored_panel.withColumn("period", F.when(F.col("period") != "1_8", F.col("period")))
     return fusion.multi_run_mean(df, ["series_id", "ds", "period"])
 
 
@@ -527,7 +527,7 @@ def _(t):
 )
 def _(t):
     truth = joins.truth_frame(t.market, {"dayahead": "rt", "realtime": "rt"}, S)
-    return fusion.backtest(t.panel, S, "2024-01-21", truth)[1]
+    return fusion.backtest(t.stored_panel, S, "2024-01-21", truth)[1]
 
 
 @query(
@@ -538,7 +538,7 @@ def _(t):
     f"{IMAE}, {FUSED}",
 )
 def _(t):
-    p = t.panel
+    p = t.stored_panel
     return learners.modes_report({"weights": fusion.fuse(p, fusion.inverse_mae(p, BY), BY, POINT), "mean": fusion.mean_fusion(p, POINT)}, S)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,10 +34,30 @@ def read_csv(
     if encoding is None:
         head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 65536).alias("head")).first()
         encoding = probe_encoding(bytes(head["head"])) if head else ENCODINGS[0]
-    reader = spark.read.option("header", True).option("encoding", encoding)
-    reader = reader.option("mode", "DROPMALFORMED" if skip_bad_lines else "PERMISSIVE")
+    reader = spark.read.option("header", True).option("mode", "DROPMALFORMED" if skip_bad_lines else "PERMISSIVE")
+    if encoding.lower() in NATIVE_ENCODINGS:
+        reader = reader.option("encoding", encoding)
+    else:
+        # Single-byte read keeps every byte; no byte of a multi-byte character is a comma, quote or line end.
+        reader = reader.option("encoding", "ISO-8859-1").option("escape", '"')
     df = reader.schema(schema).csv(path) if schema else reader.csv(path)
-    return df.withColumnsRenamed({c: c.lstrip("﻿") for c in df.columns if c.startswith("﻿")})
+    if encoding.lower() not in NATIVE_ENCODINGS:
+        df = _decode_text(df, encoding)
+    return df.withColumnsRenamed({c: c.lstrip("\ufeff") for c in df.columns if c.startswith("\ufeff")})
+
+
+NATIVE_ENCODINGS = ("utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32")
+
+
+def _decode_text(df: DataFrame, encoding: str) -> DataFrame:
+    """Turn single-byte text back into its bytes and decode them, in Arrow batches."""
+    @F.pandas_udf("string")
+    def decode(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: v if v is None else v.encode("iso-8859-1").decode(encoding, "replace"))
+
+    names = {c: c.encode("iso-8859-1", "ignore").decode(encoding, "replace") for c in df.columns}
+    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    return df.withColumns({c: decode(F.col(f"`{c}`")) for c in text}).withColumnsRenamed(names)
 
 
 def probe_encoding(head: bytes) -> str:
