@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..functions.numeric import as_col, clip, flag, mean_of
+from ..session import materialise
 from . import quantile, rowblocks
 from .rowblocks import RowBlocks, lag, lead, rolling
 
@@ -377,7 +378,8 @@ def past_windows(
     too little history drop out. ``pos`` runs from 0 (oldest).
     """
     keys = list(series)
-    rows = rowblocks.with_row_index(df.select(*keys, "ds", *columns), keys, ["ds"], F.to_date("ds"), "_i")
+    rows = rowblocks.with_row_index(df.select(*keys, "ds", *columns), keys, ["ds"], F.to_date("ds"), "_i", staged=True)
+    rows = materialise(rows, "indexed")
     rows = rows.withColumn("_b", F.floor(F.col("_i") / seq_len))
     # Position of the cutoff row: the last index on or before the cutoff, found per calendar day and carried on.
     ends = rows.groupBy(*keys, F.to_date("ds").alias("_d")).agg(

@@ -93,7 +93,7 @@ def assign_tap_folds(df: DataFrame, predict_date: Column | str, day: str = "busi
 
 def chronological_split(df: DataFrame, series: Sequence[str], ratio: float = 0.2, min_rows: int = 168) -> DataFrame:
     """``part`` = train or val: the last rows of each series, at least ``min_rows``, never all."""
-    out = rowblocks.with_row_index(df, series, ["ds"], F.to_date("ds"), "_i", total="_n")
+    out = rowblocks.with_row_index(df, series, ["ds"], F.to_date("ds"), "_i", total="_n", staged=True)
     val = F.least(F.greatest(F.floor(F.col("_n") * ratio), F.lit(min_rows)), F.greatest(F.col("_n") - 1, F.lit(1)))
     return out.withColumn("part", F.when(F.col("_i") < F.col("_n") - val, "train").otherwise("val")).drop("_i", "_n")
 
@@ -113,7 +113,7 @@ def month_split(df: DataFrame, val_month: str, day: str = "business_day") -> Dat
 
 def contiguous_folds(df: DataFrame, series: Sequence[str], k: int = 5) -> DataFrame:
     """``fold`` 0..k-1 in time order, the first n mod k folds one row longer; no global sort."""
-    out = rowblocks.with_row_index(df, series, ["ds"], F.to_date("ds"), "_i", total="_n")
+    out = rowblocks.with_row_index(df, series, ["ds"], F.to_date("ds"), "_i", total="_n", staged=True)
     q, r = F.floor(F.col("_n") / k), F.col("_n") % k
     head = r * (q + 1)
     fold = F.when(F.col("_i") < head, F.floor(F.col("_i") / (q + 1))).otherwise(

@@ -383,8 +383,8 @@ def convex_search(
             rows.join(best.select(*by, "_prior", cands.alias("_cs")), by)
             .select(*rows.columns, "_prior", F.posexplode("_cs").alias("_i", "_w"))
             .withColumn("_f", F.aggregate(F.zip_with("_w", "_x", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v))
-            .groupBy(*by, "_i", "_w", "_prior")
-            .agg(scores.weighted_mean(_loss(loss, F.col("y_true"), F.col("_f")), F.col("_gate")).alias("_l"))
+            .groupBy(*by, "_i")
+            .agg(F.first("_w").alias("_w"), F.first("_prior").alias("_prior"), scores.weighted_mean(_loss(loss, F.col("y_true"), F.col("_f")), F.col("_gate")).alias("_l"))
         )
         pull = F.aggregate(F.zip_with("_w", "_prior", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)
         scored = scored.withColumn("_o", F.col("_l") + reg * pull)

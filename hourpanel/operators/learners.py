@@ -293,7 +293,7 @@ def time_folds(wide: DataFrame, by: Sequence[str], k: int = 3) -> DataFrame:
     """
     from . import rowblocks
 
-    out = rowblocks.with_row_index(wide, list(by), ["ds"], F.to_date("ds"), "_i", total="_n")
+    out = rowblocks.with_row_index(wide, list(by), ["ds"], F.to_date("ds"), "_i", total="_n", staged=True)
     size = F.greatest(F.floor(F.col("_n") / (k + 1)), F.lit(1))
     fold = F.greatest(F.floor((F.col("_i") - (F.col("_n") - k * size)) / size) + 1, F.lit(0))
     return out.withColumn("fold", fold.cast("int")).drop("_i", "_n")

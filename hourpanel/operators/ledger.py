@@ -91,12 +91,13 @@ def build_rows(
     preds = fc.groupBy(*key, "model_name").agg(
         F.min(_first_value(fc, ("y_pred", "pred", "prediction", "y"))).alias("y_pred")
     )
-    models = fc.groupBy(*series).agg(F.collect_set("model_name").alias("_models"))
     hours = keyed(final).na.drop(subset=["forecast_date", "hour_business"]).select(*key).distinct()
     if series:
+        models = fc.groupBy(*series).agg(F.collect_set("model_name").alias("_models"))
         spine = hours.join(models, list(series))
     else:
-        spine = hours.join(models.hint("broadcast"))  # one row: the set of model names
+        names = [r[0] for r in fc.select("model_name").distinct().collect()]  # a handful of model names
+        spine = hours.withColumn("_models", F.array(*[F.lit(n) for n in names]))
     rows = spine.select(*key, F.explode("_models").alias("model_name")).join(preds, [*key, "model_name"], "left")
     for df, names, out in (
         (fused, ("y_pred", "y_fused"), "base_fused_pred"),

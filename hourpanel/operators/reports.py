@@ -392,11 +392,10 @@ FAMILY_KEEP, FAMILY_RETRY = -2.0, -0.5
 
 def family_board(board: DataFrame, by: Sequence[str], metric: str, baseline: str = "baseline") -> DataFrame:
     """Best non-baseline per family with its decision against the baseline."""
-    base = board.where(F.col("name") == baseline).groupBy(*by).agg(F.min(metric).alias("_base"))
+    part = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))  # a board has one row per run
+    board = board.withColumn("_base", F.min(F.when(F.col("name") == baseline, F.col(metric))).over(part))
     best = dedupe.keep_one(board.where(F.col("name") != baseline), [*by, "family"], [metric, "name"])
-    delta = F.col(metric) - F.col("_base")
-    joined = best.join(base, list(by)) if by else best.join(base.hint("broadcast"))
-    return joined.withColumn("delta", delta).withColumn(
+    return best.withColumn("delta", F.col(metric) - F.col("_base")).withColumn(
         "decision", F.when(F.col("delta") <= FAMILY_KEEP, "KEEP").when(F.col("delta") <= FAMILY_RETRY, "RETRY").otherwise("REJECT")
     ).drop("_base")
 

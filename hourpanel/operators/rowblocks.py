@@ -30,6 +30,7 @@ def with_row_index(
     bucket: Column,
     name: str = IDX,
     total: str | None = None,
+    staged: bool = False,
 ) -> DataFrame:
     """0-based position of each row in its series, without sorting a series in one task.
 
@@ -38,6 +39,8 @@ def with_row_index(
     over the small bucket table, and rows numbered inside their bucket only.
     """
     keys = list(keys)
+    if staged:  # read twice below
+        df = materialise(df, "index")
     tagged = df.withColumn(BKT, bucket)
     sizes = tagged.groupBy(*keys, BKT).agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy(BKT).rowsBetween(W.unboundedPreceding, -1)

@@ -102,7 +102,7 @@ def _(t):
 
 
 def external(t):
-    return t.panel.select(
+    return t.stored_panel.select(
         "series_id", "model_name", F.col("target_day"), F.when(F.col("hour_business") == 24, 0).otherwise(F.col("hour_business")).alias("hour_business"), "ds",
         F.col("y_pred").cast("string").alias("y_pred"), F.when(F.col("n") > 5, "DA").when(F.col("n") > 4, "bad").otherwise("rt").alias("prediction_mode"),
         F.when(F.col("n") == 6, "no").otherwise(" TRUE").alias("leakage_safe"),
@@ -263,9 +263,9 @@ def _(t):
        UNION ALL SELECT 'months', count(*) FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1998-03-01' UNION ALL SELECT 'midday', count(*) FROM market WHERE period = '9_16'""",
 )
 def _(t):
-    a = normalize.between_times(t.market, "2024-01-05 00:00:00", "2024-01-07 12:00:00").agg(F.lit("between").alias("kind"), F.count(F.lit(1)).alias("rows"))
+    a = normalize.between_times(t.stored_market, "2024-01-05 00:00:00", "2024-01-07 12:00:00").agg(F.lit("between").alias("kind"), F.count(F.lit(1)).alias("rows"))
     b = normalize.months_back(t.table("orders"), "1998-03-01 00:00:00", 2, "o_orderdate").agg(F.lit("months").alias("kind"), F.count(F.lit(1)).alias("rows"))
-    c = t.market.where(F.col("period") == "9_16").agg(F.lit("midday").alias("kind"), F.count(F.lit(1)).alias("rows"))
+    c = t.stored_market.where(F.col("period") == "9_16").agg(F.lit("midday").alias("kind"), F.count(F.lit(1)).alias("rows"))
     return a.unionByName(b).unionByName(c)
 
 
@@ -286,7 +286,7 @@ def _(t):
     "SELECT series_id, hour_business, arg_min(model_name, (ds, model_name)) AS first_model, arg_max(model_name, (ds, model_name)) AS last_model FROM panel GROUP BY ALL",
 )
 def _(t):
-    p = t.panel.select("series_id", "hour_business", "ds", "model_name")
+    p = t.stored_panel.select("series_id", "hour_business", "ds", "model_name")
     a = dedupe.keep_one(p, ["series_id", "hour_business"], ["ds", "model_name"]).select("series_id", "hour_business", F.col("model_name").alias("first_model"))
     b = dedupe.keep_one(p, ["series_id", "hour_business"], ["ds", "model_name"], last=True).select("series_id", "hour_business", F.col("model_name").alias("last_model"))
     return a.join(b, ["series_id", "hour_business"])
@@ -296,7 +296,7 @@ LED = """lg0 AS (SELECT series_id, business_day AS forecast_date, hour_business,
 
 
 def ledger_rows(t):
-    return t.panel.select("series_id", F.col("business_day").alias("run_date"), F.col("business_day").alias("forecast_date"), "hour_business", F.col("task").alias("target"), "model_name", "y_pred", "n", "ds", "period")
+    return t.stored_panel.select("series_id", F.col("business_day").alias("run_date"), F.col("business_day").alias("forecast_date"), "hour_business", F.col("task").alias("target"), "model_name", "y_pred", "n", "ds", "period")
 
 
 @query(
@@ -329,7 +329,7 @@ def _(t):
        LEFT JOIN (SELECT series_id, ds, avg(y_pred) AS fu FROM panel GROUP BY ALL) f ON f.series_id = h.series_id AND f.ds = h.ds""",
 )
 def _(t):
-    p, m = t.panel, t.market
+    p, m = t.stored_panel, t.stored_market
     fused = p.groupBy("series_id", "business_day", "hour_business").agg(F.avg("y_pred").alias("y_fused"))
     final = m.select("series_id", "business_day", "hour_business", F.col("da").alias("final_pred"))
     corrected = m.where("period = '9_16'").select("series_id", "business_day", "hour_business", F.col("da").alias("y_fused_corrected"))
@@ -364,7 +364,7 @@ def _(t):
     "SELECT series_id, ds, CASE WHEN ds >= TIMESTAMP '2024-01-10' THEN high_spike_prob + 1 ELSE high_spike_prob END AS p FROM market",
 )
 def _(t):
-    m = t.market.select("series_id", "ds", F.col("high_spike_prob").alias("p"))
+    m = t.stored_market.select("series_id", "ds", F.col("high_spike_prob").alias("p"))
     old = m.where(F.col("ds") < F.lit("2024-01-20").cast("timestamp_ntz"))
     new = m.where(F.col("ds") >= F.lit("2024-01-10").cast("timestamp_ntz")).withColumn("p", F.col("p") + 1)
     return dedupe.merge_cache(old, new, ["series_id", "ds"])
@@ -376,7 +376,7 @@ def _(t):
     "SELECT s.series_id, h AS ds FROM (SELECT DISTINCT series_id FROM market) s, (SELECT unnest(generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-20', INTERVAL 1 HOUR)) AS h) g WHERE NOT EXISTS (SELECT 1 FROM market m WHERE m.series_id = s.series_id AND m.ds = h)",
 )
 def _(t):
-    return dedupe.missing_hours(t.market, S, "2024-01-02 00:00:00", "2024-01-20 00:00:00")
+    return dedupe.missing_hours(t.stored_market, S, "2024-01-02 00:00:00", "2024-01-20 00:00:00")
 
 
 @query(
@@ -394,7 +394,7 @@ def _(t):
     "SELECT p.series_id, p.ds, model_name, CASE WHEN task = 'dayahead' THEN da ELSE rt END AS y_true FROM panel p JOIN market m ON p.series_id = m.series_id AND p.ds = m.ds",
 )
 def _(t):
-    return joins.overwrite_truth(t.panel, joins.truth_frame(t.market, {"dayahead": "da", "realtime": "rt"}, S), S)
+    return joins.overwrite_truth(t.stored_panel, joins.truth_frame(t.stored_market, {"dayahead": "da", "realtime": "rt"}, S), S)
 
 
 @query(
@@ -404,8 +404,8 @@ def _(t):
        FROM (SELECT *, CASE WHEN n > 1 THEN y_true END AS y FROM panel) p LEFT JOIN market m ON p.series_id = m.series_id AND p.ds = m.ds AND m.hour_business NOT IN (3, 4) GROUP BY ALL""",
 )
 def _(t):
-    pred = t.panel.withColumn("y_true", F.when(F.col("n") > 1, F.col("y_true")))
-    truth = t.market.where(~F.col("hour_business").isin(3, 4)).select("series_id", "business_day", "hour_business", F.col("rt").alias("y_true"))
+    pred = t.stored_panel.withColumn("y_true", F.when(F.col("n") > 1, F.col("y_true")))
+    truth = t.stored_market.where(~F.col("hour_business").isin(3, 4)).select("series_id", "business_day", "hour_business", F.col("rt").alias("y_true"))
     filled = joins.fill_truth(pred, truth, ["series_id", "business_day", "hour_business"])
     sums = filled.groupBy("series_id", "model_name").agg(F.sum("y_true").alias("y_sum"))
     return joins.truth_coverage(filled, ["series_id", "model_name"]).join(sums, ["series_id", "model_name"])
@@ -417,8 +417,8 @@ def _(t):
     "SELECT p.series_id, p.ds, model_name, p.period, m.period AS period_right, high_spike_prob FROM panel p LEFT JOIN (SELECT * FROM market WHERE hour_business < 20) m ON p.series_id = m.series_id AND p.ds = m.ds",
 )
 def _(t):
-    side = t.market.where("hour_business < 20").select("series_id", "ds", "period", "high_spike_prob")
-    return joins.attach(t.panel.select("series_id", "ds", "model_name", "period"), side, ["series_id", "ds"])
+    side = t.stored_market.where("hour_business < 20").select("series_id", "ds", "period", "high_spike_prob")
+    return joins.attach(t.stored_panel.select("series_id", "ds", "model_name", "period"), side, ["series_id", "ds"])
 
 
 @query(
@@ -427,7 +427,7 @@ def _(t):
     "SELECT coalesce(a.series_id, b.series_id) AS series_id, coalesce(a.ds, b.ds) AS ds, a.y_pred AS y_pred_da, b.y_pred AS y_pred_rt FROM (SELECT * FROM panel WHERE model_name = 'view') a FULL JOIN (SELECT * FROM panel WHERE model_name = 'click') b ON a.series_id = b.series_id AND a.ds = b.ds",
 )
 def _(t):
-    p = t.panel
+    p = t.stored_panel
     return joins.price_pair(p.where("model_name = 'view'"), p.where("model_name = 'click'"), ["series_id", "ds"], ["y_pred"], "full")
 
 
@@ -437,7 +437,7 @@ def _(t):
     "SELECT series_id, ds, CASE WHEN high_spike_prob < 0.05 AND da <= 100 THEN -80 ELSE da END AS y_fused_corrected FROM market",
 )
 def _(t):
-    m = t.market
+    m = t.stored_market
     clf = m.where("hour_business > 0").select("series_id", "ds", F.when(F.col("high_spike_prob") < 0.05, 1).otherwise(0).alias("final_pred"))
     return joins.merge_classifier(m.select("series_id", "ds", F.col("da").alias("y_fused")), clf, ["series_id", "ds"])
 
@@ -450,7 +450,7 @@ def _(t):
        JOIN (SELECT p.series_id AS sid, count(*) AS al FROM panel p JOIN (SELECT series_id, ds FROM panel WHERE model_name = 'view') v ON p.series_id = v.series_id AND p.ds = v.ds WHERE model_name = 'click' GROUP BY ALL) y ON x.series_id = y.sid GROUP BY ALL""",
 )
 def _(t):
-    p = t.panel
+    p = t.stored_panel
     a, b = p.where("model_name = 'view'"), p.where("model_name = 'click'")
     g = joins.key_sides(a, b, ["series_id", "ds"]).groupBy("series_id", "status").agg(F.count(F.lit(1)).alias("keys"))
     al = joins.align_pack(a, b, ["series_id", "ds"]).groupBy("series_id").agg(F.count(F.lit(1)).alias("aligned"))
@@ -463,8 +463,8 @@ def _(t):
     "SELECT m.series_id, m.ds, CASE WHEN p.y_pred IS NOT NULL AND m.ds > TIMESTAMP '2024-01-15 10:00:00' THEN p.y_pred ELSE da END AS da FROM market m LEFT JOIN (SELECT * FROM panel WHERE model_name = 'view') p ON m.series_id = p.series_id AND m.ds = p.ds",
 )
 def _(t):
-    ext = t.panel.where("model_name = 'view'").select("series_id", "ds", "y_pred")
-    return joins.inject(t.market, ext, ["series_id", "ds"], "da", F.col("ds") > F.lit("2024-01-15 10:00:00").cast("timestamp_ntz"))
+    ext = t.stored_panel.where("model_name = 'view'").select("series_id", "ds", "y_pred")
+    return joins.inject(t.stored_market, ext, ["series_id", "ds"], "da", F.col("ds") > F.lit("2024-01-15 10:00:00").cast("timestamp_ntz"))
 
 
 @query(
@@ -474,7 +474,7 @@ def _(t):
        LEFT JOIN market a ON a.series_id = m.series_id AND a.ds = m.ds - INTERVAL 1 DAY LEFT JOIN market b ON b.series_id = m.series_id AND b.ds = m.ds - INTERVAL 7 DAY LEFT JOIN market c ON c.series_id = m.series_id AND c.ds = m.ds - INTERVAL 14 DAY""",
 )
 def _(t):
-    return joins.lag_blend(t.market, S, "rt", {1: 0.60, 7: 0.25, 14: 0.15}, fallback="da")
+    return joins.lag_blend(t.stored_market, S, "rt", {1: 0.60, 7: 0.25, 14: 0.15}, fallback="da")
 
 
 @query(
@@ -485,8 +485,8 @@ def _(t):
 def _(t):
     from ..functions import scores
 
-    pred = tables.ensure_prediction_frame(t.panel.select("series_id", F.col("ds").alias("timestamp"), F.col("y_pred").alias("prediction")))
-    j = pred.join(t.market.select("series_id", "ds", "rt"), ["series_id", "ds"])
+    pred = tables.ensure_prediction_frame(t.stored_panel.select("series_id", F.col("ds").alias("timestamp"), F.col("y_pred").alias("prediction")))
+    j = pred.join(t.stored_market.select("series_id", "ds", "rt"), ["series_id", "ds"])
     return j.groupBy("series_id").agg(
         F.count(F.lit(1)).alias("rows"), scores.smape("eval_raw", "rt", "y_pred").alias("smape_raw"), scores.smape("eval_clip50", "rt", "y_pred").alias("smape_clip"), scores.mae("rt", "y_pred").alias("mae")
     )
@@ -499,10 +499,10 @@ def _(t):
        SELECT d, CAST(n > 300 AS INT) AS holiday, last_value(CASE WHEN day(d) % 7 = 1 THEN 'term' || day(d) END IGNORE NULLS) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS term FROM (SELECT business_day AS d, count(*) AS n FROM panel GROUP BY ALL)) c ON c.d = m.business_day""",
 )
 def _(t):
-    cal = t.panel.groupBy("business_day").agg(F.count(F.lit(1)).alias("n"))
+    cal = t.stored_panel.groupBy("business_day").agg(F.count(F.lit(1)).alias("n"))
     d = F.dayofmonth("business_day")
     cal = cal.select("business_day", (F.col("n") > 300).cast("int").alias("holiday"), F.when(d % 7 == 1, F.concat(F.lit("term"), d.cast("string"))).alias("term"))
-    return joins.calendar_days(t.market, cal, carry=["term"])
+    return joins.calendar_days(t.stored_market, cal, carry=["term"])
 
 
 @query(
@@ -512,8 +512,8 @@ def _(t):
        FULL JOIN (SELECT * FROM panel WHERE model_name = 'click') b ON a.series_id = b.series_id AND a.ds = b.ds LEFT JOIN (SELECT * FROM market WHERE period = '9_16') m ON m.series_id = coalesce(a.series_id, b.series_id) AND m.ds = coalesce(a.ds, b.ds)""",
 )
 def _(t):
-    p = t.panel.withColumnRenamed("y_pred", "y_fused")
-    corr = t.market.where("period = '9_16'").select("series_id", "ds", F.col("da").alias("y_fused_corrected"))
+    p = t.stored_panel.withColumnRenamed("y_pred", "y_fused")
+    corr = t.stored_market.where("period = '9_16'").select("series_id", "ds", F.col("da").alias("y_fused_corrected"))
     return joins.submission(p.where("model_name = 'view'"), p.where("model_name = 'click'"), corr, ["series_id", "ds"])
 
 
@@ -539,7 +539,7 @@ def _(t):
        UNION ALL SELECT series_id, 'zero_shot', 'realtime', business_day, ds, period, hour_business, rt, da + 3 FROM market""",
 )
 def _(t):
-    m = t.market
+    m = t.stored_market
     day, hour = F.col("business_day"), F.col("hour_business")
     truth = joins.truth_frame(m, {"dayahead": "da", "realtime": "rt"}, S)
     raw = {
@@ -582,7 +582,7 @@ def _(t):
        min(ds) <= TIMESTAMP '2024-01-02 01:00:00' AND max(ds) >= TIMESTAMP '2024-01-30 00:00:00' AS covers FROM market GROUP BY ALL""",
 )
 def _(t):
-    m = t.market
+    m = t.stored_market
     return tables.data_coverage(m, S).join(tables.covers_range(m, "2024-01-02", "2024-01-29", S).select("series_id", "covers"), "series_id")
 
 
@@ -647,7 +647,7 @@ def _(t):
        LEFT JOIN (SELECT DISTINCT series_id, task, period, n >= 3 AS k FROM panel WHERE NOT (task = 'dayahead' AND period = '1_8') AND n BETWEEN 2 AND 3) r ON r.series_id = s.series_id AND r.task = ta AND r.period = pe GROUP BY ALL) s""",
 )
 def _(t):
-    r = t.panel.where("NOT (task = 'dayahead' AND period = '1_8') AND n BETWEEN 2 AND 3").select(*BY, (F.col("n") >= 3).alias("k")).distinct()
+    r = t.stored_panel.where("NOT (task = 'dayahead' AND period = '1_8') AND n BETWEEN 2 AND 3").select(*BY, (F.col("n") >= 3).alias("k")).distinct()
     return checks.routing_checks(r, S)
 
 
@@ -657,7 +657,7 @@ def _(t):
     "SELECT m.series_id, a = b AS passed, CAST(a - b AS DOUBLE) AS bad FROM (SELECT series_id, count(*) AS a FROM market GROUP BY ALL) m JOIN (SELECT series_id, count(*) AS b FROM panel GROUP BY ALL) p ON m.series_id = p.series_id",
 )
 def _(t):
-    return checks.row_count_match(t.market, t.panel, S)
+    return checks.row_count_match(t.stored_market, t.stored_panel, S)
 
 
 @query(
@@ -666,7 +666,7 @@ def _(t):
     "SELECT a.series_id, a.task, model_name, count(*) = any_value(al) AS passed, CAST(any_value(al) - count(*) AS DOUBLE) AS bad FROM panel a JOIN (SELECT series_id, task, count(DISTINCT ds) AS al FROM panel GROUP BY ALL) b ON a.series_id = b.series_id AND a.task = b.task GROUP BY ALL",
 )
 def _(t):
-    return checks.model_alignment(t.panel, ["series_id", "task"])
+    return checks.model_alignment(t.stored_panel, ["series_id", "task"])
 
 
 @query(
@@ -677,7 +677,7 @@ def _(t):
          FROM panel WHERE business_day >= DATE '2024-01-01' GROUP BY ALL) GROUP BY ALL)""",
 )
 def _(t):
-    return checks.tap_checks(folds.assign_tap_folds(t.panel, "2024-01-31"), "2024-01-31", S)
+    return checks.tap_checks(folds.assign_tap_folds(t.stored_panel, "2024-01-31"), "2024-01-31", S)
 
 
 @query(
@@ -687,7 +687,7 @@ def _(t):
        (SELECT DISTINCT series_id, task FROM panel) s CROSS JOIN (VALUES ('view'), ('click'), ('other')) v(m) LEFT JOIN panel p ON p.series_id = s.series_id AND p.task = s.task AND p.model_name = m GROUP BY ALL)""",
 )
 def _(t):
-    p = t.panel.withColumn("y_true", F.when(F.col("n") != 4, F.col("y_true")))
+    p = t.stored_panel.withColumn("y_true", F.when(F.col("n") != 4, F.col("y_true")))
     return checks.model_completeness(p, ["series_id", "task"], ["view", "click", "other"], 200)
 
 
@@ -732,5 +732,5 @@ def _(t):
     c.register("floor", lambda d: d.withColumn("da", F.greatest("da", F.lit(0.0))))
     m = plugins.Monitors()
     m.register("level", lambda d: reports.long_metrics(d.groupBy("series_id").agg(F.avg("da").alias("mean"), F.count(F.lit(1)).alias("rows")), S, ["mean", "rows"]))
-    half = t.market
+    half = t.stored_market
     return plugins.run_pipeline([half.where("hour_business <= 12"), half.where("hour_business > 12")], c, m)[1]

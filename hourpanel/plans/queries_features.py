@@ -193,7 +193,7 @@ def _(t):
        WINDOW w AS (PARTITION BY series_id ORDER BY business_day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) d ON m.series_id = d.series_id AND m.business_day = d.business_day""",
 )
 def _(t):
-    return features.morning_stats(t.market, ["series_id"], "rt")
+    return features.morning_stats(t.stored_market, ["series_id"], "rt")
 
 
 def both0(c):
@@ -238,7 +238,7 @@ def _(t):
          ON m.series_id = p.series_id AND m.period = p.period""",
 )
 def _(t):
-    m = t.market.withColumns({"base_fused_pred": F.col("da"), "y_true": F.col("rt")})
+    m = t.stored_market.withColumns({"base_fused_pred": F.col("da"), "y_true": F.col("rt")})
     return features.low_price_rates(m, m.where(F.col("business_day") <= F.lit("2024-01-20").cast("date")), ["series_id"])
 
 
@@ -277,7 +277,7 @@ def _(t):
        ON m.series_id = k.series_id AND m.ds >= k.f GROUP BY ALL""",
 )
 def _(t):
-    m = t.market.withColumn("v", F.when(F.col("high_spike_prob") > 0.2, F.col("rt")))
+    m = t.stored_market.withColumn("v", F.when(F.col("high_spike_prob") > 0.2, F.col("rt")))
     return features.strip_leading_nulls(m, ["series_id"], "v").groupBy("series_id").agg(F.count(F.lit(1)).alias("rows"), F.min("ds").alias("first_ds"))
 
 
@@ -297,7 +297,7 @@ def _(t):
          count(*) OVER (PARTITION BY m.series_id, d.business_day) AS c FROM market m JOIN days d ON m.series_id = d.series_id AND m.ds <= CAST(d.business_day AS TIMESTAMP) - INTERVAL 10 HOUR) WHERE r <= 200 AND c >= 200)""",
 )
 def _(t):
-    m = t.market
+    m = t.stored_market
     days = features.complete_days(m, ["series_id"])
     win = features.past_windows(m, ["series_id"], days, ["rt", "load_forecast", "wind_forecast", "solar_forecast"], 200, 14)
     f = features.window_features(win, ["series_id"], "rt", "load_forecast", "wind_forecast", "solar_forecast")
@@ -318,7 +318,7 @@ def _(t):
     "days AS (SELECT series_id, business_day FROM market GROUP BY ALL HAVING count(DISTINCT hour_business) = 24)",
 )
 def _(t):
-    m = t.market
+    m = t.stored_market
     days = features.complete_days(m, ["series_id"])
     seq = features.as_sequences(features.past_windows(m, ["series_id"], days, ["rt"], 48, 14), ["series_id"], ["rt"])
     return seq.select("series_id", "target_day", F.size("past").alias("length"), F.col("past")[0]["rt"].alias("oldest"), F.element_at("past", -1)["rt"].alias("newest"))
@@ -333,7 +333,7 @@ def _(t):
     "days AS (SELECT series_id, business_day FROM market GROUP BY ALL HAVING count(DISTINCT hour_business) = 24)",
 )
 def _(t):
-    return features.future_rows(t.market, ["series_id"], features.complete_days(t.market, ["series_id"]))
+    return features.future_rows(t.stored_market, ["series_id"], features.complete_days(t.stored_market, ["series_id"]))
 
 
 @query(
@@ -357,7 +357,7 @@ def _(t):
        LEFT JOIN (SELECT series_id, period, median(rt - da) AS q FROM market WHERE hour_business > 10 GROUP BY ALL) b ON m.series_id = b.series_id AND m.period = b.period GROUP BY ALL""",
 )
 def _(t):
-    m = t.market
+    m = t.stored_market
     bias = asof.fill_bias(m.withColumn("delta_target", F.col("rt") - F.col("da")), 10, ["series_id", "period"])
     days = m.where(F.col("business_day") >= F.lit("2024-01-20").cast("date")).select("series_id", "business_day").distinct()
     v = asof.visible_frame(m, days, 10, ["series_id"], 3, pairs={"load_actual": "load_forecast"}, bias=bias, bias_keys=["series_id", "period"])
@@ -372,7 +372,7 @@ def _(t):
     "SELECT series_id, period, median(rt - da) AS fill_bias FROM market WHERE hour_business > 10 GROUP BY ALL",
 )
 def _(t):
-    return asof.fill_bias(t.market.withColumn("delta_target", F.col("rt") - F.col("da")), 10, ["series_id", "period"])
+    return asof.fill_bias(t.stored_market.withColumn("delta_target", F.col("rt") - F.col("da")), 10, ["series_id", "period"])
 
 
 @query(
@@ -386,7 +386,8 @@ def _(t):
 def _(t):
     f = folds.month_folds(t.spark, "1997-04", "1997-12", "1997-01-01", expanding=False)
     daily = t.table("orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    tested = daily.join(f.hint("broadcast"), (F.col("day") >= F.col("train_start")) & (F.col("day") <= F.col("test_end")))
+    spread = f.withColumn("day", F.explode(F.sequence("train_start", "test_end")))  # days of a fold, so the join is on equality
+    tested = daily.join(spread, "day")
     hit = F.col("day") >= F.col("test_start")
     return tested.groupBy(*f.columns).agg(
         F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("orders"), F.sum(F.when(~hit, F.col("n")).otherwise(0)).alias("train_orders")
@@ -404,7 +405,7 @@ TAPF = """fd AS (SELECT s.series_id, i AS tap_fold_id, 9 - i AS age_block, CAST(
     TAPF,
 )
 def _(t):
-    p = t.panel
+    p = t.stored_panel
     days = p.groupBy("series_id").agg(F.date_add(F.max("business_day"), 1).alias("predict_date"))
     spec = folds.tap_folds(days)
     rows = folds.assign_tap_folds(p.join(days, "series_id"), F.col("predict_date")).groupBy("series_id", "tap_fold_id").agg(F.count(F.lit(1)).alias("rows"))

@@ -29,7 +29,7 @@ FUSED = f"""fu AS (SELECT {', '.join('a.' + c.strip() for c in PTS.split(','))},
     f"{IMAE}, {FUSED}",
 )
 def _(t):
-    p = t.panel
+    p = t.stored_panel
     fused = fusion.fuse(p, fusion.inverse_mae(p, BY), BY, POINT)
     return metrics.with_overall(fused, ["series_id", "task"], "period", metrics.standard_aggs("y_true", "y_fused"))
 
@@ -526,7 +526,7 @@ def _(t):
        WHERE target_day >= DATE '2024-01-21' GROUP BY ALL""",
 )
 def _(t):
-    truth = joins.truth_frame(t.market, {"dayahead": "rt", "realtime": "rt"}, S)
+    truth = joins.truth_frame(t.stored_market, {"dayahead": "rt", "realtime": "rt"}, S)
     return fusion.backtest(t.stored_panel, S, "2024-01-21", truth)[1]
 
 
@@ -544,4 +544,4 @@ def _(t):
 
 @query("covariate_regression", "series_id:i ds:t y_hat:d", None)
 def _(t):
-    return learners.covariate_regression(t.market, S, "rt", ["load_forecast", "wind_forecast"], "period", ["1_8", "9_16", "17_24"], "2024-01-20 00:00:00")
+    return learners.covariate_regression(t.stored_market, S, "rt", ["load_forecast", "wind_forecast"], "period", ["1_8", "9_16", "17_24"], "2024-01-20 00:00:00")

@@ -17,7 +17,7 @@ FEATURES = ["load_forecast", "wind_forecast", "solar_forecast", "da", "hour_busi
 
 
 def labelled(t):
-    return t.market.withColumns(
+    return t.stored_market.withColumns(
         {"label": (F.col("rt") > 180).cast("int"), "low_valley_prob": F.greatest(F.lit(0.0), 0.7 - F.col("da") / 200), "delta_target": F.col("rt") - F.col("da")}
     )
 

@@ -65,7 +65,7 @@ def _(t):
        median(abs(y_true)) AS ma, median(y_pred - y_true) AS bm FROM panel GROUP BY ALL)""",
 )
 def _(t):
-    return metrics.full_metrics(t.panel, ["series_id", "task", "period"], weight="n")
+    return metrics.full_metrics(t.stored_panel, ["series_id", "task", "period"], weight="n")
 
 
 @query(
@@ -99,7 +99,7 @@ DELTA_CTE = """dl AS (SELECT series_id, business_day, period, ds, rt AS rt_actua
 
 
 def delta_frame(t):
-    return t.market.select(
+    return t.stored_market.select(
         "series_id", "business_day", "period", "ds", "da", F.col("rt").alias("rt_actual"),
         (F.col("rt") - F.col("da")).alias("delta_target"),
         (F.col("high_spike_prob") * 300 - 100).alias("delta_hat"),
@@ -173,13 +173,13 @@ def _(t):
        FROM market m JOIN (SELECT series_id, quantile_cont(rt, 0.95) AS q FROM market GROUP BY ALL) q ON m.series_id = q.series_id GROUP BY ALL""",
 )
 def _(t):
-    df = t.market.select("series_id", F.col("rt").alias("y_true"), F.col("da").alias("y_pred"))
+    df = t.stored_market.select("series_id", F.col("rt").alias("y_true"), F.col("da").alias("y_pred"))
     return metrics.bucket_metrics(df, ["series_id"])
 
 
 def corrected_frame(t):
     """A stand-in for a corrected pack: lift when risk is high, lower when base is near zero."""
-    m = t.market
+    m = t.stored_market
     lift = F.when(F.col("high_spike_prob") > 0.3, F.col("high_spike_prob") * 60).otherwise(0.0)
     drop = F.when((F.col("da") < 80) & (F.col("high_spike_prob") < 0.05), F.lit(-12.5)).otherwise(0.0)
     return m.select(
@@ -342,7 +342,7 @@ def _(t):
        avg(CAST(high_spike_prob > 0.4 AS DOUBLE)) AS rate_40, avg(CAST(high_spike_prob > 0.5 AS DOUBLE)) AS rate_50 FROM market GROUP BY ALL""",
 )
 def _(t):
-    return reports.risk_summary(t.market, ["series_id"], "high_spike_prob")
+    return reports.risk_summary(t.stored_market, ["series_id"], "high_spike_prob")
 
 
 @query(
@@ -508,7 +508,7 @@ def _(t):
     """SELECT series_id, 'mae' AS metric, avg(abs(rt - da)) AS computed, round(avg(abs(rt - da)), 1) AS stored, avg(abs(rt - da)) - round(avg(abs(rt - da)), 1) AS difference FROM market GROUP BY ALL""",
 )
 def _(t):
-    g = t.market.groupBy("series_id").agg(scores.mae("rt", "da").alias("mae"))
+    g = t.stored_market.groupBy("series_id").agg(scores.mae("rt", "da").alias("mae"))
     a = reports.long_metrics(g, ["series_id"], ["mae"])
     b = a.withColumn("value", F.round("value", 1))
     return reports.metric_differences(a, b, ["series_id"])
@@ -559,7 +559,7 @@ def _(t):
        FROM (SELECT series_id, ds, CASE WHEN hour(ds) = 5 THEN NULL ELSE rt END AS rt, da, wind_actual FROM market))""",
 )
 def _(t):
-    df = t.market.withColumn("rt", F.when(F.hour("ds") != 5, F.col("rt")))
+    df = t.stored_market.withColumn("rt", F.when(F.hour("ds") != 5, F.col("rt")))
     return reports.month_audit(df, ["rt", "da", "wind_actual"], ["series_id"])
 
 
@@ -580,7 +580,7 @@ def _(t):
          avg(be) FILTER (stage = 'stage2') - avg(ce) FILTER (stage = 'stage2') AS d2, avg(be) FILTER (stage = 'stage3') - avg(ce) FILTER (stage = 'stage3') AS d3 FROM hr GROUP BY ALL)""",
 )
 def _(t):
-    m = t.market
+    m = t.stored_market
     hours = m.select(
         "series_id",
         F.trunc(F.date_add("business_day", 15), "month").alias("month"),

@@ -85,10 +85,8 @@ def adapt(
         raise ValueError(f"{spec.model_name} has no {task} output")
     for name in spec.prefer:
         if name in df.columns:
-            on = F.col(name).cast("string").isin("true", "True", "1", "t")
-            some = df.where(on).limit(1).select(F.lit(True).alias("_some"))
-            keep = F.when(F.lit(True), on)
-            df = df.join(some, how="left").where(keep | F.col("_some").isNull()).drop("_some")
+            flagged = df.where(F.col(name).cast("string").isin("true", "True", "1", "t"))
+            df = df if flagged.isEmpty() else flagged
     pred = normalize.first_present(df, spec.y_pred[task])
     if pred is None:
         raise ValueError(f"no prediction column: want one of {spec.y_pred[task]}, have {df.columns}")
