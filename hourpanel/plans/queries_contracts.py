@@ -715,7 +715,16 @@ def _(t):
     return checks.split_audit(g)
 
 
-@query("pool_audit", "series_id:i check_name:s passed:b bad:d", None)
+FOLD_AUDIT = AUDIT_SQL.replace("series_id, model_name, task", "series_id, model_name, task, tap_fold_id")
+
+
+@query(
+    "pool_audit",
+    "series_id:i check_name:s passed:b bad:d",
+    f"""SELECT series_id, unnest(['non_empty', 'no_failed_fold']) AS check_name, unnest([f > 0, h = 0]) AS passed, unnest([f, h])::DOUBLE AS bad FROM (SELECT series_id, count(*) AS f, count(*) FILTER (e > 0) AS h FROM (
+       SELECT series_id, tap_fold_id, count(*) FILTER (NOT passed AND severity = 'error') AS e FROM ({FOLD_AUDIT}) GROUP BY ALL) GROUP BY ALL)""",
+    "ad AS (SELECT *, y_pred AS yp, (30 - (DATE '2024-01-31' - business_day)) // 3 AS tap_fold_id FROM panel WHERE business_day >= DATE '2024-01-01')",
+)
 def _(t):
     df = folds.assign_tap_folds(t.panel, "2024-01-31")
     return checks.pool_audit(checks.audit(df, ["series_id", "model_name", "task", "tap_fold_id"]), S)

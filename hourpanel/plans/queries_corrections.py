@@ -586,7 +586,19 @@ def _(t):
     return calibrate.gray_zone_search(probs(t), S, LOWS, HIGHS, {"coverage": 0.3, "recall": 0.02, "precision": 0.1})
 
 
-@query("smoothed_thresholds", "series_id:i business_day:t gray_low:d gray_high:d", None)
+SMOOTH = f"""dg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id, business_day ORDER BY precision DESC, positive_coverage DESC, coverage DESC, gray_high - gray_low, gray_low, gray_high) AS k FROM (
+       SELECT series_id, business_day, gray_low, gray_high, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, c / n AS coverage, CASE WHEN pos > 0 THEN tp / pos ELSE 0 END AS positive_coverage FROM (
+       SELECT series_id, business_day, gray_low, gray_high, count(*) FILTER (p >= gray_high AND y = 1) AS tp, count(*) FILTER (p >= gray_high AND y = 0) AS fp, count(*) FILTER (p <= gray_low OR p >= gray_high) AS c, count(*) AS n, sum(y) AS pos
+         FROM pb, (VALUES {', '.join(f'({v}::DOUBLE)' for v in LOWS)}) l(gray_low), (VALUES {', '.join(f'({v}::DOUBLE)' for v in HIGHS)}) h(gray_high) GROUP BY ALL)) WHERE coverage >= 0.2) WHERE k = 1),
+dn AS (SELECT d.series_id, d.business_day, g.gray_low AS a, g.gray_high AS b, row_number() OVER (PARTITION BY d.series_id ORDER BY d.business_day) AS i FROM (SELECT DISTINCT series_id, business_day FROM pb) d LEFT JOIN dg g ON d.series_id = g.series_id AND d.business_day = g.business_day),
+sm AS (SELECT DISTINCT series_id, CAST(NULL AS DATE) AS business_day, 0::BIGINT AS i, 0.1::DOUBLE AS lo, 0.3::DOUBLE AS hi FROM dn
+  UNION ALL BY STEP
+  SELECT s.series_id, d.business_day, d.i, CASE WHEN d.a IS NULL THEN s.lo ELSE round(z.a2, 4) END, CASE WHEN d.a IS NULL THEN s.hi ELSE round(z.b2, 4) END FROM sm s JOIN dn d ON d.series_id = s.series_id AND d.i = s.i + 1,
+    LATERAL (SELECT least(greatest(0.4 * least(greatest(d.a, s.lo - 0.05), s.lo + 0.05) + (1 - 0.4::DOUBLE) * s.lo, 0.02), 0.25) AS a1, least(greatest(0.4 * least(greatest(d.b, s.hi - 0.05), s.hi + 0.05) + (1 - 0.4::DOUBLE) * s.hi, 0.22), 0.6) AS b1) x,
+    LATERAL (SELECT CASE WHEN x.b1 - x.a1 < 0.05 THEN least(0.6, x.a1 + 0.05) ELSE x.b1 END AS b2, x.a1, x.b1) y, LATERAL (SELECT y.b2, CASE WHEN y.b1 - y.a1 < 0.05 AND y.b2 - y.a1 < 0.05 THEN greatest(0.02, y.b2 - 0.05) ELSE y.a1 END AS a2) z)"""
+
+
+@query("smoothed_thresholds", "series_id:i business_day:t gray_low:d gray_high:d", "SELECT series_id, business_day, lo AS gray_low, hi AS gray_high FROM sm WHERE i > 0", f"{PROBS}, {SMOOTH}")
 def _(t):
     daily = calibrate.gray_zone_search(probs(t), ["series_id", "business_day"], LOWS, HIGHS, {"coverage": 0.2})
     days = probs(t).select("series_id", "business_day").distinct().join(daily, ["series_id", "business_day"], "left")

@@ -246,22 +246,33 @@ def _(t):
     return tap(t)
 
 
-@query(
-    "tap_fold_losses",
-    "series_id:i task:s period:s tap_fold_id:i model_name:s loss:d median_loss:d mean_gate:d",
-    f"""SELECT l.series_id, l.task, l.period, l.fid AS tap_fold_id, l.model_name, loss, median(loss) OVER (PARTITION BY l.series_id, l.task, l.period, l.fid) AS median_loss, mg AS mean_gate FROM (
+LOSS_SQL = f"""SELECT l.series_id, l.task, l.period, l.fid AS tap_fold_id, l.model_name, loss, median(loss) OVER (PARTITION BY l.series_id, l.task, l.period, l.fid) AS median_loss, mg AS mean_gate FROM (
        SELECT p.series_id, p.task, p.period, p.fid, p.model_name, 0.6 * sum(g * {SMAPE_SQL['floor50'].format(t='y_true', p='y_pred')}) / sum(g) + 0.3 * sum(g * abs(y_true - y_pred) / greatest(md, 1e-6)) / sum(g)
          + 0.1 * sum(g * abs(y_true - y_pred)) FILTER (y_true >= q9) / sum(g) FILTER (y_true >= q9) AS loss
        FROM tp p JOIN (SELECT {BYS}, fid, model_name, median(abs(y_true)) AS md, quantile_cont(y_true, 0.9) AS q9 FROM tp GROUP BY ALL) q ON p.series_id = q.series_id AND p.task = q.task AND p.period = q.period AND p.fid = q.fid AND p.model_name = q.model_name GROUP BY ALL) l
        JOIN (SELECT {BYS}, fid, avg(g) AS mg FROM (SELECT {BYS}, fid, ds, max(g) AS g FROM tp GROUP BY ALL) GROUP BY ALL) m ON l.series_id = m.series_id AND l.task = m.task AND l.period = m.period AND l.fid = m.fid
-       QUALIFY count(*) OVER (PARTITION BY l.series_id, l.task, l.period, l.fid) >= 2""",
+       QUALIFY count(*) OVER (PARTITION BY l.series_id, l.task, l.period, l.fid) >= 2"""
+
+
+@query(
+    "tap_fold_losses",
+    "series_id:i task:s period:s tap_fold_id:i model_name:s loss:d median_loss:d mean_gate:d",
+    LOSS_SQL,
     TAP,
 )
 def _(t):
     return learners.fold_losses(tap(t), BY)
 
 
-@query("tap_update_weights", "series_id:i task:s period:s model_name:s weight:d", None)
+STEPS = f"""lo AS ({LOSS_SQL}),
+grp AS (SELECT DISTINCT {BYS}, m AS model_name FROM lo, (VALUES {', '.join(f"('{m}')" for m in MODELS)}) v(m)),
+stp AS (SELECT {BYS}, model_name, 0 AS k, 0.2::DOUBLE AS weight FROM grp
+  UNION ALL BY STEP
+  SELECT s.series_id, s.task, s.period, s.model_name, s.k + 1, x.raw / sum(x.raw) OVER (PARTITION BY s.series_id, s.task, s.period) FROM stp s LEFT JOIN lo l ON l.series_id = s.series_id AND l.task = s.task AND l.period = s.period AND l.model_name = s.model_name AND l.tap_fold_id = 9 - s.k,
+    LATERAL (SELECT CASE WHEN l.loss IS NULL THEN s.weight ELSE greatest(s.weight * exp(-0.8 * l.mean_gate * least(greatest(l.loss / greatest(l.median_loss, 1e-6), 0.25), 4)), 0.03) END AS raw) x WHERE s.k < 10)"""
+
+
+@query("tap_update_weights", "series_id:i task:s period:s model_name:s weight:d", f"SELECT {BYS}, model_name, weight FROM stp WHERE k = 10", f"{TAP}, {STEPS}")
 def _(t):
     return learners.tap_update(learners.fold_losses(tap(t), BY), BY, MODELS)
 

@@ -62,7 +62,9 @@ def shape_sql(select: str, ctes: str, spec: str) -> str:
             kind = {"s": "VARCHAR", "i": "BIGINT", "b": "BOOLEAN", "t": "VARCHAR"}[code]
             cols.append(f"CAST({name} AS {kind}) AS {name}")
     own = f",\n{ctes.strip().rstrip(',')}" if ctes.strip() else ""
-    return f"WITH {fixture.BASE_CTES}{own},\nfinal_result AS (\n{select.strip()}\n)\nSELECT {', '.join(cols)} FROM final_result"
+    head = "WITH RECURSIVE" if "UNION ALL BY STEP" in ctes else "WITH"  # marker: a step-by-step state in SQL
+    own = own.replace("UNION ALL BY STEP", "UNION ALL")
+    return f"{head} {fixture.BASE_CTES}{own},\nfinal_result AS (\n{select.strip()}\n)\nSELECT {', '.join(cols)} FROM final_result"
 
 
 def query(name: str, spec: str, sql: str | None = None, ctes: str = ""):
