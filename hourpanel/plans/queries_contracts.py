@@ -338,14 +338,14 @@ def _(t):
 
 @query(
     "ledger_quality",
-    "target:s check_name:s bad_rows:i",
-    """SELECT target, unnest(['days_not_24_rows', 'duplicate_key', 'null_y_pred', 'hour24_timestamp', 'hour_out_of_range']) AS check_name, unnest([a, 0, b, c, 0]) AS bad_rows FROM (SELECT task AS target, sum(CAST(k != 24 AS INT)) AS a, sum(b) AS b, sum(c) AS c FROM (
-       SELECT task, business_day, model_name, count(*) AS k, count(*) FILTER (n = 3) AS b, count(*) FILTER (hour_business = 24 AND n = 2) AS c FROM panel WHERE series_id = 0 GROUP BY ALL) GROUP BY ALL)""",
+    "series_id:i target:s check_name:s bad_rows:i",
+    """SELECT series_id, target, unnest(['days_not_24_rows', 'duplicate_key', 'null_y_pred', 'hour24_timestamp', 'hour_out_of_range']) AS check_name, unnest([a, 0, b, c, 0]) AS bad_rows FROM (SELECT series_id, task AS target, sum(CAST(k != 24 AS INT)) AS a, sum(b) AS b, sum(c) AS c FROM (
+       SELECT series_id, task, business_day, model_name, count(*) AS k, count(*) FILTER (n = 3) AS b, count(*) FILTER (hour_business = 24 AND n = 2) AS c FROM panel GROUP BY ALL) GROUP BY ALL)""",
 )
 def _(t):
-    df = ledger_rows(t).where("series_id = 0").withColumn("timestamp", F.when(F.col("n") == 2, F.to_date("ds").cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(5))).otherwise(F.col("ds")))
+    df = ledger_rows(t).withColumn("timestamp", F.when(F.col("n") == 2, F.to_date("ds").cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(5))).otherwise(F.col("ds")))
     df = df.withColumns({"y_pred": F.when(F.col("n") != 3, F.col("y_pred")), "final_pred": F.lit(1.0), "pipeline_version": F.lit("v"), "created_at": F.lit("now")})
-    q = ledger.quality(df)
+    q = ledger.quality(df, ["series_id", "target"])
     return q.where(F.col("check_name").isin("days_not_24_rows", "duplicate_key", "null_y_pred", "hour24_timestamp", "hour_out_of_range"))
 
 

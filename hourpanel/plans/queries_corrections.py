@@ -300,10 +300,23 @@ def _(t):
     return corrections.residual_stack(pack(t), S)
 
 
+def ablation_part(config, up, down):
+    """One config of the ablation in SQL: b, final, up-flag per row."""
+    lifted = lift_sql("c", "0.6::DOUBLE", "0.35::DOUBLE", "350.0::DOUBLE", "1.15::DOUBLE", "pf") if up else "(SELECT *, b AS fin, 0.0::DOUBLE AS lift FROM pf)"
+    src = f"(SELECT *, fin AS af, lift > 0 AS up FROM {lifted})"
+    low = f"(SELECT *, CASE WHEN up OR p >= 0.5 THEN af ELSE nfin END AS an FROM {down_sql('d', '0.4::DOUBLE', '0.15::DOUBLE', '20.0::DOUBLE', '-100.0::DOUBLE', True, base='af', src=src)})" if down else f"(SELECT *, af AS an FROM {src})"
+    return f"""SELECT '{config}' AS config, series_id, hour_business, y_true, b, up, CASE WHEN hour_business NOT BETWEEN 9 AND 16 AND (rf - x) / abs(rf) > 1 - 0.8::DOUBLE THEN af * 0.8::DOUBLE ELSE x END AS fp FROM (
+      SELECT *, CASE WHEN up THEN greatest(an, af) ELSE an END AS x, CASE WHEN af = 0 THEN 1 ELSE af END AS rf FROM {low})"""
+
+
 @query(
     "stack_ablation",
     "series_id:i config:s smape_before:d smape_after:d negative_mae_improvement:d low_valley_mae_improvement:d normal_degradation:d false_lift_rate:d",
-    None,
+    f"""SELECT *, CASE WHEN nb > 0 THEN round((nb - na) / nb * 100, 2) ELSE 0 END AS negative_mae_improvement, CASE WHEN lb > 0 THEN round((lb - la) / lb * 100, 2) ELSE 0 END AS low_valley_mae_improvement, round(n1 - n0, 4) AS normal_degradation,
+       CASE WHEN k > 0 THEN round(1 - good, 4) ELSE 0 END AS false_lift_rate FROM (SELECT series_id, config, {smape_sql('denom50', 'y_true', 'b')} AS smape_before, {smape_sql('denom50', 'y_true', 'fp')} AS smape_after,
+       avg(abs(y_true - b)) FILTER (y_true < 0) AS nb, avg(abs(y_true - fp)) FILTER (y_true < 0) AS na, avg(abs(y_true - b)) FILTER (y_true <= 50) AS lb, avg(abs(y_true - fp)) FILTER (y_true <= 50) AS la,
+       {smape_sql('denom50', 'y_true', 'b', 'hour_business NOT BETWEEN 9 AND 16')} AS n0, {smape_sql('denom50', 'y_true', 'fp', 'hour_business NOT BETWEEN 9 AND 16')} AS n1, count(*) FILTER (up) AS k, avg(CAST(fp > y_true AS DOUBLE)) FILTER (up) AS good FROM abl GROUP BY ALL)""",
+    PACK + FITTED + ", abl AS (" + " UNION ALL ".join(ablation_part(*c) for c in (("baseline", False, False), ("spike_only", True, False), ("negative_only", False, True), ("unified", True, True))) + ")",
 )
 def _(t):
     return corrections.ablation(pack(t), S, history(t))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..operators import folds, fusion, joins, learners, metrics, solve
-from .fixture import MODELS
+from .fixture import DA_TYPES, MODELS
 from .queries_metrics import SMAPE_SQL, smape_sql
 from .registry import query
 
@@ -291,9 +291,8 @@ def _(t):
 
 @query("tap_learner_weights", "series_id:i task:s period:s model_name:s weight:d", None)
 def _(t):
-    few = ["click", "purchase", "view"]
-    df = tap(t).where(F.col("model_name").isin(*few))
-    return learners.tap_learner(df, BY, few)
+    few = sorted(DA_TYPES)
+    return learners.tap_learner(tap(t).where(F.col("model_name").isin(*few)), BY, few)
 
 
 CAND = f"""three AS (SELECT * FROM panel WHERE model_name IN ('click', 'purchase', 'view')),
@@ -307,7 +306,7 @@ ca AS (SELECT {BYS}, unnest(['equal_weight', 'bgew', 'single_click', 'single_pur
   unnest([1.0 / 3, wc, 1, 0, 0]) AS a, unnest([1.0 / 3, wp, 0, 1, 0]) AS b, unnest([1.0 / 3, wv, 0, 0, 1]) AS d FROM bw),
 scd AS (SELECT {', '.join('w.' + c for c in BYS.split(', '))}, candidate_name, kind, position, {smape_sql('floor50', 'w.y', '(ca.a * w.c + ca.b * w.p + ca.d * w.v)')} AS score, avg(abs(w.y - (ca.a * w.c + ca.b * w.p + ca.d * w.v))) AS mae, count(*) AS n
   FROM wd w JOIN ca ON w.series_id = ca.series_id AND w.task = ca.task AND w.period = ca.period WHERE w.c IS NOT NULL AND w.p IS NOT NULL AND w.v IS NOT NULL GROUP BY ALL)"""
-FEW = ["click", "purchase", "view"]
+FEW = sorted(DA_TYPES)  # the models behind the day-ahead price; learners take their model list as an argument
 
 
 def three(t):

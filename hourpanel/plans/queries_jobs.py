@@ -92,11 +92,11 @@ def _(t):
     return back.groupBy("target", "run_date").agg(F.count(F.lit(1)).alias("rows"), F.sum("y_pred").alias("y_sum"))
 
 
-@query("csv_daily_scan", "run_day:t rows:i y_sum:d", "SELECT business_day AS run_day, count(*) AS rows, sum(da) AS y_sum FROM market WHERE series_id = 1 GROUP BY ALL")
+@query("csv_daily_scan", "run_day:t rows:i y_sum:d", "SELECT business_day AS run_day, count(*) AS rows, sum(da) AS y_sum FROM market GROUP BY ALL")
 def _(t):
     """CSV folders by date, read back by one glob with the day taken from the path."""
     path = scratch_path(t.spark, "daily-csv")
-    sinks.write_daily(t.market.where("series_id = 1").select(F.col("business_day").alias("run_date"), "ds", "da"), path, ["run_date"], "csv")
+    sinks.write_daily(t.market.select(F.col("business_day").alias("run_date"), "series_id", "ds", "da"), path, ["run_date"], "csv")
     back = tables.scan_daily(t.spark, f"{path}/run_date=*/*.csv")
     return back.groupBy("run_day").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("da").cast("double")).alias("y_sum"))
 
