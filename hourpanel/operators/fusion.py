@@ -327,9 +327,18 @@ def _loss(kind: str, y: Column, p: Column) -> Column:
     return scores.smape_row("floor50", y, p)
 
 
-def _moved(weights: str, up: int, down: int, by: float) -> Column:
-    """A weight array with ``by`` moved from one entry to another."""
-    return F.transform(weights, lambda v, i: v + F.when(i == up, by).when(i == down, -by).otherwise(0.0))
+def _vectors(rows: Sequence[Sequence[float]]) -> Column:
+    """Literal array of arrays, written as one SQL expression."""
+    return F.expr("array(" + ", ".join("array(" + ", ".join(f"{float(v)!r}D" for v in r) + ")" for r in rows) + ")")
+
+
+def _moves(k: int, step: float) -> list[list[float]]:
+    """No move, then ``step`` and half of it from each entry to each other one."""
+    out = [[0.0] * k]
+    for up, down in itertools.permutations(range(k), 2):
+        for d in (step, step / 2):
+            out.append([d if i == up else -d if i == down else 0.0 for i in range(k)])
+    return out
 
 
 def convex_search(
@@ -360,7 +369,7 @@ def convex_search(
         keep.append("_peak")
     rows = rows.withColumn("_gate", F.col(weight) if weight else F.lit(1.0))
     rows = materialise(rows.select(*keep, "_gate"), "search")
-    lattice = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in simplex_grid(k, steps)])
+    lattice = _vectors(simplex_grid(k, steps))
     best = rows.select(*by).distinct().withColumn("_c", F.lit(None).cast("array<double>"))
     if prior is not None:
         pr = prior.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("model_name", "weight"))).alias("_p"))
@@ -377,8 +386,8 @@ def convex_search(
             cands = F.concat(inside, F.array(F.col("_prior")))
         else:
             step /= 2
-            moves = [_moved("_c", a, b, d) for a in range(k) for b in range(k) if a != b for d in (step, step / 2)]
-            cands = F.filter(F.array(F.col("_c"), *moves), lambda c: F.forall(c, lambda v: (v >= lo - 1e-12) & (v <= hi + 1e-12)))
+            around = F.transform(_vectors(_moves(k, step)), lambda o: F.zip_with("_c", o, lambda a, b: a + b))
+            cands = F.filter(around, lambda c: F.forall(c, lambda v: (v >= lo - 1e-12) & (v <= hi + 1e-12)))
         scored = (
             rows.join(best.select(*by, "_prior", cands.alias("_cs")), by)
             .select(*rows.columns, "_prior", F.posexplode("_cs").alias("_i", "_w"))
