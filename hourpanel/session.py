@@ -29,16 +29,22 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "hou
     return spark
 
 
+_OWN_DIR: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a session that names none (tests, bench) gets a temporary folder.
+    Only a session that names none (tests, bench on one machine) gets a
+    temporary folder, one per application.
     """
     root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set(CHECKPOINT_KEY, root)
-    return root
+    if root:
+        return root
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_DIR:
+        _OWN_DIR[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _OWN_DIR[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -170,3 +170,33 @@ def test_sink_rewrites_only_its_partitions(spark, make):
     sinks.write_daily(df, path)
     sinks.write_daily(df.where("run_date = 'd2'").withColumn("v", F.lit(9.0)), path)
     assert sorted(r.v for r in spark.read.parquet(path).collect()) == [1.0, 2.0, 9.0]
+
+
+def test_manifest_union(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("ds,hour,target_day,y,pred_y\n2024-01-01 01:00:00,1,2024-01-01,10,11\n")
+    (tmp_path / "b.csv").write_text("timestamp,target_day,rt_actual,rt_hat\n2024-01-02 00:00:00,2024-01-01,20,21\n")
+    (tmp_path / "m.csv").write_text(f"adapter,source,task\nboosted_trees,{tmp_path}/a.csv,dayahead\ndelta_net,{tmp_path}/b.csv,\n")
+    got = {r.model_name: r for r in adapters.load_manifest(spark, str(tmp_path / "m.csv")).collect()}
+    assert got["boosted_trees"].task == "dayahead" and got["boosted_trees"].y_pred == 11.0
+    assert got["delta_net"].hour_business == 24 and got["delta_net"].period == "17_24" and str(got["delta_net"].target_day) == "2024-01-01"
+    with pytest.raises(ValueError, match="no source"):
+        adapters.union_manifest([])
+
+
+def test_shared_folder_without_setting():
+    from hourpanel import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        applicationId = "app-test"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    assert session.shared_dir(Session()) == session.shared_dir(Session()) and session.shared_dir(Session()).startswith("/tmp/spark-")
