@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, id_text, let, words_of
 
-SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\x0c\r"
+SYMBOLS = r"[#*$%&|<>]"
 LINE_LIMIT = 100
 MAX_LOST = 0.5
 MIN_WORDS = 50
@@ -49,34 +48,36 @@ def repeated_window_words(words: Column, width: int = 3) -> Column:
 
 
 def duplicate_lines(text: Column) -> Column:
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
 def measures(words: Column, text: Column) -> dict[str, Column]:
     return {
         "n_words": F.size(words).cast("long"),
-        "word_chars": F.length(F.translate(text, BLANKS, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
         "n_dup_lines": duplicate_lines(text),
         "n_repeat_words": repeated_window_words(words),
     }
 
 
 def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), SPACE, " "))
+    changed = F.regexp_replace(F.regexp_replace(line, "[0-9]+", "0"), SPACE, " ")
+    return F.lower(F.trim(F.when(line.rlike(r"[0-9\x09-\x0D]|  "), changed).otherwise(line)))  # most lines need no change
 
 
 def line_rows(docs: DataFrame, host_col: str = "source") -> DataFrame:
     """One row per line with a word: doc_id, version (hash of the text), host, line (hash), at, words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(
+    bare = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"),
-        F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"),
-        F.posexplode(F.transform(F.split(text, "\n"), normalised)).alias("at", "norm"),
+        F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.split(text, "\n").alias("lines"),
     )
-    words = F.length("norm") - F.length(F.translate("norm", " ", "")) + 1  # normalised: one space between words
-    return rows.where("norm != ''").select("doc_id", "version", "host", F.xxhash64("norm").alias("line"), "at", words.cast("long").alias("words"))
+    split = bare.select("doc_id", "version", "host", F.posexplode("lines").alias("at", "line"))  # the text itself is left behind
+    rows = split.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "version", "host", "at", normalised(F.col("line")).alias("norm"))
+    words = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1  # normalised: one space between words
+    return rows.select("doc_id", "version", "host", F.xxhash64("norm").alias("line"), "at", words.cast("long").alias("words"))
 
 
 def lost_words(docs: DataFrame, line_limit: int = LINE_LIMIT, host_col: str = "source") -> DataFrame:
@@ -129,7 +130,7 @@ t AS (SELECT doc_id, text, p, ws[p] || ' ' || ws[p + 1] || ' ' || ws[p + 2] AS t
 r AS (SELECT doc_id, text, p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, text, tri) AS n FROM t) WHERE n > 1),
 c AS (SELECT doc_id, text, sum(least(3, coalesce(nxt - p, 3)))::BIGINT AS n_repeat_words
       FROM (SELECT *, lead(p) OVER (PARTITION BY doc_id, text ORDER BY p) AS nxt FROM r) GROUP BY ALL),
-l AS (SELECT doc_id, text, host, trim(regexp_replace(regexp_replace(lower(unnest(string_split(text, chr(10)))), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM d),
+l AS (SELECT doc_id, text, host, trim(regexp_replace(regexp_replace(unnest(string_split(lower(text), chr(10))), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM d),
 f AS (SELECT host, line FROM l WHERE line <> '' GROUP BY ALL HAVING count(DISTINCT text) > {LINE_LIMIT}),
 x AS (SELECT doc_id, text, sum(len(string_split(line, ' ')))::BIGINT AS lost FROM l JOIN f USING (host, line) GROUP BY ALL),
 j AS (SELECT doc_id, n_words, word_chars, n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
