@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_frequency
+from . import golay_simhash, line_frequency
 from .common import table
 
 
@@ -12,8 +12,13 @@ def op5_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golay_simhash.components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op5_line_frequency_rules": op5_line_frequency_rules,
+    "op8_golay_simhash": op8_golay_simhash,
 }
 ORACLE_SQL = {
     "op5_line_frequency_rules": line_frequency.ORACLE_SQL,
