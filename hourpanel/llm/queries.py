@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25_packing, golay_simhash, line_frequency
+from . import bm25_packing, golay_simhash, line_frequency, suffix_dedup
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op5_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_packing.pack(table(spark, sf_dir, "documents"))
 
@@ -21,6 +25,7 @@ def op8_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op5_line_frequency_rules": op5_line_frequency_rules,
     "op6_bm25_packing": op6_bm25_packing,
     "op8_golay_simhash": op8_golay_simhash,
