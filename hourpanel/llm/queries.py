@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25_packing, golay_simhash, line_frequency, suffix_dedup
+from . import bm25_packing, decontaminate, golay_simhash, line_frequency, suffix_dedup
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op5_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.judge(table(spark, sf_dir, "documents"))
 
 
+def op1_rare_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,7 @@ def op8_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_rare_seed_decontamination": op1_rare_seed_decontamination,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op5_line_frequency_rules": op5_line_frequency_rules,
     "op6_bm25_packing": op6_bm25_packing,
