@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 32 << 20
         if col.nbytes <= limit:
             yield batch
             continue
-        lengths = np.array([0 if v is None else v for v in pa.compute.binary_length(col).to_pylist()])
+        lengths = np.array([0 if v is None else v for v in pc.binary_length(col).to_pylist()])
         at, size = 0, 0
         for i, n in enumerate(lengths):
             if i > at and size + n > limit:

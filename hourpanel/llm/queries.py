@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25_packing, decontaminate, golay_simhash, line_frequency, suffix_dedup
+from . import bm25_packing, decontaminate, golay_simhash, line_frequency, quality_classifier, suffix_dedup, toxicity
 from .common import table
 
 
@@ -24,16 +24,26 @@ def op6_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay_simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op10_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_rare_seed_decontamination": op1_rare_seed_decontamination,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op5_line_frequency_rules": op5_line_frequency_rules,
     "op6_bm25_packing": op6_bm25_packing,
+    "op7_subword_quality": op7_subword_quality,
     "op8_golay_simhash": op8_golay_simhash,
+    "op10_counterfactual_toxicity": op10_counterfactual_toxicity,
 }
 ORACLE_SQL = {
     "op5_line_frequency_rules": line_frequency.ORACLE_SQL,
