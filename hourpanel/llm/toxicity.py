@@ -1,7 +1,8 @@
 """Toxicity classifier that is regularised by counterfactual texts.
 
-A document is the set of its lower-cased words; a word is described by hashed features, itself and its character n-grams.
-A logistic model adds up the words' scores. Each training text has a counterfactual twin in which the terms of an identity
+A document is the set of its lower-cased words; a word is described by hashed features, itself and its character n-grams,
+whose weights add up to the word's score. A logistic model sums the words' scores after ``bend``: scores below 1 hardly
+count, so the small scores of the many plain words of a long text do not add up to anything. Each training text has a counterfactual twin in which the terms of an identity
 group are swapped for other terms of that group; a text without such a term gets one put into its sentence in the middle.
 Training lowers the usual loss and ``BALANCE`` times the squared change of the output between a text and its twin, so that
 naming a group by itself moves no score.
@@ -33,6 +34,7 @@ BATCH = 32
 RATE = 0.2
 SHRINK = 1e-3
 BALANCE = 1.0
+SLOPE = 0.02
 HELD_MODULUS, HELD_REST = 5, 0
 _WORD = re.compile(r"[^\W\d_]+").findall
 
@@ -77,12 +79,14 @@ def counterfactual(text: str) -> str:
     return ".".join(sentences)
 
 
+def bend(score: np.ndarray) -> np.ndarray:
+    return SLOPE * score + np.maximum(score - 1, 0)
+
+
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the distinct words, and how many of the words have each."""
-    words = set(_WORD(text.lower()))
-    at = [word_features(w) for w in words]
-    buckets, n = np.unique(np.array([b for bs in at for b in bs], dtype=np.int32), return_counts=True)
-    return buckets, n.astype(np.int32)
+    """Buckets of the distinct words one after the other, and how many belong to each word."""
+    words = [word_features(w) for w in sorted(set(_WORD(text.lower())))]
+    return np.array([b for bs in words for b in bs], dtype=np.int32), np.array([len(bs) for bs in words], dtype=np.int32)
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,11 +102,14 @@ def train(own: list, twin: list, y: np.ndarray, balance: float = BALANCE, seed:
     rng = np.random.default_rng(seed)
     weights, state, bias = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0
 
-    def total(bags: list, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def total(bags: list, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets, the slope of the document's output in each of them, their document; and the outputs."""
         at = np.concatenate([bags[i][0] for i in some])
-        n = np.concatenate([bags[i][1] for i in some]).astype(float)
-        doc = np.repeat(np.arange(len(some)), [len(bags[i][0]) for i in some])
-        return at, n, doc, np.bincount(doc, weights[at] * n, minlength=len(some)) + bias
+        sizes = np.concatenate([bags[i][1] for i in some])
+        word = np.repeat(np.arange(len(sizes)), sizes)
+        doc = np.repeat(np.arange(len(some)), [len(bags[i][1]) for i in some])
+        score = np.bincount(word, weights[at], minlength=len(sizes))
+        return at, (SLOPE + (score > 1))[word], doc[word], np.bincount(doc, bend(score), minlength=len(some)) + bias
 
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
@@ -136,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
 
 
 def _score(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: float) -> Iterator[pa.RecordBatch]:
-    table = WordTable(lambda word: weights[word_features(word)].sum(), 1)
+    table = WordTable(lambda word: bend(weights[word_features(word)].sum()), 1)
     for batch in slices(batches, "text"):
         out = [table.at(sorted(set(_WORD(t.lower())))).sum() + bias for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))], names=["doc_id", "score"])
