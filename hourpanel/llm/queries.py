@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25_packing, decontaminate, golay_simhash, line_frequency, quality_classifier, suffix_dedup, toxicity
+from . import bm25_packing, decontaminate, golay_simhash, line_frequency, quality_classifier, suffix_dedup, template_extraction, toxicity
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_packing.pack(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_rare_seed_decontamination": op1_rare_seed_decontamination,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_template_extraction": op4_template_extraction,
     "op5_line_frequency_rules": op5_line_frequency_rules,
     "op6_bm25_packing": op6_bm25_packing,
     "op7_subword_quality": op7_subword_quality,
