@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25_packing, decontaminate, golay_simhash, line_frequency, quality_classifier, suffix_dedup, template_extraction, toxicity
+from . import bm25_packing, decontaminate, golay_simhash, line_frequency, quality_classifier, suffix_dedup, template_extraction, toxicity, warc_bundles
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op8_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay_simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op9_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_bundles.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,8 +52,10 @@ QUERIES = {
     "op6_bm25_packing": op6_bm25_packing,
     "op7_subword_quality": op7_subword_quality,
     "op8_golay_simhash": op8_golay_simhash,
+    "op9_seekable_warc": op9_seekable_warc,
     "op10_counterfactual_toxicity": op10_counterfactual_toxicity,
 }
 ORACLE_SQL = {
     "op5_line_frequency_rules": line_frequency.ORACLE_SQL,
+    "op9_seekable_warc": warc_bundles.ORACLE_SQL,
 }
