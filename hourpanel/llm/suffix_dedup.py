@@ -265,7 +265,7 @@ def repeated_runs(rows: DataFrame, hot: int = HOT) -> DataFrame:
     kept = first.where(F.col("n") >= LENGTH).select(F.col("f.k").alias("k"))
     copies = versions.where(F.col("n") >= LENGTH).join(first.select("sha", F.col("f.k").alias("first")), "sha").where("k != first")
     copied = copies.select("k", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
-    anchors = rows.join(kept, "k").select("k", "text").mapInArrow(_anchor_rows, "h long, k long, at long")
+    anchors = rows.join(kept, "k").select("k", "id", "text").mapInArrow(_anchor_rows, "h long, k long, at long")
     repeated = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > hot).alias("hot"))
     found = anchors.join(repeated, "h").groupBy("k").agg(F.collect_set(F.struct("at", "h", "hot")).alias("found"))
     contexts = rows.join(found, "k").select("k", "id", "text", "found").mapInArrow(_context_rows, _CONTEXT)
