@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25_packing, decontaminate, golay_simhash, line_frequency, quality_classifier, suffix_dedup, template_extraction, toxicity, warc_bundles
+from . import bm25_packing, decontaminate, edit_counts, golay_simhash, line_frequency, quality_classifier, suffix_dedup, template_extraction, toxicity, warc_bundles
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op1_rare_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_counts.revised_counts(table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op10_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_rare_seed_decontamination": op1_rare_seed_decontamination,
+    "op2_edit_aware_counts": op2_edit_aware_counts,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_template_extraction": op4_template_extraction,
     "op5_line_frequency_rules": op5_line_frequency_rules,
