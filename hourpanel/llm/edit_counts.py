@@ -11,7 +11,7 @@ does. Only the changed leaves and the sums above them are computed anew.
 
 Defined cases: null text is empty and has a tree with no leaf; an edit beyond the end appends there, a negative start
 counts as 0, a null insert as empty; edits of one document refer to its state before all of them, in order of start, and
-where they overlap the part already replaced is skipped; edits of unknown documents do nothing; repeated rows (same doc_id
+where they overlap the part already replaced is skipped, equal edits count once; edits of unknown documents do nothing; repeated rows (same doc_id
 and text) share one tree and give a row each; of rows of one doc_id with different texts all get the document's edits.
 """
 
@@ -197,7 +197,7 @@ def counts_after(docs: DataFrame, planted: DataFrame, edits: DataFrame, vocabula
     """Token counts of every row of ``docs`` before and after ``edits`` (doc_id, start, length, insert), from stored trees."""
     vocabulary = vocabulary or default_vocabulary()
     edit = F.struct(F.coalesce(F.col("start"), F.lit(0)).cast("long").alias("start"), F.coalesce(F.col("length"), F.lit(0)).cast("long").alias("length"), F.coalesce(F.col("insert"), F.lit("")).alias("insert"))
-    per_doc = edits.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("edited")).agg(F.collect_list(edit).alias("edits"))
+    per_doc = edits.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("edited")).agg(F.collect_set(edit).alias("edits"))
     keyed = id_text(docs).withColumn("k", F.xxhash64("doc_id", "text"))
     own = planted.select("k", "leaf_chars", "levels").dropDuplicates(["k"])
     both = keyed.join(own, "k").join(per_doc, F.col("doc_id") == F.col("edited"), "left")
