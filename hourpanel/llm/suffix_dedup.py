@@ -27,13 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
 
 LENGTH = 100
-GRAM = 32
+GRAM = 24
 SHALLOW = 16
 HOT = 50_000
 PIECE = 1 << 20
@@ -201,55 +202,52 @@ def equal_strings(raw: np.ndarray, at: np.ndarray, group: np.ndarray, length: in
             rows, label = rows[many], label[many]
 
 
-def gone_runs(rows: list[dict]) -> list[tuple[int, int, int]]:
-    """(k, start, end) of the bytes that go, from whole groups of contexts."""
-    out = [(r["k"], r["start"], r["start"] + r["n"]) for r in rows if r["body"] is None]
-    rows = [r for r in rows if r["body"] is not None]
-    if len(rows) < 2:
-        return out
-    n = np.array([r["n"] for r in rows])
-    raw = np.frombuffer(b"".join(r["body"] for r in rows), dtype=np.uint8)
-    base = np.r_[0, np.cumsum([len(r["body"]) for r in rows])[:-1]]
-    row = np.repeat(np.arange(len(rows)), n)
-    step = np.arange(len(row)) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
-    h = np.array([r["h"] for r in rows])[row]
-    distance = np.array([r["lead"] for r in rows])[row] - step
-    _, group = np.unique(h, return_inverse=True)
-    ids, start, key = (np.array([r[c] for r in rows], dtype=np.int64)[row] for c in ("id", "start", "k"))
-    start = start + step
-    gone = np.zeros(len(row), dtype=bool)
-    for some, leaf in equal_strings(raw, base[row] + step, group * (2 * LENGTH) + distance + LENGTH):
-        if len(some):
-            order = np.lexsort((start[some], key[some], ids[some], leaf))
-            first = np.r_[True, leaf[order][1:] != leaf[order][:-1]]
-            lead = some[order][first][np.cumsum(first) - 1]
-            mine = some[order]
-            gone[mine[(start[mine] != start[lead]) | (key[mine] != key[lead])]] = True
-    hit = np.flatnonzero(gone)
-    if len(hit):
-        fresh = np.r_[True, (np.diff(hit) != 1) | (row[hit][1:] != row[hit][:-1])]
-        first, last = hit[fresh], hit[np.r_[fresh[1:], True]]
-        out += zip(key[first].tolist(), start[first].tolist(), (start[last] + LENGTH).tolist(), strict=True)
-    return out
+def gone_runs(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """k, start, end of the bytes that go, from whole groups of contexts."""
+    whole = batch.column("body").is_valid()
+    done, batch = batch.filter(pc.invert(whole)), batch.filter(whole)
+    h, k, ids, start, n, lead = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in _CONTEXT_NAMES[:6])
+    gone_k, gone_start, gone_n = (done.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("k", "start", "n"))
+    out = [(gone_k, gone_start, gone_start + gone_n)]
+    if batch.num_rows > 1:
+        _, offsets, data = batch.column("body").buffers()
+        offsets = np.frombuffer(offsets, dtype=np.int32)[: batch.num_rows + 1]  # filtered arrays start at 0
+        raw = np.frombuffer(data, dtype=np.uint8)[: offsets[-1]]
+        row = np.repeat(np.arange(batch.num_rows), n)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        group = np.cumsum(np.r_[False, h[1:] != h[:-1]])[row]
+        ids, key, start = ids[row], k[row], start[row] + step
+        gone = np.zeros(len(row), dtype=bool)
+        for some, leaf in equal_strings(raw, offsets[:-1][row] + step, group * (2 * LENGTH) + lead[row] - step + LENGTH):
+            if len(some):
+                order = np.lexsort((start[some], key[some], ids[some], leaf))
+                first = np.r_[True, leaf[order][1:] != leaf[order][:-1]]
+                earliest = some[order][first][np.cumsum(first) - 1]
+                mine = some[order]
+                gone[mine[(start[mine] != start[earliest]) | (key[mine] != key[earliest])]] = True
+        hit = np.flatnonzero(gone)
+        if len(hit):
+            fresh = np.r_[True, (np.diff(hit) != 1) | (row[hit][1:] != row[hit][:-1])]
+            first, last = hit[fresh], hit[np.r_[fresh[1:], True]]
+            out.append((key[first], start[first], start[last] + LENGTH))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["k", "start", "end"])
 
 
 def _sort_groups(batches: Iterator[pa.RecordBatch], chunk: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Input sorted by h: whole groups, some megabytes at a time."""
-    held, size = [], 0
-
-    def done(rows: list[dict]) -> pa.RecordBatch:
-        runs = gone_runs(rows)
-        return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in (zip(*runs, strict=True) if runs else ([], [], []))], names=["k", "start", "end"])
-
-    for batch in batches:
-        for r in batch.to_pylist():
-            if size > chunk and r["h"] != held[-1]["h"]:
-                yield done(held)
-                held, size = [], 0
-            held.append(r)
-            size += len(r["body"] or b"") + 64
+    """Input sorted by h: whole groups, some megabytes at a time; the last, perhaps open group waits for the next batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in slices(batches, "body", chunk):
+        held.append(batch)
+        if sum(b.nbytes for b in held) < chunk:
+            continue
+        rows = pa.concat_batches(held)
+        h = rows.column("h").to_numpy(zero_copy_only=False)
+        cut = int(np.searchsorted(h, h[-1]))
+        if cut:
+            yield gone_runs(rows.slice(0, cut))
+        held = [rows.slice(cut)]
     if held:
-        yield done(held)
+        yield gone_runs(pa.concat_batches(held))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -267,7 +265,8 @@ def repeated_runs(rows: DataFrame, hot: int = HOT) -> DataFrame:
     copied = copies.select("k", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
     anchors = rows.join(kept, "k").select("k", "id", "text").mapInArrow(_anchor_rows, "h long, k long, at long")
     repeated = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > hot).alias("hot"))
-    found = anchors.join(repeated, "h").groupBy("k").agg(F.collect_set(F.struct("at", "h", "hot")).alias("found"))
+    both = lambda df: df.withColumn("h2", F.xxhash64("h"))  # noqa: E731  an exchange of its own below the join, which can then split a frequent h
+    found = both(anchors).join(both(repeated), ["h2", "h"]).groupBy("k").agg(F.collect_set(F.struct("at", "h", "hot")).alias("found"))
     contexts = rows.join(found, "k").select("k", "id", "text", "found").mapInArrow(_context_rows, _CONTEXT)
     runs = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_sort_groups, "k long, start long, end long")
     return runs.unionByName(copied).groupBy("k").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
