@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -310,14 +311,6 @@ def rolling_weights(
     return out.withColumn("weight", F.when(F.col("_ok"), F.col("weight")).otherwise(1.0 / k)).select(*key, "model_name", "weight")
 
 
-def simplex_grid(k: int, steps: int) -> list[tuple[float, ...]]:
-    """All weight vectors with entries i/steps that sum to 1."""
-    return [
-        tuple((b - a - 1) / steps for a, b in zip((-1, *c), (*c, steps + k - 1)))
-        for c in itertools.combinations(range(steps + k - 1), k - 1)
-    ]
-
-
 def _loss(kind: str, y: Column, p: Column) -> Column:
     if kind == "mae":
         return F.abs(y - p)
@@ -327,18 +320,22 @@ def _loss(kind: str, y: Column, p: Column) -> Column:
     return scores.smape_row("floor50", y, p)
 
 
-def _vectors(rows: Sequence[Sequence[float]]) -> Column:
-    """Literal array of arrays, written as one SQL expression."""
-    return F.expr("array(" + ", ".join("array(" + ", ".join(f"{float(v)!r}D" for v in r) + ")" for r in rows) + ")")
+def _descend(k: int, reg: float, bounds: tuple[float, float]):
+    """UDF: the next weights of a group from its sums at the present ones."""
+    lo, hi = bounds
 
+    def one(g, b, n, w, best, prior, better):
+        w, best, prior = (np.asarray(v, float) for v in (w, best, prior))
+        if not better:
+            return (w + best) / 2  # too far: half the way back
+        a = np.asarray(g, float).reshape(k, k) / n + 2 * reg * np.eye(k)
+        return solve.box_minimum(a, np.asarray(b, float) / n + 2 * reg * prior, lo, hi, 1.0, w)
 
-def _moves(k: int, step: float) -> list[list[float]]:
-    """No move, then ``step`` and half of it from each entry to each other one."""
-    out = [[0.0] * k]
-    for up, down in itertools.permutations(range(k), 2):
-        for d in (step, step / 2):
-            out.append([d if i == up else -d if i == down else 0.0 for i in range(k)])
-    return out
+    @F.pandas_udf("array<double>")
+    def step(g: pd.Series, b: pd.Series, n: pd.Series, w: pd.Series, best: pd.Series, prior: pd.Series, better: pd.Series) -> pd.Series:
+        return pd.Series([one(*row).tolist() if row[2] and row[2] > 0 else list(row[3]) for row in zip(g, b, n, w, best, prior, better, strict=True)])
+
+    return step
 
 
 def convex_search(
@@ -349,16 +346,16 @@ def convex_search(
     reg: float = 0.0,
     prior: DataFrame | None = None,
     bounds: tuple[float, float] = (0.0, 1.0),
-    steps: int = 5,
-    rounds: int = 2,
+    rounds: int = 25,
+    tolerance: float = 1e-5,
     weight: str | None = None,
 ) -> DataFrame:
-    """Weights with the lowest mean loss (plus reg x squared distance to a prior) among searched vectors.
+    """Weights of sum 1 within ``bounds`` with the least mean loss plus reg x squared distance to a prior.
 
-    Round 0 scores a lattice on the simplex (with the prior itself); each later
-    round scores small moves between two models around the best vector so far.
-    Rows meet the candidates inside a task and are averaged there; only one
-    number per candidate and group is shuffled. Result: by, weights, loss.
+    Iteratively reweighted least squares: at the present weights a row's loss is replaced by a parabola of the same slope,
+    so a group needs k x k sums from one grouped pass, whatever its size, and its next weights are an exact small
+    constrained solve. A step that does not lower the objective is halved. Ends when no group gained more than
+    ``tolerance`` of its objective in two passes, or after ``rounds``. Result: by, weights, loss, objective.
     """
     by, k = list(by), len(models)
     rows = wide.na.drop(subset=["y_true", *models]).withColumn("_x", F.array(*[F.col(m).cast("double") for m in models]))
@@ -367,42 +364,48 @@ def convex_search(
         cut = quantile.quantiles(rows, by, "y_true", {"_q90": 0.90})
         rows = rows.join(cut, by).withColumn("_peak", F.col("y_true") >= F.col("_q90"))
         keep.append("_peak")
-    rows = rows.withColumn("_gate", F.col(weight) if weight else F.lit(1.0))
+    rows = rows.withColumn("_gate", F.coalesce(F.col(weight), F.lit(0.0)) if weight else F.lit(1.0))
     rows = materialise(rows.select(*keep, "_gate"), "search")
-    lattice = _vectors(simplex_grid(k, steps))
-    best = rows.select(*by).distinct().withColumn("_c", F.lit(None).cast("array<double>"))
+    state = rows.groupBy(*by).agg((F.avg(F.abs("y_true")) * 1e-5 + 1e-9).alias("_e"))
+    equal = F.array(*[F.lit(1.0 / k)] * k)
     if prior is not None:
         pr = prior.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("model_name", "weight"))).alias("_p"))
         pr = pr.select(*by, F.array(*[F.coalesce(F.try_element_at("_p", F.lit(m)), F.lit(0.0)) for m in models]).alias("_prior"))
-        best = best.join(pr, by, "left")
+        state = state.join(pr, by, "left").withColumn("_prior", F.coalesce("_prior", equal))
     else:
-        best = best.withColumn("_prior", F.lit(None).cast("array<double>"))
-    best = best.withColumn("_prior", F.coalesce("_prior", F.array(*[F.lit(1.0 / k)] * k)))
+        state = state.withColumn("_prior", equal)
     lo, hi = bounds
-    step = 1.0 / steps
-    for r in range(rounds + 1):
-        if r == 0:
-            inside = F.filter(lattice, lambda c: F.forall(c, lambda v: (v >= lo) & (v <= hi)))
-            cands = F.concat(inside, F.array(F.col("_prior")))
-        else:
-            step /= 2
-            around = F.transform(_vectors(_moves(k, step)), lambda o: F.zip_with("_c", o, lambda a, b: a + b))
-            cands = F.filter(around, lambda c: F.forall(c, lambda v: (v >= lo - 1e-12) & (v <= hi + 1e-12)))
-        scored = (
-            rows.join(best.select(*by, "_prior", cands.alias("_cs")), by)
-            .select(*rows.columns, "_prior", F.posexplode("_cs").alias("_i", "_w"))
-            .withColumn("_f", F.aggregate(F.zip_with("_w", "_x", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v))
-            .groupBy(*by, "_i")
-            .agg(F.first("_w").alias("_w"), F.first("_prior").alias("_prior"), scores.weighted_mean(_loss(loss, F.col("y_true"), F.col("_f")), F.col("_gate")).alias("_l"))
-        )
+    inside = F.pandas_udf(lambda s: s.map(lambda v: solve.project_box(np.asarray(v, float), lo, hi).tolist()), "array<double>")
+    state = state.withColumn("_w", inside("_prior")).withColumn("_best", F.col("_w"))
+    state = materialise(state.withColumns({"_obj": F.lit(float("inf")), "loss": F.lit(float("inf")), "_idle": F.lit(0)}), "state")
+    step, pairs = _descend(k, reg, bounds), [(i, j) for i in range(k) for j in range(i, k)]
+    for _ in range(rounds):
+        dot = F.aggregate(F.zip_with("_w", "_x", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+        at = rows.join(state.select(*by, "_w", "_e"), by).withColumn("_f", dot).withColumn("_d", F.col("_f") - F.col("y_true"))
+        y, f, e = F.col("y_true"), F.col("_f"), F.col("_e")
+        near = F.abs("_d") < e  # at the kink: the parabola through the loss at distance e
+        off = F.when(near, y + e).otherwise(f)
+        at = at.withColumn("_l", _loss(loss, y, f)).withColumn("_q", _loss(loss, y, off) / ((off - y) * (off - y)))
+        slope = (_loss(loss, y, f + e / 4) - _loss(loss, y, f - e / 4)) / (e / 2)
+        at = at.withColumn("_s", F.when(near, F.lit(0.0)).otherwise(slope - F.col("_q") * F.col("_d")))
+        q, target = F.col("_gate") * F.col("_q"), F.col("_gate") * (F.col("_q") * y - F.col("_s"))
+        sums = at.groupBy(*by).agg(
+            *[F.sum(q * F.col("_x")[i] * F.col("_x")[j]).alias(f"_g{i}_{j}") for i, j in pairs],
+            *[F.sum(target * F.col("_x")[i]).alias(f"_b{i}") for i in range(k)],
+            F.sum("_gate").alias("_n"), scores.weighted_mean(F.col("_l"), F.col("_gate")).alias("_now"),
+        )
+        g = F.array(*[F.col(f"_g{min(i, j)}_{max(i, j)}") for i in range(k) for j in range(k)])
         pull = F.aggregate(F.zip_with("_w", "_prior", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)
-        scored = scored.withColumn("_o", F.col("_l") + reg * pull)
-        best = scored.groupBy(*by).agg(
-            F.min_by(F.struct(F.col("_w").alias("c"), F.col("_prior").alias("p"), F.col("_l").alias("l"), F.col("_o").alias("o")), F.struct("_o", "_i")).alias("_b")
-        ).select(*by, F.col("_b.c").alias("_c"), F.col("_b.p").alias("_prior"), F.col("_b.l").alias("loss"), F.col("_b.o").alias("objective"))
-        if r < rounds:
-            best = materialise(best, "best")
-    return best.select(*by, F.col("_c").alias("weights"), "loss", "objective")
+        new = state.join(sums, by).withColumn("_o", F.coalesce(F.col("_now") + reg * pull, F.lit(float("inf"))))
+        better = F.col("_o") < F.col("_obj")
+        gained = better & (F.col("_obj") - F.col("_o") > tolerance * F.abs("_o"))
+        new = new.withColumns({"_better": better, "_idle": F.when(gained, 0).otherwise(F.col("_idle") + 1)})
+        new = new.withColumns({c: F.when(F.col("_better"), F.col(v)).otherwise(F.col(c)) for c, v in (("_best", "_w"), ("loss", "_now"), ("_obj", "_o"))})
+        new = new.withColumn("_w", step(g, F.array(*[F.col(f"_b{i}") for i in range(k)]), "_n", "_w", "_best", "_prior", "_better"))
+        state = materialise(new.select(*by, "_e", "_prior", "_w", "_best", "_obj", "loss", "_idle"), "state")
+        if not state.where("_idle < 3").take(1):
+            break
+    return state.select(*by, F.col("_best").alias("weights"), "loss", F.col("_obj").alias("objective"))
 
 
 def as_long(found: DataFrame, by: Sequence[str], models: Sequence[str]) -> DataFrame:

@@ -150,10 +150,10 @@ def shrink(df: DataFrame, weights: DataFrame, by: Sequence[str], prior: DataFram
 
 
 def tap_refit(df: DataFrame, by: Sequence[str], models: Sequence[str], prior: DataFrame, lam: float = 0.05, floor: float = FLOOR) -> DataFrame:
-    """Gated composite loss near the prior, by candidate search."""
+    """Least gated composite loss near the prior, no weight below the floor."""
     point = [*by, "ds"]
     wide = fusion.wide_frame(df, point, models, ["sample_gate"])
-    found = fusion.convex_search(wide, by, models, "composite", lam, prior, (floor, 1.0), steps=4, rounds=2, weight="sample_gate")
+    found = fusion.convex_search(wide, by, models, "composite", lam, prior, (floor, 1.0), weight="sample_gate")
     return fusion.as_long(found, by, models)
 
 

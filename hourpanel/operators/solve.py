@@ -6,7 +6,6 @@ however many rows it was fitted on. Batches of groups run inside tasks.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
 import numpy as np
@@ -48,28 +47,58 @@ def pack(agg: DataFrame, by: Sequence[str], k: int, extra: Sequence[str] = ()) -
     )
 
 
-def _support_solve(a: np.ndarray, b: np.ndarray, simplex: bool) -> np.ndarray:
-    """Exact minimum of w'aw/2 - b'w over w >= 0 (and sum 1), by trying every support of the few models."""
+def box_minimum(a: np.ndarray, b: np.ndarray, lo: float = 0.0, hi: float = np.inf, total: float | None = 1.0, start: np.ndarray | None = None) -> np.ndarray:
+    """Minimum of w'aw/2 - b'w with lo <= w <= hi and, unless ``total`` is None, sum w = total: a primal active-set method.
+
+    Every step moves to the minimum over the free entries or to the first bound on the way; at such a minimum the entry
+    whose multiplier has the wrong sign most is set free.
+    """
     k = len(b)
-    best, best_val = np.full(k, 1.0 / k) if simplex else np.zeros(k), np.inf
-    for r in range(1, k + 1):
-        for sup in itertools.combinations(range(k), r):
-            idx = list(sup)
-            sub = a[np.ix_(idx, idx)]
-            if simplex:
-                m = np.zeros((r + 1, r + 1))
-                m[:r, :r], m[:r, r], m[r, :r] = sub, 1.0, 1.0
-                sol = np.linalg.lstsq(m, np.append(b[idx], 1.0), rcond=None)[0][:r]
+    scale = max(float(np.abs(np.diag(a)).max()), 1e-12)
+    a, b = a / scale + 1e-12 * np.eye(k), b / scale
+    w = np.full(k, max(lo, 0.0)) if total is None else np.full(k, total / k)
+    if start is not None:
+        w = start.astype(float)
+    w = np.clip(w, lo, hi)
+    if total is not None and abs(w.sum() - total) > 1e-9:
+        w = project_box(w / total, lo / total, hi / total) * total
+    side = np.where(w <= lo + 1e-12, -1, np.where(w >= hi - 1e-12, 1, 0))
+    for _ in range(60 * k):
+        free = np.flatnonzero(side == 0)
+        slope = a @ w - b
+        step, level = np.zeros(k), 0.0
+        if len(free):
+            n = len(free)
+            kkt, right = np.zeros((n + 1, n + 1)), np.zeros(n + 1)
+            kkt[:n, :n], right[:n] = a[np.ix_(free, free)], -slope[free]
+            if total is None:
+                kkt[n, n] = 1.0
             else:
-                sol = np.linalg.lstsq(sub, b[idx], rcond=None)[0]
-            if (sol < -1e-9).any():
-                continue
-            w = np.zeros(k)
-            w[idx] = np.maximum(sol, 0.0)
-            val = 0.5 * w @ a @ w - b @ w
-            if val < best_val - 1e-12:
-                best, best_val = w, val
-    return best / best.sum() if simplex and best.sum() > 0 else best
+                kkt[:n, n] = kkt[n, :n] = 1.0
+            found = np.linalg.lstsq(kkt, right, rcond=None)[0]
+            step[free], level = found[:n], -found[n] if total is not None else 0.0
+        elif total is not None:
+            up, down = np.flatnonzero(side == -1), np.flatnonzero(side == 1)
+            level = slope[down].max() if len(down) else slope[up].min()
+        if np.abs(step).max() > 1e-11:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                room = np.where(step > 0, (hi - w) / step, np.where(step < 0, (lo - w) / step, np.inf))
+            t = min(1.0, max(0.0, float(room.min())))
+            w = w + t * step
+            if t < 1.0:
+                i = int(room.argmin())
+                side[i] = 1 if step[i] > 0 else -1
+                w[i] = hi if step[i] > 0 else lo
+            continue
+        wrong = np.where(side == -1, level - slope, np.where(side == 1, slope - level, 0.0))
+        i = int(wrong.argmax())
+        if wrong[i] <= 1e-10:
+            break
+        side[i] = 0
+        if not len(free) and total is not None:  # a single free entry cannot move: free the one that sets the level too
+            others = np.flatnonzero(side == 1) if (side == 1).any() else np.flatnonzero(side == -1)
+            side[others[np.argmax(slope[others]) if (side == 1).any() else np.argmin(slope[others])]] = 0
+    return w
 
 
 def project_box(v: np.ndarray, lo: float, hi: float) -> np.ndarray:
@@ -77,10 +106,10 @@ def project_box(v: np.ndarray, lo: float, hi: float) -> np.ndarray:
     k = len(v)
     if k == 1:
         return np.ones(1)
-    v = np.clip(v, lo, hi)
+    v = np.clip(v, lo, min(hi, 1e12))
     if abs(v.sum() - 1.0) <= 1e-9:
         return v
-    a, b = v.min() - hi, v.max() - lo
+    a, b = v.min() - min(hi, 1 - (k - 1) * lo), v.max() - lo
     for _ in range(100):
         mid = (a + b) / 2
         if np.clip(v - mid, lo, hi).sum() > 1.0:
@@ -90,6 +119,30 @@ def project_box(v: np.ndarray, lo: float, hi: float) -> np.ndarray:
     return np.clip(v - (a + b) / 2, lo, hi)
 
 
+def pin_and_share(v: np.ndarray, lo: float, hi: float) -> np.ndarray:
+    """The published rule for entries in [lo, hi] and sum 1: clip; the rest of 1 is shared among the entries inside the
+    bounds, in equal parts once anything was pinned, until nothing new is pinned."""
+    k = len(v)
+    if k == 1:
+        return np.ones(1)
+    w = np.clip(v, lo, hi)
+    if abs(w.sum() - 1.0) <= 1e-9:
+        return w
+    pinned = (v < lo) | (v > hi)
+    for _ in range(k + 1):
+        free = ~pinned
+        if not free.any():
+            break
+        left = 1.0 - w[pinned].sum()
+        w[free] = left / free.sum() if pinned.any() else w[free] + (left - w[free].sum()) / free.sum()
+        out = free & ((w < lo) | (w > hi))
+        if not out.any():
+            break
+        w[out] = np.clip(w[out], lo, hi)
+        pinned |= out
+    return w
+
+
 def fit_column(method: str, k: int, alpha: float = 1.0, n_models: int | None = None, bounds: tuple[float, float] = (-0.5, 1.2), anchor: int = 0, anchor_weight: float = 0.9):
     """Vectorised UDF over (g, b, s, sy, n) rows giving an array of weights.
 
@@ -102,11 +155,11 @@ def fit_column(method: str, k: int, alpha: float = 1.0, n_models: int | None = N
     def one(g, b, s, sy, n):
         a, b, s = np.asarray(g, float).reshape(k, k), np.asarray(b, float), np.asarray(s, float)
         if method == "convex":
-            return _support_solve(a, b, True) if k > 1 else np.ones(1)
+            return box_minimum(a, b) if k > 1 else np.ones(1)
         if method == "ridge":
             return np.linalg.lstsq(a + alpha * np.eye(k), b, rcond=None)[0]
         if method == "ridge_nonnegative":
-            return _support_solve(a + alpha * np.eye(k), b, False)
+            return box_minimum(a + alpha * np.eye(k), b, total=None)
         if method in ("ridge_intercept", "ridge_projected"):
             centred = a - np.outer(s, s) / n
             coef = np.linalg.lstsq(centred + alpha * np.eye(k), b - s * sy / n, rcond=None)[0]
@@ -118,7 +171,7 @@ def fit_column(method: str, k: int, alpha: float = 1.0, n_models: int | None = N
             w = np.zeros(k)
             w[anchor] = anchor_weight if rest else 1.0
             if rest:
-                w[rest] = (1 - anchor_weight) * (_support_solve(a[np.ix_(rest, rest)], b[rest], True) if len(rest) > 1 else 1.0)
+                w[rest] = (1 - anchor_weight) * (box_minimum(a[np.ix_(rest, rest)], b[rest]) if len(rest) > 1 else 1.0)
             return w
         raise ValueError(f"unknown method {method!r}")
 

@@ -76,20 +76,58 @@ def test_convex_solution_beats_lattice(panel):
         sel = got[(got[BY] == list(key)).all(axis=1)].set_index("model_name").weight[MODELS].to_numpy()
         assert sel.min() >= 0 and abs(sel.sum() - 1) < 1e-9
         loss = lambda v: np.mean((part.y_true - part[MODELS].to_numpy() @ np.asarray(v)) ** 2)
-        assert loss(sel) <= min(loss(c) for c in fusion.simplex_grid(3, 20)) + 1e-6
+        assert loss(sel) <= min(loss(c) for c in simplex_grid(3, 20)) + 1e-6
 
 
-def test_search_reaches_the_lattice_best(panel):
+def simplex_grid(k, steps):
+    return [tuple((b - a - 1) / steps for a, b in zip((-1, *c), (*c, steps + k - 1))) for c in itertools.combinations(range(steps + k - 1), k - 1)]
+
+
+def test_search_is_not_above_a_fine_lattice(panel):
     pdf, df = panel
-    got = fusion.convex_search(fusion.wide_frame(df, POINT, MODELS), BY, MODELS, steps=5, rounds=1).toPandas()
+    got = fusion.convex_search(fusion.wide_frame(df, POINT, MODELS), BY, MODELS).toPandas()
     w = pdf.pivot_table(index=[*BY, "ds", "y_true"], columns="model_name", values="y_pred").reset_index()
     for key, part in w.groupby(BY):
         row = got[(got[BY] == list(key)).all(axis=1)].iloc[0]
-        best = min(v1(part.y_true.to_numpy(), part[MODELS].to_numpy() @ np.asarray(c)) for c in fusion.simplex_grid(3, 5))
-        assert row.loss <= best + 1e-9
+        best = min(v1(part.y_true.to_numpy(), part[MODELS].to_numpy() @ np.asarray(c)) for c in simplex_grid(3, 40))
+        assert row.loss <= best + 2e-4 * abs(best)
         assert row.loss == pytest.approx(v1(part.y_true.to_numpy(), part[MODELS].to_numpy() @ np.asarray(row.weights)))
 
 
+@pytest.mark.parametrize(("truth", "bounds", "loss"), [
+    ((1.0, -0.4, 0.4), (-0.5, 1.2), "floor50"), ((0.53, 0.34, 0.13), (0.0, 1.0), "mae"), ((0.6, 0.1, 0.1, 0.1, 0.1), (0.03, 1.0), "composite"), ((0.02, 0.9, 0.08), (0.0, 1.0), "floor50"),
+])
+def test_search_finds_the_truth(make, truth, bounds, loss):
+    rng = np.random.default_rng(5)
+    x = rng.normal(100, 60, (400, len(truth)))
+    names = [f"m{i}" for i in range(len(truth))]
+    pdf = pd.DataFrame(x, columns=names).assign(g=1, y_true=x @ np.array(truth))
+    row = fusion.convex_search(make(pdf), ["g"], names, loss, bounds=bounds).toPandas().iloc[0]
+    assert row.loss < 1e-3 and np.allclose(row.weights, truth, atol=1e-3) and abs(sum(row.weights) - 1) < 1e-9
+
+
+def test_small_solves_equal_trying_all_supports():
+    rng = np.random.default_rng(6)
+    for trial in range(200):
+        k = int(rng.integers(1, 6))
+        m = rng.normal(size=(k + 2, k))
+        a, b = m.T @ m, rng.normal(size=k) * 3
+        total, lo, hi = (1.0, 0.0, np.inf) if trial % 2 else (None, 0.0, np.inf)
+        w = solve.box_minimum(a, b, lo, hi, total)
+        best = np.inf
+        for r in range(0 if total is None else 1, k + 1):
+            for sup in itertools.combinations(range(k), r):
+                i, v = list(sup), np.zeros(k)
+                if total is None:
+                    v[i] = np.linalg.lstsq(a[np.ix_(i, i)], b[i], rcond=None)[0]
+                else:
+                    kkt = np.block([[a[np.ix_(i, i)], np.ones((r, 1))], [np.ones((1, r)), np.zeros((1, 1))]])
+                    v[i] = np.linalg.lstsq(kkt, np.append(b[i], 1.0), rcond=None)[0][:r]
+                if (v >= -1e-9).all():
+                    best = min(best, 0.5 * v @ a @ v - b @ v)
+        assert 0.5 * w @ a @ w - b @ w <= best + 1e-7 and w.min() >= -1e-12 and (total is None or abs(w.sum() - 1) < 1e-9)
+
+
 def test_bgew_closed_form_equals_updates(panel):
     pdf, df = panel
     got = learners.bgew(df, BY, 3).toPandas().set_index([*BY, "model_name"]).weight
