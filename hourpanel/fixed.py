@@ -19,24 +19,18 @@ PREDICTION_MODE_WORDS = {
 TASKS = ("dayahead", "realtime")
 PERIODS = ("1_8", "9_16", "17_24")
 
-# Quantities of the market table. Each has a forecast and an actual column.
-QUANTITY_WORDS = {
-    "local_plant": "地方电厂总加",
-    "tie_line": "联络线受电负荷",
-    "wind": "风电总加",
-    "solar": "光伏总加",
-    "nuclear": "核电总加",
-    "self_supply": "自备机组总加",
-    "test_unit": "试验机组总加",
-    "dispatched_load": "直调负荷",
-    "bidding_space": "竞价空间",
-    "renewable": "新能源总加",
-}
-FORECAST_COLUMNS = tuple(f"{q}_forecast" for q in QUANTITY_WORDS)
-ACTUAL_COLUMNS = tuple(f"{q}_actual" for q in QUANTITY_WORDS)
+# Columns of the market table.
+FORECAST_COLUMNS = (
+    "local_plant_forecast", "tie_line_forecast", "wind_forecast", "solar_forecast", "nuclear_forecast",
+    "self_supply_forecast", "test_unit_forecast", "dispatched_load_forecast", "bidding_space_forecast", "renewable_forecast",
+)
+ACTUAL_COLUMNS = (
+    "local_plant_actual", "tie_line_actual", "wind_actual", "solar_actual", "nuclear_actual",
+    "self_supply_actual", "test_unit_actual", "dispatched_load_actual", "bidding_space_actual", "renewable_actual",
+)
 MARKET_COLUMNS = ("ds", "da_price", "rt_price", *FORECAST_COLUMNS, *ACTUAL_COLUMNS)
 
-# Header words accepted for timestamp and prices.
+# Header words accepted for the columns of the market table.
 MARKET_ALIASES = {
     "timestamp": "ds",
     "datetime": "ds",
@@ -53,8 +47,26 @@ MARKET_ALIASES = {
     "real_time_clearing_price": "rt_price",
     "realtime_price": "rt_price",
     "real_time_price": "rt_price",
-    **{f"{zh}预测值": f"{en}_forecast" for en, zh in QUANTITY_WORDS.items()},
-    **{f"{zh}实际值": f"{en}_actual" for en, zh in QUANTITY_WORDS.items()},
+    "地方电厂总加预测值": "local_plant_forecast",
+    "联络线受电负荷预测值": "tie_line_forecast",
+    "风电总加预测值": "wind_forecast",
+    "光伏总加预测值": "solar_forecast",
+    "核电总加预测值": "nuclear_forecast",
+    "自备机组总加预测值": "self_supply_forecast",
+    "试验机组总加预测值": "test_unit_forecast",
+    "直调负荷预测值": "dispatched_load_forecast",
+    "竞价空间预测值": "bidding_space_forecast",
+    "新能源总加预测值": "renewable_forecast",
+    "地方电厂总加实际值": "local_plant_actual",
+    "联络线受电负荷实际值": "tie_line_actual",
+    "风电总加实际值": "wind_actual",
+    "光伏总加实际值": "solar_actual",
+    "核电总加实际值": "nuclear_actual",
+    "自备机组总加实际值": "self_supply_actual",
+    "试验机组总加实际值": "test_unit_actual",
+    "直调负荷实际值": "dispatched_load_actual",
+    "竞价空间实际值": "bidding_space_actual",
+    "新能源总加实际值": "renewable_actual",
 }
 EXTERNAL_ALIASES = {"target_day": "business_day", "ds": "timestamp"}
 LONG_TABLE_ALIASES = {
