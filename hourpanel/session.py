@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,26 +31,41 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "hou
 
 
 _OWN_DIR: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a session that names none (tests, bench on one machine) gets a
-    temporary folder, one per application.
+    Only a local session that names none (tests, bench) gets a temporary
+    folder, one per application; on a cluster it would not be shared, so there
+    the setting is required.
     """
     root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if root:
         return root
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[[^,]*(,[^,]*)?\])?$", master):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return _OWN_DIR[app]
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Delete the intermediate tables that this application wrote; results that still read them must be done."""
+    jvm = spark._jvm
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for one run under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -61,3 +77,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster where it is not installed."""
+    import os
+    import shutil
+
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-"), os.path.basename(here))
+    spark.sparkContext.addPyFile(shutil.make_archive(target, "zip", os.path.dirname(here), os.path.basename(here)))
