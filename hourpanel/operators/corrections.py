@@ -379,15 +379,18 @@ def residual_stack(
     with_negative: bool = True,
     spike: SpikeProfile = SpikeProfile(),
     negative: NegativeProfile = NegativeProfile(),
+    order: Sequence[str] = (),
+    keep: str = "last",
 ) -> DataFrame:
     """High-spike, then downward, then final guardrail, with reasons and module sequence.
 
+    Of repeated hours the ``keep`` ("first" or "last") row by the ``order`` columns stays; values only break ties.
     An active spike blocks the downward step; the result never falls below a
     lifted value, and outside 9_16 by at most a fifth.
     """
     series = list(series)
     rest = [c for c in df.columns if c not in (*series, "business_day", "hour_business")]
-    df = dedupe.keep_one(df, [*series, "business_day", "hour_business"], rest, last=True)
+    df = dedupe.keep_one(df, [*series, "business_day", "hour_business"], [*order, *[c for c in rest if c not in order]], last=keep == "last")
     up = lift_candidates(lift_history, series) if lift_history is not None else None
     down = downward_candidates(lift_history, series) if lift_history is not None else None
     base = F.coalesce("base_fused_pred", F.lit(0.0))

@@ -25,12 +25,18 @@ def append_rows(old: DataFrame, new: DataFrame, force: bool = False, key: Sequen
     return old.unionByName(new.join(old.select(*key).distinct(), key, "left_anti"), allowMissingColumns=True)
 
 
+def between(table: DataFrame, batch: DataFrame, day: str) -> DataFrame:
+    """Rows of a table partitioned by ``day`` within the days of ``batch``; the bounds are literals, so folders are pruned."""
+    low, high = batch.agg(F.min(day), F.max(day)).first()
+    return table.where(F.lit(False)) if low is None else table.where(F.col(day).between(F.lit(low), F.lit(high)))
+
+
 def append_to_table(spark: SparkSession, path: str, new: DataFrame, force: bool = False, key: Sequence[str] = fixed.LEDGER_KEY) -> None:
     """Append to a Parquet ledger partitioned by target and forecast_date.
 
-    Only the partitions of the batch are read. Skipping appends the fresh rows;
-    forcing rewrites those partitions alone, staged through a table first since
-    a partition cannot be overwritten while it is being read.
+    Folders from the first to the last forecast_date of the batch are read. Skipping appends the fresh rows. Forcing
+    rewrites the batch's partitions from a table that is staged in the shared folder first; if that rewrite is
+    interrupted, the staged rows are still there, and running the same batch again completes it.
     """
     from ..session import materialise
 
@@ -40,7 +46,7 @@ def append_to_table(spark: SparkSession, path: str, new: DataFrame, force: bool
     if not fs.exists(hadoop):
         new.write.partitionBy(*parts).parquet(path)
         return
-    old = spark.read.schema(new.schema).parquet(path)
+    old = between(spark.read.schema(new.schema).parquet(path), new, "forecast_date")
     touched = new.select(*parts).distinct()
     old = old.join(touched, parts, "left_semi")
     if not force:

@@ -101,10 +101,52 @@ def _(t):
     return back.groupBy("run_day").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("da").cast("double")).alias("y_sum"))
 
 
-def event_stream(t):
+NOTES = (("utf-8", "实时电价"), ("gbk", "日前电价"), ("gb18030", "㐀电价"))  # the last one has a character that only its encoding has
+
+
+@query(
+    "csv_encodings",
+    "file_encoding:s n_nationkey:i n_name:s note:s",
+    "SELECT e.enc AS file_encoding, n_nationkey, n_name, CASE WHEN n_nationkey = (SELECT max(n_nationkey) FROM nation) THEN e.note END AS note FROM nation, (VALUES "
+    + ", ".join(f"('{e}', '{n}')" for e, n in NOTES)
+    + ") AS e(enc, note)",
+)
+def _(t):
+    """One folder of files in three encodings, the only character outside ASCII in the last row of each."""
+    path = scratch_path(t.spark, "encodings")
+    nation = t.table("nation").select("n_nationkey", "n_name")
+    last = nation.agg(F.max("n_nationkey")).first()[0]
+    for enc, note in NOTES:
+        as_bytes = note.encode(enc).decode("iso-8859-1")
+        rows = nation.select(F.lit(enc).alias("file_encoding"), "n_nationkey", "n_name", F.when(F.col("n_nationkey") == last, F.lit(as_bytes)).alias("note"))
+        rows.orderBy("n_nationkey").coalesce(1).write.mode("append").option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return tables.read_csv(t.spark, path)
+
+
+@query(
+    "ledger_stream_late_rows",
+    "kept:i late_kept:i",
+    "SELECT count(*) AS kept, count(*) FILTER (WHERE run_date < (SELECT max(CAST(ts AS DATE)) FROM events) - 3) AS late_kept FROM (SELECT DISTINCT user_id % 3 AS s, CAST(ts AS DATE) AS run_date, CASE WHEN hour(ts) = 0 THEN CAST(ts AS DATE) - 1 ELSE CAST(ts AS DATE) END AS d, CASE WHEN hour(ts) = 0 THEN 24 ELSE hour(ts) END AS h, event_type FROM events)",
+)
+def _(t):
+    """Newest rows first, older ones by a second start of the job: what comes days late is kept."""
+    path, source = scratch_path(t.spark, "late"), scratch_path(t.spark, "late-source")
+    rows = t.table("events")
+    newest = F.to_date(rows["ts"]) >= F.date_sub(F.lit(rows.agg(F.max(F.to_date("ts"))).first()[0]), 3)
+    key = ["series_id", *fixed.LEDGER_KEY]
+    for part in (newest, ~newest):
+        rows.where(part).write.mode("append").parquet(source)
+        stream = event_stream(t, source).withColumn("target", F.lit("realtime")).drop("event_id", "user_id").withColumnRenamed("value", "y_pred")
+        jobs.ledger_ingest(stream, path, f"{path}-progress", key=key).awaitTermination()
+    back = t.spark.read.schema(stream.drop("event_time").schema).parquet(path)
+    late = F.col("run_date") < F.date_sub(F.lit(rows.agg(F.max(F.to_date("ts"))).first()[0]), 3)
+    return back.agg(F.count(F.lit(1)).alias("kept"), F.count_if(late).alias("late_kept"))
+
+
+def event_stream(t, path=None):
     """The events table as a stream of files, with the panel's derived columns."""
     schema = t.table("events").schema
-    raw = jobs.read_directory(t.spark, f"{t.sf_dir}/event[s].parquet", schema)  # a glob: the table may be a file or a folder
+    raw = jobs.read_directory(t.spark, path or f"{t.sf_dir}/event[s].parquet", schema)  # a glob: the table may be a file or a folder
     day, hour = clock.business_clock(clock.hour_floor("ts"))
     return raw.select(
         F.pmod("user_id", F.lit(SERIES_COUNT)).cast("int").alias("series_id"), F.col("ts").cast("timestamp").alias("event_time"), F.to_date("ts").alias("run_date"),
@@ -121,8 +163,8 @@ def _(t):
     path = scratch_path(t.spark, "ledger")
     rows = event_stream(t).withColumn("target", F.lit("realtime")).drop("event_id", "user_id").withColumnRenamed("value", "y_pred")
     key = ["series_id", *fixed.LEDGER_KEY]
-    for _ in range(2):  # the second run starts from scratch and must add nothing
-        jobs.ledger_ingest(rows, path, late="40 days", key=key).awaitTermination()
+    for run in range(2):  # the second run starts from scratch and must add nothing
+        jobs.ledger_ingest(rows, path, f"{path}-progress-{run}", key=key).awaitTermination()
     return t.spark.read.parquet(path).groupBy("series_id", "forecast_date").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -137,5 +179,5 @@ def _(t):
     pack = event_stream(t).where("model_name = 'click'").select(
         "series_id", F.col("forecast_date").alias("business_day"), F.col("hour_business").alias("target_hour"), (F.col("user_id") % 5 + 10).alias("cutoff_hour"), "event_id"
     )
-    jobs.intraday_latest(pack, path, ["series_id", "business_day", "target_hour"], ["event_id"]).awaitTermination()
+    jobs.intraday_latest(pack, path, f"{path}-progress", ["series_id", "business_day", "target_hour"], ["event_id"]).awaitTermination()
     return t.spark.read.parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
@@ -28,12 +29,14 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header, all columns text unless a schema is given.
 
-    Without ``encoding`` the first one that decodes the header cleanly is taken;
-    only the first line is looked at, so the probe does not grow with the file.
+    Without ``encoding`` every file gets the first one of ``ENCODINGS`` that decodes all of its lines, and files of
+    different encodings are read apart and put together by column name.
     """
     if encoding is None:
-        head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 65536).alias("head")).first()
-        encoding = probe_encoding(bytes(head["head"])) if head else ENCODINGS[0]
+        parts = [read_csv(spark, files, enc, schema, skip_bad_lines) for enc, files in sorted(file_encodings(spark, path).items())]
+        if not parts:
+            return read_csv(spark, path, ENCODINGS[0], schema, skip_bad_lines)
+        return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     reader = spark.read.option("header", True).option("mode", "DROPMALFORMED" if skip_bad_lines else "PERMISSIVE")
     if encoding.lower() in NATIVE_ENCODINGS:
         reader = reader.option("encoding", encoding)
@@ -46,6 +49,34 @@ def read_csv(
     return df.withColumnsRenamed({c: c.lstrip("\ufeff") for c in df.columns if c.startswith("\ufeff")})
 
 
+def file_encodings(spark: SparkSession, path: str | Sequence[str]) -> dict[str, list[str]]:
+    """Files by encoding, judged on every line. Lines are the unit of work, so a large file is read by many tasks; the
+    driver gets one row per file, as it does when it lists them."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("raw"))
+    first = lines.groupBy("file").agg(F.min(F.is_valid_utf8(F.col("raw").cast("string"))).alias("utf8"))
+
+    @F.pandas_udf("boolean")
+    def decodes(raw: pd.Series) -> pd.Series:
+        def good(b: bytes) -> bool:
+            try:
+                b.decode("gbk")
+            except UnicodeDecodeError:
+                return False
+            return True
+
+        return raw.map(good)
+
+    found: dict[str, list[str]] = {}
+    other = []
+    for r in first.collect():
+        (found.setdefault(ENCODINGS[0], []) if r["utf8"] else other).append(r["file"])
+    if other:
+        rest = spark.read.text(other).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("raw"))
+        for r in rest.groupBy("file").agg(F.min(decodes("raw")).alias("gbk")).collect():
+            found.setdefault(ENCODINGS[1] if r["gbk"] else ENCODINGS[2], []).append(r["file"])
+    return {enc: sorted(files) for enc, files in found.items()}
+
+
 NATIVE_ENCODINGS = ("utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32")
 
 
@@ -60,33 +91,26 @@ def _decode_text(df: DataFrame, encoding: str) -> DataFrame:
     return df.withColumns({c: decode(F.col(f"`{c}`")) for c in text}).withColumnsRenamed(names)
 
 
-def probe_encoding(head: bytes) -> str:
-    """First encoding that decodes the bytes; a cut final character is forgiven."""
-    import codecs
-
-    for enc in ENCODINGS:
-        try:
-            codecs.getincrementaldecoder(enc)().decode(head, final=False)
-            return enc
-        except UnicodeDecodeError:
-            continue
-    return ENCODINGS[-1]
-
-
 def load_market(
     df: DataFrame,
     exogenous: Sequence[str] = (),
     series: Sequence[str] = (),
     required: Sequence[str] = ("ds",),
     aliases: Mapping[str, str] = fixed.MARKET_ALIASES,
+    order: Sequence[str] = (),
+    keep: str = "last",
 ) -> DataFrame:
-    """Rename, require, coerce, one row per timestamp, fill exogenous gaps forward then 0."""
+    """Rename, require, coerce, one row per timestamp, fill exogenous gaps forward then 0.
+
+    ``order`` names the columns of the input order (ingest time, file, position); the ``keep`` ("first" or "last") row by
+    them stays. Values only break ties.
+    """
     df = normalize.rename_aliases(df, aliases)
     normalize.require(df, [*required, *exogenous])
     numeric = [c for c in df.columns if c in fixed.MARKET_COLUMNS[1:] or c in exogenous]
     df = df.withColumns({"ds": F.col("ds").try_cast("timestamp_ntz"), **{c: clean(c) for c in numeric}})
     df = df.where(F.col("ds").isNotNull())
-    df = dedupe.keep_one(df, [*series, "ds"], [c for c in numeric] or ["ds"], last=True)
+    df = dedupe.keep_one(df, [*series, "ds"], [*order, *numeric] or ["ds"], last=keep == "last")
     if not exogenous:
         return df
     keys = list(series)

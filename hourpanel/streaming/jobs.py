@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import fixed
 from ..operators import dedupe, ledger
-from ..session import materialise, scratch_path
+from ..session import materialise
 
 
 def read_directory(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 100) -> DataFrame:
@@ -22,53 +22,47 @@ def read_directory(spark: SparkSession, path: str, schema: T.StructType, files_p
 def ledger_ingest(
     rows: DataFrame,
     path: str,
+    checkpoint: str,
     event_time: str = "event_time",
-    late: str = "2 days",
     key: Sequence[str] = fixed.LEDGER_KEY,
-    checkpoint: str | None = None,
     force: bool = False,
 ) -> StreamingQuery:
-    """Append a stream of ledger rows, one per key.
+    """Append a stream of ledger rows, one per key, however late they come.
 
-    The watermark bounds the key state kept for repeats inside the stream; the
-    append itself skips keys already in the table, which also makes a replayed
-    batch after a failure harmless.
+    A batch is reduced to one row per key (the earliest event, then the smallest values), and the append skips keys that
+    the table has. So no state is kept, no row is dropped for its age, and a replayed batch changes nothing.
+    ``checkpoint`` must be the same folder at every start of the job.
     """
-    spark = rows.sparkSession
-    once = rows.withWatermark(event_time, late).dropDuplicatesWithinWatermark(list(key)).drop(event_time)
 
     def write(batch: DataFrame, _: int) -> None:
-        # Written out first: the append reads it more than once, the stream's state must be touched only once.
-        ledger.append_to_table(batch.sparkSession, path, materialise(batch, "ledger-micro-batch"), force, key)
+        once = dedupe.keep_one(batch, list(key), [event_time, *[c for c in batch.columns if c not in (*key, event_time)]], last=False).drop(event_time)
+        # Written out first: the append reads it more than once, the source must be read only once.
+        ledger.append_to_table(batch.sparkSession, path, materialise(once, "ledger-micro-batch"), force, key)
 
-    return (
-        once.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint or scratch_path(spark, "ledger-stream"))
-        .trigger(availableNow=True)
-        .start()
-    )
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def intraday_latest(
     pack: DataFrame,
     path: str,
+    checkpoint: str,
     keys: Sequence[str] = ("business_day", "target_hour"),
     tie: Sequence[str] = (),
-    checkpoint: str | None = None,
 ) -> StreamingQuery:
     """Keep the highest cutoff per key in a table of one Parquet folder per day.
 
-    Each batch is reduced by itself and merged with just the days it touches.
+    Each batch is reduced by itself and merged with the days between its first and last, found by their folders. A day's
+    folder is replaced after the merged rows were written to the shared folder; a batch that was interrupted in between is
+    run again by the stream from its checkpoint. ``checkpoint`` must be the same folder at every start of the job.
     """
-    spark = pack.sparkSession
     schema = pack.schema
 
     def merge(batch: DataFrame, _: int) -> None:
         s = batch.sparkSession
-        fresh = dedupe.keep_one(batch, keys, ["cutoff_hour", *tie], last=True)
+        fresh = materialise(dedupe.keep_one(batch, keys, ["cutoff_hour", *tie], last=True), "intraday-micro-batch")
         root = s._jvm.org.apache.hadoop.fs.Path(path)
         if root.getFileSystem(s._jsc.hadoopConfiguration()).exists(root):
-            old = s.read.schema(schema).parquet(path)
+            old = ledger.between(s.read.schema(schema).parquet(path), fresh, "business_day")
             old = old.join(fresh.select("business_day").distinct(), "business_day", "left_semi")
             fresh = dedupe.keep_one(old.unionByName(fresh), keys, ["cutoff_hour", *tie], last=True)
         out = materialise(fresh, "intraday-merge")
@@ -76,7 +70,7 @@ def intraday_latest(
 
     return (
         pack.writeStream.foreachBatch(merge)
-        .option("checkpointLocation", checkpoint or scratch_path(spark, "intraday-stream"))
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )

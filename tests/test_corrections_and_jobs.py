@@ -1,10 +1,11 @@
 import datetime as dt
+import re
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from hourpanel import fixed
+from hourpanel import fixed, session
 from hourpanel.operators import checks, corrections, dedupe, intraday, joins, ledger, normalize, plugins
 from hourpanel.session import scratch_path
 from hourpanel.sources import adapters, sinks, tables
@@ -93,11 +94,41 @@ def test_ledger_stream_is_repeatable(spark, make):
     src, path = scratch_path(spark, "in"), scratch_path(spark, "out")
     df = ledger_frame(make, 24, 1.0).withColumn("event_time", F.lit("2024-01-05 10:00:00").cast("timestamp"))
     df.unionByName(df).write.parquet(src)
-    for _ in range(2):
-        jobs.ledger_ingest(jobs.read_directory(spark, src, df.schema), path).awaitTermination()
+    for run in range(2):
+        jobs.ledger_ingest(jobs.read_directory(spark, src, df.schema), path, scratch_path(spark, f"mark{run}")).awaitTermination()
     assert spark.read.parquet(path).count() == 24
 
 
+def test_ledger_stream_keeps_late_rows(spark, make):
+    src, path, mark = (scratch_path(spark, n) for n in ("in", "out", "mark"))
+    base = ledger_frame(make, 3, 1.0)
+    for day in ("2024-01-20", "2024-01-25", "2024-01-10"):  # files arrive in this order, the last one far behind
+        base.withColumns({"event_time": F.lit(f"{day} 10:00:00").cast("timestamp"), "run_date": F.lit(day).cast(base.schema["run_date"].dataType)}).write.mode("append").parquet(src)
+        jobs.ledger_ingest(jobs.read_directory(spark, src, spark.read.parquet(src).schema), path, mark).awaitTermination()
+    assert spark.read.parquet(path).count() == 9
+
+
+def test_ledger_append_reads_the_folders_of_the_batch(spark, make):
+    path = scratch_path(spark, "out")
+    ledger.append_to_table(spark, path, ledger_frame(make, 24, 1.0))
+    plan = ledger.between(spark.read.parquet(path), ledger_frame(make, 5, 2.0), "forecast_date")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*forecast_date[^\]]*>=", plan)
+
+
+def test_shared_folder_is_required_on_a_cluster(spark):
+    class Other:
+        master, applicationId = "spark://host:7077", "other"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        conf, sparkContext = {}, Other()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
+
+
 def test_intraday_stream_keeps_latest(spark, make):
     src, path = scratch_path(spark, "in"), scratch_path(spark, "out")
     cols = ["business_day", "target_hour", "cutoff_hour", "v"]
@@ -120,6 +151,20 @@ def test_encodings(spark, tmp_path):
         assert tables.load_market(df, required=["ds", "rt_price"]).first().rt_price == 12.5
 
 
+def test_encodings_are_judged_on_whole_files(spark, tmp_path):
+    lines = "".join(f"{i},plain\n" for i in range(9000))
+    for enc, word in (("utf-8", "电价"), ("gbk", "电价"), ("gb18030", "㐀价")):
+        (tmp_path / f"{enc}.csv").write_text(f"n,w\n{lines}-1,{word}\n", encoding=enc)
+    got = tables.read_csv(spark, str(tmp_path))
+    assert got.count() == 3 * 9001 and sorted(r.w for r in got.where("n = '-1'").collect()) == sorted(["电价", "电价", "㐀价"])
+
+
+def test_market_duplicates_keep_the_last_by_input_order(make):
+    df = make(pd.DataFrame({"ds": ["2024-01-01 01:00:00"] * 3, "rt_price": [5.0, 9.0, 7.0], "at": [1, 2, 3]}))
+    assert tables.load_market(df, order=["at"]).first().rt_price == 7.0
+    assert tables.load_market(df, order=["at"], keep="first").first().rt_price == 5.0
+
+
 def test_adapter_prefers_flagged_rows(make):
     df = make(pd.DataFrame({"target_day": ["2024-01-01"] * 2, "hour_business": [24, 1], "official_test": [True, False], "realtime_price": [1.0, 2.0], "pred_realtime_price": [3.0, 4.0]}))
     got = adapters.adapt(df, adapters.SPECS["mixer"], "realtime").collect()
@@ -191,7 +236,7 @@ def test_shared_folder_without_setting():
             return default
 
     class Context:
-        applicationId = "app-test"
+        master, applicationId = "local[2]", "app-test"
 
         def getConf(self):
             return Conf()
