@@ -34,14 +34,12 @@ def visible_frame(
     """Rows as seen on each decision day D, from D - history_days to D.
 
     Hours of D after the decision hour show the day-ahead price (plus a fill
-    bias) and forecasts in place of actuals. Each row is sent only to the
-    decision days whose window covers it, so no cross join arises.
+    bias) and forecasts in place of actuals. The decision days, a small table,
+    name the days they cover, and one equi-join sends each row to those only.
     """
-    days = decision_days.select(*series, F.col("business_day").alias("decision_day"))
-    sent = df.withColumn(
-        "decision_day",
-        F.explode(F.sequence(F.col("business_day"), F.date_add("business_day", history_days))),
-    ).join(days, [*series, "decision_day"], "left_semi")
+    days = decision_days.select(*series, F.col("business_day").alias("decision_day")).distinct()
+    covered = F.explode(F.sequence(F.date_sub("decision_day", history_days), F.col("decision_day")))
+    sent = df.join(days.withColumn("business_day", covered), [*series, "business_day"])
     decided = clock.business_timestamp("decision_day", F.lit(decision_hour))
     blocked = (F.col("business_day") == F.col("decision_day")) & (F.col("ds") > decided)
     out = sent.withColumn("blocked", blocked)

@@ -124,12 +124,18 @@ def anchor_blend(df: DataFrame, keys: Sequence[str], anchor: str, weight: float
     return g.withColumn("y_fused", weight * a + (1 - weight) * o).drop("_a", "_o")
 
 
-def project_weights(weights: DataFrame, by: Sequence[str], lo: float = BOUNDS[0], hi: float = BOUNDS[1], steps: int = 60) -> DataFrame:
-    """Nearest weights within the bounds that sum to 1, by bisection inside an array fold.
+def project_weights(weights: DataFrame, by: Sequence[str], lo: float = BOUNDS[0], hi: float = BOUNDS[1], steps: int = 60, strict_fix: bool = False) -> DataFrame:
+    """Weights within the bounds that sum to 1, by the published rule (``solve.pin_and_share``).
 
-    A group is an array of its few models, so the fold is one expression per group.
+    ``strict_fix`` gives the nearest such weights instead, by bisection inside an array fold. A group is an array of its
+    few models either way.
     """
     arr = weights.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("model_name", "weight"))).alias("_m"))
+    if not strict_fix:
+        share = F.pandas_udf(lambda s: s.map(lambda v: solve.pin_and_share(np.asarray(v, float), lo, hi).tolist()), "array<double>")
+        shared = arr.select(*by, "_m", share(F.col("_m.weight")).alias("_w"))
+        both = F.explode(F.arrays_zip(F.col("_m.model_name").alias("model_name"), F.col("_w").alias("weight")))
+        return shared.select(*by, both.alias("_z")).select(*by, "_z.model_name", "_z.weight")
     v = F.transform("_m", lambda m: F.least(F.greatest(m["weight"], F.lit(float(lo))), F.lit(float(hi))))
     arr = arr.withColumn("_v", v)
 
@@ -355,7 +361,8 @@ def convex_search(
     Iteratively reweighted least squares: at the present weights a row's loss is replaced by a parabola of the same slope,
     so a group needs k x k sums from one grouped pass, whatever its size, and its next weights are an exact small
     constrained solve. A step that does not lower the objective is halved. Ends when no group gained more than
-    ``tolerance`` of its objective in two passes, or after ``rounds``. Result: by, weights, loss, objective.
+    ``tolerance`` of its objective in two passes, or after ``rounds``. Starts from the best of the prior and the single
+    models, so the result is never above any of them. Result: by, weights, loss, objective.
     """
     by, k = list(by), len(models)
     rows = wide.na.drop(subset=["y_true", *models]).withColumn("_x", F.array(*[F.col(m).cast("double") for m in models]))
@@ -376,7 +383,16 @@ def convex_search(
         state = state.withColumn("_prior", equal)
     lo, hi = bounds
     inside = F.pandas_udf(lambda s: s.map(lambda v: solve.project_box(np.asarray(v, float), lo, hi).tolist()), "array<double>")
-    state = state.withColumn("_w", inside("_prior")).withColumn("_best", F.col("_w"))
+    starts = [F.col("_w0"), *[F.array(*[F.lit(float(i == j)) for j in range(k)]) for i in range(k) if lo <= 0 and hi >= 1]]
+    state = materialise(state.withColumn("_w0", inside("_prior")), "start")
+    first = rows.join(state.select(*by, "_w0"), by)
+    tried = first.groupBy(*by).agg(*[
+        scores.weighted_mean(_loss(loss, F.col("y_true"), F.aggregate(F.zip_with(w, "_x", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)), F.col("_gate")).alias(f"_t{i}")
+        for i, w in enumerate(starts)
+    ])
+    pull = [F.aggregate(F.zip_with(w, "_prior", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v) for w in starts]
+    choice = F.array_min(F.array(*[F.struct((F.col(f"_t{i}") + reg * pull[i]).alias("o"), F.lit(i).alias("i"), w.alias("w")) for i, w in enumerate(starts)]))
+    state = state.join(tried, by).withColumn("_w", choice["w"]).withColumn("_best", F.col("_w")).drop("_w0", *[f"_t{i}" for i in range(len(starts))])
     state = materialise(state.withColumns({"_obj": F.lit(float("inf")), "loss": F.lit(float("inf")), "_idle": F.lit(0)}), "state")
     step, pairs = _descend(k, reg, bounds), [(i, j) for i in range(k) for j in range(i, k)]
     for _ in range(rounds):

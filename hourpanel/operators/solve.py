@@ -120,35 +120,41 @@ def project_box(v: np.ndarray, lo: float, hi: float) -> np.ndarray:
 
 
 def pin_and_share(v: np.ndarray, lo: float, hi: float) -> np.ndarray:
-    """The published rule for entries in [lo, hi] and sum 1: clip; the rest of 1 is shared among the entries inside the
-    bounds, in equal parts once anything was pinned, until nothing new is pinned."""
-    k = len(v)
-    if k == 1:
+    """The published rule for entries in [lo, hi] and sum 1.
+
+    Clipped entries move by one common amount to the sum; those that this takes out of bounds are pinned there and the
+    others move again. Once an entry is pinned, the free ones end with equal parts of what is left of 1 (within bounds).
+    A rest goes to the entry of largest size that can take it whole.
+    """
+    w = np.clip(np.asarray(v, float), lo, hi)
+    if len(w) == 1:
         return np.ones(1)
-    w = np.clip(v, lo, hi)
     if abs(w.sum() - 1.0) <= 1e-9:
         return w
-    pinned = (v < lo) | (v > hi)
-    for _ in range(k + 1):
-        free = ~pinned
-        if not free.any():
-            break
-        left = 1.0 - w[pinned].sum()
-        w[free] = left / free.sum() if pinned.any() else w[free] + (left - w[free].sum()) / free.sum()
-        out = free & ((w < lo) | (w > hi))
+    free = np.ones(len(w), dtype=bool)
+    while free.any():
+        moved = w + (1.0 - w.sum()) / free.sum()
+        out = free & ((moved < lo) | (moved > hi))
         if not out.any():
+            w[free] = moved[free]
             break
-        w[out] = np.clip(w[out], lo, hi)
-        pinned |= out
+        w[out] = np.where(moved[out] < lo, lo, hi)
+        free &= ~out
+    if free.any() and not free.all():
+        w[free] = np.clip((1.0 - w[~free].sum()) / free.sum(), lo, hi)
+    rest = 1.0 - w.sum()
+    if abs(rest) > 1e-8:
+        takes = [i for i in np.argsort(-np.abs(w)) if lo <= w[i] + rest <= hi]
+        w[takes[:1]] += rest
     return w
 
 
-def fit_column(method: str, k: int, alpha: float = 1.0, n_models: int | None = None, bounds: tuple[float, float] = (-0.5, 1.2), anchor: int = 0, anchor_weight: float = 0.9):
+def fit_column(method: str, k: int, alpha: float = 1.0, n_models: int | None = None, bounds: tuple[float, float] = (-0.5, 1.2), anchor: int = 0, anchor_weight: float = 0.9, strict_fix: bool = False):
     """Vectorised UDF over (g, b, s, sy, n) rows giving an array of weights.
 
     Methods: convex, ridge, ridge_nonnegative, ridge_intercept (k coefficients
     and the intercept), ridge_projected (intercept fit, first ``n_models``
-    coefficients projected), anchor.
+    coefficients projected by the published rule, with ``strict_fix`` to the nearest vector), anchor.
     """
     m = n_models or k
 
@@ -165,7 +171,7 @@ def fit_column(method: str, k: int, alpha: float = 1.0, n_models: int | None = N
             coef = np.linalg.lstsq(centred + alpha * np.eye(k), b - s * sy / n, rcond=None)[0]
             if method == "ridge_intercept":
                 return np.append(coef, (sy - coef @ s) / n)
-            return project_box(coef[:m], *bounds)
+            return (project_box if strict_fix else pin_and_share)(coef[:m], *bounds)
         if method == "anchor":
             rest = [i for i in range(k) if i != anchor]
             w = np.zeros(k)

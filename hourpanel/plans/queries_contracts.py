@@ -93,11 +93,10 @@ def _(t):
     "normalised_tap",
     "series_id:i model_name:s business_day:t ds:t horizon_day:i age_days:i tap_source:s source_confidence:d cutoff_date:s",
     """SELECT series_id, model_name, business_day, ds, least(greatest(CAST(ds AS DATE) - (CASE WHEN business_day <= DATE '2024-01-15' THEN DATE '2024-01-13' ELSE DATE '2024-01-16' END) + 1, 1), 3) AS horizon_day,
-       DATE '2024-01-31' - CAST(ds AS DATE) AS age_days, 'rolling_cutoff' AS tap_source, 1.0 AS source_confidence, '2024-01-12' AS cutoff_date FROM panel WHERE business_day BETWEEN DATE '2024-01-13' AND DATE '2024-01-18'""",
+       DATE '2024-01-31' - CAST(ds AS DATE) AS age_days, 'rolling_cutoff' AS tap_source, 1.0 AS source_confidence, '2024-01-12' AS cutoff_date FROM panel""",
 )
 def _(t):
-    raw = t.panel.where(F.col("business_day").between(F.lit("2024-01-13").cast("date"), F.lit("2024-01-18").cast("date")))
-    raw = raw.select("series_id", "task", "model_name", "ds", F.col("y_pred").alias("pred"), F.when(F.col("business_day") <= F.lit("2024-01-15").cast("date"), "2024-01-13").otherwise("2024-01-16").alias("test_start"), F.lit("2024-01-12").alias("train_end"))
+    raw = t.panel.select("series_id", "task", "model_name", "ds", F.col("y_pred").alias("pred"), F.when(F.col("business_day") <= F.lit("2024-01-15").cast("date"), "2024-01-13").otherwise("2024-01-16").alias("test_start"), F.lit("2024-01-12").alias("train_end"))
     return normalize.normalise_tap(raw, predict_date="2024-01-31", series=S)
 
 

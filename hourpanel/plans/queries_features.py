@@ -351,7 +351,7 @@ def _(t):
     """SELECT m.series_id, d.business_day AS decision_day, count(*) AS rows, count(*) FILTER (bl) AS blocked, sum(CASE WHEN bl THEN da + coalesce(b.q, 0) ELSE rt END) AS visible_sum,
        sum(CASE WHEN bl THEN load_forecast ELSE load_actual END) AS load_sum
        FROM (SELECT m.*, d.business_day AS dd, m.business_day = d.business_day AND m.ds > CAST(d.business_day AS TIMESTAMP) + INTERVAL 10 HOUR AS bl FROM market m
-             JOIN (SELECT DISTINCT series_id, business_day FROM market WHERE business_day >= DATE '2024-01-20') d
+             JOIN (SELECT DISTINCT series_id, business_day FROM market) d
              ON m.series_id = d.series_id AND m.business_day BETWEEN d.business_day - 3 AND d.business_day) m
        JOIN (SELECT DISTINCT series_id, business_day FROM market) d ON m.series_id = d.series_id AND m.dd = d.business_day
        LEFT JOIN (SELECT series_id, period, median(rt - da) AS q FROM market WHERE hour_business > 10 GROUP BY ALL) b ON m.series_id = b.series_id AND m.period = b.period GROUP BY ALL""",
@@ -359,7 +359,7 @@ def _(t):
 def _(t):
     m = t.stored_market
     bias = asof.fill_bias(m.withColumn("delta_target", F.col("rt") - F.col("da")), 10, ["series_id", "period"])
-    days = m.where(F.col("business_day") >= F.lit("2024-01-20").cast("date")).select("series_id", "business_day").distinct()
+    days = m.select("series_id", "business_day").distinct()
     v = asof.visible_frame(m, days, 10, ["series_id"], 3, pairs={"load_actual": "load_forecast"}, bias=bias, bias_keys=["series_id", "period"])
     return v.groupBy("series_id", "decision_day").agg(
         F.count(F.lit(1)).alias("rows"), F.sum(F.col("blocked").cast("int")).alias("blocked"), F.sum("visible_rt").alias("visible_sum"), F.sum("visible_load_actual").alias("load_sum")

@@ -291,51 +291,61 @@ def _(t):
 
 @query("tap_learner_weights", "series_id:i task:s period:s model_name:s weight:d", None)
 def _(t):
-    few = sorted(DA_TYPES)
-    return learners.tap_learner(tap(t).where(F.col("model_name").isin(*few)), BY, few)
+    return learners.tap_learner(tap(t), BY, sorted(MODELS))
 
 
-CAND = f"""three AS (SELECT * FROM panel WHERE model_name IN ('click', 'purchase', 'view')),
-wd AS (SELECT {BYS}, ds, max(y_true) AS y, max(y_pred) FILTER (model_name = 'click') AS c, max(y_pred) FILTER (model_name = 'purchase') AS p, max(y_pred) FILTER (model_name = 'view') AS v FROM three GROUP BY ALL),
-fp AS (SELECT t.* FROM three t JOIN wd ON t.series_id = wd.series_id AND t.ds = wd.ds WHERE c IS NOT NULL AND p IS NOT NULL AND v IS NOT NULL),
+ALL_M = sorted(MODELS)
+_I = range(len(ALL_M))
+_each = lambda form, sep=", ": sep.join(form.format(i=i, m=ALL_M[i]) for i in _I)
+_WHOLE = _each("m{i} IS NOT NULL", " AND ")
+CAND = f"""wd AS (SELECT {BYS}, ds, max(y_true) AS y, {_each("max(y_pred) FILTER (model_name = '{m}') AS m{i}")} FROM panel GROUP BY ALL),
+fp AS (SELECT t.* FROM panel t JOIN wd ON t.series_id = wd.series_id AND t.task = wd.task AND t.ds = wd.ds WHERE {_WHOLE}),
 dl AS (SELECT {BYS}, target_day, model_name, {smape_sql('floor50')} AS loss FROM fp GROUP BY ALL),
 gl AS (SELECT *, exp(-(max(target_day) OVER (PARTITION BY {BYS}) - target_day) / 30.0::DOUBLE) AS gate, least(greatest(loss / CASE WHEN med < 1e-9 THEN 1 ELSE med END, 0), 5) AS nl FROM (SELECT *, median(loss) OVER (PARTITION BY {BYS}, target_day) AS med FROM dl)),
-bw AS (SELECT {BYS}, max(w) FILTER (model_name = 'click') AS wc, max(w) FILTER (model_name = 'purchase') AS wp, max(w) FILTER (model_name = 'view') AS wv FROM (
+bw AS (SELECT {BYS}, {_each("max(w) FILTER (model_name = '{m}') AS w{i}")} FROM (
   SELECT *, exp(z) / sum(exp(z)) OVER (PARTITION BY {BYS}) AS w FROM (SELECT {BYS}, model_name, -0.5 * sum(gate * nl) AS z FROM gl GROUP BY ALL)) GROUP BY ALL),
-ca AS (SELECT {BYS}, unnest(['equal_weight', 'bgew', 'single_click', 'single_purchase', 'single_view']) AS candidate_name, unnest([1, 3, 0, 0, 0]) AS kind, unnest([0, 2, 3, 4, 5]) AS position,
-  unnest([1.0 / 3, wc, 1, 0, 0]) AS a, unnest([1.0 / 3, wp, 0, 1, 0]) AS b, unnest([1.0 / 3, wv, 0, 0, 1]) AS d FROM bw),
-scd AS (SELECT {', '.join('w.' + c for c in BYS.split(', '))}, candidate_name, kind, position, {smape_sql('floor50', 'w.y', '(ca.a * w.c + ca.b * w.p + ca.d * w.v)')} AS score, avg(abs(w.y - (ca.a * w.c + ca.b * w.p + ca.d * w.v))) AS mae, count(*) AS n
-  FROM wd w JOIN ca ON w.series_id = ca.series_id AND w.task = ca.task AND w.period = ca.period WHERE w.c IS NOT NULL AND w.p IS NOT NULL AND w.v IS NOT NULL GROUP BY ALL)"""
-FEW = sorted(DA_TYPES)  # the models behind the day-ahead price; learners take their model list as an argument
-
-
-def three(t):
-    return t.stored_panel.where(F.col("model_name").isin(*FEW))
+ca AS (SELECT {BYS}, unnest(['equal_weight', 'bgew', {_each("'single_{m}'")}]) AS candidate_name, unnest([1, 3, {_each("0")}]) AS kind, unnest([0, 2, {", ".join(str(3 + i) for i in _I)}]) AS position,
+  {", ".join(f"unnest([1.0 / {len(ALL_M)}, w{i}, {', '.join(str(int(i == j)) for j in _I)}]) AS a{i}" for i in _I)} FROM bw),
+scd AS (SELECT {', '.join('w.' + c for c in BYS.split(', '))}, candidate_name, kind, position, {smape_sql('floor50', 'w.y', '(' + _each("ca.a{i} * w.m{i}", " + ") + ')')} AS score, avg(abs(w.y - ({_each("ca.a{i} * w.m{i}", " + ")}))) AS mae, count(*) AS n
+  FROM wd w JOIN ca ON w.series_id = ca.series_id AND w.task = ca.task AND w.period = ca.period WHERE {_each("w.m{i} IS NOT NULL", " AND ")} GROUP BY ALL)"""
 
 
 @query(
     "candidate_selection",
     "series_id:i task:s period:s candidate_name:s score:d mae:d n:i intersection_retention_rate:d chosen:b",
     f"""SELECT a.series_id, a.task, a.period, candidate_name, score, mae, n, keep AS intersection_retention_rate, row_number() OVER (PARTITION BY a.series_id, a.task, a.period ORDER BY CASE WHEN score <= best + greatest(abs(best) * 1e-3, 1e-9) THEN 0 ELSE 1 END, kind, position) = 1 AS chosen
-       FROM (SELECT *, min(score) OVER (PARTITION BY {BYS}) AS best FROM scd) a JOIN (SELECT {BYS}, avg(CAST(c IS NOT NULL AND p IS NOT NULL AND v IS NOT NULL AS DOUBLE)) AS keep FROM wd GROUP BY ALL) b ON {ON}""",
+       FROM (SELECT *, min(score) OVER (PARTITION BY {BYS}) AS best FROM scd) a JOIN (SELECT {BYS}, avg(CAST({_WHOLE} AS DOUBLE)) AS keep FROM wd GROUP BY ALL) b ON {ON}""",
     CAND,
 )
 def _(t):
-    df = three(t)
-    c = learners.candidate_weights(df, BY, FEW, convex=False)
-    return learners.choose_candidate(learners.evaluate_candidates(df, c, BY, FEW), BY)
+    df = t.stored_panel
+    c = learners.candidate_weights(df, BY, ALL_M, convex=False)
+    return learners.choose_candidate(learners.evaluate_candidates(df, c, BY, ALL_M), BY)
+
+
+@query("convex_candidate_is_best", "series_id:i task:s period:s not_above_others:b sums_to_one:b inside:b", f"SELECT DISTINCT {BYS}, true AS not_above_others, true AS sums_to_one, true AS inside FROM scd", CAND)
+def _(t):
+    """The convex candidate of all models: no other candidate lies below it by more than 0.2 %, and its weights are a mixture."""
+    df = t.stored_panel
+    c = learners.candidate_weights(df, BY, ALL_M)
+    scored = learners.evaluate_candidates(df, c, BY, ALL_M)
+    convex = F.col("candidate_name") == "static_convex"
+    best = scored.groupBy(*BY).agg((F.min(F.when(convex, F.col("score"))) <= F.min(F.when(~convex, F.col("score"))) * (1 + 2e-3)).alias("not_above_others"))
+    total = F.aggregate("weights", F.lit(0.0), lambda acc, w: acc + w)
+    mix = c.where(convex).select(*BY, (F.abs(total - 1) < 1e-6).alias("sums_to_one"), F.forall("weights", lambda w: w.between(-1e-9, 1 + 1e-9)).alias("inside"))
+    return best.join(mix, BY)
 
 
 @query("holdout_learner_routing", "series_id:i task:s period:s candidate_name:s selected_mode:s score:d", None)
 def _(t):
-    df = three(t).withColumn("target_day", F.date_add("target_day", 16))
-    return learners.holdout_learner(df, BY, FEW)[0]
+    df = t.stored_panel.withColumn("target_day", F.date_add("target_day", 16))
+    return learners.holdout_learner(df, BY, ALL_M)[0]
 
 
 @query("holdout_learner_backtest", "series_id:i task:s period:s rows:i smape:d mae:d", None)
 def _(t):
-    df = three(t).withColumn("target_day", F.date_add("target_day", 16))
-    routing, weights = learners.holdout_learner(df, BY, FEW)
+    df = t.stored_panel.withColumn("target_day", F.date_add("target_day", 16))
+    routing, weights = learners.holdout_learner(df, BY, ALL_M)
     out = learners.apply_routing(df, routing, weights, S)
     return out.groupBy(*BY).agg(F.count(F.lit(1)).alias("rows"), scores.smape("floor50", "y_true", "y_fused").alias("smape"), scores.mae("y_true", "y_fused").alias("mae"))
 
@@ -434,10 +444,10 @@ def _(t):
 
 @query("spike_aware_fit", "series_id:i task:s period:s scale:d bias:d smape:d rows:i", None)
 def _(t):
-    df = three(t).withColumn("spike_prob", F.least(F.lit(1.0), F.col("n") / 4.0))
+    df = t.stored_panel.withColumn("spike_prob", F.least(F.lit(1.0), F.col("n") / 4.0))
     arr = F.array(*[F.struct(F.lit(m).alias("model_name"), F.lit(u).alias("up"), F.lit(d).alias("down")) for m, u, d in (("click", 0.7, 0.1), ("purchase", 0.2, 0.3), ("view", 0.1, 0.6))])
     templates = df.select(*BY).distinct().select(*BY, F.explode(arr).alias("t")).select(*BY, "t.*")
-    return learners.spike_aware_fit(df, BY, FEW, templates)[2]
+    return learners.spike_aware_fit(df, BY, ALL_M, templates)[2]
 
 
 @query(
@@ -485,36 +495,36 @@ def _(t):
     "best_single_by_folds",
     "series_id:i task:s period:s best_single_model:s best_single_smape:d",
     f"""SELECT {BYS}, m AS best_single_model, s AS best_single_smape FROM (SELECT *, row_number() OVER (PARTITION BY {BYS} ORDER BY s, m) AS k FROM (SELECT {BYS}, m, avg(s) AS s FROM (
-       SELECT {BYS}, fold, m, {smape_sql('floor50', 'y', 'p')} AS s FROM (SELECT *, unnest({list(FEW)}) AS m, unnest([c, p0, v]) AS p FROM (
-         SELECT {BYS}, ds, y, c, p AS p0, v, greatest(floor((i - (n - 3 * sz)) / sz) + 1, 0) AS fold FROM (SELECT *, greatest(n // 4, 1) AS sz FROM (
+       SELECT {BYS}, fold, m, {smape_sql('floor50', 'y', 'p')} AS s FROM (SELECT *, unnest({list(ALL_M)}) AS m, unnest([{_each('m{i}')}]) AS p FROM (
+         SELECT {BYS}, ds, y, {_each('m{i}')}, greatest(floor((i - (n - 3 * sz)) / sz) + 1, 0) AS fold FROM (SELECT *, greatest(n // 4, 1) AS sz FROM (
            SELECT *, row_number() OVER (PARTITION BY {BYS} ORDER BY ds) - 1 AS i, count(*) OVER (PARTITION BY {BYS}) AS n FROM wd))))
        WHERE fold > 0 AND p IS NOT NULL GROUP BY ALL) GROUP BY ALL)) WHERE k = 1""",
     CAND,
 )
 def _(t):
-    wide = fusion.wide_frame(three(t), POINT, FEW)
-    return learners.best_single(learners.time_folds(wide, BY, 3), BY, FEW)
+    wide = fusion.wide_frame(t.stored_panel, POINT, ALL_M)
+    return learners.best_single(learners.time_folds(wide, BY, 3), BY, ALL_M)
 
 
 @query("router_report", "series_id:i task:s period:s best_alpha:d cv_smape:d best_single_model:s best_single_smape:d use_router:b", None)
 def _(t):
-    return learners.router(fusion.wide_frame(three(t), POINT, FEW), BY, FEW)[0]
+    return learners.router(fusion.wide_frame(t.stored_panel, POINT, ALL_M), BY, ALL_M)[0]
 
 
 @query("router_weights", "series_id:i task:s period:s model_name:s weight:d", None)
 def _(t):
-    return learners.router(fusion.wide_frame(three(t), POINT, FEW), BY, FEW)[1]
+    return learners.router(fusion.wide_frame(t.stored_panel, POINT, ALL_M), BY, ALL_M)[1]
 
 
 @query("meta_learner_report", "series_id:i task:s period:s cv_smape:d best_single_smape:d gate:s", None)
 def _(t):
-    wide = fusion.wide_frame(three(t), POINT, FEW).withColumn("hour_sin", F.sin(2 * F.pi() * F.col("hour_business") / 24))
-    return learners.meta_learner(wide, BY, FEW, ["hour_sin"])[0]
+    wide = fusion.wide_frame(t.stored_panel, POINT, ALL_M).withColumn("hour_sin", F.sin(2 * F.pi() * F.col("hour_business") / 24))
+    return learners.meta_learner(wide, BY, ALL_M, ["hour_sin"])[0]
 
 
 @query("meta_learner_nonnegative", "series_id:i ds:t y_fused:d", None)
 def _(t):
-    return learners.meta_learner(fusion.wide_frame(three(t), POINT, FEW), BY, FEW, alpha=2.0, nonnegative=True)[1]
+    return learners.meta_learner(fusion.wide_frame(t.stored_panel, POINT, ALL_M), BY, ALL_M, alpha=2.0, nonnegative=True)[1]
 
 
 @query(

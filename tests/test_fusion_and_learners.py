@@ -60,13 +60,24 @@ def test_projection_equals_numpy(make):
     rng = np.random.default_rng(0)
     rows = [(g, f"m{i}", float(v)) for g in range(20) for i, v in enumerate(rng.normal(0.3, 0.8, 4))]
     pdf = pd.DataFrame(rows, columns=["g", "model_name", "weight"])
-    got = fusion.project_weights(make(pdf), ["g"]).toPandas().sort_values(["g", "model_name"])
+    got = fusion.project_weights(make(pdf), ["g"], strict_fix=True).toPandas().sort_values(["g", "model_name"])
     for g, part in pdf.groupby("g"):
         want = solve.project_box(part.weight.to_numpy(), -0.5, 1.2)
         np.testing.assert_allclose(got[got.g == g].weight, want, atol=1e-6)
         assert abs(want.sum() - 1) < 1e-6 and want.min() >= -0.5 - 1e-9 and want.max() <= 1.2 + 1e-9
 
 
+@pytest.mark.parametrize(("given", "want"), [
+    ([0.5, 0.7], [0.4, 0.6]), ([3.0, 0.1, 0.3], [1.0, -0.1, 0.1]), ([1.2, 0.9, -0.5], [0.75, 0.75, -0.5]), ([0.2, 0.3, 0.5], [0.2, 0.3, 0.5]), ([7.0], [1.0]), ([2.0, 0.0, 0.0, 0.0], [1.15, -0.05, -0.05, -0.05]),
+])
+def test_published_projection(make, given, want):
+    got = solve.pin_and_share(np.array(given), -0.5, 1.2)
+    assert abs(got.sum() - 1) < 1e-9 and got.min() >= -0.5 and got.max() <= 1.2
+    np.testing.assert_allclose(got, want, atol=1e-9)
+    pdf = pd.DataFrame([(1, f"m{i}", v) for i, v in enumerate(given)], columns=["g", "model_name", "weight"])
+    np.testing.assert_allclose(fusion.project_weights(make(pdf), ["g"]).toPandas().sort_values("model_name").weight, got)
+
+
 def test_convex_solution_beats_lattice(panel):
     pdf, df = panel
     wide = fusion.wide_frame(df, POINT, MODELS)
