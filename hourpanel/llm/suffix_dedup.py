@@ -23,12 +23,12 @@ key; a null doc_id comes after all others; other columns are ignored or, in ``cl
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
@@ -117,6 +117,17 @@ _CONTEXT = "h long, k long, id long, start long, n int, lead int, body binary"
 _CONTEXT_NAMES = ["h", "k", "id", "start", "n", "lead", "body"]
 
 
+def _merged(runs: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(k, id, start, end) with the runs of each k that touch put together."""
+    out: list[tuple[int, int, int, int]] = []
+    for k, id_, start, end in sorted(runs):
+        if out and out[-1][0] == k and start <= out[-1][3]:
+            out[-1] = (k, id_, out[-1][2], max(end, out[-1][3]))
+        else:
+            out.append((k, id_, start, end))
+    return out
+
+
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts of the repeated anchors; of equal contexts in a batch the earliest stays, the strings of the others go."""
     import xxhash
@@ -128,8 +139,8 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         def meet(key: tuple, at: tuple[int, int, int], seen: dict = seen, gone: list = gone) -> None:
             other = seen.setdefault(key, at)
             if other != at:
-                seen[key], later = min(other, at), max(other, at)
-                gone.append((key[0], later[1], later[0], later[2], key[2] + LENGTH - 1, 0, None))
+                seen[key], (id_, k, start) = min(other, at), max(other, at)
+                gone.append((k, id_, start, start + key[2] + LENGTH - 1))
 
         for k, id_, text, found in zip(*(batch.column(c).to_pylist() for c in ("k", "id", "text", "found")), strict=True):
             for f in found:
@@ -142,7 +153,7 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 for i in range(n):
                     one = body[i : i + LENGTH]
                     meet((xxhash.xxh64_intdigest(one) - (1 << 63), one, 1, 0), (id_, k, start + i))
-        rows = gone + [(h, k, id_, start, n, lead, body) for (h, body, n, lead), (id_, k, start) in seen.items()]
+        rows = [(k, k, id_, start, end - start, 0, None) for k, id_, start, end in _merged(gone)] + [(h, k, id_, start, n, lead, body) for (h, body, n, lead), (id_, k, start) in seen.items()]
         if rows:
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=_CONTEXT_NAMES)
@@ -250,24 +261,27 @@ def _sort_groups(batches: Iterator[pa.RecordBatch], chunk: int = 4 << 20) -> Ite
         yield gone_runs(pa.concat_batches(held))
 
 
-def _rows(docs: DataFrame) -> DataFrame:
+def _rows(docs: DataFrame, more: Sequence[Column] = ()) -> DataFrame:
     text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    return docs.select(F.xxhash64(id_, text).alias("k"), id_.alias("id"), text.alias("text"))
+    return docs.select(F.xxhash64(id_, text).alias("k"), id_.alias("id"), text.alias("text"), *more)
 
 
 def repeated_runs(rows: DataFrame, hot: int = HOT) -> DataFrame:
-    """k and the runs (start, end) of bytes that go, for every row key that loses some. ``rows``: k, id, text."""
+    """k and the runs (start, end) of bytes that go, for every row key that loses some. ``rows``: k, id, text, and more.
+
+    Every use takes all columns of ``rows``, so that one exchange of the texts serves them all.
+    """
     versions = rows.select("k", "id", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n"))
     first = versions.groupBy("sha").agg(F.min(F.struct("id", "k")).alias("f"), F.max("n").alias("n"))
     kept = first.where(F.col("n") >= LENGTH).select(F.col("f.k").alias("k"))
     copies = versions.where(F.col("n") >= LENGTH).join(first.select("sha", F.col("f.k").alias("first")), "sha").where("k != first")
     copied = copies.select("k", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
-    anchors = rows.join(kept, "k").select("k", "id", "text").mapInArrow(_anchor_rows, "h long, k long, at long")
+    anchors = rows.join(kept, "k").mapInArrow(_anchor_rows, "h long, k long, at long")
     repeated = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > hot).alias("hot"))
     both = lambda df: df.withColumn("h2", F.xxhash64("h"))  # noqa: E731  an exchange of its own below the join, which can then split a frequent h
     found = both(anchors).join(both(repeated), ["h2", "h"]).groupBy("k").agg(F.collect_set(F.struct("at", "h", "hot")).alias("found"))
-    contexts = rows.join(found, "k").select("k", "id", "text", "found").mapInArrow(_context_rows, _CONTEXT)
+    contexts = rows.join(found, "k").mapInArrow(_context_rows, _CONTEXT)
     runs = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_sort_groups, "k long, start long, end long")
     return runs.unionByName(copied).groupBy("k").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
 
@@ -293,22 +307,19 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     rows = _rows(docs)
-    both = rows.join(repeated_runs(rows), "k", "left").select("id", "text", "runs")
-    return both.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.join(repeated_runs(rows), "k", "left").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at, runs_at = (batch.schema.get_field_index(c) for c in ("text", "_runs"))
+def _cut(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
         texts, stays = [], []
-        for text, runs in zip(batch.column(at).to_pylist(), batch.column(runs_at).to_pylist(), strict=True):
+        for raw, null, runs in zip(*(batch.column(c).to_pylist() for c in ("text", "null", "runs")), strict=True):
             if runs:
-                raw = text.encode()
-                text = np.frombuffer(raw, dtype=np.uint8)[~_removed_mask(len(raw), runs)].tobytes().decode("utf-8", "ignore")
-            texts.append(text)
-            stays.append(not runs or bool(text))
-        columns = {n: pa.array(texts, type=pa.string()) if i == at else c for i, (n, c) in enumerate(zip(batch.schema.names, batch.columns, strict=True)) if i != runs_at}
-        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns)).filter(pa.array(stays))
+                raw = np.frombuffer(raw, dtype=np.uint8)[~_removed_mask(len(raw), runs)].tobytes()
+            texts.append(None if null else raw.decode("utf-8", "ignore"))
+            stays.append(not runs or bool(texts[-1]))
+        columns = [pa.array(texts, type=pa.string()) if n == "text" else batch.column(f"own_{i}") for i, n in enumerate(names)]
+        yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stays))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
@@ -316,12 +327,11 @@ def cleaned(docs: DataFrame) -> DataFrame:
 
     A document that loses all of its text is left out; one that was empty before stays.
     """
-    rows = _rows(docs)
-    runs = repeated_runs(rows).select(F.col("k").alias("_k"), F.col("runs").alias("_runs"))
-    text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
-    keyed = docs.withColumn("_k", F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), text))
+    names = docs.columns
+    own = [F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(names) if c != "text"]
+    rows = _rows(docs, [F.col("text").isNull().alias("null"), *own])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    cut = keyed.join(runs, "_k", "left").select(*docs.columns, "_runs").mapInArrow(_cut, schema)
-    if "n_chars" in docs.columns:
+    cut = rows.join(repeated_runs(rows), "k", "left").mapInArrow(lambda it: _cut(it, names), schema)
+    if "n_chars" in names:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut
