@@ -1,13 +1,18 @@
-"""Benchmark decontamination: rare n-gram seeds join training passages to test items, then Smith-Waterman scores them.
-
-1. Items and documents become lower-cased words; a gram is ``GRAM`` words (all words of a shorter item).
-2. One pass over the documents keeps the grams that pass a bit table of the items' grams (fixed size, so a wrong pass is
-   possible, a miss is not) and the passage of words around them, as far as the longest item reaches.
-3. A gram's document count over the whole corpus decides whether it is a seed: it is one if no gram within
-   ``NEAR`` places of it in its item is more than ``RARE`` times rarer. So every copied stretch keeps its rarest grams,
-   however often the item was copied, and everyday phrases beside rarer words start nothing.
-4. Passages and items that share a seed are aligned by words (Smith-Waterman: ``MATCH``, ``MISMATCH``, ``GAP``). The score
-   over the item's best possible score is the reported ``ratio``; ``LEAK`` or more is a leak.
+"""Benchmark decontamination: word n-gram seeds join training passages to test items, then Smith-Waterman scores them.
+
+1. Items and documents become lower-cased words; a seed is a gram of ``GRAM`` words (of one word for items too short for it).
+2. How many seeds a leak must hold follows from the score alone. An alignment of ``m`` equal words and ``e`` edits scores
+   2m - e, which for a leak is at least 2 * least * L (L: words of the item). Its equal words form at most e + 1 runs, so at
+   least m - e - 1 >= (2 * least - 1) * L - 1 pairs of neighbours stay equal, m itself is at least least * L, and it lies
+   within (3 - 2 * least) * L words of the document. So with ``least`` = 0.6 no leak is without seeds, wherever its edits are.
+3. One pass over the documents meets their grams with those of the items, and takes the passages where an item has its
+   count of seeds, and then its count of equal words, within that reach. Everyday phrases alone reach no count. The seeds
+   of at most ``TABLE_WORDS`` item words are held at a time; a larger benchmark takes more passes.
+4. Passages are aligned with their items by words (Smith-Waterman: ``MATCH``, ``MISMATCH``, ``GAP``). The score over the
+   item's best possible score is the reported ``ratio``; ``LEAK`` or more is a leak.
+
+Both counts are necessary conditions, so the result equals an alignment of all documents with all items (tested). How often
+a gram or an item occurs plays no part in it, and no text is shuffled.
 
 Defined cases: null or wordless texts and items never match; repeated documents give one row per doc_id and item (the best
 alignment); rows without doc_id or item_id take part under null; items with equal text are reported one by one; an empty
@@ -16,8 +21,10 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +35,14 @@ from hourpanel.session import materialise
 
 from .common import id_text, slices, words64
 
-GRAM = 5
-NEAR = 8
-RARE = 4
+GRAM = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAK = 0.6
-TABLE_BITS = 26
+TABLE_BITS = 22
+#: Words of items whose seeds are sent to the tasks at once.
+TABLE_WORDS = 1 << 20
 _WORD = re.compile(r"\w+").findall
+_LEAKS = "doc_id long, item_id long, score long, ratio double, end_word long"
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -53,54 +61,68 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache: dict = {}
     for batch in batches:
         words = [words64(_WORD(t.lower()), cache) for t in batch.column("text").to_pylist()]
-        grams = [gram_hashes(w, min(GRAM, len(w))).view(np.int64).tolist() for w in words]
-        size = [min(GRAM, len(w)) for w in words]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([w.tobytes() for w in words]), pa.array(size, type=pa.int32()), pa.array(grams, type=pa.list_(pa.int64()))],
-            names=["item_id", "item", "size", "grams"],
-        )
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([w.tobytes() for w in words], type=pa.binary()), pa.array([len(w) for w in words], type=pa.int64())], names=["item_id", "item", "size"])
 
 
 def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item_id, item (word hashes), size (words in a gram), grams."""
-    return id_text(benchmark, id_col, text_col).mapInArrow(_item_rows, "item_id long, item binary, size int, grams array<long>")
-
-
-def _bit_table(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Places and bits of a table of 2 ** TABLE_BITS bits; at most a 64th as many rows, whatever the number of items."""
-    slot = F.col("gram").bitwiseAND((1 << TABLE_BITS) - 1)
-    rows = items.select(F.explode("grams").alias("gram")).select(F.shiftright(slot, 6).alias("place"), F.expr("shiftleft(1L, cast(gram & 63 as int))").alias("bit"))
-    found = rows.groupBy("place").agg(F.bit_or("bit").alias("bits")).toPandas()
-    return found["place"].to_numpy(dtype=np.int64), found["bits"].to_numpy(dtype=np.int64).view(np.uint64)
-
-
-def _passages(batches: Iterator[pa.RecordBatch], place: np.ndarray, bits: np.ndarray, sizes: list[int], reach: int) -> Iterator[pa.RecordBatch]:
-    table = np.zeros(1 << (TABLE_BITS - 6), dtype=np.uint64)
-    table[place] = bits
-    cache: dict = {}
-    for batch in slices(batches, "text"):
-        out = []
-        for doc, k, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "k", "text")), strict=True):
-            words = words64(_WORD(text.lower()), cache)
-            at, grams = [], []
-            for n in sizes:
-                h = gram_hashes(words, n)
-                slot = (h & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
-                hit = np.flatnonzero((table[slot >> 6] >> (h & np.uint64(63))) & np.uint64(1))
-                at.append(hit)
-                grams.append(h[hit])
-            at, grams = np.concatenate(at), np.concatenate(grams)
-            if not len(at):
+    """item_id, item (word hashes), size (its words)."""
+    return id_text(benchmark, id_col, text_col).mapInArrow(_item_rows, "item_id long, item binary, size long")
+
+
+class Seeds:
+    """The seeds of some items: which items hold a gram, and how many an item needs within which reach."""
+
+    def __init__(self, ids: list[int | None], items: list[np.ndarray], least: float) -> None:
+        self.ids, self.items = ids, items
+        size = np.array([len(w) for w in items])
+        pairs = np.ceil((2 * least - 1) * size - 1 - 1e-9).astype(np.int64)
+        self.words = np.maximum(1, np.ceil(least * size - 1e-9).astype(np.int64))
+        self.gram = np.where(pairs >= 1, GRAM, 1)  # without a pair for certain, single words are the seeds
+        self.need = np.where(pairs >= 1, pairs, self.words)
+        self.reach = np.maximum(size, np.floor((3 - 2 * least) * size + 1e-9).astype(np.int64))
+        self.held: dict[int, tuple[np.ndarray, ...]] = {}
+        for n in np.unique(self.gram).tolist():
+            own = [np.unique(gram_hashes(items[i], n)) for i in np.flatnonzero(self.gram == n)]
+            grams, owner = np.concatenate(own), np.repeat(np.flatnonzero(self.gram == n), [len(g) for g in own])
+            order = np.argsort(grams, kind="stable")
+            grams, first, count = np.unique(grams[order], return_index=True, return_counts=True)
+            self.held[n] = grams, first, count, owner[order]
+
+    def table(self, n: int) -> np.ndarray:
+        bits = np.zeros(1 << TABLE_BITS, dtype=bool)
+        bits[self.held[n][0] & np.uint64((1 << TABLE_BITS) - 1)] = True
+        return bits
+
+    def passages(self, words: np.ndarray, tables: dict[int, np.ndarray]) -> Iterator[tuple[int, int, int]]:
+        """(item, from, to): every stretch of ``words`` that may hold a leak of the item."""
+        for n, (grams, first, count, owner) in self.held.items():
+            h = gram_hashes(words, n)
+            at = np.flatnonzero(tables[n][h & np.uint64((1 << TABLE_BITS) - 1)])
+            j = np.minimum(np.searchsorted(grams, h[at]), len(grams) - 1)
+            same = grams[j] == h[at]
+            at, j = at[same], j[same]
+            times = count[j]
+            total = int(times.sum())
+            if not total:
                 continue
-            order = np.argsort(at, kind="stable")
-            at, grams = at[order], grams[order]
-            cut = np.flatnonzero(np.r_[True, np.diff(at) > reach])
-            for first, end in zip(cut, np.r_[cut[1:], len(at)], strict=True):
-                low, high = max(0, int(at[first]) - reach), int(at[end - 1]) + GRAM + reach
-                out.append((doc, k, low, words[low:high].tobytes(), np.unique(grams[first:end]).view(np.int64).tolist()))
-        if out:
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "k", "start", "words", "grams"])
+            who = owner[np.arange(total) + np.repeat(first[j] - np.r_[0, np.cumsum(times)[:-1]], times)]
+            at = np.repeat(at, times)
+            order = np.argsort(who, kind="stable")
+            who, at = who[order], at[order]
+            last = np.arange(total) + self.need[who] - 1
+            fits = np.flatnonzero(last < total)
+            last = last[fits]
+            fits = fits[(who[last] == who[fits]) & (at[last] - at[fits] <= self.reach[who[fits]] - n)]
+            if not len(fits):
+                continue
+            who, low, high = who[fits], at[fits], at[fits + self.need[who[fits]] - 1] + n
+            low, high = np.maximum(0, high - self.reach[who]), np.minimum(len(words), low + self.reach[who])
+            new = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (low[1:] > high[:-1])])  # both grow within an item
+            for i, a, b in zip(who[new].tolist(), low[new].tolist(), high[np.r_[new[1:], len(who)] - 1].tolist(), strict=True):
+                here = np.r_[0, np.cumsum(np.isin(words[a:b], self.items[i]))]
+                wide = min(int(self.reach[i]), b - a)
+                if (here[wide:] - here[: len(here) - wide]).max() >= self.words[i]:
+                    yield i, a, b
 
 
 def align(words: np.ndarray, item: np.ndarray) -> tuple[int, int]:
@@ -117,45 +139,35 @@ def align(words: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _leaks(batches: Iterator[pa.RecordBatch], seeds: Seeds, least: float) -> Iterator[pa.RecordBatch]:
+    tables, cache = {n: seeds.table(n) for n in seeds.held}, {}
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
+    for batch in slices(batches, "text"):
         out = []
-        for doc, start, words, item_id, item in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "words", "item_id", "item")), strict=True):
-            item = np.frombuffer(item, dtype=np.uint64)
-            score, end = align(np.frombuffer(words, dtype=np.uint64), item)
-            out.append((doc, item_id, score, score / (MATCH * len(item)), start + end))
+        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            words = words64(_WORD(text.lower()), cache)
+            for i, low, high in seeds.passages(words, tables):
+                score, end = align(words[low:high], seeds.items[i])
+                ratio = score / (MATCH * len(seeds.items[i]))
+                if ratio >= least:
+                    out.append((doc, seeds.ids[i], score, ratio, low + end))
         if out:
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "item_id", "score", "ratio", "end_word"])
 
 
-def seeds_of(items: DataFrame, counts: DataFrame) -> DataFrame:
-    """gram, item_id: the grams of each item that are among the rarest of their neighbourhood."""
-    from pyspark.sql import Window as W
-
-    grams = items.select("item_key", F.posexplode("grams").alias("at", "gram")).join(counts, "gram")
-    near = W.partitionBy("item_key").orderBy("at").rangeBetween(-NEAR, NEAR)
-    return grams.withColumn("least", F.min("n").over(near)).where(F.col("n") <= RARE * F.col("least")).select("gram", "item_key").distinct()
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAK) -> DataFrame:
     """doc_id, item_id, score, ratio, end_word (just after the copy): one row per document and leaked item."""
     items = materialise(items_of(benchmark).where("size > 0"), "items")
-    stats = items.agg(F.max(F.octet_length("item") / 8), F.collect_set("size")).first()  # sizes: at most GRAM values
-    if not stats[1]:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score long, ratio double, end_word long")
-    place, bits = _bit_table(items)
-    reach, sizes = int(stats[0]), sorted(stats[1])
-    keyed = id_text(docs).withColumn("k", F.xxhash64("doc_id", "text"))
-    found = keyed.mapInArrow(lambda it: _passages(it, place, bits, sizes, reach), "doc_id long, k long, start long, words binary, grams array<long>")
-    passages = materialise(found, "passages")
-    hits = passages.select("k", "start", F.explode("grams").alias("gram"))
-    counts = hits.groupBy("gram", "k").agg(F.lit(1).alias("one")).groupBy("gram").agg(F.count("*").alias("n"))
-    named = items.withColumn("item_key", F.xxhash64("item_id", "item"))
-    pairs = hits.join(seeds_of(named, counts), "gram").select("k", "start", "item_key").distinct()
-    both = pairs.join(passages.select("doc_id", "k", "start", "words"), ["k", "start"]).join(named.select("item_key", "item_id", "item"), "item_key")
-    scored = both.select("doc_id", "start", "words", "item_id", "item").mapInArrow(_score, "doc_id long, item_id long, score long, ratio double, end_word long")
-    best = scored.where(F.col("ratio") >= least).groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "ratio", "end_word")).alias("b"))
+    parts = -(-(items.agg(F.sum("size")).first()[0] or 0) // TABLE_WORDS)
+    own, found = id_text(docs), []
+    for part in range(parts):
+        some = items.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(parts)) == part).select("item_id", "item").collect()
+        if some:
+            seeds = Seeds([r.item_id for r in some], [np.frombuffer(r.item, dtype=np.uint64) for r in some], least)
+            found.append(own.mapInArrow(lambda it, seeds=seeds: _leaks(it, seeds, least), _LEAKS))
+    if not found:
+        return docs.sparkSession.createDataFrame([], _LEAKS)
+    best = reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "ratio", "end_word")).alias("b"))
     return best.select("doc_id", "item_id", "b.*")
 
 

@@ -250,6 +250,14 @@ def test_decontamination(spark, nothing):
     assert decontaminate.leaks(docs, benchmark.limit(0)).count() == 0 and decontaminate.without_leaks(docs, benchmark.limit(0)).count() == len(some)
 
 
+def test_decontamination_same_edit_in_many_documents(spark):
+    item = [f"i{k}" for k in range(25)]
+    edited = [*item[:12], "other", *item[13:]]
+    docs = docs_of(spark, [*((i, f"w{i} " + " ".join(edited) + f" v{i}", "a") for i in range(5)), (5, " ".join(item), "a")])
+    got = decontaminate.leaks(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert {r.doc_id: round(r.ratio, 2) for r in got.collect()} == {**dict.fromkeys(range(5), 0.94), 5: 1.0}
+
+
 def labelled(spark, bad, kind):
     some, labels = [], []
     for i in range(240):
