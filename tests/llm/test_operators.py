@@ -258,6 +258,26 @@ def test_decontamination_same_edit_in_many_documents(spark):
     assert {r.doc_id: round(r.ratio, 2) for r in got.collect()} == {**dict.fromkeys(range(5), 0.94), 5: 1.0}
 
 
+def test_decontamination_equals_alignment_of_all(spark):
+    rng = random.Random(8)
+    common = [f"c{k}" for k in range(12)]
+    items = [[rng.choice(common) if rng.random() < 0.4 else f"i{n}x{k}" for k in range(size)] for n, size in enumerate([1, 2, 3, 4, 5, 6, 7, 10, 15, 25, 40, 56])]
+    some = []
+    for item in items:
+        fifth = ["new" if k % 5 == 4 else w for k, w in enumerate(item)]  # four equal words in a row at most
+        apart = [x for k, w in enumerate(item) for x in ([w, "new"] if k % 5 < 4 else [w])]  # hardly two
+        halves = [x for k, w in enumerate(item) for x in ([w, "new"] if k % 2 else [w])]
+        short = [w for k, w in enumerate(item) if k % 4]
+        noisy = [rng.choice(common) if rng.random() < 0.2 else w for w in item]
+        for copy in (item, fifth, apart, halves, short, noisy, item[: len(item) // 2]):
+            some.append([rng.choice(common) for _ in range(rng.randrange(30))] + copy + [rng.choice(common) for _ in range(rng.randrange(30))])
+    some += [[rng.choice(common) for _ in range(200)] for _ in range(5)]
+    want = {(d, i): best / (2 * len(item)) for d, words in enumerate(some) for i, item in enumerate(items) if (best := brute_align(words, item)) >= 0.6 * 2 * len(item)}
+    docs = docs_of(spark, [(d, " ".join(words), "a") for d, words in enumerate(some)])
+    got = decontaminate.leaks(docs, spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.ratio for r in got} == want and len(got) == len(want) > 60
+
+
 def labelled(spark, bad, kind):
     some, labels = [], []
     for i in range(240):
