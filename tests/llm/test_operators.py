@@ -351,6 +351,20 @@ def test_extraction(spark):
     assert template_extraction.article_slots(bare).first().slot == "/html/body/div[content]"
 
 
+def extracted(spark, pages):
+    rows = [(i, f"http://{host}/{i}", page) for i, (host, page) in enumerate(pages)]
+    return {r.page_id: r.text for r in template_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_extraction_drops_repeated_runs(spark):
+    notice, advert = SENTENCE(15), SENTENCE(4)
+    text = [SENTENCE(30) for _ in range(8)]
+    page = "<html><head><title>t</title></head><body><div class=x7f><p>{0}</p><p>" + notice + "</p><p>{1}</p><div class=q1><p>" + advert + "</p></div></div><div class=x8><p>" + SENTENCE(60) + "</p></div></body></html>"
+    pages = [("n.example", page.format(text[i], text[i + 1])) for i in range(6)]
+    got = extracted(spark, [*pages, *[pages[0]] * 20])  # exact copies have one vote
+    assert got == {i: "\n".join(text[j : j + 2]) for i, j in enumerate([*range(6), *[0] * 20])}
+
+
 def test_warc_round_trip(spark, tmp_path):
     import zstandard
 
