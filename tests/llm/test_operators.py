@@ -365,6 +365,18 @@ def test_extraction_drops_repeated_runs(spark):
     assert got == {i: "\n".join(text[j : j + 2]) for i, j in enumerate([*range(6), *[0] * 20])}
 
 
+def test_extraction_keeps_whole_articles(spark):
+    text = [SENTENCE(30) for _ in range(6)]
+    ways = ["<div class='content with-sidebar'>{}</div>", "<div id='page' class='no-sidebar'>{}</div>", "<section class='search-result'>{}</section>", "<div class='post share'>{}</div>"]
+    side = "<div class=comments><p>" + SENTENCE(8) + " {}</p></div><div class=sidebar><p>{} more of it</p></div>"
+    pages = [(f"h{k}.example", "<html><head><title>t</title></head><body>" + way.format(f"<p>{t}</p>" + side.format(i, i)) + "</body></html>") for k, way in enumerate(ways) for i, t in enumerate(text)]
+    pages += [("alone.example", ways[0].format(f"<p>{text[0]}</p>")), ("many.example", "<p>" + text[1] + "</p><div class=comments><p>" + SENTENCE(50) + "</p></div>")]
+    pages += [("bare.example", f"<html><head><meta charset=utf-8><title>t</title><body><p>{t}</p></body></html>") for t in text]
+    pages += [("short.example", f"<head><title>t</title>{text[0]}")]
+    want = [*text * len(ways), text[0], text[1], *text, text[0]]
+    assert extracted(spark, pages) == dict(enumerate(want))
+
+
 def test_warc_round_trip(spark, tmp_path):
     import zstandard
 
