@@ -2,12 +2,14 @@
 
 The vocabulary's pattern splits a text into pre-tokens that are encoded alone, so a text's count is the sum over them. A
 tree's leaves are runs of about ``LEAF`` characters that end between pre-tokens; an inner node sums ``FANOUT`` children.
-Trees are stored as a table with a row per leaf (so a long document is many rows) and a row per inner node.
+Trees are stored as a table with a row per document: the leaves' characters, and the sums level by level as arrays. So a
+document, however long, is one row with its text, and one task's work.
 
-An edit replaces ``length`` characters from ``start`` by ``insert``. Edits meet the leaves they touch by an equi-join on
-document and leaf; a touched leaf is re-encoded together with boundary context: its neighbours, because a pre-token may
+An edit replaces ``length`` characters from ``start`` by ``insert``. Texts, trees and the edits of a document meet by an
+equi-join on the document; the leaves that an edit touches are found by their offsets. A touched leaf is re-encoded together with boundary context: its neighbours, because a pre-token may
 now reach over the leaf's edge. If the new split does not meet an old leaf's start again, one more leaf is taken, until it
-does. Only the changed leaves and the sums above them are computed anew.
+does. Only the changed leaves and the sums above them are computed anew; where the number of leaves changes, the leaves
+behind it have new places, and the sums above those are computed anew too.
 
 Defined cases: null text is empty and has a tree with no leaf; an edit beyond the end appends there, a negative start
 counts as 0, a null insert as empty; edits of one document refer to its state before all of them, in order of start, and
@@ -85,6 +87,28 @@ def inner_sums(leaves: list[int]) -> list[list[int]]:
     return levels[1:]
 
 
+def renewed_sums(levels: list[list[int]], leaves: list[int], changed: set[int]) -> tuple[list[list[int]], int]:
+    """Levels above ``leaves`` from those of the old tree, and how many sums were computed: those above ``changed`` places."""
+    out, low, computed = [], leaves, 0
+    for old, above in zip(levels, [*levels[1:], *[[]] * 64], strict=False):
+        if len(low) <= 1:
+            break
+        if len(low) != len(old):
+            changed = changed | {len(low) - 1} | set(range(len(old), len(low)))
+        size = -(-len(low) // FANOUT)
+        changed = {i // FANOUT for i in changed} | set(range(len(above), size))
+        new = [*above[:size], *[0] * (size - len(above))]
+        for i in changed:
+            new[i] = sum(low[i * FANOUT : (i + 1) * FANOUT])
+        computed += len(changed)
+        out.append(new)
+        low = new
+    if len(low) > 1:  # the tree has become higher
+        more = inner_sums(low)
+        out, computed = out + more, computed + sum(map(len, more))
+    return out, computed
+
+
 _TREE = "k long, doc_id long, leaf_chars array<int>, levels array<array<int>>"
 
 
@@ -130,13 +154,15 @@ def recount(count: Counter, text: str, chars: list[int], levels: list[list[int]]
     tokens = levels[0] if levels else []
     touched = sorted({i for s, e, _ in done for i in range(max(0, bisect_right(begin, s) - 3), min(len(chars), bisect_right(begin, e) + 1))})
     shift = lambda old: sum(n - (e - s) for s, e, n in done if e <= old)  # noqa: E731  of a place that no edit covers
-    out_chars, out_tokens, encoded, i = [], [], 0, 0
+    out_chars, out_tokens, changed, encoded, i = [], [], set(), 0, 0  # changed: leaves encoded again or at a new place
     if not chars:
         leaves = count.leaves(new)
         out_chars, out_tokens, encoded = [len(t) for t, _ in leaves], [n for _, n in leaves], len(new)
     touched_set = set(touched)
     while i < len(chars):
         if i not in touched_set:
+            if i != len(out_chars):
+                changed.add(len(out_chars))
             out_chars.append(chars[i])
             out_tokens.append(tokens[i])
             i += 1
@@ -167,14 +193,16 @@ def recount(count: Counter, text: str, chars: list[int], levels: list[list[int]]
             size += len(piece)
             total += count[piece]
             if size >= LEAF:
+                changed.add(len(out_chars))
                 out_chars.append(size)
                 out_tokens.append(total)
                 size, total = 0, 0
         if size:
+            changed.add(len(out_chars))
             out_chars.append(size)
             out_tokens.append(total)
         i = last
-    return new, out_chars, [out_tokens, *inner_sums(out_tokens)] if out_tokens else [], encoded
+    return new, out_chars, [out_tokens, *renewed_sums(levels, out_tokens, changed)[0]] if out_tokens else [], encoded
 
 
 _RESULT = "doc_id long, n_chars long, n_leaves long, n_tokens_before long, n_tokens long, n_edits long, reencoded_chars long"

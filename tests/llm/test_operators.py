@@ -423,3 +423,29 @@ def test_edit_counts(spark, docs, rows, nothing):
         new, _ = edit_counts.apply_edits(t, [(n // 2, 40, t[2:19]), (0, 0, f"source: {s}\n"), (n, 0, "\n" + s)]) if i is not None else (t, [])
         assert by[i].n_tokens_before == len(count.encode(t)) and by[i].n_tokens == len(count.encode(new)), i
     assert edit_counts.revised_counts(nothing).count() == 0
+
+
+def test_edits_renew_only_sums_above_changed_leaves(monkeypatch):
+    rng = random.Random(6)
+    for _ in range(400):
+        old, new = ([rng.randrange(9) for _ in range(rng.choice([1, 2, 16, 17, 255, 256, 257, 300, 5000]))] for _ in range(2))
+        new = rng.choice([new, old, old[: rng.randint(1, len(old))], old + new])
+        changed = {i for i in range(len(new)) if i >= len(old) or old[i] != new[i]}
+        got, computed = edit_counts.renewed_sums([old, *edit_counts.inner_sums(old)], new, changed)
+        assert got == edit_counts.inner_sums(new)
+    leaves = [rng.randrange(9) for _ in range(5000)]
+    assert edit_counts.renewed_sums([leaves, *edit_counts.inner_sums(leaves)], [*leaves[:77], 50, *leaves[78:]], {77})[1] == 4
+    count = edit_counts.Counter(edit_counts.default_vocabulary())
+    text = " ".join(SENTENCE(40) for _ in range(400))
+    parts = count.leaves(text)
+    tokens = [n for _, n in parts]
+    levels = [tokens, *edit_counts.inner_sums(tokens)]
+    told = []
+    real = edit_counts.renewed_sums
+    monkeypatch.setattr(edit_counts, "renewed_sums", lambda *a: told.append(real(*a)) or told[-1])
+    for _ in range(30):
+        edits = [(rng.randrange(len(text)), rng.choice([0, 3, 900]), rng.choice(["", "x", SENTENCE(200)]))]
+        new, chars, got, _ = edit_counts.recount(count, text, [len(t) for t, _ in parts], levels, edits)
+        assert got[1:] == edit_counts.inner_sums(got[0]) and got[-1][0] == len(count.encode(new))
+    same = edit_counts.recount(count, text, [len(t) for t, _ in parts], levels, [(len(text) // 2, 1, text[len(text) // 2])])
+    assert same[2] == levels and told[-1][1] < len(levels[1]) / 2
