@@ -21,7 +21,6 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from functools import reduce
