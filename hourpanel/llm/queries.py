@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25_packing, decontaminate, edit_counts, golay_simhash, line_frequency, quality_classifier, suffix_dedup, template_extraction, toxicity, warc_bundles
+from . import bm25_packing, centroid_clusters, decontaminate, edit_counts, golay_simhash, line_frequency, quality_classifier, suffix_dedup, template_extraction, toxicity, warc_bundles
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op10_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_equal_average_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_rare_seed_decontamination": op1_rare_seed_decontamination,
     "op2_edit_aware_counts": op2_edit_aware_counts,
@@ -59,8 +63,11 @@ QUERIES = {
     "op8_golay_simhash": op8_golay_simhash,
     "op9_seekable_warc": op9_seekable_warc,
     "op10_counterfactual_toxicity": op10_counterfactual_toxicity,
+    "op11_equal_average_clusters": op11_equal_average_clusters,
+    "op11_equal_average_clusters": op11_equal_average_clusters,
 }
 ORACLE_SQL = {
+    "op11_equal_average_clusters": centroid_clusters.ORACLE_SQL,
     "op5_line_frequency_rules": line_frequency.ORACLE_SQL,
     "op9_seekable_warc": warc_bundles.ORACLE_SQL,
 }
