@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_lm, bm25_packing, centroid_clusters, decontaminate, edit_counts, golay_simhash, line_frequency, quality_classifier, suffix_dedup, template_extraction, toxicity, warc_bundles
+from . import bloom_lm, bm25_packing, centroid_clusters, decontaminate, edit_counts, golay_simhash, line_frequency, quality_classifier, suffix_dedup, template_extraction, token_alignment, toxicity, warc_bundles
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op13_bloom_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_rare_seed_decontamination": op1_rare_seed_decontamination,
     "op2_edit_aware_counts": op2_edit_aware_counts,
@@ -68,8 +72,10 @@ QUERIES = {
     "op9_seekable_warc": op9_seekable_warc,
     "op10_counterfactual_toxicity": op10_counterfactual_toxicity,
     "op11_equal_average_clusters": op11_equal_average_clusters,
+    "op12_token_alignment": op12_token_alignment,
     "op13_bloom_language_model": op13_bloom_language_model,
     "op11_equal_average_clusters": op11_equal_average_clusters,
+    "op12_token_alignment": op12_token_alignment,
     "op13_bloom_language_model": op13_bloom_language_model,
 }
 ORACLE_SQL = {
