@@ -158,6 +158,24 @@ class Tokenizers:
         return a, b, same
 
 
+    def joined(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """Ids of A and of B over all units and how many each unit has, encoded as one text; none if that does not give
+        their bytes with a cut after each unit. Units begin with white space and end without."""
+        text = "".join(units)
+        raw, ends = text.encode(), np.cumsum([len(u.encode()) for u in units])
+        out = []
+        for ids, size, pieces in ((self.a(text), self.a_size, self.a_bytes), (self.b(text[1:]) if text[0] == " " else self.b(text)[1:], self.b_size, self.b_bytes)):
+            if raw != b"".join(map(pieces.__getitem__, ids)):
+                return None
+            ids = np.array(ids, dtype=np.int64)
+            mine = np.cumsum(size[ids])
+            last = np.searchsorted(mine, ends)
+            if (mine[last] != ends).any():
+                return None
+            out += [ids, np.diff(last, prepend=-1)]
+        return tuple(out)
+
+
 def default_vocabularies() -> tuple[str, str, str]:
     """Ranks and pattern of A, the model of B."""
     import public_tokenizers
@@ -209,33 +227,44 @@ class Units:
         return self.CUT.findall(text) if self.tokenizers.cuts and not self.EXOTIC.search(text) else [text]
 
     def learn(self, units: list[str]) -> None:
+        """Align ``units``, each of them new."""
         t = self.tokenizers
         self.chars += sum(map(len, units))
-        for at in range(0, len(units), 4096):
-            some = units[at : at + 4096]
+        plain = [u for u in units if t.cuts and not u[-1].isspace() and not self.EXOTIC.search(u)]
+        plain.sort(key=lambda u: u[0] != " ")
+        alone = [u for u in units if u[-1].isspace() or not t.cuts or self.EXOTIC.search(u)]
+        for at in range(0, len(plain), 4096):
+            some = plain[at : at + 4096]
+            found = t.joined(some)
+            if found:
+                self._keep(some, *found, np.ones(len(some), dtype=bool))
+            else:
+                alone += some
+        for at in range(0, len(alone), 4096):
+            some = alone[at : at + 4096]
             a, b, same = t.ids(some)
             a, b = ([x if ok else x[:0] for x, ok in zip(ids, same, strict=True)] for ids in (a, b))
-            flat_a, flat_b = np.concatenate(a), np.concatenate(b)
-            a_ends, b_ends = np.cumsum(t.a_size[flat_a]), np.cumsum(t.b_size[flat_b])
-            a_at, b_at, _ = overlaps(a_ends, b_ends)
-            common, a_group, b_group = groups(a_ends, b_ends)
-            a_unit, b_unit = (np.repeat(np.arange(len(some)), [len(x) for x in ids]) for ids in (a, b))
-            shared = np.bincount(a_unit, n_group_links(a_group, b_group, len(common)), minlength=len(some))
-            group_unit = a_unit[np.searchsorted(a_ends, common)]
-            links = np.bincount(a_unit[a_at], minlength=len(some))
-            counts = [np.bincount(u, minlength=len(some)) for u in (a_unit, b_unit, group_unit)]
-            self.links.extend(links, (flat_a[a_at] << PIECE_BITS | flat_b[b_at]).astype(np.uint32))
-            sides = [np.array(x.astype(str), dtype=object) for x in (flat_a, flat_b)]
-            names = [[",".join(s[i:j]) for i, j in _spans(g)] for s, g in zip(sides, (a_group, b_group), strict=True)]
-            both = ["|".join(x) for x in zip(*names, strict=True)]
-            n = len(self.groups)
-            while n + len(some) > len(self.numbers):
-                self.numbers, self.faithful = np.concatenate([self.numbers, self.numbers * 0]), np.concatenate([self.faithful, self.faithful])
-            self.numbers[n : n + len(some)] = np.stack([*counts, links, shared], axis=1)
-            self.faithful[n : n + len(some)] = same
-            bounds = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(counts[2])])
-            self.groups += [";".join(both[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-            self.index.update(zip(some, range(n, n + len(some)), strict=True))
+            self._keep(some, np.concatenate(a), np.array([len(x) for x in a]), np.concatenate(b), np.array([len(x) for x in b]), np.array(same))
+
+    def _keep(self, units: list[str], a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, same: np.ndarray) -> None:
+        t, m, n = self.tokenizers, len(units), len(self.groups)
+        a_ends, b_ends = np.cumsum(t.a_size[a]), np.cumsum(t.b_size[b])
+        a_at, b_at, _ = overlaps(a_ends, b_ends)
+        common, a_group, b_group = groups(a_ends, b_ends)
+        a_unit = np.repeat(np.arange(m), n_a)
+        shared = np.bincount(a_unit, n_group_links(a_group, b_group, len(common)), minlength=m)
+        n_groups = np.bincount(a_unit[np.searchsorted(a_ends, common)], minlength=m)
+        links = np.bincount(a_unit[a_at], minlength=m)
+        self.links.extend(links, (a[a_at] << PIECE_BITS | b[b_at]).astype(np.uint32))
+        while n + m > len(self.numbers):
+            self.numbers, self.faithful = np.concatenate([self.numbers, self.numbers * 0]), np.concatenate([self.faithful, self.faithful])
+        self.numbers[n : n + m] = np.stack([n_a, n_b, n_groups, links, shared], axis=1)
+        self.faithful[n : n + m] = same
+        a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        both = [",".join(a_text[i:j]) + "|" + ",".join(b_text[k:l]) for (i, j), (k, l) in zip(_spans(a_group), _spans(b_group), strict=True)]
+        bounds = np.cumsum(n_groups).tolist()
+        self.groups += [";".join(both[i:j]) for i, j in zip([0, *bounds], bounds, strict=False)]
+        self.index.update(zip(units, range(n, n + m), strict=True))
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
         """Numbers of the units of each text; an empty array where the tokens do not give the text."""
