@@ -353,8 +353,11 @@ def score(docs: DataFrame, top: int = TOP, segment: int = SEGMENT, weight: float
     keyed = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
     parts = None
     for i, (a, b) in enumerate(_segments(sizes, segment)):
-        body = b"".join(bytes(r["body"]) for r in pieces.where(F.col("cell").between(a, b - 1)).orderBy("cell").collect())  # ``segment`` bytes
-        send = spark.sparkContext.broadcast({"known": known, "filter": Filter(a, b, sizes[a:b], body, cells)})
+        body = bytearray(int(sizes[a:b].sum()))  # ``segment`` bytes
+        for r in pieces.where(F.col("cell").between(a, b - 1)).toLocalIterator():
+            at = int(sizes[a : r["cell"]].sum())
+            body[at : at + len(r["body"])] = r["body"]
+        send = spark.sparkContext.broadcast({"known": known, "filter": Filter(a, b, sizes[a:b], bytes(body), cells)})
         part = materialise(keyed.mapInArrow(lambda it, s=send, f=i == 0: _score(it, s, f, weight), _PART), "scores")
         send.destroy()
         parts = part if parts is None else parts.unionByName(part)
