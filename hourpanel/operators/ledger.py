@@ -10,51 +10,44 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import clock
 from ..functions.numeric import clean, flag
-from . import dedupe, normalize
+from ..sources.versions import VersionedTable, without
+from . import normalize
+
+
+PARTS = ("target", "forecast_date")
 
 
 def append_rows(old: DataFrame, new: DataFrame, force: bool = False, key: Sequence[str] = fixed.LEDGER_KEY) -> DataFrame:
-    """Ledger after the append: known keys are skipped, or replaced when forced.
+    """Ledger after the append: known keys are skipped, or replaced when forced. Null key parts equal each other.
 
     Duplicates inside the batch are kept as they come, like those of the old table.
     """
-    key = list(key)
     if force:
-        kept = old.join(new.select(*key).distinct(), key, "left_anti")
-        return kept.unionByName(new, allowMissingColumns=True)
-    return old.unionByName(new.join(old.select(*key).distinct(), key, "left_anti"), allowMissingColumns=True)
+        return without(old, new, key).unionByName(new, allowMissingColumns=True)
+    return old.unionByName(without(new, old, key), allowMissingColumns=True)
 
 
-def between(table: DataFrame, batch: DataFrame, day: str) -> DataFrame:
-    """Rows of a table partitioned by ``day`` within the days of ``batch``; the bounds are literals, so folders are pruned."""
-    low, high = batch.agg(F.min(day), F.max(day)).first()
-    return table.where(F.lit(False)) if low is None else table.where(F.col(day).between(F.lit(low), F.lit(high)))
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A ledger as last published."""
+    return VersionedTable(spark, path, PARTS).read()
 
 
-def append_to_table(spark: SparkSession, path: str, new: DataFrame, force: bool = False, key: Sequence[str] = fixed.LEDGER_KEY) -> None:
-    """Append to a Parquet ledger partitioned by target and forecast_date.
+def append_to_table(
+    spark: SparkSession,
+    path: str,
+    new: DataFrame,
+    force: bool = False,
+    key: Sequence[str] = fixed.LEDGER_KEY,
+    source: str | None = None,
+    number: int | None = None,
+) -> bool:
+    """Append to a versioned ledger partitioned by target and forecast_date; only the batch's partitions are read.
 
-    Folders from the first to the last forecast_date of the batch are read. Skipping appends the fresh rows. Forcing
-    rewrites the batch's partitions from a table that is staged in the shared folder first; if that rewrite is
-    interrupted, the staged rows are still there, and running the same batch again completes it.
+    Skipping adds the fresh rows, forcing replaces the batch's partitions; either is published as a whole or not at all
+    (``sources.versions``), so an interrupted call changes nothing and can be repeated. With ``source`` and ``number`` a
+    batch counts once: False if the table already has it.
     """
-    from ..session import materialise
-
-    parts = ["target", "forecast_date"]
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        new.write.partitionBy(*parts).parquet(path)
-        return
-    old = between(spark.read.schema(new.schema).parquet(path), new, "forecast_date")
-    touched = new.select(*parts).distinct()
-    old = old.join(touched, parts, "left_semi")
-    if not force:
-        fresh = new.join(old.select(*key).distinct(), list(key), "left_anti")
-        materialise(fresh, "ledger-batch").write.mode("append").partitionBy(*parts).parquet(path)
-        return
-    merged = materialise(append_rows(old, new, True, key), "ledger-merge")
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+    return VersionedTable(spark, path, PARTS).upsert(new, key, force, source, number)
 
 
 def _first_value(df: DataFrame, names: Sequence[str]):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import clock
-from ..operators import dedupe, models
+from ..operators import ledger, models
 from ..session import scratch_path
 from ..sources import sinks, tables
 from ..streaming import jobs
@@ -138,7 +138,7 @@ def _(t):
         rows.where(part).write.mode("append").parquet(source)
         stream = event_stream(t, source).withColumn("target", F.lit("realtime")).drop("event_id", "user_id").withColumnRenamed("value", "y_pred")
         jobs.ledger_ingest(stream, path, f"{path}-progress", key=key).awaitTermination()
-    back = t.spark.read.schema(stream.drop("event_time").schema).parquet(path)
+    back = ledger.read_table(t.spark, path)
     late = F.col("run_date") < F.date_sub(F.lit(rows.agg(F.max(F.to_date("ts"))).first()[0]), 3)
     return back.agg(F.count(F.lit(1)).alias("kept"), F.count_if(late).alias("late_kept"))
 
@@ -165,7 +165,26 @@ def _(t):
     key = ["series_id", *fixed.LEDGER_KEY]
     for run in range(2):  # the second run starts from scratch and must add nothing
         jobs.ledger_ingest(rows, path, f"{path}-progress-{run}", key=key).awaitTermination()
-    return t.spark.read.parquet(path).groupBy("series_id", "forecast_date").agg(F.count(F.lit(1)).alias("rows"))
+    return ledger.read_table(t.spark, path).groupBy("series_id", "forecast_date").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(
+    "ledger_replay",
+    "series_id:i forecast_date:t rows:i y_sum:d applied:s",
+    "SELECT series_id, forecast_date, count(*) AS rows, sum(y) AS y_sum, 'true,false,true,true' AS applied FROM (SELECT user_id % 3 AS series_id, CASE WHEN hour(ts) NOT IN (0, 13) THEN CAST(ts AS DATE) END AS forecast_date, hour(ts) AS h, CAST(ts AS DATE) AS run_date, event_type, max(value) AS y FROM events GROUP BY ALL) GROUP BY ALL",
+)
+def _(t):
+    """One batch appended with its number, again with the same number, as another source, and forced: null days and all,
+    one row a key is left."""
+    path = scratch_path(t.spark, "replay")
+    rows = t.table("events").groupBy(
+        F.pmod("user_id", F.lit(SERIES_COUNT)).cast("int").alias("series_id"), F.when(~F.hour("ts").isin(0, 13), F.to_date("ts")).alias("forecast_date"), F.hour("ts").alias("hour_business"),
+        F.to_date("ts").alias("run_date"), F.col("event_type").alias("model_name"), F.lit("realtime").alias("target"),
+    ).agg(F.max("value").alias("y_pred"))
+    key = ["series_id", *fixed.LEDGER_KEY]
+    done = [ledger.append_to_table(t.spark, path, rows, force, key, source, number) for force, source, number in ((False, "a", 0), (False, "a", 0), (False, "b", 0), (True, None, None))]
+    back = ledger.read_table(t.spark, path).groupBy("series_id", "forecast_date").agg(F.count(F.lit(1)).alias("rows"), F.sum("y_pred").alias("y_sum"))
+    return back.withColumn("applied", F.lit(",".join(str(d).lower() for d in done)))
 
 
 @query(
@@ -180,4 +199,4 @@ def _(t):
         "series_id", F.col("forecast_date").alias("business_day"), F.col("hour_business").alias("target_hour"), (F.col("user_id") % 5 + 10).alias("cutoff_hour"), "event_id"
     )
     jobs.intraday_latest(pack, path, f"{path}-progress", ["series_id", "business_day", "target_hour"], ["event_id"]).awaitTermination()
-    return t.spark.read.parquet(path)
+    return jobs.read_intraday(t.spark, path)

@@ -11,7 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import fixed
 from ..operators import dedupe, ledger
-from ..session import materialise
+from ..sources.versions import VersionedTable
+
+INTRADAY_PARTS = ("business_day",)
 
 
 def read_directory(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 100) -> DataFrame:
@@ -30,14 +32,14 @@ def ledger_ingest(
     """Append a stream of ledger rows, one per key, however late they come.
 
     A batch is reduced to one row per key (the earliest event, then the smallest values), and the append skips keys that
-    the table has. So no state is kept, no row is dropped for its age, and a replayed batch changes nothing.
-    ``checkpoint`` must be the same folder at every start of the job.
+    the table has, null days included. So no state is kept, no row is dropped for its age, and a replayed batch changes
+    nothing: the table's log knows the batches of this checkpoint, and the keys of any other run. Read the table with
+    ``ledger.read_table``. ``checkpoint`` must be the same folder at every start of the job.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         once = dedupe.keep_one(batch, list(key), [event_time, *[c for c in batch.columns if c not in (*key, event_time)]], last=False).drop(event_time)
-        # Written out first: the append reads it more than once, the source must be read only once.
-        ledger.append_to_table(batch.sparkSession, path, materialise(once, "ledger-micro-batch"), force, key)
+        ledger.append_to_table(batch.sparkSession, path, once, force, key, checkpoint, number)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -49,24 +51,18 @@ def intraday_latest(
     keys: Sequence[str] = ("business_day", "target_hour"),
     tie: Sequence[str] = (),
 ) -> StreamingQuery:
-    """Keep the highest cutoff per key in a table of one Parquet folder per day.
+    """Keep the highest cutoff per key in a versioned table of one partition per day; read it with ``read_intraday``.
 
-    Each batch is reduced by itself and merged with the days between its first and last, found by their folders. A day's
-    folder is replaced after the merged rows were written to the shared folder; a batch that was interrupted in between is
-    run again by the stream from its checkpoint. ``checkpoint`` must be the same folder at every start of the job.
+    Each batch is reduced by itself and merged with the partitions of its days. The merged days are published as a whole or
+    not at all, and the table's log knows the batches of this checkpoint, so a batch that is run again after any
+    interruption neither loses nor doubles a row. ``checkpoint`` must be the same folder at every start of the job.
     """
-    schema = pack.schema
-
-    def merge(batch: DataFrame, _: int) -> None:
-        s = batch.sparkSession
-        fresh = materialise(dedupe.keep_one(batch, keys, ["cutoff_hour", *tie], last=True), "intraday-micro-batch")
-        root = s._jvm.org.apache.hadoop.fs.Path(path)
-        if root.getFileSystem(s._jsc.hadoopConfiguration()).exists(root):
-            old = ledger.between(s.read.schema(schema).parquet(path), fresh, "business_day")
-            old = old.join(fresh.select("business_day").distinct(), "business_day", "left_semi")
-            fresh = dedupe.keep_one(old.unionByName(fresh), keys, ["cutoff_hour", *tie], last=True)
-        out = materialise(fresh, "intraday-merge")
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("business_day").parquet(path)
+    order = ["cutoff_hour", *tie]
+
+    def merge(batch: DataFrame, number: int) -> None:
+        fresh = dedupe.keep_one(batch, keys, order, last=True)
+        table = VersionedTable(batch.sparkSession, path, INTRADAY_PARTS)
+        table.merge(fresh, lambda old, new: dedupe.keep_one(old.unionByName(new), keys, order, last=True), True, checkpoint, number)
 
     return (
         pack.writeStream.foreachBatch(merge)
@@ -76,6 +72,11 @@ def intraday_latest(
     )
 
 
+def read_intraday(spark: SparkSession, path: str) -> DataFrame:
+    """The intraday table as last published."""
+    return VersionedTable(spark, path, INTRADAY_PARTS).read()
+
+
 def intraday_state(pack: DataFrame, keys: Sequence[str], value: str, event_time: str, late: str = "1 day", window: str = "1 day") -> DataFrame:
     """Streaming aggregate with the value of the highest cutoff per key and event-time window, for update mode."""
     timed = pack.withWatermark(event_time, late)
