@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -355,14 +356,19 @@ def convex_search(
     rounds: int = 25,
     tolerance: float = 1e-5,
     weight: str | None = None,
+    starts: DataFrame | None = None,
 ) -> DataFrame:
     """Weights of sum 1 within ``bounds`` with the least mean loss plus reg x squared distance to a prior.
 
     Iteratively reweighted least squares: at the present weights a row's loss is replaced by a parabola of the same slope,
     so a group needs k x k sums from one grouped pass, whatever its size, and its next weights are an exact small
-    constrained solve. A step that does not lower the objective is halved. Ends when no group gained more than
-    ``tolerance`` of its objective in two passes, or after ``rounds``. Starts from the best of the prior and the single
-    models, so the result is never above any of them. Result: by, weights, loss, objective.
+    constrained solve. A step that does not lower the objective is halved.
+
+    The losses have the prediction in a denominator, so a group may have several minima. It starts from the prior, equal
+    weights, every single model, every two models at halves, and the caller's ``starts`` (by, weights); all starts go down
+    together, as more rows of the small state, so one pass serves them all, and the least objective is taken. It is never
+    above that of any start. A start that has not gained more than ``tolerance`` in two passes rests, and takes no part in
+    later passes; ends when all rest, or after ``rounds``. Result: by, weights, loss, objective.
     """
     by, k = list(by), len(models)
     rows = wide.na.drop(subset=["y_true", *models]).withColumn("_x", F.array(*[F.col(m).cast("double") for m in models]))
@@ -383,21 +389,20 @@ def convex_search(
         state = state.withColumn("_prior", equal)
     lo, hi = bounds
     inside = F.pandas_udf(lambda s: s.map(lambda v: solve.project_box(np.asarray(v, float), lo, hi).tolist()), "array<double>")
-    starts = [F.col("_w0"), *[F.array(*[F.lit(float(i == j)) for j in range(k)]) for i in range(k) if lo <= 0 and hi >= 1]]
-    state = materialise(state.withColumn("_w0", inside("_prior")), "start")
-    first = rows.join(state.select(*by, "_w0"), by)
-    tried = first.groupBy(*by).agg(*[
-        scores.weighted_mean(_loss(loss, F.col("y_true"), F.aggregate(F.zip_with(w, "_x", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)), F.col("_gate")).alias(f"_t{i}")
-        for i, w in enumerate(starts)
-    ])
-    pull = [F.aggregate(F.zip_with(w, "_prior", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v) for w in starts]
-    choice = F.array_min(F.array(*[F.struct((F.col(f"_t{i}") + reg * pull[i]).alias("o"), F.lit(i).alias("i"), w.alias("w")) for i, w in enumerate(starts)]))
-    state = state.join(tried, by).withColumn("_w", choice["w"]).withColumn("_best", F.col("_w")).drop("_w0", *[f"_t{i}" for i in range(len(starts))])
-    state = materialise(state.withColumns({"_obj": F.lit(float("inf")), "loss": F.lit(float("inf")), "_idle": F.lit(0)}), "state")
+    corners = [equal, *[F.array(*[F.lit(float(m in pair) / len(pair)) for m in range(k)]) for pair in [*[(i,) for i in range(k)], *combinations(range(k), 2)]]]
+    own = state.select(*by, F.posexplode(F.array("_prior", *corners)).alias("_start", "_w"))
+    if starts is not None:
+        given = starts.select(*by, F.col("weights").alias("_w"))
+        own = own.unionByName(given.join(state.select(*by), by).withColumn("_start", F.lit(-1)))
+    state = own.join(state, by).withColumn("_w", inside("_w"))
+    state = state.groupBy(*by, "_w").agg(F.min("_start").alias("_start"), *[F.first(c).alias(c) for c in ("_e", "_prior")])  # equal starts once
+    state = state.withColumns({"_best": F.col("_w"), "_obj": F.lit(float("inf")), "loss": F.lit(float("inf")), "_idle": F.lit(0)})
+    state = materialise(state.select(*by, "_start", "_e", "_prior", "_w", "_best", "_obj", "loss", "_idle"), "state")
+    resting = None
     step, pairs = _descend(k, reg, bounds), [(i, j) for i in range(k) for j in range(i, k)]
     for _ in range(rounds):
         dot = F.aggregate(F.zip_with("_w", "_x", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-        at = rows.join(state.select(*by, "_w", "_e"), by).withColumn("_f", dot).withColumn("_d", F.col("_f") - F.col("y_true"))
+        at = rows.join(state.select(*by, "_start", "_w", "_e"), by).withColumn("_f", dot).withColumn("_d", F.col("_f") - F.col("y_true"))
         y, f, e = F.col("y_true"), F.col("_f"), F.col("_e")
         near = F.abs("_d") < e  # at the kink: the parabola through the loss at distance e
         off = F.when(near, y + e).otherwise(f)
@@ -405,23 +410,28 @@ def convex_search(
         slope = (_loss(loss, y, f + e / 4) - _loss(loss, y, f - e / 4)) / (e / 2)
         at = at.withColumn("_s", F.when(near, F.lit(0.0)).otherwise(slope - F.col("_q") * F.col("_d")))
         q, target = F.col("_gate") * F.col("_q"), F.col("_gate") * (F.col("_q") * y - F.col("_s"))
-        sums = at.groupBy(*by).agg(
+        sums = at.groupBy(*by, "_start").agg(
             *[F.sum(q * F.col("_x")[i] * F.col("_x")[j]).alias(f"_g{i}_{j}") for i, j in pairs],
             *[F.sum(target * F.col("_x")[i]).alias(f"_b{i}") for i in range(k)],
             F.sum("_gate").alias("_n"), scores.weighted_mean(F.col("_l"), F.col("_gate")).alias("_now"),
         )
         g = F.array(*[F.col(f"_g{min(i, j)}_{max(i, j)}") for i in range(k) for j in range(k)])
         pull = F.aggregate(F.zip_with("_w", "_prior", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)
-        new = state.join(sums, by).withColumn("_o", F.coalesce(F.col("_now") + reg * pull, F.lit(float("inf"))))
+        new = state.join(sums, [*by, "_start"]).withColumn("_o", F.coalesce(F.col("_now") + reg * pull, F.lit(float("inf"))))
         better = F.col("_o") < F.col("_obj")
         gained = better & (F.col("_obj") - F.col("_o") > tolerance * F.abs("_o"))
         new = new.withColumns({"_better": better, "_idle": F.when(gained, 0).otherwise(F.col("_idle") + 1)})
         new = new.withColumns({c: F.when(F.col("_better"), F.col(v)).otherwise(F.col(c)) for c, v in (("_best", "_w"), ("loss", "_now"), ("_obj", "_o"))})
         new = new.withColumn("_w", step(g, F.array(*[F.col(f"_b{i}") for i in range(k)]), "_n", "_w", "_best", "_prior", "_better"))
-        state = materialise(new.select(*by, "_e", "_prior", "_w", "_best", "_obj", "loss", "_idle"), "state")
-        if not state.where("_idle < 3").take(1):
+        state = materialise(new.select(*by, "_start", "_e", "_prior", "_w", "_best", "_obj", "loss", "_idle"), "state")
+        done = state.where("_idle >= 3")
+        resting = done if resting is None else resting.unionByName(done)
+        state = state.where("_idle < 3")
+        if not state.take(1):
             break
-    return state.select(*by, F.col("_best").alias("weights"), "loss", F.col("_obj").alias("objective"))
+    ends = state if resting is None else resting.unionByName(state)
+    least = ends.groupBy(*by).agg(F.min_by(F.struct("_best", "loss", "_obj"), F.struct("_obj", "_start")).alias("_m"))
+    return least.select(*by, F.col("_m._best").alias("weights"), F.col("_m.loss").alias("loss"), F.col("_m._obj").alias("objective"))
 
 
 def as_long(found: DataFrame, by: Sequence[str], models: Sequence[str]) -> DataFrame:

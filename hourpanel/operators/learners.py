@@ -189,7 +189,7 @@ def candidate_weights(df: DataFrame, by: Sequence[str], models: Sequence[str], c
     out = out.unionByName(b)
     if convex:
         wide = fusion.wide_frame(df, [*by, *DAY_POINT], models)
-        c = fusion.convex_search(wide, by, models)
+        c = fusion.convex_search(wide, by, models, starts=b.select(*by, "weights"))
         out = out.unionByName(
             c.select(*by, F.lit("static_convex").alias("candidate_name"), F.lit("static_convex").alias("selected_mode"), F.lit(1).alias("position"), "weights")
         )

@@ -1,5 +1,7 @@
 """Fusion and learner queries."""
 
+from itertools import product
+
 from pyspark.sql import functions as F
 
 from ..functions import scores
@@ -323,6 +325,34 @@ def _(t):
     return learners.choose_candidate(learners.evaluate_candidates(df, c, BY, ALL_M), BY)
 
 
+GRID = 8  # weights in eighths: 495 mixtures of five models
+_STEPS = ["(SELECT unnest(range(0, %d)) AS g%d)" % (GRID + 1, i) for i in _I[:-1]]
+_LAST = f"{GRID} - " + " - ".join(f"g{i}" for i in _I[:-1])
+
+
+@query(
+    "convex_beats_grid",
+    "series_id:i task:s period:s grid_score:d fit_not_above:b",
+    f"""SELECT series_id, task, period, min(score) AS grid_score, true AS fit_not_above FROM (
+          SELECT series_id, task, period, {smape_sql('floor50', 'y', '(' + _each("g{i} * m{i}", " + ") + f') / {GRID}.0::DOUBLE')} AS score
+          FROM wd CROSS JOIN (SELECT *, {_LAST} AS g{_I[-1]} FROM {" CROSS JOIN ".join(_STEPS)}) WHERE g{_I[-1]} >= 0 AND {_WHOLE} GROUP BY {BYS}, {_each("g{i}")}) GROUP BY ALL""",
+    CAND,
+)
+def _(t):
+    """The fitted mixture against all mixtures in eighths: their least score, and whether the fit lies above it."""
+    df = t.stored_panel
+    wide = fusion.wide_frame(df, [*BY, *learners.DAY_POINT], ALL_M).na.drop(subset=["y_true", *ALL_M])
+    names = F.lit("fit"), F.lit("fit"), F.lit(0)
+    labels = [n.alias(a) for n, a in zip(names, ("candidate_name", "selected_mode", "position"), strict=True)]
+    fit = learners.evaluate_candidates(df, fusion.convex_search(wide, BY, ALL_M).select(*BY, *labels, "weights"), BY, ALL_M)
+    mixtures = [w for w in product(range(GRID + 1), repeat=len(ALL_M)) if sum(w) == GRID]
+    grid = F.array(*[F.array(*[F.lit(v / GRID) for v in w]) for w in mixtures])
+    x = F.array(*[F.col(m) for m in ALL_M])
+    at = wide.select(*BY, "y_true", F.posexplode(F.transform(grid, lambda w: F.aggregate(F.zip_with(w, x, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v))).alias("mixture", "p"))
+    best = at.groupBy(*BY, "mixture").agg(scores.smape("floor50", "y_true", "p").alias("score")).groupBy(*BY).agg(F.min("score").alias("grid_score"))
+    return best.join(fit.select(*BY, "score"), BY).select(*BY, "grid_score", (F.col("score") <= F.col("grid_score") * (1 + 1e-9)).alias("fit_not_above"))
+
+
 @query("convex_candidate_is_best", "series_id:i task:s period:s not_above_others:b sums_to_one:b inside:b", None)
 def _(t):
     """For the convex candidate of all models: whether no other candidate lies below it, and its weights are a mixture.
