@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import clock, scores
+from ..functions import clock, linear, scores
 from ..functions.numeric import clip, flag
 from ..session import materialise
 from . import quantile, solve
@@ -126,15 +126,14 @@ def anchor_blend(df: DataFrame, keys: Sequence[str], anchor: str, weight: float
 
 
 def project_weights(weights: DataFrame, by: Sequence[str], lo: float = BOUNDS[0], hi: float = BOUNDS[1], steps: int = 60, strict_fix: bool = False) -> DataFrame:
-    """Weights within the bounds that sum to 1, by the published rule (``solve.pin_and_share``).
+    """Weights within the bounds that sum to 1, by the published rule (``linear.pin_and_share``).
 
     ``strict_fix`` gives the nearest such weights instead, by bisection inside an array fold. A group is an array of its
     few models either way.
     """
     arr = weights.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("model_name", "weight"))).alias("_m"))
     if not strict_fix:
-        share = F.pandas_udf(lambda s: s.map(lambda v: solve.pin_and_share(np.asarray(v, float), lo, hi).tolist()), "array<double>")
-        shared = arr.select(*by, "_m", share(F.col("_m.weight")).alias("_w"))
+        shared = arr.select(*by, "_m", linear.pin_and_share(F.col("_m.weight"), lo, hi).alias("_w"))
         both = F.explode(F.arrays_zip(F.col("_m.model_name").alias("model_name"), F.col("_w").alias("weight")))
         return shared.select(*by, both.alias("_z")).select(*by, "_z.model_name", "_z.weight")
     v = F.transform("_m", lambda m: F.least(F.greatest(m["weight"], F.lit(float(lo))), F.lit(float(hi))))

@@ -1,7 +1,8 @@
 """k x k solves on grouped statistics.
 
-Spark sums the cross products; a group reaches numpy as one row of k*k numbers
-however many rows it was fitted on. Batches of groups run inside tasks.
+Spark sums the cross products, so a group is one row of k*k numbers however many rows it was fitted on. Ridge fits and the
+projection are folds over these arrays (``functions.linear``); only the fits under inequalities go to numpy, in batches of
+groups inside tasks.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import linear
+
 
 def gram(wide: DataFrame, by: Sequence[str], x: Sequence[str], y: str = "y_true", weight: Column | None = None, fill: float | None = None) -> DataFrame:
     """Cross products per group: g (k*k), b (k), s (k), sy, yy, n; rows with gaps are skipped or filled."""
@@ -119,59 +122,46 @@ def project_box(v: np.ndarray, lo: float, hi: float) -> np.ndarray:
     return np.clip(v - (a + b) / 2, lo, hi)
 
 
-def pin_and_share(v: np.ndarray, lo: float, hi: float) -> np.ndarray:
-    """The published rule for entries in [lo, hi] and sum 1.
+def ridge_column(method: str, k: int, alpha: float, n_models: int, bounds: tuple[float, float]):
+    """Column of ridge weights over (g, b, s, sy, n), from elimination in the JVM."""
 
-    Clipped entries move by one common amount to the sum; those that this takes out of bounds are pinned there and the
-    others move again. Once an entry is pinned, the free ones end with equal parts of what is left of 1 (within bounds).
-    A rest goes to the entry of largest size that can take it whole.
-    """
-    w = np.clip(np.asarray(v, float), lo, hi)
-    if len(w) == 1:
-        return np.ones(1)
-    if abs(w.sum() - 1.0) <= 1e-9:
-        return w
-    free = np.ones(len(w), dtype=bool)
-    while free.any():
-        moved = w + (1.0 - w.sum()) / free.sum()
-        out = free & ((moved < lo) | (moved > hi))
-        if not out.any():
-            w[free] = moved[free]
-            break
-        w[out] = np.where(moved[out] < lo, lo, hi)
-        free &= ~out
-    if free.any() and not free.all():
-        w[free] = np.clip((1.0 - w[~free].sum()) / free.sum(), lo, hi)
-    rest = 1.0 - w.sum()
-    if abs(rest) > 1e-8:
-        takes = [i for i in np.argsort(-np.abs(w)) if lo <= w[i] + rest <= hi]
-        w[takes[:1]] += rest
-    return w
+    def fit(g: str, b: str, s: str, sy: str, n: str) -> Column:
+        g, b, s, sy, n = map(F.col, (g, b, s, sy, n))
+        at = lambda r, c: F.get(g, (r * k + c).cast("int")) + F.when(r == c, float(alpha)).otherwise(0.0)
+        if method == "ridge":
+            found = linear.solution(at, lambda r: F.get(b, r), k)
+        else:
+            centred = linear.solution(lambda r, c: at(r, c) - F.get(s, r) * F.get(s, c) / n, lambda r: F.get(b, r) - F.get(s, r) * sy / n, k)
+            if method == "ridge_intercept":
+                found = linear.let(centred, lambda w: F.concat(w, F.array((sy - linear.dot(w, s)) / n)))
+            else:
+                found = linear.pin_and_share(F.slice(centred, 1, n_models), *bounds)
+        known = (n > 0) & ~F.exists(g, lambda v: v.isNull() | F.isnan(v))
+        return F.when(known, found)
+
+    return fit
 
 
 def fit_column(method: str, k: int, alpha: float = 1.0, n_models: int | None = None, bounds: tuple[float, float] = (-0.5, 1.2), anchor: int = 0, anchor_weight: float = 0.9, strict_fix: bool = False):
-    """Vectorised UDF over (g, b, s, sy, n) rows giving an array of weights.
+    """Function of the columns (g, b, s, sy, n) giving an array of weights.
 
     Methods: convex, ridge, ridge_nonnegative, ridge_intercept (k coefficients
     and the intercept), ridge_projected (intercept fit, first ``n_models``
     coefficients projected by the published rule, with ``strict_fix`` to the nearest vector), anchor.
     """
     m = n_models or k
+    if method in ("ridge", "ridge_intercept", "ridge_projected") and not strict_fix:
+        return ridge_column(method, k, alpha, m, bounds)
 
     def one(g, b, s, sy, n):
         a, b, s = np.asarray(g, float).reshape(k, k), np.asarray(b, float), np.asarray(s, float)
         if method == "convex":
             return box_minimum(a, b) if k > 1 else np.ones(1)
-        if method == "ridge":
-            return np.linalg.lstsq(a + alpha * np.eye(k), b, rcond=None)[0]
         if method == "ridge_nonnegative":
             return box_minimum(a + alpha * np.eye(k), b, total=None)
-        if method in ("ridge_intercept", "ridge_projected"):
-            centred = a - np.outer(s, s) / n
-            coef = np.linalg.lstsq(centred + alpha * np.eye(k), b - s * sy / n, rcond=None)[0]
-            if method == "ridge_intercept":
-                return np.append(coef, (sy - coef @ s) / n)
-            return (project_box if strict_fix else pin_and_share)(coef[:m], *bounds)
+        if method == "ridge_projected":
+            coef = np.linalg.lstsq(a - np.outer(s, s) / n + alpha * np.eye(k), b - s * sy / n, rcond=None)[0]
+            return project_box(coef[:m], *bounds)
         if method == "anchor":
             rest = [i for i in range(k) if i != anchor]
             w = np.zeros(k)

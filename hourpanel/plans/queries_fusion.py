@@ -8,6 +8,7 @@ from ..functions import scores
 from ..operators import folds, fusion, joins, learners, metrics, solve
 from .fixture import DA_TYPES, MODELS
 from .queries_metrics import SMAPE_SQL, smape_sql
+from . import sql_solves as sq
 from .registry import query
 
 S = ["series_id"]
@@ -119,7 +120,12 @@ def _(t):
     return fusion.scale_weights(raw_weights(t), BY)
 
 
-@query("projected_weights", "series_id:i task:s period:s model_name:s weight:d", None)
+@query(
+    "projected_weights",
+    "series_id:i task:s period:s model_name:s weight:d",
+    f"SELECT {BYS}, model_name, w AS weight FROM pj JOIN {sq.named(MODELS)} USING (i)",
+    f"{RAW_W}, {sq.pin_and_share('pj', f'(SELECT {BYS}, i, weight AS v FROM rw JOIN {sq.named(MODELS)} USING (model_name))', BYS, len(MODELS))}",
+)
 def _(t):
     return fusion.project_weights(raw_weights(t), BY)
 
@@ -151,14 +157,30 @@ def _solved(t, method, fill, **kw):
     return solve.solve(solve.gram(wide, BY, MODELS, fill=fill), BY, MODELS, method, **kw)
 
 
-for _name, _method, _kw in (
-    ("ridge_weights", "ridge", {"alpha": 1.0}),
-    ("ridge_nonnegative_weights", "ridge_nonnegative", {"alpha": 2.0}),
-    ("ridge_projected_weights", "ridge_projected", {"alpha": 1.0}),
-    ("convex_mse_weights", "convex", {}),
-    ("anchor_convex_weights", "anchor", {"anchor": 4}),
+K = len(MODELS)
+FILLED = f"""wz AS (SELECT {BYS}, ds, max(y_true) AS y, {', '.join(f'coalesce(max(y_pred) FILTER (model_name = {chr(39)}{m}{chr(39)}), 0) AS x{i}' for i, m in enumerate(MODELS))} FROM panel GROUP BY ALL),
+gr AS ({sq.gram('wz', BYS, [f'x{i}' for i in range(K)])})"""
+_WEIGHTS = f"SELECT {BYS}, model_name, v AS weight FROM {sq.long('fit', BYS, K)} JOIN {sq.named(MODELS)} USING (i)"
+_PROJECTED = f"SELECT {BYS}, model_name, w AS weight FROM pj JOIN {sq.named(MODELS)} USING (i)"
+
+
+def others_of(source, k, out, keys):
+    """The statistics without column ``out``."""
+    at = lambda i: f"({i} + CASE WHEN {i} >= {out} THEN 1 ELSE 0 END)"
+    n = k - 1
+    g = f"list_transform(range(0, {n * n}), lambda i: g[{at(f'(i // {n})')} * {k} + {at(f'(i % {n})')} + 1])"
+    return f"(SELECT {keys}, {g} AS g, list_transform(range(0, {n}), lambda i: b[{at('i')} + 1]) AS b FROM {source})"
+
+
+_ANCHOR = f"SELECT {BYS}, model_name, CASE WHEN i = {K - 1} THEN 0.9 ELSE (1 - 0.9::DOUBLE) * v END AS weight FROM {sq.long('(SELECT * REPLACE (list_append(w, 0::DOUBLE) AS w) FROM fit)', BYS, K)} JOIN {sq.named(MODELS)} USING (i)"
+for _name, _method, _kw, _sql, _ctes in (
+    ("ridge_weights", "ridge", {"alpha": 1.0}, _WEIGHTS, sq.ridge("fit", "gr", K, "1.0")),
+    ("ridge_nonnegative_weights", "ridge_nonnegative", {"alpha": 2.0}, _WEIGHTS, sq.quadratic("fit", "gr", K, 2.0, mixture=False)),
+    ("ridge_projected_weights", "ridge_projected", {"alpha": 1.0}, _PROJECTED, f"{sq.ridge('fit', 'gr', K, '1.0', centred=True)}, {sq.pin_and_share('pj', sq.long('fit', BYS, K), BYS, K)}"),
+    ("convex_mse_weights", "convex", {}, _WEIGHTS, sq.quadratic("fit", "gr", K)),
+    ("anchor_convex_weights", "anchor", {"anchor": 4}, _ANCHOR, sq.quadratic("fit", others_of("gr", K, K - 1, BYS), K - 1)),
 ):
-    query(_name, "series_id:i task:s period:s model_name:s weight:d", None)(lambda t, m=_method, k=_kw: _solved(t, m, 0.0, **k))
+    query(_name, "series_id:i task:s period:s model_name:s weight:d", _sql, f"{FILLED}, {_ctes}")(lambda t, m=_method, k=_kw: _solved(t, m, 0.0, **k))
 
 
 @query("convex_smape_weights", "series_id:i task:s period:s model_name:s weight:d", None)
@@ -184,8 +206,31 @@ def _(t):
     return fusion.rolling_weights(t.stored_panel, S, MODELS, "softmax", window_days=10, min_history_days=10)
 
 
-for _m, _a in (("convex", None), ("ridge", None), ("anchor", "view")):
-    query(f"rolling_{_m}_weights", "series_id:i business_day:t model_name:s weight:d", None)(
+_XS = [f"x{i}" for i in range(K)]
+_G = [f"sum(x{i} * x{j})" for i in range(K) for j in range(K)]
+_SUMS = [*_G, *[f"sum({x} * y)" for x in _XS], *[f"sum({x})" for x in _XS], "sum(y)", "CAST(count(*) AS DOUBLE)"]
+_PAST = ", ".join(f"sum(c{i}) OVER w AS c{i}" for i in range(len(_SUMS)))
+ROLLED = f"""wr AS (SELECT series_id, business_day, hour_business, max(y_true) AS y, {', '.join(f'coalesce(max(y_pred) FILTER (model_name = {chr(39)}{m}{chr(39)}), 0) AS x{i}' for i, m in enumerate(MODELS))} FROM panel GROUP BY ALL),
+wd0 AS (SELECT series_id, business_day, {', '.join(f'{c} AS c{i}' for i, c in enumerate(_SUMS))} FROM wr GROUP BY ALL),
+wd1 AS (SELECT series_id, business_day, {_PAST}, count(*) OVER w AS days FROM wd0 WINDOW w AS (PARTITION BY series_id ORDER BY business_day RANGE BETWEEN INTERVAL 10 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)),
+wd2 AS (SELECT series_id, business_day, [{', '.join(f'c{i}' for i in range(K * K))}] AS g, [{', '.join(f'c{K * K + i}' for i in range(K))}] AS b, [{', '.join(f'c{K * K + K + i}' for i in range(K))}] AS s,
+  c{K * K + 2 * K} AS sy, c{K * K + 2 * K + 1} AS n, coalesce(days >= 5 AND c{K * K + 2 * K + 1} >= 40, false) AS ok FROM wd1),
+wok AS (SELECT * FROM wd2 WHERE ok)"""
+_DAYS = "series_id, business_day"
+_VIEW = MODELS.index("view")
+
+
+def _rolled(weight):
+    return f"""SELECT d.series_id, d.business_day, model_name, CASE WHEN d.ok THEN {weight} ELSE 0.2 END AS weight FROM wd2 d CROSS JOIN {sq.named(MODELS)}
+       LEFT JOIN fit ON fit.series_id = d.series_id AND fit.business_day = d.business_day"""
+
+
+for _m, _a, _sql, _ctes in (
+    ("convex", None, _rolled("w[i + 1]"), sq.quadratic("fit", "wok", K)),
+    ("ridge", None, _rolled("w[i + 1]"), sq.ridge("fit", "wok", K, "1.0")),
+    ("anchor", "view", _rolled(f"CASE WHEN i = {_VIEW} THEN 0.9 ELSE (1 - 0.9::DOUBLE) * w[i + 1 - CASE WHEN i > {_VIEW} THEN 1 ELSE 0 END] END"), sq.quadratic("fit", others_of("wok", K, _VIEW, _DAYS), K - 1)),
+):
+    query(f"rolling_{_m}_weights", "series_id:i business_day:t model_name:s weight:d", _sql, f"{ROLLED}, {_ctes}")(
         lambda t, m=_m, a=_a: fusion.rolling_weights(t.stored_panel, S, MODELS, m, window_days=10, anchor=a)
     )
 
@@ -539,23 +584,73 @@ def _(t):
     return learners.best_single(learners.time_folds(wide, BY, 3), BY, ALL_M)
 
 
-@query("router_report", "series_id:i task:s period:s best_alpha:d cv_smape:d best_single_model:s best_single_smape:d use_router:b", None)
+KA = len(ALL_M)
+
+
+def imputed(extra=""):
+    """Wide points of all models (and a sixth column) with medians in gaps, dealt to time-ordered folds."""
+    cols = [*(f"m{i}" for i in range(KA)), *(["e"] if extra else [])]
+    wide = ", ".join(f"max(y_pred) FILTER (model_name = '{m}') AS m{i}" for i, m in enumerate(ALL_M))
+    return f"""iw0 AS (SELECT *{f", {extra} AS e" if extra else ""} FROM (SELECT {BYS}, ds, hour_business, max(y_true) AS y, {wide} FROM panel GROUP BY ALL)),
+    iw1 AS (SELECT {BYS}, ds, y, {", ".join(f"coalesce({c}, median({c}) OVER (PARTITION BY {BYS}), 0) AS x{i}" for i, c in enumerate(cols))}, row_number() OVER (PARTITION BY {BYS} ORDER BY ds) - 1 AS i, count(*) OVER (PARTITION BY {BYS}) AS n FROM iw0 WHERE y IS NOT NULL),
+    iw AS MATERIALIZED (SELECT {BYS}, ds, y, {", ".join(f"x{i}" for i in range(len(cols)))}, greatest(floor((i - (n - 3 * greatest(n // 4, 1))) / greatest(n // 4, 1)) + 1, 0)::INTEGER AS fold FROM iw1),
+    gw AS ({sq.gram("iw", BYS, [f"x{i}" for i in range(len(cols))])}),
+    gt AS ({sq.gram("(SELECT iw.*, f FROM iw, (VALUES (1), (2), (3)) folds(f) WHERE fold < f)", BYS + ", f", [f"x{i}" for i in range(len(cols))])}),
+    bs AS (SELECT {BYS}, model, avg(s) AS s FROM (SELECT {BYS}, fold, i AS model, {smape_sql("floor50", "y", "p")} AS s FROM (SELECT {BYS}, fold, y, unnest(range(0, {KA})) AS i, unnest([{", ".join(f"x{i}" for i in range(KA))}]) AS p FROM iw WHERE fold > 0) GROUP BY ALL) GROUP BY ALL),
+    bc AS (SELECT {BYS}, min(s) AS best_single_smape, arg_min(model, (s, model)) AS cv_model FROM bs GROUP BY ALL)"""
+
+
+_X = ", ".join(f"x{i}" for i in range(KA))
+_DOT = lambda w, k: f"list_sum(list_transform(range(1, {k + 1}), lambda i: {w}[i] * x[i]))"
+ROUTER = f"""{imputed()}, al AS (SELECT * FROM (VALUES {", ".join(f"({i}, {a}::DOUBLE)" for i, a in enumerate(learners.ALPHAS))}) a(ai, alpha)),
+{sq.ridge("rf", "(SELECT gt.*, ai, alpha FROM gt, al)", KA, "alpha", centred=True)},
+{sq.pin_and_share("rp", sq.long("rf", BYS + ", f, ai", KA), BYS + ", f, ai", KA)},
+rl AS (SELECT {BYS}, f, ai, list(w ORDER BY i) AS w FROM rp GROUP BY {BYS}, f, ai),
+rs AS (SELECT {BYS}, ai, avg(s) AS s FROM (SELECT {BYS}, f, ai, {smape_sql("floor50", "y", "p")} AS s FROM (SELECT {", ".join("a." + c for c in BYS.split(", "))}, f, ai, y, {_DOT("w", KA)} AS p FROM (SELECT *, [{_X}] AS x FROM iw) a JOIN rl b ON {ON} AND a.fold = b.f) GROUP BY ALL) GROUP BY ALL),
+rb AS (SELECT {BYS}, min(s) AS cv_smape, arg_min(ai, (s, ai)) AS ai FROM rs GROUP BY ALL),
+oa AS (SELECT {BYS}, arg_min(i, (s, i)) AS model FROM (SELECT {BYS}, i, {smape_sql("floor50", "y", "p")} AS s FROM (SELECT {BYS}, y, unnest(range(0, {KA})) AS i, unnest([{_X}]) AS p FROM iw) GROUP BY ALL) GROUP BY ALL),
+rr AS (SELECT * FROM rb JOIN al USING (ai) JOIN bc USING ({BYS}) JOIN oa USING ({BYS}))"""
+
+
+@query(
+    "router_report",
+    "series_id:i task:s period:s best_alpha:d cv_smape:d best_single_model:s best_single_smape:d use_router:b",
+    f"SELECT {BYS}, alpha AS best_alpha, cv_smape, model_name AS best_single_model, best_single_smape, cv_smape < best_single_smape AS use_router FROM rr JOIN {sq.named(ALL_M)} ON names.i = rr.model",
+    ROUTER,
+)
 def _(t):
     return learners.router(fusion.wide_frame(t.stored_panel, POINT, ALL_M), BY, ALL_M)[0]
 
 
-@query("router_weights", "series_id:i task:s period:s model_name:s weight:d", None)
+@query(
+    "router_weights",
+    "series_id:i task:s period:s model_name:s weight:d",
+    f"SELECT {BYS}, model_name, CASE WHEN cv_smape < best_single_smape THEN w ELSE CAST(i = model AS DOUBLE) END AS weight FROM fp2 JOIN {sq.named(ALL_M)} USING (i) JOIN rr USING ({BYS})",
+    f"""{ROUTER}, {sq.ridge("ff", f"(SELECT gw.*, alpha FROM gw JOIN rr USING ({BYS}))", KA, "alpha", centred=True)}, {sq.pin_and_share("fp2", sq.long("ff", BYS, KA), BYS, KA)}""",
+)
 def _(t):
     return learners.router(fusion.wide_frame(t.stored_panel, POINT, ALL_M), BY, ALL_M)[1]
 
 
-@query("meta_learner_report", "series_id:i task:s period:s cv_smape:d best_single_smape:d gate:s", None)
+@query(
+    "meta_learner_report",
+    "series_id:i task:s period:s cv_smape:d best_single_smape:d gate:s",
+    f"""SELECT {BYS}, cv_smape, best_single_smape, CASE WHEN cv_smape < best_single_smape THEN 'strict' WHEN cv_smape - best_single_smape < 0.5 THEN 'meta_floor' ELSE 'best_single' END AS gate FROM bc JOIN (
+       SELECT {BYS}, avg(s) AS cv_smape FROM (SELECT {BYS}, f, {smape_sql("floor50", "y", "p")} AS s FROM (SELECT {", ".join("a." + c for c in BYS.split(", "))}, f, y, c + {_DOT("w", KA + 1)} AS p
+       FROM (SELECT *, [{_X}, x{KA}] AS x FROM iw) a JOIN mf b ON {ON} AND a.fold = b.f) GROUP BY ALL) GROUP BY ALL) USING ({BYS})""",
+    f"""{imputed("sin(2 * pi() * hour_business / 24)")}, {sq.ridge("mf", "gt", KA + 1, "1.0", centred=True)}""",
+)
 def _(t):
     wide = fusion.wide_frame(t.stored_panel, POINT, ALL_M).withColumn("hour_sin", F.sin(2 * F.pi() * F.col("hour_business") / 24))
     return learners.meta_learner(wide, BY, ALL_M, ["hour_sin"])[0]
 
 
-@query("meta_learner_nonnegative", "series_id:i ds:t y_fused:d", None)
+@query(
+    "meta_learner_nonnegative",
+    "series_id:i ds:t y_fused:d",
+    f"SELECT a.series_id, ds, {_DOT('w', KA)} AS y_fused FROM (SELECT *, [{_X}] AS x FROM iw) a JOIN mn b ON {ON}",
+    f"{imputed()}, {sq.quadratic('mn', 'gw', KA, 2.0, mixture=False)}",
+)
 def _(t):
     return learners.meta_learner(fusion.wide_frame(t.stored_panel, POINT, ALL_M), BY, ALL_M, alpha=2.0, nonnegative=True)[1]
 
@@ -595,6 +690,13 @@ def _(t):
     return learners.modes_report({"weights": fusion.fuse(p, fusion.inverse_mae(p, BY), BY, POINT), "mean": fusion.mean_fusion(p, POINT)}, S)
 
 
-@query("covariate_regression", "series_id:i ds:t y_hat:d", None)
+@query(
+    "covariate_regression",
+    "series_id:i ds:t y_hat:d",
+    f"SELECT a.series_id, ds, c + {_DOT('w', 5)} AS y_hat FROM (SELECT *, [x0, x1, x2, x3, x4] AS x FROM cz) a JOIN cf b ON a.series_id = b.series_id WHERE ds > TIMESTAMP '2024-01-20 00:00:00'",
+    f"""cm AS (SELECT series_id, avg(load_forecast) AS a0, stddev_pop(load_forecast) AS d0, avg(wind_forecast) AS a1, stddev_pop(wind_forecast) AS d1 FROM market WHERE ds <= TIMESTAMP '2024-01-20 00:00:00' GROUP BY ALL),
+    cz AS (SELECT market.series_id, ds, rt AS y, coalesce((load_forecast - a0) / nullif(d0, 0), 0) AS x0, coalesce((wind_forecast - a1) / nullif(d1, 0), 0) AS x1, {", ".join(f"CAST(period = '{p}' AS DOUBLE) AS x{i + 2}" for i, p in enumerate(("1_8", "9_16", "17_24")))} FROM market JOIN cm ON market.series_id = cm.series_id),
+    cg AS ({sq.gram("(SELECT * FROM cz WHERE ds <= TIMESTAMP '2024-01-20 00:00:00' AND y IS NOT NULL)", "series_id", [f"x{i}" for i in range(5)])}), {sq.ridge("cf", "cg", 5, "1.0", centred=True)}""",
+)
 def _(t):
     return learners.covariate_regression(t.stored_market, S, "rt", ["load_forecast", "wind_forecast"], "period", ["1_8", "9_16", "17_24"], "2024-01-20 00:00:00")
