@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import linear
+from ..session import materialise
+
 SKETCH_ACCURACY = 10_000
 SMALL_GROUP = 50_000
 
@@ -136,6 +139,59 @@ def cumulative_counts(
     )
 
 
+def with_ranks(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, Column]) -> DataFrame:
+    """Adds one column per name in ``wanted``: the rank of its value within the key (1-based, ties share their mean, null
+    for null).
+
+    Sketch-made cuts place every value: equal to a cut, or between two. Between cuts lie few rows, none of them with a
+    frequent value, and a window over that stretch orders them. A frequent value is a cut; its rows have the same rank,
+    known from the counts of the stretches, so they are dealt out at random and no task holds a value. What is exchanged
+    is keyed by the stretch, never by a value, and ranks stay on their rows.
+    """
+    keys, names = list(keys), list(wanted)
+    splits = FINE * FINE
+    probs = F.array(*[F.lit(i / splits) for i in range(1, splits)])
+    placed = df.withColumns({f"_v_{n}": c.cast("double") for n, c in wanted.items()})
+    cuts = placed.groupBy(*keys).agg(*[F.array_distinct(F.percentile_approx(f"_v_{n}", probs, F.lit(1000))).alias(f"_cuts_{n}") for n in names])
+    cuts = cuts.withColumns({f"_coarse_{n}": F.filter(f"_cuts_{n}", lambda c, i: i % FINE == FINE - 1) for n in names})
+    placed = placed.join(cuts, keys)
+    placed = placed.withColumns({f"_b_{n}": _stretch(F.col(f"_cuts_{n}"), F.col(f"_coarse_{n}"), F.col(f"_v_{n}")) for n in names})
+    placed = materialise(placed.drop(*[f"_cuts_{n}" for n in names], *[f"_coarse_{n}" for n in names]), "placed")
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("_name"), F.col(f"_b_{n}").alias("_at")) for n in names]))
+    size = placed.select(*keys, cells.alias("_c")).select(*keys, "_c.*").where("_at is not null").groupBy(*keys, "_name", "_at").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(*keys, "_name").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    size = size.withColumn("_o", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    tables = size.groupBy(*keys).agg(
+        *[F.map_from_entries(F.collect_list(F.when(F.col("_name") == n, F.struct("_at", F.struct("_o", "_n"))))).alias(f"_t_{n}") for n in names]
+    )  # at most 2 * splits stretches a name
+    dense = lambda t: F.transform(F.sequence(F.lit(0), F.lit(2 * splits)), lambda i: F.try_element_at(t, i))
+    out = placed.join(materialise(tables.select(*keys, *[dense(F.col(f"_t_{n}")).alias(f"_t_{n}") for n in names]), "stretches"), keys)
+    for n in names:
+        here = F.get(f"_t_{n}", F.col(f"_b_{n}"))
+        out = out.withColumns({f"_o_{n}": here["_o"], f"_n_{n}": here["_n"]})
+    out = out.drop(*[f"_t_{n}" for n in names])
+    # rows that need no order are spread by what they hold
+    out = out.withColumn("_any", 1 + F.pmod(F.xxhash64(*out.columns), F.lit(splits)))
+    for n in names:
+        at = F.col(f"_b_{n}")
+        ordered = F.coalesce(at % 2 == 0, F.lit(False))
+        out = out.withColumn("_spread", F.when(ordered, F.lit(0)).otherwise(F.col("_any")))
+        part = [*keys, f"_b_{n}", "_spread"]
+        rank = F.rank().over(W.partitionBy(*part).orderBy(f"_v_{n}"))
+        ties = F.count(F.lit(1)).over(W.partitionBy(*part, f"_v_{n}"))
+        own = F.when(ordered, F.col(f"_o_{n}") + rank + (ties - 1) / 2).when(at.isNotNull(), F.col(f"_o_{n}") + (F.col(f"_n_{n}") + 1) / 2)
+        out = out.withColumn(n, own).drop("_spread", f"_o_{n}", f"_n_{n}", f"_b_{n}", f"_v_{n}")
+    return out.drop("_any")
+
+
+def _stretch(cuts: Column, coarse: Column, v: Column) -> Column:
+    """2 x the number of ascending cuts below v, and 1 more if v is a cut itself; every ``FINE``-th cut is looked at first."""
+    first = FINE * F.size(F.filter(coarse, lambda c: c < v))
+    fine = lambda at: at + F.size(F.filter(F.slice(cuts, at + 1, F.lit(FINE - 1)), lambda c: c < v))
+    number = linear.let(linear.let(first, fine), lambda b: 2 * b + F.coalesce(F.get(cuts, b) == v, F.lit(False)).cast("int"))
+    return F.when(v.isNotNull(), number)
+
+
 def average_rank(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """keys, value, ``rank`` (ties share their mean rank, 1-based) and ``n``."""
     cum = cumulative_counts(df, keys, value, {"c": F.count(F.lit(1))})

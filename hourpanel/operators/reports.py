@@ -186,30 +186,40 @@ def column_profile(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
 MIN_PAIRS = 10
 
 
+def _correlation(x: str, y: str) -> Column:
+    """Null for a constant column, where the built-in one divides by zero."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def association(df: DataFrame, features: Sequence[str], targets: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Pearson and Spearman correlation for each (feature, target).
+    """Pearson and Spearman correlation for each (feature, target) on the rows that have both.
 
-    Ranks with shared ties come from distributed running counts, so no column is
-    sorted in one task.
+    A column is ranked once, and once more for each partner with nulls, among the rows where that one is there
+    (``quantile.with_ranks``). The ranks stay on their rows, so one pass with map-side sums gives all pairs.
     """
-    pairs = [
-        F.struct(F.lit(f).alias("feature"), F.lit(t).alias("target"), F.col(f).cast("double").alias("x"), F.col(t).cast("double").alias("y"))
-        for f in features
-        for t in targets
+    by = list(by)
+    columns = list(dict.fromkeys([*features, *targets]))
+    rows = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
+    holes = rows.select(*[F.max(F.col(c).isNull().cast("int")).alias(c) for c in columns]).first().asDict()  # one row
+    ranked = {}
+
+    def rank_of(column: str, partner: str) -> str:
+        name = f"_r_{column}|{partner}" if holes[partner] and partner != column else f"_r_{column}"
+        ranked[name] = F.when(F.col(f"`{partner}`").isNotNull(), F.col(f"`{column}`")) if "|" in name else F.col(f"`{column}`")
+        return name
+
+    names = {(f, t): (rank_of(f, t), rank_of(t, f)) for f in features for t in targets}
+    keyed = rows if by else rows.withColumn("_all", F.lit(1))
+    keys = by or ["_all"]
+    wide = quantile.with_ranks(keyed, keys, ranked)
+    cells = [
+        F.struct(F.lit(f).alias("feature"), F.lit(t).alias("target"), F.col(f"`{f}`").alias("x"), F.col(f"`{t}`").alias("y"), F.col(f"`{rx}`").alias("rx"), F.col(f"`{ry}`").alias("ry"))
+        for (f, t), (rx, ry) in names.items()
     ]
-    long = df.select(*by, F.explode(F.array(*pairs)).alias("_p")).select(*by, "_p.*")
-    long = long.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    key = [*by, "feature", "target"]
-    rx = quantile.average_rank(long, key, "x").select(*key, "x", F.col("rank").alias("rx"))
-    ry = quantile.average_rank(long, key, "y").select(*key, "y", F.col("rank").alias("ry"))
-    g = (
-        long.join(rx, [*key, "x"])
-        .join(ry, [*key, "y"])
-        .groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("n_pairs"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"))
-    )
+    long = wide.select(*keys, F.explode(F.array(*cells)).alias("_p")).select(*keys, "_p.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    g = long.groupBy(*keys, "feature", "target").agg(F.count(F.lit(1)).alias("n_pairs"), _correlation("x", "y").alias("pearson"), _correlation("rx", "ry").alias("spearman"))
     enough = F.col("n_pairs") >= MIN_PAIRS
-    return g.withColumns({c: F.when(enough, F.col(c)) for c in ("pearson", "spearman")})
+    return g.withColumns({c: F.when(enough, F.col(c)) for c in ("pearson", "spearman")}).drop("_all")
 
 
 def leak_alarm(df: DataFrame, pairs: Mapping[str, str], by: Sequence[str] = ()) -> DataFrame:
