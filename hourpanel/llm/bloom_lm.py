@@ -15,7 +15,7 @@ The model backs off from pairs to words. With P the estimated count of (h, w), c
 
 As estimates are lower ends of their levels, the probabilities after h sum to at most one but for false positives (about
 one absent pair in 80). The logarithm of a text is a sum of one term a pair and terms a word, so exact word counts can be met
-elsewhere: the ``TOP`` most frequent words are sent to the tasks (a fixed number of rows); every other word of a text goes
+elsewhere: the most frequent words, at most ``TOP``, are sent to the tasks; every other word of a text goes
 as a row (text, word, how often as token, as history, as backed-off word) to an equi-join with the counts.
 
 Words are told apart by a 64-bit hash of their bytes.
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from hourpanel.session import materialise
 
-from .common import id_text, slices
+from .common import id_text, most_frequent, slices
 from .subwords import remainder
 
 SEGMENT = 64 << 20
@@ -343,7 +343,7 @@ def score(docs: DataFrame, top: int = TOP, segment: int = SEGMENT, weight: float
     vocabulary, pieces = counted.where("kind = 'word'").select("word", "n"), counted.where("kind = 'pair'").select("cell", "body")
     train_tokens, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_end = vocabulary.where(F.col("word") == int(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    frequent = vocabulary.where(F.col("word") != int(END)).orderBy(F.desc("n"), "word").limit(top).toPandas()  # ``top`` rows
+    frequent = most_frequent(vocabulary.where(F.col("word") != int(END)), "n", top).toPandas()  # at most ``top`` rows
     word = np.append(frequent["word"].to_numpy(np.int64).view(np.uint64), END)
     order = np.argsort(word)
     known = {"word": word[order], "n": np.append(frequent["n"].to_numpy(np.int64), n_end)[order], "total": train_tokens + distinct + 1, "end": n_end}

@@ -11,8 +11,8 @@ follows it (checked when the piece vocabulary is read), and a text of spaces and
 units, each with the white space before it, are encoded and multiplied together when first met and kept in a bounded memo.
 Any other text is encoded whole. Tests compare both ways.
 
-How many documents hold an id pair linked is counted over all documents: tasks add up before the exchange. The ``TOP`` most
-frequent pairs, a fixed number of rows, are sent to the tasks; the other pairs of a document meet their counts in an equi-join.
+How many documents hold an id pair linked is counted over all documents: tasks add up before the exchange. The most
+frequent pairs, at most ``TOP``, are sent to the tasks; the other pairs of a document meet their counts in an equi-join.
 
 Defined cases: a null or empty text, or one whose joined bytes differ from space and text (U+2581, for one), has zeros and
 an empty digest; repeated rows count as documents of their own; a row without doc_id is kept; other columns are ignored.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from hourpanel.session import materialise
 
-from .common import id_text, slices
+from .common import id_text, most_frequent, slices
 
 TOP = 1 << 18
 #: Units and characters that the memo holds; bytes multiplied at once; pairs a task counts before it ships them.
@@ -379,7 +379,7 @@ def digest(docs: DataFrame, vocabularies: tuple[str, str, str] | None = None, to
     side = F.shiftright("pair", PIECE_BITS).alias("a")
     most = held.groupBy(side).agg(F.max("n").alias("most"))
     held = materialise(held.select("pair", "n", side).join(most, "a").select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best")), "pairs")
-    frequent = held.orderBy(F.desc("n"), "pair").limit(top).toPandas().sort_values("pair")  # ``top`` rows
+    frequent = most_frequent(held, "n", top).toPandas().sort_values("pair")  # at most ``top`` rows
     send = spark.sparkContext.broadcast((frequent["pair"].to_numpy().astype(np.uint32), frequent["n"].to_numpy(np.int64), frequent["best"].to_numpy(np.int64)))
     met = materialise(first.where("kind = 'doc'").select("row", "pairs", "times").mapInArrow(lambda it: _meet(it, send), _MET), "links")
     send.destroy()
