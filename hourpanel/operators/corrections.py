@@ -449,7 +449,7 @@ def residual_stack(
 
 
 def ablation(df: DataFrame, series: Sequence[str], history: DataFrame | None = None) -> DataFrame:
-    """Scorecard per config: baseline, spike only, negative only, unified. One scan feeds all."""
+    """Scorecard per config: baseline, spike only, negative only, unified. Every mode runs its own stack."""
     runs = [("baseline", False, False), ("spike_only", True, False), ("negative_only", False, True), ("unified", True, True)]
     keep = [*series, "hour_business", "y_true", "base_pred", "final_pred", "high_spike_applied"]
     out = None

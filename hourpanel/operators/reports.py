@@ -153,8 +153,8 @@ CV_LIMIT = 0.01
 def column_profile(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Nulls, distinct values, moments and quartiles per column (and group).
 
-    All columns go through one long pass: value counts first, so distincts and
-    moments are sums over (column, value) rows and quartiles need no second scan.
+    All columns are read as one long table, three times: for moments, for distinct values, and for quartiles, each reduced
+    on the map side before its exchange.
     """
     long = unpivot(df, by, columns)
     key = [*by, "field"]
