@@ -4,8 +4,8 @@ A document is the bag of its words, their character n-grams and one mark for eac
 whether the pair stood in the document before. Every bucket has a learned vector; their average goes through a softmax
 over the two classes. Training is stochastic gradient descent on at most ``PER_CLASS`` labelled rows of each class (the
 bound is the parameter); the features of these rows are counted by the tasks and only they reach the driver. Averages and
-softmax are linear up to the output, so a task needs one number per bucket to score, and works through whole texts. The bias is set to the share of the classes among all
-allowed labels.
+softmax are linear up to the output, so a task needs one number per bucket to score, and works through whole texts; there each distinct word of a batch is
+looked up once. The bias is set to the share of the classes among all allowed labels.
 
 Defined cases: null or wordless texts score by the output's bias alone; without labels of both classes every score is 0.5;
 a null doc_id is not held out; repeated rows are scored one by one; other columns are ignored.
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,6 +105,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     return weights, bias + shift
 
 
+def coded_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Document and code of every word occurrence, in order, and the distinct words that the codes stand for."""
+    lists = pc.utf8_split_whitespace(text)
+    doc = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = pc.list_flatten(lists).dictionary_encode()
+    code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    distinct = words.dictionary.to_pylist()
+    if "" in distinct:  # white space at the ends of a text
+        blank = distinct.index("")
+        real = code != blank
+        doc, code = doc[real], code[real]
+    return doc, code, distinct
+
+
+def new_pairs(doc: np.ndarray, code: np.ndarray, n_words: int, n_docs: int) -> np.ndarray:
+    """Distinct pairs of neighbouring words per document."""
+    inside = doc[1:] == doc[:-1]
+    pair = ((doc[:-1] * n_words + code[:-1]) * n_words + code[1:])[inside]  # a slice holds under 2^24 words and 2^14 texts
+    return np.bincount(np.unique(pair) // max(1, n_words * n_words), minlength=n_docs)
+
+
 def _score(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: float) -> Iterator[pa.RecordBatch]:
     def made(word: str) -> tuple[float, int]:
         at = word_features(word)
@@ -112,16 +134,14 @@ def _score(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: float)
     table = WordTable(made, 2)
     seen, new = (weights[bucket(m)] for m in PAIR_MARKS)
     for batch in slices(batches, "text"):
-        out = []
-        for text in batch.column("text").to_pylist():
-            words = text.split()
-            if not words:
-                out.append(bias)
-                continue
-            total, n = table.at(words).sum(axis=0)
-            fresh = len(set(zip(words, words[1:], strict=False)))
-            out.append((total + (len(words) - 1 - fresh) * seen + fresh * new) / (n + len(words) - 1) + bias)
-        z = np.clip(np.array(out), -35, 35)
+        n_docs = batch.num_rows
+        doc, code, words = coded_words(batch.column("text"))
+        rows = table.at(words)
+        total, parts = (np.bincount(doc, weights=rows[code, i], minlength=n_docs) for i in (0, 1))
+        pairs = np.maximum(np.bincount(doc, minlength=n_docs) - 1, 0)
+        fresh = new_pairs(doc, code, len(words), n_docs)
+        z = (total + (pairs - fresh) * seen + fresh * new) / np.maximum(parts + pairs, 1) + bias
+        z = np.clip(z, -35, 35)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-z)))], names=["doc_id", "score"])
 
 
