@@ -58,6 +58,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
 
+def _keyed_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        (found,) = _fingerprints(iter([batch]))
+        yield found.append_column("key", batch.column("key"))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a signed long)."""
     return id_text(docs).mapInArrow(_fingerprints, "doc_id long, fp long")
@@ -192,24 +198,41 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_link, "a long, b long").distinct()
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, component_id for every row of ``docs``."""
+def _named(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """fp, root of every distinct fingerprint of ``prints`` (doc_id, fp, ...), and root, component_id."""
     from hourpanel.session import materialise
 
-    prints = materialise(fingerprints(docs), "fingerprints")
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = connected_components(fingerprint_links(distinct)).withColumnRenamed("node", "fp")
     named = materialise(distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return named.select("fp", "root"), named.groupBy("root").agg(F.min("first").alias("component_id"))
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint, component_id for every row of ``docs``."""
+    from hourpanel.session import materialise
+
+    prints = materialise(fingerprints(docs), "fingerprints")
+    named, smallest = _named(prints)
     by_print = named.join(smallest, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component; of repeated rows with that doc_id one stays.
+    """One row of ``docs`` for each component: the one with the smallest doc_id, then the smallest hash of its text.
 
-    A row without doc_id cannot be named by a component and is kept.
+    Components are of texts, not of identifiers: two texts under one doc_id may lie in different components and both stay.
+    Of repeated rows (same doc_id and text) one stays. A row without doc_id cannot be named by a component and is kept.
     """
-    first = components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("first_id")).distinct()
-    named = docs.where("doc_id is not null").join(first, F.col("doc_id").cast("long") == F.col("first_id"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    from hourpanel.session import materialise
+
+    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    held = docs.where("doc_id is not null")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), key.alias("key"))
+    prints = materialise(texts.mapInArrow(_keyed_fingerprints, "doc_id long, fp long, key long"), "fingerprints")
+    named, _ = _named(prints)
+    first = prints.where("doc_id is not null").join(named, "fp").groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("f"))
+    first = first.select(F.col("f.doc_id").alias("first_id"), F.col("f.key").alias("first_key"))
+    kept = held.join(first, (F.col("doc_id").cast("long") == F.col("first_id")) & (key == F.col("first_key")), "left_semi")
+    own = kept.withColumn("_text_key", key).dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+    return own.unionByName(docs.where("doc_id is null"))

@@ -108,6 +108,13 @@ def test_simhash_components(docs, rows, nothing):
     assert golay_simhash.components(nothing).count() == 0
 
 
+def test_every_component_keeps_a_text(spark):
+    """Two texts of one doc_id are judged apart; repeated rows and near copies are not."""
+    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    docs = docs_of(spark, [(5, a, None), (5, b, None), (5, b, None), (3, b, None), (9, a, None), (7, c, None), (7, c, None)])
+    assert sorted((r.doc_id, r.text[:1]) for r in golay_simhash.keep_first(docs).collect()) == [(3, "b"), (5, "a"), (7, "c")]
+
+
 def test_golay_code():
     code = golay_simhash.Golay()
     x = np.arange(0, 1 << 23, 1013)
