@@ -23,13 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, slices
-from .subwords import BUCKETS, WordTable, adagrad, bucket, remainder, training_sample, word_features
+from .subwords import BUCKETS, adagrad, bucket, remainder, training_sample, word_features, word_sums
 
 PER_CLASS = 2_000
 DIM = 8
 EPOCHS = 4
 BATCH = 32
 RATE = 0.15
+SLICE = 16 << 20  # bytes of text scored at a time
 HELD_MODULUS, HELD_REST = 3, 1
 PAIR_MARKS = ("pair seen", "pair new")
 
@@ -123,20 +124,17 @@ def new_pairs(doc: np.ndarray, code: np.ndarray, n_words: int, n_docs: int) -> n
     """Distinct pairs of neighbouring words per document."""
     inside = doc[1:] == doc[:-1]
     pair = ((doc[:-1] * n_words + code[:-1]) * n_words + code[1:])[inside]  # a slice holds under 2^24 words and 2^14 texts
-    return np.bincount(np.unique(pair) // max(1, n_words * n_words), minlength=n_docs)
+    pair.sort()
+    first = pair[np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]][: len(pair)])]
+    return np.bincount(first // max(1, n_words * n_words), minlength=n_docs)
 
 
 def _score(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: float) -> Iterator[pa.RecordBatch]:
-    def made(word: str) -> tuple[float, int]:
-        at = word_features(word)
-        return weights[at].sum(), len(at)
-
-    table = WordTable(made, 2)
     seen, new = (weights[bucket(m)] for m in PAIR_MARKS)
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         n_docs = batch.num_rows
         doc, code, words = coded_words(batch.column("text"))
-        rows = table.at(words)
+        rows = word_sums(words, weights)
         total, parts = (np.bincount(doc, weights=rows[code, i], minlength=n_docs) for i in (0, 1))
         pairs = np.maximum(np.bincount(doc, minlength=n_docs) - 1, 0)
         fresh = new_pairs(doc, code, len(words), n_docs)

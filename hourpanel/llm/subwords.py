@@ -24,6 +24,94 @@ def word_features(word: str) -> list[int]:
     return [bucket("w " + word), *map(bucket, sorted(grams))]
 
 
+def _crc_steps() -> np.ndarray:
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = np.where(c & 1, (c >> np.uint32(1)) ^ np.uint32(0xEDB88320), c >> np.uint32(1))
+    return c
+
+
+CRC_STEPS = _crc_steps()
+WORD_MARK = zlib.crc32(b"w ")
+
+
+CHUNK = 1 << 16
+
+
+def word_sums(words: list[str], weights: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
+    """Sum of the weights of a word's features, and their number, for each of ``words``; as by ``word_features``."""
+    out = np.zeros((len(words), 2))
+    for lo in range(0, len(words), chunk):
+        some = words[lo : lo + chunk]
+        plain = np.fromiter(map(str.isascii, some), dtype=bool, count=len(some))
+        part = np.zeros((len(some), 2))
+        part[plain] = _plain_sums([w for w in some if w.isascii()], weights)
+        part[~plain] = _wide_sums([w for w in some if not w.isascii()], weights)
+        out[lo : lo + chunk] = part
+    return out
+
+
+def _plain_sums(words: list[str], weights: np.ndarray) -> np.ndarray:
+    """``word_sums`` of at most ``CHUNK`` ASCII words: word number and bytes of a gram fit 56 bits, so that a sort finds the
+    distinct grams of each word, and all are hashed at once."""
+    if not words:
+        return np.zeros((0, 2))
+    raw = np.frombuffer("".join(f"<{w}>" for w in words).encode(), dtype=np.uint8)
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
+    word = np.repeat(np.arange(len(words)), size)
+    whole = np.fromiter((zlib.crc32(w.encode(), WORD_MARK) for w in words), dtype=np.int64, count=len(words))
+    total, n = weights[whole & (BUCKETS - 1)], np.ones(len(words))
+    for length in GRAMS:
+        last = len(raw) - length + 1
+        if last < 1:
+            break
+        gram = word[:last].copy()
+        for k in range(length):
+            gram = (gram << 8) | raw[k : last + k]
+        gram = gram[word[:last] == word[length - 1 :]]
+        gram.sort()
+        gram = gram[np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]][: len(gram)])]
+        crc = np.full(len(gram), 0xFFFFFFFF, dtype=np.uint32)
+        for k in range(length - 1, -1, -1):
+            crc = CRC_STEPS[(crc ^ (gram >> (8 * k)).astype(np.uint32)) & np.uint32(0xFF)] ^ (crc >> np.uint32(8))
+        mine = gram >> (8 * length)
+        total = total + np.bincount(mine, weights=weights[~crc & np.uint32(BUCKETS - 1)], minlength=len(words))
+        n = n + np.bincount(mine, minlength=len(words))
+    return np.stack([total, n], axis=1)
+
+
+def _wide_sums(words: list[str], weights: np.ndarray) -> np.ndarray:
+    """As ``_plain_sums``, for words of any characters: two sort keys hold the word number and five code points."""
+    if not words:
+        return np.zeros((0, 2))
+    text = "".join(f"<{w}>" for w in words)
+    char, raw = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64), np.frombuffer(text.encode(), dtype=np.uint8)
+    byte = np.r_[0, np.cumsum(1 + (char > 0x7F) + (char > 0x7FF) + (char > 0xFFFF))]
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
+    word = np.repeat(np.arange(len(words)), size)
+    whole = np.fromiter((zlib.crc32(w.encode(), WORD_MARK) for w in words), dtype=np.int64, count=len(words))
+    total, n = weights[whole & (BUCKETS - 1)], np.ones(len(words))
+    for length in GRAMS:
+        last = len(char) - length + 1
+        if last < 1:
+            break
+        at = np.flatnonzero(word[:last] == word[length - 1 :])
+        high, low = (word[at] << 42) | (char[at] << 21) | char[at + 1], np.zeros(len(at), dtype=np.int64)
+        for k in range(2, length):
+            low = (low << 21) | char[at + k]
+        order = np.lexsort((low, high))
+        high, low = high[order], low[order]
+        at = at[order][np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])][: len(at)]]
+        begin, end = byte[at], byte[at + length]
+        crc = np.full(len(at), 0xFFFFFFFF, dtype=np.uint32)
+        for k in range(int((end - begin).max(initial=0))):
+            live = np.flatnonzero(begin + k < end)
+            crc[live] = CRC_STEPS[(crc[live] ^ raw[begin[live] + k]) & 0xFF] ^ (crc[live] >> np.uint32(8))
+        total = total + np.bincount(word[at], weights=weights[~crc & np.uint32(BUCKETS - 1)], minlength=len(words))
+        n = n + np.bincount(word[at], minlength=len(words))
+    return np.stack([total, n], axis=1)
+
+
 class WordTable:
     """Per distinct word a row of numbers, made once by ``make`` and kept up to ``limit`` words."""
 

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from hourpanel.llm import quality_classifier
-from hourpanel.llm.subwords import BUCKETS
+from hourpanel.llm.subwords import BUCKETS, word_features, word_sums
 
 WEIGHTS = np.random.default_rng(3).normal(size=BUCKETS)
 BIAS = 0.25
@@ -44,3 +44,12 @@ def test_long_text_and_empty_batch():
     words = [f"w{i % 977}" for i in range(200_000)]
     assert np.allclose(by_batch([" ".join(words), "", "one"]), [by_loop(" ".join(words)), by_loop(""), by_loop("one")], rtol=0, atol=1e-12)
     assert by_batch([]) == []
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="abé<>電𝒳", min_size=1, max_size=12), max_size=20))
+def test_word_sums_equal_word_features(words):
+    got = word_sums([*words, "aaaaaaaa", "xyz" * 500, "電電電電電電", "é"], WEIGHTS, chunk=7)
+    for w, (total, n) in zip([*words, "aaaaaaaa", "xyz" * 500, "電電電電電電", "é"], got, strict=True):
+        at = word_features(w)
+        assert n == len(at) and np.isclose(total, WEIGHTS[at].sum(), rtol=0, atol=1e-9)
