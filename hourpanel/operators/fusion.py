@@ -207,48 +207,57 @@ def fuse(
 
     Groups without any weights fall back to the mean (``regime`` = fallback_mean).
     """
-    if missing not in MISSING_RULES:
-        raise ValueError(f"unknown rule {missing!r}; one of {MISSING_RULES}")
+    return fuse_rules(df, weights, by, point, [missing], carry).drop("rule")
+
+
+def fuse_rules(
+    df: DataFrame,
+    weights: DataFrame,
+    by: Sequence[str] = GROUP,
+    point: Sequence[str] = POINT,
+    rules: Sequence[str] = MISSING_RULES,
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """``fuse`` under several rules for gaps: a row per point and ``rule``, from one pass over the panel."""
+    unknown = [r for r in rules if r not in MISSING_RULES]
+    if unknown or not rules:
+        raise ValueError(f"unknown rule {unknown}; some of {MISSING_RULES}")
     by, point = list(by), list(point)
     per_group = weights.groupBy(*by).agg(F.count(F.lit(1)).alias("_nw"))
     ok = F.col("y_pred").isNotNull()
     j = df.join(weights.select(*by, "model_name", F.col("weight").alias("_w")), [*by, "model_name"], "left")
     j = j.join(per_group, by, "left")
-    if missing == "renorm_group":
-        day = W.partitionBy(*dict.fromkeys([*by, "target_day"]))
-        seen = j.groupBy(*dict.fromkeys([*by, "target_day"]), "model_name").agg(F.max("_w").alias("_gw"))
-        seen = seen.groupBy(*dict.fromkeys([*by, "target_day"])).agg(
-            F.sum(F.coalesce("_gw", F.lit(0.0))).alias("_tot"), F.count(F.lit(1)).alias("_nm")
-        )
-        j = j.join(seen, list(dict.fromkeys([*by, "target_day"])))
-        j = j.withColumn("_w", F.when(F.col("_tot") < MIN_WEIGHT_SUM, 1 / F.col("_nm")).otherwise(F.col("_w") / F.col("_tot")))
-    v = F.sum(F.when(ok, F.col("_w") * F.col("y_pred")))
-    u = F.sum(F.when(ok, F.col("_w")))
+    scaled = []
+    if "renorm_group" in rules:
+        day = list(dict.fromkeys([*by, "target_day"]))
+        seen = j.groupBy(*day, "model_name").agg(F.max("_w").alias("_gw"))
+        seen = seen.groupBy(*day).agg(F.sum(F.coalesce("_gw", F.lit(0.0))).alias("_tot"), F.count(F.lit(1)).alias("_nm"))
+        j = j.join(seen, day, "left")
+        j = j.withColumn("_s", F.when(F.col("_tot") < MIN_WEIGHT_SUM, 1 / F.col("_nm")).otherwise(F.col("_w") / F.col("_tot")))
+        scaled = [F.sum(F.when(ok, F.col("_s") * F.col("y_pred"))).alias("_sv")]
     g = j.groupBy(*point).agg(
         F.max("y_true").alias("y_true"),
         *[F.max(c).alias(c) for c in carry],
-        v.alias("_v"),
-        u.alias("_u"),
+        F.sum(F.when(ok, F.col("_w") * F.col("y_pred"))).alias("_v"),
+        F.sum(F.when(ok, F.col("_w"))).alias("_u"),
         F.avg("y_pred").alias("_mean"),
         F.count(F.when(ok & F.col("_w").isNotNull(), 1)).alias("_used"),
         F.max("_nw").alias("_nw"),
+        *scaled,
     )
     vv, uu = F.coalesce("_v", F.lit(0.0)), F.coalesce("_u", F.lit(0.0))
-    rule = {
+    value = {
         "propagate": F.when(F.col("_used") == F.col("_nw"), vv),
         "renorm_tol": F.when((uu > MIN_WEIGHT_SUM) & (F.abs(uu - 1) > RENORM_TOL), vv / uu).otherwise(vv),
-        "renorm_group": vv,
+        "renorm_group": F.coalesce("_sv", F.lit(0.0)) if scaled else None,
         "renorm_row": F.when(uu > 0, vv / uu).otherwise(F.col("_mean")),
         "zero": vv,
         "renorm_used": F.when(uu > 0, vv / uu),
-    }[missing]
+    }
     none = F.col("_nw").isNull()
-    return g.withColumns(
-        {
-            "y_fused": F.when(none, F.col("_mean")).otherwise(rule),
-            "regime": F.when(none, "fallback_mean").otherwise("weights"),
-        }
-    ).drop("_v", "_u", "_mean", "_used", "_nw")
+    cells = [F.struct(F.lit(r).alias("rule"), F.when(none, F.col("_mean")).otherwise(value[r]).alias("y_fused")) for r in rules]
+    out = g.withColumn("regime", F.when(none, "fallback_mean").otherwise("weights")).withColumn("_r", F.explode(F.array(*cells)))
+    return out.select(*point, "y_true", *carry, "_r.y_fused", "regime", "_r.rule")
 
 
 def mean_fusion(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -94,10 +94,11 @@ def cumulative_counts(
     value: str,
     sums: Mapping[str, Column],
     descending: bool = False,
+    distinct: bool = False,
 ) -> DataFrame:
     """Running sums over the distinct values of a column, per key.
 
-    Values are grouped first, then spread over 256 sketch-made ranges (found in
+    Values are grouped first (``distinct``: they are already, and ``sums`` are plain columns), then spread over 256 sketch-made ranges (found in
     two steps of 16); range totals are summed on a small table. Output: keys, value, each sum
     (``name``), its running total up to and including the value (``cum_name``)
     and its total (``all_name``).
@@ -108,7 +109,9 @@ def cumulative_counts(
         F.percentile_approx(value, F.array(*[F.lit(i / splits) for i in range(1, splits)]), F.lit(1000)).alias("_cuts")
     )
     cuts = cuts.withColumn("_coarse", F.filter("_cuts", lambda c, i: i % FINE == FINE - 1))
-    flat = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[e.alias(n) for n, e in sums.items()])
+    named = [e.alias(n) for n, e in sums.items()]
+    known = df.where(F.col(value).isNotNull())
+    flat = known.select(*keys, value, *named) if distinct else known.groupBy(*keys, value).agg(*named)
     placed = (
         flat.join(cuts, keys)
         .withColumn("_c", F.size(F.filter("_coarse", lambda s: s < F.col(value))))

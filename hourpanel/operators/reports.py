@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions.numeric import clip, flag
+from ..session import materialise
 from . import dedupe, quantile, rowblocks
 
 
@@ -150,27 +151,40 @@ def unpivot(df: DataFrame, keys: Sequence[str], columns: Sequence[str], name: st
 CV_LIMIT = 0.01
 
 
+PROFILE_QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+
+
 def column_profile(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Nulls, distinct values, moments and quartiles per column (and group).
 
-    All columns are read as one long table, three times: for moments, for distinct values, and for quartiles, each reduced
-    on the map side before its exchange.
+    The input is read once and reduced to a table of (column, value, count), which is written; everything else comes from
+    running counts over that table, so a column costs what its distinct values cost.
     """
-    long = unpivot(df, by, columns)
-    key = [*by, "field"]
-    q = quantile.quantiles(long, key, "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    per_value = long.groupBy(*key, "value").agg(F.count(F.lit(1)).alias("_c"))
-    distinct = per_value.groupBy(*key).agg(F.count("value").alias("n_unique"))
-    stats = long.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n_total"),
-        F.count("value").alias("n_non_null"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.sum(flag(F.col("value") == 0)).alias("_zeros"),
+    key = ["_g"]  # one struct, so that null groups meet in joins
+    long = unpivot(df, by, columns).select(F.struct(*by, "field").alias("_g"), "value")
+    counted = materialise(long.groupBy("_g", "value").agg(F.count(F.lit(1)).alias("_c")), "values")
+    n, v = F.col("n"), F.col("value")
+    curve = quantile.cumulative_counts(counted, key, "value", {"n": F.col("_c"), "s": F.col("_c") * v}, distinct=True)
+    mean = F.col("all_s") / F.col("all_n")
+    picks = []
+    for name, p in PROFILE_QUARTILES.items():
+        rank = F.floor(F.lit(p) * (F.col("all_n") - 1))
+        picks += [F.min(F.when(F.col("cum_n") > rank + i, v)).alias(f"_{name}_{i}") for i in (0, 1)]
+    known = curve.groupBy(*key).agg(
+        F.sum("n").alias("n_non_null"),
+        F.count(F.lit(1)).alias("n_unique"),
+        F.max(mean).alias("mean"),
+        F.sqrt(F.sum(n * (v - mean) * (v - mean)) / F.nullif(F.max("all_n") - 1, F.lit(0))).alias("std"),
+        F.min(v).alias("min"),
+        F.max(v).alias("max"),
+        F.sum(F.when(v == 0, n).otherwise(0)).alias("_zeros"),
+        *picks,
     )
-    out = stats.join(distinct, key).join(q, key, "left")
+    out = counted.groupBy(*key).agg(F.sum("_c").alias("n_total")).join(known, key, "left").select("_g.*", "*").drop("_g")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_non_null", "n_unique", "_zeros")})
+    for name, p in PROFILE_QUARTILES.items():
+        at, low = F.lit(p) * (F.col("n_non_null") - 1), F.col(f"_{name}_0")
+        out = out.withColumn(name, low + (at - F.floor(at)) * (F.coalesce(f"_{name}_1", low) - low)).drop(f"_{name}_0", f"_{name}_1")
     cv = F.when(F.abs("mean") > 1e-10, F.col("std") / F.abs("mean"))
     return out.withColumns(
         {

@@ -455,11 +455,7 @@ RULE_EXPR = {
 def _(t):
     p = t.stored_panel
     w = fusion.inverse_mae(p, BY).where("model_name != 'signup' AND NOT (task = 'realtime' AND period = '1_8')")
-    out = None
-    for r in RULE_EXPR:
-        one = fusion.fuse(p, w, BY, POINT, r).withColumn("rule", F.lit(r))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return fusion.fuse_rules(p, w, BY, POINT, list(RULE_EXPR))
 
 
 @query(

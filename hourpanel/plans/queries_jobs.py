@@ -101,6 +101,17 @@ def _(t):
     return back.groupBy("run_day").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("da").cast("double")).alias("y_sum"))
 
 
+@query("csv_marked_files", "run_day:t rows:i y_sum:d marked:b", "SELECT business_day AS run_day, count(*) AS rows, sum(da) AS y_sum, true AS marked FROM market GROUP BY ALL")
+def _(t):
+    """Daily CSV files that start with a byte order mark, read back under their own column names."""
+    path = scratch_path(t.spark, "marked-csv")
+    sinks.write_daily(t.market.select(F.col("business_day").alias("run_date"), "series_id", "ds", "da"), path, ["run_date"], "csv", bom=True)
+    raw = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)  # files of one day
+    marked = raw.groupBy(F.col("run_date").cast("date").alias("run_day")).agg(F.min(F.hex(F.substring("content", 1, 3)) == "EFBBBF").alias("marked"))
+    back = tables.scan_daily(t.spark, f"{path}/run_date=*/*.csv").select("run_day", "series_id", F.col("da").cast("double").alias("da"))
+    return back.groupBy("run_day").agg(F.count("series_id").alias("rows"), F.sum("da").alias("y_sum")).join(marked, "run_day")
+
+
 NOTES = (("utf-8", "实时电价"), ("gbk", "日前电价"), ("gb18030", "㐀电价"))  # the last one has a character that only its encoding has
 
 

@@ -20,20 +20,39 @@ ENCODINGS = ("utf-8", "gbk", "gb18030")
 REPLACEMENT = "�"
 
 
+UNDECODABLE = "undecodable"
+
+
+class UndecodableFiles(ValueError):
+    """Files that none of ``ENCODINGS`` decodes."""
+
+    def __init__(self, files: Sequence[str]) -> None:
+        super().__init__(f"none of {', '.join(ENCODINGS)} decodes {', '.join(files)}")
+        self.files = list(files)
+
+
 def read_csv(
     spark: SparkSession,
     path: str | Sequence[str],
     encoding: str | None = None,
     schema: T.StructType | None = None,
     skip_bad_lines: bool = False,
+    undecodable: str = "error",
 ) -> DataFrame:
     """CSV with a header, all columns text unless a schema is given.
 
     Without ``encoding`` every file gets the first one of ``ENCODINGS`` that decodes all of its lines, and files of
-    different encodings are read apart and put together by column name.
+    different encodings are read apart and put together by column name. Files that none decodes are refused by name
+    (``UndecodableFiles``), or left out if ``undecodable`` is "skip"; ``file_encodings`` lists them under ``UNDECODABLE``.
     """
+    if undecodable not in ("error", "skip"):
+        raise ValueError(f"unknown rule {undecodable!r}; one of error, skip")
     if encoding is None:
-        parts = [read_csv(spark, files, enc, schema, skip_bad_lines) for enc, files in sorted(file_encodings(spark, path).items())]
+        found = file_encodings(spark, path)
+        broken = found.pop(UNDECODABLE, [])
+        if broken and (undecodable == "error" or not found):
+            raise UndecodableFiles(broken)
+        parts = [read_csv(spark, files, enc, schema, skip_bad_lines) for enc, files in sorted(found.items())]
         if not parts:
             return read_csv(spark, path, ENCODINGS[0], schema, skip_bad_lines)
         return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -55,16 +74,18 @@ def file_encodings(spark: SparkSession, path: str | Sequence[str]) -> dict[str,
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("raw"))
     first = lines.groupBy("file").agg(F.min(F.is_valid_utf8(F.col("raw").cast("string"))).alias("utf8"))
 
-    @F.pandas_udf("boolean")
-    def decodes(raw: pd.Series) -> pd.Series:
-        def good(b: bytes) -> bool:
-            try:
-                b.decode("gbk")
-            except UnicodeDecodeError:
-                return False
-            return True
+    @F.pandas_udf("int")
+    def failing(raw: pd.Series) -> pd.Series:
+        def bits(line: bytes) -> int:
+            out = 0
+            for i, enc in enumerate(ENCODINGS[1:]):
+                try:
+                    line.decode(enc)
+                except UnicodeDecodeError:
+                    out |= 1 << i
+            return out
 
-        return raw.map(good)
+        return raw.map(bits)
 
     found: dict[str, list[str]] = {}
     other = []
@@ -72,8 +93,9 @@ def file_encodings(spark: SparkSession, path: str | Sequence[str]) -> dict[str,
         (found.setdefault(ENCODINGS[0], []) if r["utf8"] else other).append(r["file"])
     if other:
         rest = spark.read.text(other).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("raw"))
-        for r in rest.groupBy("file").agg(F.min(decodes("raw")).alias("gbk")).collect():
-            found.setdefault(ENCODINGS[1] if r["gbk"] else ENCODINGS[2], []).append(r["file"])
+        for r in rest.groupBy("file").agg(F.bit_or(failing("raw")).alias("failing")).collect():
+            good = [enc for i, enc in enumerate(ENCODINGS[1:]) if not r["failing"] >> i & 1]
+            found.setdefault(good[0] if good else UNDECODABLE, []).append(r["file"])
     return {enc: sorted(files) for enc, files in found.items()}
 
 
