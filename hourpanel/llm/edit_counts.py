@@ -5,8 +5,9 @@ tree's leaves are runs of about ``LEAF`` characters that end between pre-tokens;
 Trees are stored as a table with a row per document: the leaves' characters, and the sums level by level as arrays. So a
 document, however long, is one row with its text, and one task's work.
 
-An edit replaces ``length`` characters from ``start`` by ``insert``. Texts, trees and the edits of a document meet by an
-equi-join on the document; the leaves that an edit touches are found by their offsets. A touched leaf is re-encoded together with boundary context: its neighbours, because a pre-token may
+An edit replaces ``length`` characters from ``start`` by ``insert``. Trees meet the edits of their document first, both
+small; only then do they meet the texts by row key, so a text crosses the shuffle once. The leaves that an edit touches are
+found by their offsets. A touched leaf is re-encoded together with boundary context: its neighbours, because a pre-token may
 now reach over the leaf's edge. If the new split does not meet an old leaf's start again, one more leaf is taken, until it
 does. Only the changed leaves and the sums above them are computed anew; where the number of leaves changes, the leaves
 behind it have new places, and the sums above those are computed anew too.
@@ -226,9 +227,9 @@ def counts_after(docs: DataFrame, planted: DataFrame, edits: DataFrame, vocabula
     vocabulary = vocabulary or default_vocabulary()
     edit = F.struct(F.coalesce(F.col("start"), F.lit(0)).cast("long").alias("start"), F.coalesce(F.col("length"), F.lit(0)).cast("long").alias("length"), F.coalesce(F.col("insert"), F.lit("")).alias("insert"))
     per_doc = edits.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("edited")).agg(F.collect_set(edit).alias("edits"))
-    keyed = id_text(docs).withColumn("k", F.xxhash64("doc_id", "text"))
-    own = planted.select("k", "leaf_chars", "levels").dropDuplicates(["k"])
-    both = keyed.join(own, "k").join(per_doc, F.col("doc_id") == F.col("edited"), "left")
+    own = planted.select("k", "doc_id", "leaf_chars", "levels").join(per_doc, F.col("doc_id") == F.col("edited"), "left")
+    due = own.select("k", "leaf_chars", "levels", "edits").dropDuplicates(["k"])
+    both = id_text(docs).withColumn("k", F.xxhash64("doc_id", "text")).join(due, "k")
     return both.select("doc_id", "text", "leaf_chars", "levels", "edits").mapInArrow(lambda it: _recount_rows(it, vocabulary), _RESULT)
 
 
