@@ -279,8 +279,8 @@ def repeated_runs(rows: DataFrame, hot: int = HOT) -> DataFrame:
     copied = copies.select("k", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))
     anchors = rows.join(kept, "k").mapInArrow(_anchor_rows, "h long, k long, at long")
     repeated = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > hot).alias("hot"))
-    both = lambda df: df.withColumn("h2", F.xxhash64("h"))  # noqa: E731  an exchange of its own below the join, which can then split a frequent h
-    found = both(anchors).join(both(repeated), ["h2", "h"]).groupBy("k").agg(F.collect_set(F.struct("at", "h", "hot")).alias("found"))
+    both = lambda df: df.withColumn("bit", F.col("h").bitwiseAND(1).cast("byte"))  # noqa: E731  an exchange of its own below the join, which can then split a frequent h
+    found = both(anchors).join(both(repeated), ["bit", "h"]).groupBy("k").agg(F.collect_set(F.struct("at", "h", "hot")).alias("found"))
     contexts = rows.join(found, "k").mapInArrow(_context_rows, _CONTEXT)
     runs = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_sort_groups, "k long, start long, end long")
     return runs.unionByName(copied).groupBy("k").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
