@@ -3,14 +3,15 @@
 1. Every page becomes tokens: tags, told apart by their path (element names with class and id), and the words of short text
    runs, told apart by the path they stand in.
 2. Pages of one host vote: tokens with the same occurrence vector (as often as each other on every page) form a class. The
-   vector is kept as one number, the exclusive or of hash(page, count), so it adds up before the shuffle and a large host
-   needs no list of its pages. A class is frequent if it is on at least half of the host's pages (and on ``SUPPORT``), and
+   vector is kept as two sums over halves of hash(page, count), so it adds up before the shuffle and a large host needs no
+   list of its pages; a repeated row adds the same to all tokens of its page. A class is frequent if it is on at least half of the host's pages (and on ``SUPPORT``), and
    valid if its tokens come in the same order on every page.
 3. Valid classes nest by their paths into the host's template. The text between template tokens are the slots; the slot that
    holds the article is the deepest template container with at least ``SHARE`` of the host's running text, or the article
    or main element around it if there is one, so that a heading beside the container stays.
-4. A run of two words or more that stands word for word on a frequent number of the host's different pages is a class of its
-   own (its words occur equally often, in one order). Such template runs do not count as running text and are no main text.
+4. A run that stands word for word on a frequent number of the host's different pages is a class of its own (its words occur
+   equally often, in one order). Such template runs do not count as running text and are no main text. List items, terms and
+   table cells of one word are values that articles share and do not vote.
 5. What a page has in that slot between the template runs is its main text, without menus, headers, footers, side bars,
    forms, scripts and styles by their element. Names in class, id and role are an additional aid: they leave out notices,
    adverts and reader comments that differ from page to page, but not an element that holds over ``MOST`` of the running
@@ -19,7 +20,7 @@
 
 Defined cases: null or empty html gives an empty text; a page without host belongs to the host ''; broken markup is read to
 its end (an open tag at the end is dropped, open elements are closed); repeated rows give a row each; extra columns are
-ignored. Runs of one word stay when they repeat, and so does a page whose slot holds nothing but template runs. ``head`` ends where
+ignored. A page whose slot holds nothing but template runs stays. ``head`` ends where
 content starts, as browsers read it.
 """
 
@@ -58,6 +59,7 @@ _OUTSIDE_NAMES = frozenset(
     "toolbar contentinfo complementary search dialog alert".split()
 )
 _COMMENT_NAMES = frozenset("comment comments disqus respond reply replies".split())
+_VALUES = frozenset("li dt dd td th".split())
 _HEAD = frozenset("html head title meta link base".split())
 
 
@@ -74,7 +76,7 @@ class Block(NamedTuple):
     linked: int  # characters inside links
     outside: bool  # the article, by an element's kind
     named: tuple[str, ...]  # elements around it that a listed name calls something else: element names and listed names
-    run: int | None  # hash of the text under its element names; none for one word
+    run: int | None  # hash of the text under its element names; none for a value of one word
 
 
 def blocks(page: str) -> tuple[list[Block], list[str]]:
@@ -90,7 +92,7 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                run = xxhash.xxh64_intdigest(f"{home.plain} {text}") - (1 << 63) if " " in text else None
+                run = xxhash.xxh64_intdigest(f"{home.plain} {text}") - (1 << 63) if " " in text or home.name not in _VALUES else None
                 found.append(Block(home.path, text, linked, home.outside, home.named, run))
             parts.clear()
         linked = 0
@@ -203,10 +205,13 @@ def host_of(url: Column) -> Column:
 
 def template_classes(tokens: DataFrame, sizes: DataFrame) -> DataFrame:
     """host, class, token of all frequent, valid classes. ``tokens``: host, key, token, n, at."""
-    vectors = tokens.groupBy("host", "token").agg(F.count("*").alias("pages"), F.bit_xor(F.xxhash64("key", "n")).alias("vector"))
+    marked = tokens.withColumn("mark", F.xxhash64("key", "n"))
+    low, high = F.col("mark").bitwiseAND((1 << 32) - 1), F.shiftrightunsigned("mark", 32)
+    vectors = marked.groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum(low).alias("low"), F.sum(high).alias("high"))
     frequent = vectors.join(sizes, "host").where((F.col("pages") >= SUPPORT) & (2 * F.col("pages") >= F.col("host_pages")))
-    named = frequent.select("host", "token", F.xxhash64("pages", "vector").alias("class"))
-    ordered = tokens.join(named, ["host", "token"]).groupBy("host", "class", "key").agg(F.hash(F.sort_array(F.collect_list(F.struct("at", "token")))["token"]).alias("order"), F.count("*").alias("size"))
+    named = frequent.select("host", "token", F.xxhash64("pages", "low", "high").alias("class"))
+    ordered = tokens.join(named, ["host", "token"]).groupBy("host", "class", "key").agg(F.sort_array(F.collect_set(F.struct("at", "token")))["token"].alias("tokens"))
+    ordered = ordered.select("host", "class", F.hash("tokens").alias("order"), F.size("tokens").alias("size"))
     valid = ordered.groupBy("host", "class").agg(F.min("order").alias("low"), F.max("order").alias("high"), F.max("size").alias("size")).where("low = high and size >= 2")
     return named.join(valid.select("host", "class"), ["host", "class"])
 

@@ -372,6 +372,32 @@ def test_extraction_drops_repeated_runs(spark):
     assert got == {i: "\n".join(text[j : j + 2]) for i, j in enumerate([*range(6), *[0] * 20])}
 
 
+def test_extraction_drops_repeated_single_words(spark):
+    text = [SENTENCE(30) for _ in range(6)]
+    page = "<html><head><title>t</title></head><body><div class=x7f><h4>Advertisement</h4><p>{0}</p><p>Share</p><table><tr><td>yes<td>no</table></div></body></html>"
+    assert extracted(spark, [("w.example", page.format(t)) for t in text]) == {i: f"{t}\nyes\nno" for i, t in enumerate(text)}
+
+
+def test_template_classes_equal_occurrence_vectors(spark):
+    """Tokens share a class exactly when they occur equally often on every page; repeated rows make no false classes."""
+    r = random.Random(11)
+    pages = {("h", k): {f"t{i}": r.choice([0, 1, 1, 2]) if i % 3 else 1 for i in range(12)} for k in range(8)}
+    pages |= {("g", k): {"x": int(k in (1, 2, 3, 4)), "y": int(k in (1, 2, 3, 5)), "z": 1, "u": 1} for k in range(1, 6)}
+    times = {("g", 4): 2, ("g", 5): 2, ("h", 3): 3}
+    held = [key for key in pages for _ in range(times.get(key, 1))]
+    rows = [(h, k, t, n, int(t[1:] or 0)) for h, k in held for t, n in pages[h, k].items() if n]
+    sizes = spark.createDataFrame([(h, sum(x == h for x, _ in held)) for h in "gh"], "host string, host_pages long")
+    got: dict = {}
+    for row in template_extraction.template_classes(spark.createDataFrame(rows, "host string, key long, token string, n long, at int"), sizes).collect():
+        got.setdefault((row.host, row["class"]), set()).add(row.token)
+    want: dict = {}
+    for host, token in {(h, t) for h, _, t, *_ in rows}:
+        vector = tuple(pages[key].get(token, 0) for key in held if key[0] == host)
+        if 2 * sum(n > 0 for n in vector) >= len(vector):
+            want.setdefault((host, vector), set()).add(token)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(c) for c in want.values() if len(c) > 1)
+
+
 def test_extraction_keeps_whole_articles(spark):
     text = [SENTENCE(30) for _ in range(6)]
     ways = ["<div class='content with-sidebar'>{}</div>", "<div id='page' class='no-sidebar'>{}</div>", "<section class='search-result'>{}</section>", "<div class='post share'>{}</div>"]
