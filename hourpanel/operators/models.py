@@ -52,9 +52,10 @@ def fit_risk(df: DataFrame, features: Sequence[str], label: str, trees: int = 10
 
 
 def risk_probability(model, df: DataFrame, features: Sequence[str], out: str = "risk") -> DataFrame:
+    """Probability of class 1; 0 from a model that has seen only class 0, whose vectors have one element."""
     keep = df.columns
     scored = model.transform(_doubles(df, features))
-    return scored.withColumn(out, vector_to_array("probability")[1]).select(*keep, out)
+    return scored.withColumn(out, F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0))).select(*keep, out)
 
 
 def walk_forward_risk(
