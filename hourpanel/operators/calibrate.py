@@ -427,10 +427,10 @@ def best_recall_at_precision(df: DataFrame, series: Sequence[str], min_precision
     """Threshold with the highest recall among those precise enough, else the most precise one.
 
     The whole precision-recall curve comes from distributed running counts over
-    the distinct probabilities.
+    the distinct probabilities. A series without positive labels has null recall.
     """
     curve = quantile.cumulative_counts(df, series, prob, {"n": F.count(F.lit(1)), "pos": F.sum(label)}, descending=True)
-    curve = curve.withColumns({"precision": F.col("cum_pos") / F.col("cum_n"), "recall": F.col("cum_pos") / F.col("all_pos")})
+    curve = curve.withColumns({"precision": F.col("cum_pos") / F.col("cum_n"), "recall": F.col("cum_pos") / F.nullif(F.col("all_pos"), F.lit(0))})
     ok = F.col("precision") >= min_precision
     point = F.struct(F.col(prob).alias("threshold"), "precision", "recall")
     best = curve.groupBy(*series).agg(

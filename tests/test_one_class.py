@@ -3,7 +3,7 @@
 import pandas as pd
 import pytest
 
-from hourpanel.operators import models
+from hourpanel.operators import calibrate, models
 
 def labelled(make, label):
     rows = [(s, day, day.date(), float(i % 7), label(s, i)) for s in (0, 1) for i, day in enumerate(pd.date_range("2024-01-01", periods=30))]
@@ -13,3 +13,11 @@ def labelled(make, label):
 def test_out_of_fold_probability_of_one_class(make, only):
     got = models.out_of_fold_probability(labelled(make, lambda s, i: only), ["series_id"], ["x"], "label", k=3, trees=2, depth=2).collect()
     assert len(got) == 60 and {r.oof_prob for r in got} == {float(only)}
+
+
+def test_recall_without_positives(make):
+    rows = [(0, 0.2, 0), (0, 0.6, 0), (0, 0.2, 0), (1, 0.1, 0), (1, 0.9, 1)]
+    df = make(pd.DataFrame(rows, columns=["series_id", "prob", "label"]))
+    got = {r.series_id: r for r in calibrate.best_recall_at_precision(df, ["series_id"], 0.25).collect()}
+    assert (got[0].threshold, got[0].precision, got[0].recall, got[0].reached) == (0.2, 0.0, None, False)
+    assert (got[1].threshold, got[1].precision, got[1].recall, got[1].reached) == (0.1, 0.5, 1.0, True)
