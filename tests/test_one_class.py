@@ -21,3 +21,10 @@ def test_recall_without_positives(make):
     got = {r.series_id: r for r in calibrate.best_recall_at_precision(df, ["series_id"], 0.25).collect()}
     assert (got[0].threshold, got[0].precision, got[0].recall, got[0].reached) == (0.2, 0.0, None, False)
     assert (got[1].threshold, got[1].precision, got[1].recall, got[1].reached) == (0.1, 0.5, 1.0, True)
+
+
+def test_risk_forest_of_one_class(make):
+    df = labelled(make, lambda s, i: int(i > 20))
+    model = models.fit_risk(df.where("label = 0"), ["x"], "label", trees=2, depth=2)
+    got = models.risk_probability(model, df, ["x"]).collect()
+    assert len(got) == 60 and {r.risk for r in got} == {0.0}
