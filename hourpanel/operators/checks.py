@@ -121,10 +121,18 @@ def weight_checks(weights: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def routing_checks(routing: DataFrame, series: Sequence[str] = (), tasks: Sequence[str] = fixed.TASKS, periods: Sequence[str] = fixed.PERIODS) -> DataFrame:
-    """Exactly one entry per (task, period) of the expected grid."""
+def routing_checks(
+    routing: DataFrame, series: Sequence[str] = (), tasks: Sequence[str] = fixed.TASKS, periods: Sequence[str] = fixed.PERIODS,
+    expected: DataFrame | None = None,
+) -> DataFrame:
+    """Exactly one entry per (task, period) of the expected grid.
+
+    The series of the grid are those of ``expected``, so that a series without any entry is reported; without ``expected``
+    only those that ``routing`` names.
+    """
     cells = F.array(*[F.struct(F.lit(a).alias("task"), F.lit(b).alias("period")) for a in tasks for b in periods])
-    spine = routing.select(*series).distinct() if series else routing.limit(1).select(F.lit(0).alias("_one"))
+    known = routing if expected is None else expected
+    spine = known.select(*series).distinct() if series else routing.sparkSession.range(1)
     spine = spine.select(*series, F.explode(cells).alias("_k")).select(*series, "_k.*")
     key = [*series, "task", "period"]
     have = routing.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))

@@ -647,7 +647,7 @@ def _(t):
 )
 def _(t):
     r = t.stored_panel.where("NOT (task = 'dayahead' AND period = '1_8') AND n BETWEEN 2 AND 3").select(*BY, (F.col("n") >= 3).alias("k")).distinct()
-    return checks.routing_checks(r, S)
+    return checks.routing_checks(r, S, expected=t.stored_panel)
 
 
 @query(

@@ -3,12 +3,16 @@
 import pandas as pd
 import pytest
 
-from hourpanel.operators import calibrate, models
+from pyspark.sql import functions as F
+
+from hourpanel.operators import calibrate, checks, models
+
 
 def labelled(make, label):
     rows = [(s, day, day.date(), float(i % 7), label(s, i)) for s in (0, 1) for i, day in enumerate(pd.date_range("2024-01-01", periods=30))]
     return make(pd.DataFrame(rows, columns=["series_id", "ds", "business_day", "x", "label"]))
 
+
 @pytest.mark.parametrize("only", [0, 1])
 def test_out_of_fold_probability_of_one_class(make, only):
     got = models.out_of_fold_probability(labelled(make, lambda s, i: only), ["series_id"], ["x"], "label", k=3, trees=2, depth=2).collect()
@@ -28,3 +32,12 @@ def test_risk_forest_of_one_class(make):
     model = models.fit_risk(df.where("label = 0"), ["x"], "label", trees=2, depth=2)
     got = models.risk_probability(model, df, ["x"]).collect()
     assert len(got) == 60 and {r.risk for r in got} == {0.0}
+
+
+def test_routing_of_series_without_entries(make, spark):
+    routing = make(pd.DataFrame([(0, "dayahead", "1_8")], columns=["series_id", "task", "period"]))
+    everyone = spark.range(2).select(F.col("id").alias("series_id"))
+    got = checks.routing_checks(routing, ["series_id"], expected=everyone).where("check_name = 'routing_present'").collect()
+    assert len(got) == 12 and [(r.series_id, r.task, r.period) for r in got if r.passed] == [(0, "dayahead", "1_8")]
+    nothing = checks.routing_checks(routing.where("series_id = 9"), expected=None).where("check_name = 'routing_present'").collect()
+    assert len(nothing) == 6 and not any(r.passed for r in nothing)
