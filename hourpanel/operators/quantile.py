@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import linear
 from ..session import materialise
 
 SKETCH_ACCURACY = 10_000
@@ -85,7 +84,7 @@ def quantiles(
     return found.select(*keys, *outs)
 
 
-FINE = 16
+SPLITS = 256  # a power of two
 
 
 def cumulative_counts(
@@ -98,27 +97,19 @@ def cumulative_counts(
 ) -> DataFrame:
     """Running sums over the distinct values of a column, per key.
 
-    Values are grouped first (``distinct``: they are already, and ``sums`` are plain columns), then spread over 256 sketch-made ranges (found in
-    two steps of 16); range totals are summed on a small table. Output: keys, value, each sum
+    Values are grouped first (``distinct``: they are already, and ``sums`` are plain columns), then spread over 256
+    sketch-made ranges; range totals are summed on a small table. Output: keys, value, each sum
     (``name``), its running total up to and including the value (``cum_name``)
     and its total (``all_name``).
     """
     keys = list(keys)
-    splits = FINE * FINE
     cuts = df.groupBy(*keys).agg(
-        F.percentile_approx(value, F.array(*[F.lit(i / splits) for i in range(1, splits)]), F.lit(1000)).alias("_cuts")
+        F.percentile_approx(value, F.array(*[F.lit(i / SPLITS) for i in range(1, SPLITS)]), F.lit(1000)).alias("_cuts")
     )
-    cuts = cuts.withColumn("_coarse", F.filter("_cuts", lambda c, i: i % FINE == FINE - 1))
     named = [e.alias(n) for n, e in sums.items()]
     known = df.where(F.col(value).isNotNull())
     flat = known.select(*keys, value, *named) if distinct else known.groupBy(*keys, value).agg(*named)
-    placed = (
-        flat.join(cuts, keys)
-        .withColumn("_c", F.size(F.filter("_coarse", lambda s: s < F.col(value))))
-        .withColumn("_f", F.size(F.filter(F.slice("_cuts", F.col("_c") * FINE + 1, F.lit(FINE - 1)), lambda s: s < F.col(value))))
-        .withColumn("_b", F.col("_c") * FINE + F.col("_f"))
-        .drop("_cuts", "_coarse", "_c", "_f")
-    )
+    placed = _cuts_below(flat.join(cuts, keys), {"_b": ("_cuts", value)}).drop("_cuts")
     way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     totals = placed.groupBy(*keys, "_b").agg(*[F.sum(n).alias(f"_s_{n}") for n in sums])
     prior = W.partitionBy(*keys).orderBy(way("_b")).rowsBetween(W.unboundedPreceding, -1)
@@ -152,31 +143,37 @@ def with_ranks(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, Column])
     is keyed by the stretch, never by a value, and ranks stay on their rows.
     """
     keys, names = list(keys), list(wanted)
-    splits = FINE * FINE
-    probs = F.array(*[F.lit(i / splits) for i in range(1, splits)])
+    probs = F.array(*[F.lit(i / SPLITS) for i in range(1, SPLITS)])
     placed = df.withColumns({f"_v_{n}": c.cast("double") for n, c in wanted.items()})
     cuts = placed.groupBy(*keys).agg(*[F.array_distinct(F.percentile_approx(f"_v_{n}", probs, F.lit(1000))).alias(f"_cuts_{n}") for n in names])
-    cuts = cuts.withColumns({f"_coarse_{n}": F.filter(f"_cuts_{n}", lambda c, i: i % FINE == FINE - 1) for n in names})
-    placed = placed.join(cuts, keys)
-    placed = placed.withColumns({f"_b_{n}": _stretch(F.col(f"_cuts_{n}"), F.col(f"_coarse_{n}"), F.col(f"_v_{n}")) for n in names})
-    placed = materialise(placed.drop(*[f"_cuts_{n}" for n in names], *[f"_coarse_{n}" for n in names]), "placed")
+    placed = placed.join(materialise(cuts, "cuts"), keys)  # its size is known, so rows need not gather by key
+    placed = _cuts_below(placed, {f"_b_{n}": (f"_cuts_{n}", f"_v_{n}") for n in names})
+    placed = placed.withColumns({f"_b_{n}": _stretch(F.col(f"_cuts_{n}"), F.col(f"_b_{n}"), F.col(f"_v_{n}")) for n in names})
+    placed = materialise(placed.drop(*[f"_cuts_{n}" for n in names]), "placed")
     cells = F.explode(F.array(*[F.struct(F.lit(n).alias("_name"), F.col(f"_b_{n}").alias("_at")) for n in names]))
     size = placed.select(*keys, cells.alias("_c")).select(*keys, "_c.*").where("_at is not null").groupBy(*keys, "_name", "_at").agg(F.count(F.lit(1)).alias("_n"))
+    size = materialise(size, "sizes")
+    mixed = {r[0] for r in size.where("_at % 2 = 0").select("_name").distinct().collect()}  # a name or none each
     before = W.partitionBy(*keys, "_name").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
     size = size.withColumn("_o", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     tables = size.groupBy(*keys).agg(
         *[F.map_from_entries(F.collect_list(F.when(F.col("_name") == n, F.struct("_at", F.struct("_o", "_n"))))).alias(f"_t_{n}") for n in names]
-    )  # at most 2 * splits stretches a name
-    dense = lambda t: F.transform(F.sequence(F.lit(0), F.lit(2 * splits)), lambda i: F.try_element_at(t, i))
+    )  # at most 2 * SPLITS stretches a name
+    dense = lambda t: F.transform(F.sequence(F.lit(0), F.lit(2 * SPLITS)), lambda i: F.try_element_at(t, i))
     out = placed.join(materialise(tables.select(*keys, *[dense(F.col(f"_t_{n}")).alias(f"_t_{n}") for n in names]), "stretches"), keys)
     for n in names:
         here = F.get(f"_t_{n}", F.col(f"_b_{n}"))
         out = out.withColumns({f"_o_{n}": here["_o"], f"_n_{n}": here["_n"]})
     out = out.drop(*[f"_t_{n}" for n in names])
-    # rows that need no order are spread by what they hold
-    out = out.withColumn("_any", 1 + F.pmod(F.xxhash64(*out.columns), F.lit(splits)))
+    # rows that need no order are spread by what they hold; columns whose values are all cuts need no window, but for the last
+    out = out.withColumn("_any", 1 + F.pmod(F.xxhash64(*out.columns), F.lit(SPLITS)))
+    names.sort(key=lambda n: n in mixed)
     for n in names:
         at = F.col(f"_b_{n}")
+        if n not in mixed and n != names[-1]:
+            own = F.when(at.isNotNull(), F.col(f"_o_{n}") + (F.col(f"_n_{n}") + 1) / 2)
+            out = out.withColumn(n, own).drop(f"_o_{n}", f"_n_{n}", f"_b_{n}", f"_v_{n}")
+            continue
         ordered = F.coalesce(at % 2 == 0, F.lit(False))
         out = out.withColumn("_spread", F.when(ordered, F.lit(0)).otherwise(F.col("_any")))
         part = [*keys, f"_b_{n}", "_spread"]
@@ -184,15 +181,24 @@ def with_ranks(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, Column])
         ties = F.count(F.lit(1)).over(W.partitionBy(*part, f"_v_{n}"))
         own = F.when(ordered, F.col(f"_o_{n}") + rank + (ties - 1) / 2).when(at.isNotNull(), F.col(f"_o_{n}") + (F.col(f"_n_{n}") + 1) / 2)
         out = out.withColumn(n, own).drop("_spread", f"_o_{n}", f"_n_{n}", f"_b_{n}", f"_v_{n}")
-    return out.drop("_any")
+    return out.select(*df.columns, *wanted)
+
+
+def _cuts_below(df: DataFrame, wanted: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """Adds one column per ``{out: (cuts, value)}``: how many of the ascending cuts (under ``SPLITS``) lie below the value.
+
+    A binary search, a projection for each halving: plain column expressions, no lambda over the elements.
+    """
+    df, step = df.withColumns({out: F.lit(0) for out in wanted}), SPLITS // 2
+    while step:
+        df = df.withColumns({out: F.col(out) + F.when(F.get(cuts, F.col(out) + step - 1) < F.col(v), step).otherwise(0) for out, (cuts, v) in wanted.items()})
+        step //= 2
+    return df
 
 
-def _stretch(cuts: Column, coarse: Column, v: Column) -> Column:
-    """2 x the number of ascending cuts below v, and 1 more if v is a cut itself; every ``FINE``-th cut is looked at first."""
-    first = FINE * F.size(F.filter(coarse, lambda c: c < v))
-    fine = lambda at: at + F.size(F.filter(F.slice(cuts, at + 1, F.lit(FINE - 1)), lambda c: c < v))
-    number = linear.let(linear.let(first, fine), lambda b: 2 * b + F.coalesce(F.get(cuts, b) == v, F.lit(False)).cast("int"))
-    return F.when(v.isNotNull(), number)
+def _stretch(cuts: Column, below: Column, v: Column) -> Column:
+    """2 x the number of cuts below v, and 1 more if v is a cut itself."""
+    return F.when(v.isNotNull(), 2 * below + F.coalesce(F.get(cuts, below) == v, F.lit(False)).cast("int"))
 
 
 def average_rank(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
