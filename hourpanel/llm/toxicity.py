@@ -7,8 +7,8 @@ group are swapped for other terms of that group; a text without such a term gets
 Training lowers the usual loss and ``BALANCE`` times the squared change of the output between a text and its twin, so that
 naming a group by itself moves no score.
 
-Training uses at most ``PER_CLASS`` labelled rows of each class (the bound is the parameter); tasks make the features of
-both texts, and only these reach the driver. Scoring needs a number per bucket and reads whole texts.
+Training uses at most ``PER_CLASS`` labelled rows of each class (the bound is the parameter); tasks find the
+words of both texts, and only these reach the driver, which makes the features of every distinct word once. Scoring needs a number per bucket and reads whole texts.
 
 Defined cases: null or wordless texts score by the bias alone; without labels of both classes every score is 0.5; a null
 doc_id is not held out; repeated rows are scored one by one; other columns are ignored.
@@ -16,9 +16,10 @@ doc_id is not held out; repeated rows are scored one by one; other columns are i
 
 from __future__ import annotations
 
+import array
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -85,29 +86,62 @@ def bend(score: np.ndarray) -> np.ndarray:
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the distinct words one after the other, and how many belong to each word."""
-    words = [word_features(w) for w in sorted(set(_WORD(text.lower())))]
-    return np.array([b for bs in words for b in bs], dtype=np.int32), np.array([len(bs) for bs in words], dtype=np.int32)
+    return Bags([distinct_words(text)], Vocabulary())[0]
 
 
-def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def distinct_words(text: str) -> str:
+    """The distinct words in order, separated by spaces."""
+    return " ".join(sorted(set(_WORD(text.lower()))))
+
+
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         texts = batch.column("text").to_pylist()
-        own, twin = [features(t) for t in texts], [features(counterfactual(t)) for t in texts]
-        arrays = [pa.array([x.tobytes() for x in c]) for pair in (own, twin) for c in zip(*pair, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *arrays], names=["doc_id", "y", "at", "n", "twin_at", "twin_n"])
+        arrays = [pa.array(map(distinct_words, some), type=pa.string()) for some in (texts, map(counterfactual, texts))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *arrays], names=["doc_id", "y", "words", "twin_words"])
+
+
+class Vocabulary:
+    """Numbers of words, and the buckets of each, one word after the other."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.buckets, self.ends = array.array("i"), array.array("q", [0])
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        for w in words:
+            if w not in self.number:
+                self.number[w] = len(self.number)
+                self.buckets.extend(word_features(w))
+                self.ends.append(len(self.buckets))
+        return np.fromiter(map(self.number.__getitem__, words), dtype=np.int32, count=len(words))
+
+
+class Bags:
+    """Texts held as numbers of words; item ``i`` is what ``features`` gives for text ``i``."""
+
+    def __init__(self, texts: Iterable[str], vocabulary: Vocabulary) -> None:
+        self.vocabulary, self.texts = vocabulary, [vocabulary.numbers(t.split(" ")) if t else np.zeros(0, np.int32) for t in texts]
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        words, ends = self.texts[i], np.frombuffer(self.vocabulary.ends, dtype=np.int64)
+        last = ends[words + 1]
+        sizes = last - ends[words]
+        at = np.arange(sizes.sum()) + np.repeat(last - np.cumsum(sizes), sizes)
+        return (np.frombuffer(self.vocabulary.buckets, dtype=np.int32)[at] if len(at) else np.zeros(0, np.int32)), sizes.astype(np.int32)
 
 
-def train(own: list, twin: list, y: np.ndarray, balance: float = BALANCE, seed: int = 7) -> tuple[np.ndarray, float]:
+def train(own: Sequence, twin: Sequence, y: np.ndarray, balance: float = BALANCE, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights per bucket and bias by stochastic gradient descent on loss + balance * (change of the output) ** 2."""
     rng = np.random.default_rng(seed)
     weights, state, bias = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0
 
-    def total(bags: list, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def total(bags: Sequence, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Buckets, the slope of the document's output in each of them, their document; and the outputs."""
-        at = np.concatenate([bags[i][0] for i in some])
-        sizes = np.concatenate([bags[i][1] for i in some])
+        held = [bags[i] for i in some]
+        at, sizes = np.concatenate([a for a, _ in held]), np.concatenate([n for _, n in held])
         word = np.repeat(np.arange(len(sizes)), sizes)
-        doc = np.repeat(np.arange(len(some)), [len(bags[i][1]) for i in some])
+        doc = np.repeat(np.arange(len(some)), [len(n) for _, n in held])
         score = np.bincount(word, weights[at], minlength=len(sizes))
         return at, (SLOPE + (score > 1))[word], doc[word], np.bincount(doc, bend(score), minlength=len(some)) + bias
 
@@ -132,13 +166,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     """Weights per bucket and bias, from rows that are not held out."""
     allowed = remainder(F.col("doc_id"), HELD_MODULUS) != HELD_REST
     sample, shift = training_sample(docs, labels, label, allowed, per_class)
-    schema = "doc_id long, y int, at binary, n binary, twin_at binary, twin_n binary"
-    rows = sample.mapInArrow(_feature_rows, schema).toPandas().sort_values(["doc_id", "at"])
+    rows = sample.mapInArrow(_word_rows, "doc_id long, y int, words string, twin_words string").toPandas().sort_values(["doc_id", "words"])
     y = rows["y"].to_numpy()
     if len(set(y)) < 2:
         return np.zeros(BUCKETS), 0.0
-    read = lambda a, n: [(np.frombuffer(x, np.int32), np.frombuffer(c, np.int32)) for x, c in zip(rows[a], rows[n], strict=True)]
-    weights, bias = train(read("at", "n"), read("twin_at", "twin_n"), y, balance)
+    vocabulary = Vocabulary()
+    weights, bias = train(Bags(rows["words"], vocabulary), Bags(rows["twin_words"], vocabulary), y, balance)
     return weights, bias + shift
 
 
