@@ -47,8 +47,10 @@ WEIGHT = 32.0
 #: Scale of the levels, bits for each inserted level, probes a level.
 BASE, BITS, PROBES = 1.5, 10, 4
 CELLS = 1 << 10
-#: Bytes of text that are read at once.
-PIECE = 4 << 20
+#: Bytes of text that are read at once; a task holds about 100 times as many bytes of numbers.
+PIECE = 1 << 20
+#: Bytes of text whose keys are counted together.
+COUNTED = 8 << 20
 HELD = 1 << 22  # pairs a task holds before it ships them
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -182,7 +184,7 @@ def _unpacked(n: int, body: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
     words, of_words, of_pairs = Words(), Tally(), Tally()
-    for batch in slices(batches, "text", 2 * PIECE):
+    for batch in slices(batches, "text", COUNTED):
         token, text = sequences(words, batch)
         of_words.add(token)
         of_pairs.add(pairs(histories(token, text), token))
