@@ -37,7 +37,7 @@ LENGTH = 100
 GRAM = 24
 SHALLOW = 16
 HOT = 50_000
-PIECE = 1 << 20
+PIECE = 1 << 18
 LAST = (1 << 63) - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -142,13 +142,18 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 seen[key], (id_, k, start) = min(other, at), max(other, at)
                 gone.append((k, id_, start, start + key[2] + LENGTH - 1))
 
-        for k, id_, text, found in zip(*(batch.column(c).to_pylist() for c in ("k", "id", "text", "found")), strict=True):
-            for f in found:
-                anchor, first, last = f["at"] >> 16, (f["at"] >> 8) & 255, f["at"] & 255
+        found = batch.column("found")
+        ends = np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False)).tolist()
+        anchors = list(zip(*(found.flatten().field(c).to_pylist() for c in ("at", "h", "hot")), strict=True))  # no dict each
+        begin = 0
+        for k, id_, text, end in zip(*(batch.column(c).to_pylist() for c in ("k", "id", "text")), ends, strict=True):
+            mine, begin = anchors[begin:end], end
+            for at, h, hot in mine:
+                anchor, first, last = at >> 16, (at >> 8) & 255, at & 255
                 start, n = anchor - first, first - last + 1
                 body = text[start : start + n - 1 + LENGTH]
-                if not f["hot"]:
-                    meet((f["h"], body, n, first), (id_, k, start))
+                if not hot:
+                    meet((h, body, n, first), (id_, k, start))
                     continue
                 for i in range(n):
                     one = body[i : i + LENGTH]
@@ -244,7 +249,7 @@ def gone_runs(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["k", "start", "end"])
 
 
-def _sort_groups(batches: Iterator[pa.RecordBatch], chunk: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _sort_groups(batches: Iterator[pa.RecordBatch], chunk: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Input sorted by h: whole groups, some megabytes at a time; the last, perhaps open group waits for the next batch."""
     held: list[pa.RecordBatch] = []
     for batch in slices(batches, "body", chunk):

@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from hourpanel.llm import bloom_lm
+from hourpanel.llm import bloom_lm, suffix_dedup
 
 
 def peak_mb(work) -> float:
@@ -26,3 +26,9 @@ def texts(n: int, size: int) -> pa.RecordBatch:
 def test_words_of_eight_megabytes():
     batch = texts(800, 10_000)
     assert peak_mb(lambda: bloom_lm.sequences(bloom_lm.Words(), batch)) < 150
+
+
+def test_anchors_of_eight_megabytes():
+    batch = texts(800, 10_000)
+    batch = batch.set_column(1, "text", batch.column("text").cast(pa.binary()))
+    assert peak_mb(lambda: sum(b.num_rows for b in suffix_dedup._anchor_rows(iter([batch])))) < 100
