@@ -109,7 +109,7 @@ def cumulative_counts(
     named = [e.alias(n) for n, e in sums.items()]
     known = df.where(F.col(value).isNotNull())
     flat = known.select(*keys, value, *named) if distinct else known.groupBy(*keys, value).agg(*named)
-    placed = _cuts_below(flat.join(cuts, keys), {"_b": ("_cuts", value)}).drop("_cuts")
+    placed = _cuts_below(flat.join(materialise(cuts, "cuts"), keys), {"_b": ("_cuts", value)}).drop("_cuts")  # of known size
     way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     totals = placed.groupBy(*keys, "_b").agg(*[F.sum(n).alias(f"_s_{n}") for n in sums])
     prior = W.partitionBy(*keys).orderBy(way("_b")).rowsBetween(W.unboundedPreceding, -1)

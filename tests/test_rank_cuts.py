@@ -25,3 +25,10 @@ def test_rows_are_not_gathered_by_key(make):
     got = got.toPandas().sort_values(["g", "many"])
     np.testing.assert_allclose(got.r_few, pdf.groupby("g").few.rank())
     np.testing.assert_allclose(got.r_many, pdf.groupby("g").many.rank())
+
+
+def test_running_counts_join_cuts_without_sorting_by_key(make):
+    df = make(pd.DataFrame({"g": [0, 0, 1], "x": [1.0, 2.0, 2.0], "n": [1, 2, 3]}))
+    got = quantile.cumulative_counts(df, ["g"], "x", {"n": F.col("n")}, distinct=True)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [g" in plan and sorted((r.g, r.x, r.cum_n) for r in got.collect()) == [(0, 1.0, 1), (0, 2.0, 3), (1, 2.0, 3)]
