@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
@@ -24,14 +24,30 @@ from . import corrections, folds, fusion, quantile
 SEED = 42
 
 
-def _inputs(features: Sequence[str], prefix: str = "_i_") -> list:
-    names = [f"{prefix}{c}" for c in features]
+def _inputs(features: Sequence[str], known: Sequence[str], prefix: str = "_i_") -> list:
+    """Imputed features as a vector; those not ``known`` have no median and are 0 throughout, which no tree splits on."""
+    blank = ", ".join(f"0D AS `{prefix}{c}`" for c in features if c not in known)
     return [
-        Imputer(strategy="median", inputCols=list(features), outputCols=names),
-        VectorAssembler(inputCols=names, outputCol="_x", handleInvalid="keep"),
+        *([SQLTransformer(statement=f"SELECT *, {blank} FROM __THIS__")] if blank else []),
+        *([Imputer(strategy="median", inputCols=list(known), outputCols=[f"{prefix}{c}" for c in known])] if known else []),
+        VectorAssembler(inputCols=[f"{prefix}{c}" for c in features], outputCol="_x", handleInvalid="keep"),
     ]
 
 
+def _fit(df: DataFrame, features: Sequence[str], label: str, learner):
+    """Model of the rows that have a label; None if there is no such row."""
+    df = df.where(F.col(label).isNotNull())
+    seen = df.agg(F.count(F.lit(1)), *[F.count(F.when(~F.isnan(c), F.col(c))) for c in features]).first()
+    if not seen[0]:
+        return None
+    return Pipeline(stages=[*_inputs(features, [c for c, n in zip(features, seen[1:], strict=True) if n]), learner]).fit(df)
+
+
+def _transform(model, df: DataFrame, out: str) -> DataFrame:
+    """``df`` with what the model gives; without a model ``out`` is null."""
+    return df.withColumn(out, F.lit(None).cast("double")) if model is None else model.transform(df)
+
+
 def balanced(df: DataFrame, label: str, out: str = "_weight") -> DataFrame:
     """Class weights n / (2 n_class) from one count per class."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
@@ -45,15 +61,17 @@ def _doubles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def fit_risk(df: DataFrame, features: Sequence[str], label: str, trees: int = 100, depth: int = 6):
-    """Class-balanced random forest over imputed features."""
+    """Class-balanced random forest over imputed features; None if no row has a label."""
     df = balanced(_doubles(df, [*features, label]), label)
     rf = RandomForestClassifier(featuresCol="_x", labelCol=label, weightCol="_weight", numTrees=trees, maxDepth=depth, seed=SEED)
-    return Pipeline(stages=[*_inputs(features), rf]).fit(df)
+    return _fit(df, features, label, rf)
 
 
 def risk_probability(model, df: DataFrame, features: Sequence[str], out: str = "risk") -> DataFrame:
-    """Probability of class 1; 0 from a model that has seen only class 0, whose vectors have one element."""
+    """Probability of class 1; 0 from a model that has seen only class 0, whose vectors have one element; null without a model."""
     keep = df.columns
+    if model is None:
+        return _transform(None, _doubles(df, features), out).select(*keep, out)
     scored = model.transform(_doubles(df, features))
     return scored.withColumn(out, F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0))).select(*keep, out)
 
@@ -101,7 +119,7 @@ def spike_detector(train: DataFrame, score: DataFrame, features: Sequence[str],
     """
     def boosted(d: DataFrame, cols: Sequence[str], n: int):
         gbt = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=n, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=SEED)
-        return Pipeline(stages=[*_inputs(cols), gbt]).fit(_doubles(d, [*cols, label]))
+        return _fit(_doubles(d, [*cols, label]), cols, label, gbt)
 
     first = boosted(train, features, iterations)
     scored = risk_probability(first, score, features, "p1")
@@ -136,7 +154,7 @@ def segment_regression(
         kw = {"weightCol": weight} if weight else {}
         reg = GBTRegressor(featuresCol="_x", labelCol=label, maxIter=iterations, maxDepth=depth, seed=SEED, predictionCol="y_hat", **kw)
         part = data.where(F.col("period") == name)
-        pred = Pipeline(stages=[*_inputs(features), reg]).fit(part).transform(score.where(F.col("period") == name)).select(*score.columns, "y_hat")
+        pred = _transform(_fit(part, features, label, reg), score.where(F.col("period") == name), "y_hat").select(*score.columns, "y_hat")
         if name == "9_16" and negative:
             marked = part.withColumn("_neg", flag(F.col(label) < 0))
             if marked.agg(F.count_distinct("_neg")).first()[0] > 1:
@@ -171,8 +189,8 @@ def delta_regression(train: DataFrame, score: DataFrame, features: Sequence[str]
     score = _doubles(score, features)
     for _, cond in parts:
         reg = GBTRegressor(featuresCol="_x", labelCol="delta_target", maxIter=iterations, maxDepth=depth, seed=SEED, predictionCol="delta_hat", **kw)
-        model = Pipeline(stages=[*_inputs(features), reg]).fit(_doubles(train.where(cond), features))
-        pred = model.transform(score.where(cond)).select(*score.columns, "delta_hat")
+        model = _fit(_doubles(train.where(cond), features), features, "delta_target", reg)
+        pred = _transform(model, score.where(cond), "delta_hat").select(*score.columns, "delta_hat")
         out = pred if out is None else out.unionByName(pred)
     return out.withColumn("rt_hat", F.col("da") + F.col("delta_hat"))
 
@@ -209,7 +227,7 @@ def boosted_stack(df: DataFrame, point: Sequence[str], models: Sequence[str], sp
         for period in ("1_8", "9_16", "17_24"):
             part = wide.where((F.col("task") == task) & (F.col("period") == period))
             reg = GBTRegressor(featuresCol="_x", labelCol="y_true", maxIter=iterations, maxDepth=depth, seed=SEED, predictionCol="y_fused")
-            model = Pipeline(stages=[*_inputs(models), reg]).fit(part.where(F.col("target_day") < d))
-            pred = model.transform(part.where(F.col("target_day") >= d)).select(*wide.columns, "y_fused")
+            model = _fit(part.where(F.col("target_day") < d), models, "y_true", reg)
+            pred = _transform(model, part.where(F.col("target_day") >= d), "y_fused").select(*wide.columns, "y_fused")
             out = pred if out is None else out.unionByName(pred)
     return out

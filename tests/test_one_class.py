@@ -34,6 +34,28 @@ def test_risk_forest_of_one_class(make):
     assert len(got) == 60 and {r.risk for r in got} == {0.0}
 
 
+def test_risk_forest_without_history(make):
+    df = labelled(make, lambda s, i: int(i > 20))
+    for history in (df.where("label > 1"), df.withColumn("label", F.lit(None).cast("bigint"))):
+        got = models.risk_probability(models.fit_risk(history, ["x"], "label", trees=2, depth=2), df, ["x"]).collect()
+        assert len(got) == 60 and {r.risk for r in got} == {None}
+
+
+def test_features_without_values(make):
+    df = labelled(make, lambda s, i: int(i % 7 > 3)).withColumn("none", F.lit(None).cast("double"))
+    one, both, none = (models.risk_probability(models.fit_risk(df, f, "label", trees=1, depth=2), df, f).collect() for f in (["x"], ["x", "none"], ["none"]))
+    assert len(one) == len(both) == len(none) == 60 and len({r.risk for r in none}) == 1
+    assert all((r.risk > 0.5) == (r.label == 1) for r in one + both)
+
+
+def test_regressions_without_history(make):
+    df = labelled(make, lambda s, i: int(i > 20)).withColumns({"period": F.lit("1_8"), "da": F.lit(1.0), "delta_target": F.lit(0.0), "hour_business": F.lit(1)})
+    nothing = df.where("label > 1")
+    assert {r.rt_hat for r in models.delta_regression(nothing, df, ["x"], iterations=1).collect()} == {None}
+    assert {r.spike_prob for r in models.spike_detector(nothing, df, ["x"], "label", iterations=1).collect()} == {None}
+    assert len(models.segment_regression(nothing, df, ["x"], "label", ["series_id"], iterations=1).collect()) == 60
+
+
 def test_routing_of_series_without_entries(make, spark):
     routing = make(pd.DataFrame([(0, "dayahead", "1_8")], columns=["series_id", "task", "period"]))
     everyone = spark.range(2).select(F.col("id").alias("series_id"))
