@@ -11,7 +11,8 @@ Document frequencies and lengths cover all documents; there are as many counts a
 table, bounded by ``VOCABULARY``, is what is sent to the tasks. A shard holds at most ``SHARD`` tails.
 
 Ids are those that ``tokenizers`` gives. The byte-level vocabulary splits a text by a fixed pattern before any merge, so a
-word's ids come from a bounded memo, filled through the vocabulary's ranks; tests compare with ``tokenizers`` itself.
+word's ids come from a bounded memo, filled through the vocabulary's ranks by one call for all new words of a slice of
+texts; tests compare with ``tokenizers`` itself.
 
 Defined cases: null text is empty (only the closing id); repeated rows are packed one by one; a row without doc_id too.
 """
@@ -20,6 +21,8 @@ from __future__ import annotations
 
 import array
 import base64
+import re
+import secrets
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from hourpanel.session import materialise
 
-from .common import id_text, slices
+from .common import id_text, run_hashes, slices, spans
 
 WINDOW = 1024
 SHARD = 512
@@ -40,50 +43,98 @@ K1, B = 1.2, 0.75
 RARE_SHARE = 0.05
 END_ID = 0
 SPECIAL = "<|endoftext|>"
+_DOUBLED = re.compile(r"\s\s").search
 
 _PASS_ONE = "kind string, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, tail binary, token int, n long"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class Memo(dict):
+class Memo:
     """Token ids as little-endian unsigned 32-bit bytes; holds those of words seen before, each with the space before it.
 
     The vocabulary's pattern never joins what stands before a single space to what follows it, so a text without doubled
-    white space at a space is the concatenation of its words' ids. Any other text is encoded whole.
+    white space or white space at its end is the concatenation of its words' ids. Any other text is encoded whole. Words
+    are told apart by 64-bit hashes whose seed differs from task to task.
     """
 
-    def __init__(self, vocabulary: tuple[str, str, str], limit: int = 400_000) -> None:
+    def __init__(self, vocabulary: tuple[str, str, str], limit: int = 1_000_000) -> None:
         import tiktoken
 
         self.path, ranks, pattern = vocabulary
         with open(ranks, "rb") as f:
             merges = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=merges, special_tokens={}).encode_ordinary
-        self.limit, self.whole = limit, None
-
-    def __missing__(self, word: str) -> bytes:
-        if not word or word[0].isspace() or word[-1].isspace():
-            raise ValueError("white space on both sides of a cut")
-        ids = array.array("I", self.encode(" " + word)).tobytes()
-        if len(word) < 100:
-            self[word] = ids
-        return ids
+        self.sizes = np.zeros(VOCABULARY, dtype=np.int64)
+        self.sizes[list(merges.values())] = list(map(len, merges))  # bytes of a token
+        self.limit, self.whole, self.seed = limit, None, secrets.randbits(63)
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.first, self.count = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.held = np.zeros(0, dtype="<u4")
+
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Encode words, those after a space as one text, and keep the ids; where they begin and how many they are."""
+        spaced = np.fromiter((w[:1] == b" " for w in words), dtype=bool, count=len(words))
+        text = b"".join(w for w in words if w[:1] == b" ").decode()
+        ids = np.array(self.encode(text), dtype="<u4")
+        ends = np.cumsum([len(w) for w in words if w[:1] == b" "])
+        count = np.zeros(len(words), dtype=np.int64)
+        count[spaced] = np.diff(np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1, prepend=0)
+        alone = [self.encode(w.decode()) for w in words if w[:1] != b" "]  # at the start of a text
+        count[~spaced] = [len(i) for i in alone]
+        first = np.zeros(len(words), dtype=np.int64)
+        for some in (spaced, ~spaced):
+            first[some] = np.cumsum(count[some]) - count[some] + (0 if some is spaced else len(ids))
+        first += len(self.held)
+        self.held = np.concatenate([self.held, ids, np.array([i for a in alone for i in a], dtype="<u4")])
+        return first, count
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts that are cut before every space."""
+        if len(self.words) > self.limit or len(self.held) > 10 * self.limit:
+            self.clear()
+        texts = [t.encode() for t in texts]
+        raw = b"".join(texts)
+        cut = np.frombuffer(raw, dtype=np.uint8) == 32
+        cut[np.cumsum([0, *map(len, texts[:-1])])] = True
+        first = np.flatnonzero(cut)
+        last = np.r_[first[1:], len(raw)]
+        word = run_hashes(raw, first, last, self.seed)
+        order = np.argsort(word)
+        new = np.r_[True, word[order[1:]] != word[order[:-1]]]
+        which = np.empty(len(order), dtype=np.int64)
+        which[order] = np.cumsum(new) - 1
+        one = order[new]  # a place of every different word, by hash
+        at = np.searchsorted(self.words, word[one])
+        missing = np.r_[self.words, np.zeros(1, dtype=np.uint64)][at] != word[one]
+        missing |= at == len(self.words)
+        if missing.any():
+            some = one[missing]
+            begin, count = self.learn([raw[a:b] for a, b in zip(first[some].tolist(), last[some].tolist(), strict=True)])
+            self.words, self.first, self.count = (np.insert(old, at[missing], own) for old, own in ((self.words, word[some]), (self.first, begin), (self.count, count)))
+            at = at + np.cumsum(missing) - missing
+        count = self.count[at][which]
+        ids = self.held[spans(self.first[at][which], count)].tobytes()
+        ends = 4 * np.cumsum(np.add.reduceat(count, np.searchsorted(first, np.cumsum([0, *map(len, texts[:-1])]))))
+        return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def all_ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        plain = [bool(t) and not t[-1].isspace() and not _DOUBLED(t) and SPECIAL not in t for t in texts]
+        cut = iter(self.plain([t for t, p in zip(texts, plain, strict=True) if p]) if any(plain) else [])
+        return [next(cut) if p else self.ids_whole(t) for t, p in zip(texts, plain, strict=True)]
 
     def ids(self, text: str) -> bytes:
+        return self.all_ids([text])[0]
+
+    def ids_whole(self, text: str) -> bytes:
         if SPECIAL in text:  # the special token's own string has an id of its own
             if self.whole is None:
                 from tokenizers import Tokenizer
 
                 self.whole = Tokenizer.from_file(self.path)
             return array.array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(self) > self.limit:
-            self.clear()
-        first, *words = text.split(" ")
-        if first and not first[-1].isspace():
-            try:
-                return array.array("I", self.encode(first)).tobytes() + b"".join(map(self.__getitem__, words))
-            except ValueError:
-                pass
         return array.array("I", self.encode(text)).tobytes()
 
 
@@ -99,11 +150,12 @@ def _tokenise(batches: Iterator[pa.RecordBatch], window: int, vocabulary: tuple[
     memo, df = Memo(vocabulary), np.zeros(VOCABULARY, dtype=np.int64)
     schema = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("tail", pa.binary()), ("token", pa.int32()), ("n", pa.int64())])
     size = 4 * window
-    for batch in slices(batches, "text", 8 << 20):
-        rows = []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            raw = memo.ids(text) + b"\0\0\0\0"
-            df[np.unique(np.frombuffer(raw, dtype="<u4"))] += 1
+    for batch in slices(batches, "text", 4 << 20):
+        rows, raws = [], [ids + b"\0\0\0\0" for ids in memo.all_ids(batch.column("text").to_pylist())]
+        at = np.repeat(np.arange(len(raws)) * VOCABULARY, [len(raw) // 4 for raw in raws]) + np.frombuffer(b"".join(raws), dtype="<u4")
+        at.sort()
+        df += np.bincount(at[np.r_[True, at[1:] != at[:-1]]] % VOCABULARY, minlength=VOCABULARY)
+        for doc, raw in zip(batch.column("doc_id").to_pylist(), raws, strict=True):
             total = len(raw) // 4
             for at in range(0, len(raw) - size + 1, size):
                 rows.append(("full", doc, at // 4, window, zlib.crc32(raw[at : at + size]), total, None, None, None))
@@ -118,14 +170,19 @@ def _tokenise(batches: Iterator[pa.RecordBatch], window: int, vocabulary: tuple[
 
 def _similarity_keys(batches: Iterator[pa.RecordBatch], rare: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Adds ``near``: two small hashes of a tail's rarer tokens; tails that share much get the same key often."""
-    spread = ((np.arange(VOCABULARY, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)
-    for batch in batches:
-        keys = []
-        for raw in batch.column("tail").to_pylist():
-            ids = np.unique(np.frombuffer(raw, dtype="<u4"))
-            few = np.sort(spread[ids[rare[ids]]] if rare[ids].any() else spread[ids])[:2]
-            keys.append(int(few[0]) << 24 | int(few[-1]))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, type=pa.int64())], names=[*batch.schema.names, "near"])
+    spread = ((np.arange(VOCABULARY, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)  # all different
+    none = 1 << 24  # above all of them
+    for batch in slices(batches, "tail", 4 << 20):
+        tails = batch.column(batch.schema.get_field_index("tail")).to_pylist()
+        length = np.array([len(raw) // 4 for raw in tails])
+        first, ids = np.cumsum(length) - length, np.frombuffer(b"".join(tails), dtype="<u4")
+        value = np.where(rare[ids], spread[ids], none)
+        common = np.repeat(np.minimum.reduceat(value, first) == none, length)  # no rarer token
+        value[common] = spread[ids[common]]
+        low = np.minimum.reduceat(value, first)
+        value[value == np.repeat(low, length)] = none
+        high = np.minimum.reduceat(value, first)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low << 24 | np.where(high == none, low, high))], names=[*batch.schema.names, "near"])
 
 
 class Index:
@@ -139,15 +196,22 @@ class Index:
         tf = np.concatenate([c for _, c in unique]).astype(np.float64)
         weight = idf[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[tail] / mean_length))
         order = np.argsort(token, kind="stable")
-        self.tail, self.weight = tail[order], weight[order]
-        self.tokens, self.first = np.unique(token[order], return_index=True)
-        self.last = np.r_[self.first[1:], len(order)]
+        tokens, first = np.unique(token[order], return_index=True)
+        last, tail, weight = np.r_[first[1:], len(order)], tail[order], weight[order]
+        shared = np.flatnonzero(last - first > 1)  # a token of one tail brings it no neighbour
+        self.at = np.full(VOCABULARY, -1)
+        self.at[tokens[shared]] = np.arange(len(shared))
+        held = list(zip(first[shared].tolist(), last[shared].tolist(), strict=True))
+        self.tail, self.weight = [tail[a:b] for a, b in held], [weight[a:b] for a, b in held]
         self.n = len(tails)
 
     def scores(self, seed: int) -> np.ndarray:
-        at = np.searchsorted(self.tokens, self.terms[seed])
-        spans = [slice(a, b) for a, b in zip(self.first[at], self.last[at], strict=True)]
-        return np.bincount(np.concatenate([self.tail[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), minlength=self.n)
+        """Scores of all tails, but for what the seed's own tokens add to itself alone."""
+        at = self.at[self.terms[seed]]
+        at = at[at >= 0].tolist()
+        if not at:
+            return np.zeros(self.n)
+        return np.bincount(np.concatenate([self.tail[i] for i in at]), np.concatenate([self.weight[i] for i in at]), minlength=self.n)
 
 
 def pack_shard(tails: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:

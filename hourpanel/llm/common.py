@@ -75,3 +75,33 @@ def words64(words: list, cache: dict) -> np.ndarray:
     for w in set(words).difference(cache):
         cache[w] = digest(w)
     return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def run_hashes(raw: bytes, first: np.ndarray, last: np.ndarray, seed: int = 0, long: int = 512) -> np.ndarray:
+    """64-bit hashes of ``raw[first:last]``, eight bytes of all runs at a time; the same on every machine."""
+    import xxhash
+
+    eight = np.ndarray(len(raw) + 1, dtype="<u8", buffer=raw + bytes(8), strides=(1,))
+    left = last - first
+    out = (left.astype(np.uint64) ^ np.uint64(seed)) * _SPREAD
+    live, at = np.flatnonzero(left <= long), first
+    if len(live) < len(left):
+        for i in np.flatnonzero(left > long).tolist():
+            out[i] = xxhash.xxh64_intdigest(raw[first[i] : last[i]], seed)
+        at, left = at[live], left[live]
+    while len(live):
+        h = (out[live] ^ (eight[at] & _LOW_BYTES[np.minimum(left, 8)])) * _SPREAD
+        out[live] = h ^ (h >> np.uint64(29))
+        more = np.flatnonzero(left > 8)
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(32))
+
+
+def spans(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The indices first, first + 1, ... of every span of ``count``, one span after the other."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
