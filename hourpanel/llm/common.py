@@ -65,18 +65,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 32 << 20
         yield batch.slice(at)
 
 
-def words64(words: list, cache: dict) -> np.ndarray:
-    """64-bit hashes of words through a bounded cache; the same on every machine."""
-    import xxhash
-
-    if len(cache) > 1_000_000:
-        cache.clear()
-    digest = xxhash.xxh64_intdigest
-    for w in set(words).difference(cache):
-        cache[w] = digest(w)
-    return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
@@ -105,3 +93,29 @@ def run_hashes(raw: bytes, first: np.ndarray, last: np.ndarray, seed: int = 0, l
 def spans(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The indices first, first + 1, ... of every span of ``count``, one span after the other."""
     return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
+_WORD_BYTES = np.array([b > 0x7F or chr(b).isalnum() or b == 0x5F for b in range(256)])
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words (``\\w+``) of all texts, one text after the other; how many words each has."""
+    lower = [t.lower().encode() for t in texts]
+    raw = b"\n".join([b"", *lower, b""])
+    byte = np.frombuffer(raw, dtype=np.uint8)
+    held = _WORD_BYTES[byte]
+    lead = np.flatnonzero(byte > 0xBF)
+    if len(lead):  # characters beyond ASCII: two to four bytes, of which the first tells how many
+        size = 2 + (byte[lead] > 0xDF) + (byte[lead] > 0xEF)
+        code = byte[lead] & (0x7F >> size)
+        code = code.astype(np.int64)
+        for k in range(1, 4):
+            more = np.flatnonzero(size > k)
+            code[more] = (code[more] << 6) | (byte[lead[more] + k] & 0x3F)
+        some, which = np.unique(code, return_inverse=True)
+        other = ~np.array([chr(c).isalnum() for c in some.tolist()])[which]
+        held[spans(lead[other], size[other])] = False
+    edge = np.flatnonzero(held[1:] != held[:-1]) + 1  # the first and the last byte are separators
+    first, last = edge[::2], edge[1::2]
+    begin = np.cumsum([1, *[len(t) + 1 for t in lower]])
+    return run_hashes(raw, first, last), np.diff(np.searchsorted(first, begin))

@@ -6,12 +6,14 @@
    least m - e - 1 >= (2 * least - 1) * L - 1 pairs of neighbours stay equal, m itself is at least least * L, and it lies
    within (3 - 2 * least) * L words of the document. So with ``least`` = 0.6 no leak is without seeds, wherever its edits are.
 3. One pass over the documents meets their grams with those of the items, and takes the passages where an item has its
-   count of seeds, and then its count of equal words, within that reach. Everyday phrases alone reach no count. The seeds
-   of at most ``TABLE_WORDS`` item words are held at a time; a larger benchmark takes more passes.
+   count of seeds, and then its count of equal words, within that reach; a word counts at most as often as the item has
+   it, since equal words are at different places of the item. Everyday phrases alone reach no count. The seeds of at most
+   ``TABLE_WORDS`` item words are held at a time; a larger benchmark takes more passes. The words of a slice of documents
+   are hashed and looked up at once.
 4. Passages are aligned with their items by words (Smith-Waterman: ``MATCH``, ``MISMATCH``, ``GAP``). The score over the
    item's best possible score is the reported ``ratio``; ``LEAK`` or more is a leak.
 
-Both counts are necessary conditions, so the result equals an alignment of all documents with all items (tested). How often
+All counts are necessary conditions, so the result equals an alignment of all documents with all items (tested). How often
 a gram or an item occurs plays no part in it, and no text is shuffled.
 
 Defined cases: null or wordless texts and items never match; repeated documents give one row per doc_id and item (the best
@@ -21,7 +23,6 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from hourpanel.session import materialise
 
-from .common import id_text, slices, words64
+from .common import id_text, slices, spans, word_hashes
 
 GRAM = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -40,7 +41,8 @@ LEAK = 0.6
 TABLE_BITS = 22
 #: Words of items whose seeds are sent to the tasks at once.
 TABLE_WORDS = 1 << 20
-_WORD = re.compile(r"\w+").findall
+#: Meetings of seeds and items that are sorted at once, but for those of a single document.
+MEETINGS = 1 << 20
 _LEAKS = "doc_id long, item_id long, score long, ratio double, end_word long"
 
 
@@ -57,9 +59,9 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache: dict = {}
-    for batch in batches:
-        words = [words64(_WORD(t.lower()), cache) for t in batch.column("text").to_pylist()]
+    for batch in slices(batches, "text", 4 << 20):
+        words, size = word_hashes(batch.column("text").to_pylist())
+        words = np.split(words, np.cumsum(size)[:-1])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([w.tobytes() for w in words], type=pa.binary()), pa.array([len(w) for w in words], type=pa.int64())], names=["item_id", "item", "size"])
 
 
@@ -78,6 +80,7 @@ class Seeds:
         self.words = np.maximum(1, np.ceil(least * size - 1e-9).astype(np.int64))
         self.gram = np.where(pairs >= 1, GRAM, 1)  # without a pair for certain, single words are the seeds
         self.need = np.where(pairs >= 1, pairs, self.words)
+        self.bags = [np.unique(w, return_counts=True) for w in items]
         self.reach = np.maximum(size, np.floor((3 - 2 * least) * size + 1e-9).astype(np.int64))
         self.held: dict[int, tuple[np.ndarray, ...]] = {}
         for n in np.unique(self.gram).tolist():
@@ -92,36 +95,51 @@ class Seeds:
         bits[self.held[n][0] & np.uint64((1 << TABLE_BITS) - 1)] = True
         return bits
 
-    def passages(self, words: np.ndarray, tables: dict[int, np.ndarray]) -> Iterator[tuple[int, int, int]]:
-        """(item, from, to): every stretch of ``words`` that may hold a leak of the item."""
+    def passages(self, words: np.ndarray, size: np.ndarray, tables: dict[int, np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, from, to): every stretch of ``words`` that may hold a leak of the item. The words are those of texts
+        of ``size`` words, one after the other."""
+        text = np.repeat(np.arange(len(size)), size)
+        end = np.cumsum(size)
         for n, (grams, first, count, owner) in self.held.items():
             h = gram_hashes(words, n)
             at = np.flatnonzero(tables[n][h & np.uint64((1 << TABLE_BITS) - 1)])
+            at = at[text[at] == text[at + n - 1]]
             j = np.minimum(np.searchsorted(grams, h[at]), len(grams) - 1)
             same = grams[j] == h[at]
             at, j = at[same], j[same]
-            times = count[j]
-            total = int(times.sum())
-            if not total:
+            part = (np.cumsum(np.bincount(text[at], count[j], minlength=len(size))) // MEETINGS)[text[at]]
+            cuts = np.flatnonzero(part[1:] != part[:-1]) + 1
+            for at, j in zip(np.split(at, cuts), np.split(j, cuts), strict=True):
+                yield from self._near(words, text, end - size, end, n, at, first[j], count[j], owner)
+
+    def _near(self, words: np.ndarray, text: np.ndarray, begin: np.ndarray, end: np.ndarray, n: int, at: np.ndarray, first: np.ndarray, times: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        who, at = owner[spans(first, times)], np.repeat(at, times)
+        total = len(who)
+        if not total:
+            return
+        group = text[at] * len(self.items) + who
+        order = np.argsort(group, kind="stable")
+        who, at, group = who[order], at[order], group[order]
+        last = np.arange(total) + self.need[who] - 1
+        fits = np.flatnonzero(last < total)
+        last = last[fits]
+        fits = fits[(group[last] == group[fits]) & (at[last] - at[fits] <= self.reach[who[fits]] - n)]
+        if not len(fits):
+            return
+        who, group, low, high = who[fits], group[fits], at[fits], at[fits + self.need[who[fits]] - 1] + n
+        mine = text[low]
+        low, high = np.maximum(begin[mine], high - self.reach[who]), np.minimum(end[mine], low + self.reach[who])
+        new = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (low[1:] > high[:-1])])  # both grow within an item
+        for t, i, a, b in zip(mine[new].tolist(), who[new].tolist(), low[new].tolist(), high[np.r_[new[1:], len(who)] - 1].tolist(), strict=True):
+            bag, most = self.bags[i]
+            j = np.minimum(np.searchsorted(bag, words[a:b]), len(bag) - 1)
+            equal = bag[j] == words[a:b]
+            if np.minimum(np.bincount(j[equal], minlength=len(bag)), most).sum() < self.words[i]:
                 continue
-            who = owner[np.arange(total) + np.repeat(first[j] - np.r_[0, np.cumsum(times)[:-1]], times)]
-            at = np.repeat(at, times)
-            order = np.argsort(who, kind="stable")
-            who, at = who[order], at[order]
-            last = np.arange(total) + self.need[who] - 1
-            fits = np.flatnonzero(last < total)
-            last = last[fits]
-            fits = fits[(who[last] == who[fits]) & (at[last] - at[fits] <= self.reach[who[fits]] - n)]
-            if not len(fits):
-                continue
-            who, low, high = who[fits], at[fits], at[fits + self.need[who[fits]] - 1] + n
-            low, high = np.maximum(0, high - self.reach[who]), np.minimum(len(words), low + self.reach[who])
-            new = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (low[1:] > high[:-1])])  # both grow within an item
-            for i, a, b in zip(who[new].tolist(), low[new].tolist(), high[np.r_[new[1:], len(who)] - 1].tolist(), strict=True):
-                here = np.r_[0, np.cumsum(np.isin(words[a:b], self.items[i]))]
-                wide = min(int(self.reach[i]), b - a)
-                if (here[wide:] - here[: len(here) - wide]).max() >= self.words[i]:
-                    yield i, a, b
+            here = np.r_[0, np.cumsum(equal)]
+            wide = min(int(self.reach[i]), b - a)
+            if (here[wide:] - here[: len(here) - wide]).max() >= self.words[i]:
+                yield t, i, a, b
 
 
 def align(words: np.ndarray, item: np.ndarray) -> tuple[int, int]:
@@ -139,17 +157,17 @@ def align(words: np.ndarray, item: np.ndarray) -> tuple[int, int]:
 
 
 def _leaks(batches: Iterator[pa.RecordBatch], seeds: Seeds, least: float) -> Iterator[pa.RecordBatch]:
-    tables, cache = {n: seeds.table(n) for n in seeds.held}, {}
+    tables = {n: seeds.table(n) for n in seeds.held}
     types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
-    for batch in slices(batches, "text"):
-        out = []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            words = words64(_WORD(text.lower()), cache)
-            for i, low, high in seeds.passages(words, tables):
-                score, end = align(words[low:high], seeds.items[i])
-                ratio = score / (MATCH * len(seeds.items[i]))
-                if ratio >= least:
-                    out.append((doc, seeds.ids[i], score, ratio, low + end))
+    for batch in slices(batches, "text", 4 << 20):
+        out, docs = [], batch.column("doc_id").to_pylist()
+        words, size = word_hashes(batch.column("text").to_pylist())
+        begin = (np.cumsum(size) - size).tolist()
+        for t, i, low, high in seeds.passages(words, size, tables):
+            score, end = align(words[low:high], seeds.items[i])
+            ratio = score / (MATCH * len(seeds.items[i]))
+            if ratio >= least:
+                out.append((docs[t], seeds.ids[i], score, ratio, low + end - begin[t]))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "item_id", "score", "ratio", "end_word"])
 

@@ -1,12 +1,13 @@
 """Words that are hashed, encoded or looked up many at a time, against one at a time."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 
-from hourpanel.llm import bm25_packing
-from hourpanel.llm.common import run_hashes, spans
+from hourpanel.llm import bm25_packing, decontaminate
+from hourpanel.llm.common import run_hashes, spans, word_hashes
 
 RNG = random.Random(8)
 WORD = lambda: "".join(RNG.choice("aebño日𝄞") for _ in range(RNG.choice([1, 2, 3, 7, 8, 9, 30])))
@@ -50,3 +51,42 @@ def key(tail, rare):
     ids = np.unique(tail).tolist()
     few = sorted(i * 0x9E3779B97F4A7C15 % (1 << 64) >> 40 for i in [i for i in ids if rare[i]] or ids)[:2]
     return few[0] << 24 | few[-1]
+
+
+def test_word_hashes():
+    chars = [*"aZ_9 \n.éΣİß日—½𝄞𐐀¿ǆ٣😀", "\u00a0", "\u0301", "\x1c", "\0"]
+    texts = ["".join(RNG.choice(chars) for _ in range(RNG.randrange(40))) for _ in range(2000)] + ["", " ", "ΑΣ", "a" * 3000, "A" * 3000]
+    got, size = word_hashes(texts)
+    words = [re.findall(r"\w+", t.lower()) for t in texts]
+    assert size.tolist() == [len(w) for w in words]
+    flat = [w for own in words for w in own]
+    assert len(set(zip(flat, got.tolist()))) == len(set(flat)) == len(set(got.tolist()))
+
+
+def leaks_of(texts, items, meetings, monkeypatch):
+    """Leaks as (text, item, score, end), and how many alignments they took."""
+    monkeypatch.setattr(decontaminate, "MEETINGS", meetings)
+    words, size = word_hashes(items)
+    seeds = decontaminate.Seeds(list(range(len(items))), np.split(words, np.cumsum(size)[:-1]), 0.6)
+    calls, align = [], decontaminate.align
+    monkeypatch.setattr(decontaminate, "align", lambda *a: calls.append(1) or align(*a))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    got = [(r["doc_id"], r["item_id"], r["score"], r["end_word"]) for b in decontaminate._leaks(iter([batch]), seeds, 0.6) for r in b.to_pylist()]
+    monkeypatch.undo()
+    return got, len(calls)
+
+
+def test_slices_of_documents_give_what_single_documents_give(monkeypatch):
+    some = lambda n: " ".join(f"w{RNG.randrange(60)}" for _ in range(n))
+    items = [some(n) for n in (2, 5, 6, 12, 30, 30)]
+    texts = [some(RNG.randrange(80)) for _ in range(60)] + ["", items[4], items[5] + " " + items[5], some(40) + " " + items[3], items[4][:60], items[4][60:], *items[:3]]
+    want = [(k, *row[1:]) for k, t in enumerate(texts) for row in leaks_of([t], items, 1 << 20, monkeypatch)[0]]
+    assert len(want) > 4
+    for meetings in (1 << 20, 3):
+        assert sorted(leaks_of(texts, items, meetings, monkeypatch)[0]) == sorted(want)
+
+
+def test_everyday_words_take_no_alignment(monkeypatch):
+    item = "of the first kind and of the second kind and of the third kind that we saw in an old house near the sea one cold day"
+    got, calls = leaks_of(["of the kind and " * 200, "x " + item.upper()], [item], 1 << 20, monkeypatch)
+    assert [g[:2] for g in got] == [(1, 0)] and calls == 1
